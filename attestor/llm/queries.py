@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import quality, toxicity
+from attestor.llm import exact_dedup, line_dedup, quality, secrets, token_files, toxicity, warc
 from attestor.llm.labelled import remainder
 
 
@@ -15,6 +16,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    docs = _table(spark, folder, "documents")
+    return token_files.read(token_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives of all pages, written and read back through their index."""
+    records = warc.read(warc.write(_table(spark, folder, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of toxicity; rows whose crc32(doc_id) mod 3 is 1 are never learned from."""
     docs = _table(spark, folder, "documents")
@@ -24,6 +37,17 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    cut = line_dedup.deduplicate_lines(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of equal documents stays."""
+    return exact_dedup.deduplicate(_table(spark, folder, "documents"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of quality; rows whose crc32(doc_id) mod 5 is 0 are never learned from."""
     docs = _table(spark, folder, "documents")
@@ -33,8 +57,41 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document; each document is a repository of the owner that its source names."""
+    return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_quality": op8_quality,
+    "op10_secrets": op10_secrets,
+}
+ORACLE: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to, url
+        FROM m""",
+    "op4_line_dedup": """
+        WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        l AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS pos FROM s),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        r AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        m AS (SELECT k.doc_id, k.line, k.pos, coalesce(k.doc_id > r.first, false) AS gone FROM k LEFT JOIN r ON k.key = r.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
+    "op6_exact_dedup": """
+        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+        FROM n""",
 }
-ORACLE: dict[str, str] = {}
