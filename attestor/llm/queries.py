@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import exact_dedup, line_dedup, quality, secrets, token_files, toxicity, warc
+from attestor.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, secrets, token_files, toxicity, warc
 from attestor.llm.labelled import remainder
 
 
@@ -43,11 +43,22 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Encoding and decoding of all documents."""
+    return bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Which of equal documents stays."""
     return exact_dedup.deduplicate(_table(spark, folder, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Which document holds which benchmark item, with up to 8 % edits."""
+    found = decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "distance")
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of quality; rows whose crc32(doc_id) mod 5 is 0 are never learned from."""
     docs = _table(spark, folder, "documents")
@@ -67,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op10_secrets": op10_secrets,
 }
