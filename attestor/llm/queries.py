@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, secrets, token_files, toxicity, warc
+from attestor.llm import bpe, decontaminate, exact_dedup, line_dedup, order_minhash, quality, secrets, token_files, toxicity, warc
 from attestor.llm.labelled import remainder
 
 
@@ -68,6 +68,11 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near-duplicate documents."""
+    return order_minhash.classes(_table(spark, folder, "documents"))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document; each document is a repository of the owner that its source names."""
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
+    "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
 }
 ORACLE: dict[str, str] = {
