@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import boosting
@@ -173,21 +173,32 @@ def fit(train: DataFrame) -> Model:
     return Model(lexicon, forest, boosting.isotonic(forest.probability(x[checked]), y[checked]))
 
 
-def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """(doc_id, ``out``) for every row of ``docs``; texts are read whole."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model):
+    """A function of a text column that gives its score; null counts as empty."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        for b in batches:
-            x = np.array([features(t, model.lexicon) for t in b["text"]], dtype=np.float32).astype(float).reshape(len(b), len(COLUMNS))
-            yield pd.DataFrame({"doc_id": b["doc_id"], out: model.score(x)})
+        for t in texts:
+            x = np.array([features(v or "", model.lexicon) for v in t], dtype=np.float32).astype(float).reshape(len(t), len(COLUMNS))
+            yield pd.Series(model.score(x))
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(scored, f"doc_id long, {out} double")
+    return scored
+
+
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """(doc_id, ``out``) for every row of ``docs``; texts are read whole."""
+    return docs.select("doc_id", scorer(docs.sparkSession, model)(F.col("text")).alias(out))
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, keep=None, max_rows: int = 16_000) -> DataFrame:
     """Fit on labelled rows for which ``keep`` (a condition on labels.doc_id) holds and score all of ``docs``."""
     keep = F.lit(True) if keep is None else keep
     return score(docs, fit(sample(docs, labels, "toxic", keep, max_rows)))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep=None, max_rows: int = 16_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    model = fit(sample(docs, labels, "toxic", F.lit(True) if keep is None else keep, max_rows))
+    return docs.where(scorer(docs.sparkSession, model)(F.col("text")) < threshold)
