@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from attestor.plans import graph_queries, series_queries
+
+MODULES = (graph_queries, series_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLE.items()}
