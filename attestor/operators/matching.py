@@ -1,0 +1,124 @@
+"""One-to-one matching that depends on order: greedy pairs, matches in gold order, clusters over runs.
+
+Candidates meet by an equi-join on their group, so only groups that both sides have are compared, and the greedy choice
+itself runs per group over Arrow batches.  Groups are the claims of one document and property.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def greedy_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, i, j): within a group the closest values first, each row once; what is left has the other side null.
+
+    Rows have a position ``pos`` within their group and side.
+    """
+
+    def pair(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("pos"), right.sort_values("pos")
+        near = sorted(
+            (abs(x - y), i, j) for i, x in zip(left["pos"], left["value"], strict=True) for j, y in zip(right["pos"], right["value"], strict=True)
+        )
+        used_i, used_j, rows = set(), set(), []
+        for _, i, j in near:
+            if i not in used_i and j not in used_j:
+                used_i.add(i), used_j.add(j), rows.append((i, j))
+        rows += [(i, None) for i in left["pos"] if i not in used_i] + [(None, j) for j in right["pos"] if j not in used_j]
+        out = pd.DataFrame(rows, columns=["i", "j"]).astype({"i": "Int64", "j": "Int64"})
+        for n, k in enumerate(keys):
+            out[k] = key[n]
+        return out[[*keys, "i", "j"]]
+
+    side = lambda d: d.select(*[F.col(k).alias(k) for k in keys], F.col("pos").cast("long").alias("pos"), F.col(value).cast("double").alias("value"))
+    types = dict(a.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", i long, j long"
+    return side(a).groupBy(*keys).cogroup(side(b).groupBy(*keys)).applyInPandas(pair, schema)
+
+
+def gold_order(gold: DataFrame, predicted: DataFrame, keys: Sequence[str], tolerance: float = 0.02) -> DataFrame:
+    """(keys, g, p): every gold row in order takes the first unused prediction of its group whose value is close.
+
+    Both sides have (keys, pos, value); p is null where nothing matched.
+    """
+
+    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("pos"), right.sort_values("pos")
+        free, rows = list(zip(right["pos"], right["value"], strict=True)), []
+        for i, x in zip(left["pos"], left["value"], strict=True):
+            at = next((n for n, (_, y) in enumerate(free) if abs(x - y) <= tolerance * max(abs(x), abs(y), 1e-9)), None)
+            rows.append((i, None if at is None else free.pop(at)[0]))
+        out = pd.DataFrame(rows, columns=["g", "p"]).astype({"g": "Int64", "p": "Int64"})
+        for n, k in enumerate(keys):
+            out[k] = key[n]
+        return out[[*keys, "g", "p"]]
+
+    side = lambda d: d.select(*[F.col(k).alias(k) for k in keys], F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+    types = dict(gold.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", g long, p long"
+    return side(gold).groupBy(*keys).cogroup(side(predicted).groupBy(*keys)).applyInPandas(match, schema)
+
+
+def consensus(claims: DataFrame, keys: Sequence[str], least_runs: int = 2, tolerance: float = 0.02) -> DataFrame:
+    """(keys, run, pos, value, level): claims that at least ``least_runs`` runs make, by their first appearance.
+
+    Claims are compared with the first one of a cluster only, and a cluster takes one claim of each run.
+    """
+
+    def cluster(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["run", "pos"])
+        items = list(zip(rows["run"], rows["pos"], rows["value"], strict=True))
+        used, out = [False] * len(items), []
+        for i, (run, pos, x) in enumerate(items):
+            if used[i]:
+                continue
+            runs, used[i] = {run}, True
+            for j in range(i + 1, len(items)):
+                other, _, y = items[j]
+                if not used[j] and other not in runs and abs(x - y) <= tolerance * max(abs(x), abs(y), 1e-9):
+                    runs.add(other)
+                    used[j] = True
+            if len(runs) >= least_runs:
+                out.append((*key, run, pos, x, len(runs)))
+        return pd.DataFrame(out, columns=[*keys, "run", "pos", "value", "level"])
+
+    types = dict(claims.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", run long, pos long, value double, level long"
+    picked = claims.select(*keys, F.col("run").cast("long").alias("run"), F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"))
+    return picked.groupBy(*keys).applyInPandas(cluster, schema)
+
+
+def field_majority(fields: DataFrame, keys: Sequence[str], least_runs: int = 2) -> DataFrame:
+    """(keys, field, value, n): per field the value that most runs give, if at least ``least_runs`` do; ties go to the first run.
+
+    ``fields`` has (keys, run, field, value); absent marks (empty, unspecified, none, null) don't count.
+    """
+    tidy = F.lower(F.trim("value"))
+    given = fields.where(F.col("value").isNotNull() & ~tidy.isin("", "unspecified", "none", "null")).withColumn("same__", tidy)
+    votes = given.groupBy(*keys, "field", "same__").agg(F.countDistinct("run").alias("n"), F.min("run").alias("first__"), F.min_by("value", "run").alias("value"))
+    best = votes.groupBy(*keys, "field").agg(F.max_by(F.struct("value", "n"), F.struct("n", (-F.col("first__")).alias("m"))).alias("b"))
+    return best.select(*keys, "field", "b.value", "b.n").where(F.col("n") >= least_runs)
+
+
+def stitched(regions: DataFrame, doc: str, page: str) -> DataFrame:
+    """(doc, first, last, joined): regions joined with the next page's where both have one quantity row and equal width.
+
+    ``regions`` has (doc, page, n_cols, n_quantity, has_free).  In a chain of joinable regions pairs are taken from the
+    left, so the first, third, ... of a chain take their successor.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(doc).orderBy(page)
+    nxt = lambda c: F.lead(c).over(w)
+    can = (nxt(page) == F.col(page) + 1) & (nxt("n_cols") == F.col("n_cols")) & (F.col("n_quantity") == 1) & (nxt("n_quantity") == 1) & ~nxt("has_free")
+    rows = regions.withColumn("can__", F.coalesce(can, F.lit(False)).cast("int")).withColumn("next__", nxt(page))
+    broken = F.sum(1 - F.col("can__")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("chain__", F.coalesce(broken, F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(doc, "chain__").orderBy(page))
+    rows = rows.withColumn("takes__", (F.col("can__") == 1) & (rank % 2 == 1))
+    taken = F.coalesce(F.lag("takes__").over(w), F.lit(False))
+    return rows.withColumn("taken__", taken).where(~F.col("taken__")).select(doc, F.col(page).alias("first"), F.when(F.col("takes__"), F.col("next__")).otherwise(F.col(page)).alias("last"), F.col("takes__").alias("joined"))
