@@ -124,13 +124,13 @@ def names_source(answer: Column) -> Column:
 
 def squashed_key(text: Column) -> Column:
     """``title:`` and 16 hex digits of the SHA-1 of the lower-case text without anything but letters and digits."""
-    return F.concat(F.lit("title:"), F.substring(F.sha1(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), 1, 16))
+    return F.concat(F.lit("title:"), F.substring(F.sha1(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")), 1, 16))
 
 
 def source_key(doi: Column, arxiv: Column, title: Column) -> Column:
     """The best identifier there is: DOI, then preprint number, then title."""
     some = lambda x: F.nullif(F.trim(x), F.lit(""))
-    return F.coalesce(F.concat(F.lit("doi:"), F.lower(some(doi))), F.concat(F.lit("arxiv:"), some(arxiv)), squashed_key(title))
+    return F.coalesce(F.concat(F.lit("doi:"), F.lower(some(doi))), F.concat(F.lit("arxiv:"), F.lower(some(arxiv))), squashed_key(title))
 
 
 def triage(reply: Column) -> Column:

@@ -292,7 +292,7 @@ def _near(v: float) -> str:
     return "len(list_filter(x, lambda d: " + " OR ".join(f"abs({s} - abs(d)) <= 0.02 * greatest({s}, abs(d), 1e-9)" for s in scaled) + ")) > 0"
 
 
-_KEY = "concat('title:', substring(sha1(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 16))"
+_KEY = "concat('title:', substring(sha1(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')), 1, 16))"
 ORACLE = {
     "html_text": f"SELECT page_id, md5({_HTML}) AS digest, length({_HTML})::INT AS n FROM pages",
     "html_sentences": rf"""WITH s AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace({_HTML}, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: {_WS}), lambda x: x <> '') AS s FROM pages)
