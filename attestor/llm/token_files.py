@@ -25,12 +25,26 @@ from attestor.llm.storage import filesystem, fresh, saved, write_once
 NULL_ID = -(2**63)
 SHARDS = "path string, first_doc long, n_docs long, n_ids long, width int"
 #: A worker's memory of encoded words; it starts afresh when full.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 #: Spaces at which every text may be cut without changing its ids: no token and no merge crosses them.
 CUTS = str.maketrans("\n\t\r", "   ")
 MARKS = ".,;:!?#%&*$|"
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies: itself if printable, else the next free one from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
+def _signs(word: str) -> str:
+    return "".join(map(BYTE_SIGNS.__getitem__, word.encode("utf-8")))
+
+
 class WordEncoder(dict):
     """Encodes texts word by word and remembers words; the ids are those of the tokenizers library for the whole text.
 
@@ -52,8 +66,12 @@ class WordEncoder(dict):
             self.clear()
             self[""] = b""
         core = chunk.rstrip(MARKS)
-        if core.isalpha() and max(core) < "ɐ" and ((low := core.lower()) != chunk):
-            ids = self[low] + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
+        if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
+            low = core.lower()
+            if low != chunk:
+                ids = self[low] + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
+            else:  # one word in its normal form: only the merges are left to do
+                ids = np.array([t.id for t in self.library.model.tokenize(low if low.isascii() else _signs(low))], self.width).tobytes()
         else:
             ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.width).tobytes()
         self[chunk] = ids
