@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 LEAF = 8
 NO_RANK = 1 << 40
-KNOWN_CHUNKS = 400_000
-KNOWN_WORDS = 300_000
-KNOWN_PIECES = 200_000
+KNOWN_CHUNKS = 300_000
+KNOWN_WORDS = 250_000
+KNOWN_PIECES = 100_000
 
 
 class Encoder:
@@ -95,7 +95,7 @@ class Encoder:
     def stable(self, a: int, b: int) -> bool:
         known = self.stable_pairs.get((a, b))
         if known is None:
-            if len(self.stable_pairs) > 1_000_000:
+            if len(self.stable_pairs) > 200_000:
                 self.stable_pairs.clear()
             known = self.stable_pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known

@@ -193,8 +193,8 @@ def bottom_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def optional_match_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The four best edges of every twentieth vector with the neighbour's label, which may be missing."""
-    e = graph.top_edges(_edges(spark, folder).where("src % 20 = 0"), 4)
+    """The four best edges of every vector with the neighbour's label, which may be missing."""
+    e = graph.top_edges(_edges(spark, folder), 4)
     names = _groups(spark, folder).where("grp < 5").select(F.col("id").alias("dst"), F.col("grp").alias("dst_label"))
     return e.join(names, "dst", "left").select("src", "dst", "weight", "dst_label")
 
@@ -309,7 +309,7 @@ ORACLE = {
     + " ".join(f"LEFT JOIN {_sums(f'{v}{k}', e, k)} ON {v}{k}.src = z.id" for v, e, k in _SIGNALS),
     "bottom_coverage": f"WITH {_B}, {_COVERAGE} SELECT * FROM cov ORDER BY coverage_xgroup, id LIMIT 10",
     "optional_match_topk": f"""WITH {_B} SELECT t.src, t.dst, t.weight, CASE WHEN z.grp < 5 THEN z.grp END AS dst_label FROM
-        (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM e WHERE src % 20 = 0) t JOIN z ON z.id = t.dst WHERE r <= 4""",
+        (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM e) t JOIN z ON z.id = t.dst WHERE r <= 4""",
     "query_snapshot": f"""WITH {_both()}, r AS (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY weight DESC, dst) AS rank FROM b)
         SELECT view, src, k::INT AS k, string_agg(dst::VARCHAR, ',' ORDER BY rank) AS answer FROM r, range(3, 6) t(k) WHERE rank <= k GROUP BY view, src, k""",
     "edge_counts": f"WITH {_both()} SELECT view, count(*) AS n, count(*) FILTER (same_group) AS inside, round(avg(weight), 6) AS mean_weight, min(weight) AS least_weight FROM b GROUP BY view",

@@ -45,9 +45,9 @@ def predict_with_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sampled_bank(spark: SparkSession, folder: str) -> DataFrame:
-    """A bank of two studies: all even vectors and forty odd ones drawn by a hash."""
+    """A bank of two studies: all vectors of the first five groups and forty others drawn by a hash."""
     e = _groups(spark, folder)
-    return e.where("id % 2 = 0").unionByName(models.sampled(e.where("id % 2 = 1"), "id", 40, 7)).orderBy("id")
+    return e.where("grp < 5").unionByName(models.sampled(e.where("grp >= 5"), "id", 40, 7)).orderBy("id")
 
 
 def search_feed(spark: SparkSession, folder: str) -> DataFrame:

@@ -80,7 +80,7 @@ def alpha(spark: SparkSession, folder: str) -> DataFrame:
 
 def codings(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of two coders over all documents, with a mark where one has none."""
-    d = table(spark, folder, "documents").where("doc_id % 3 <> 0").select("doc_id", F.col("lang").alias("b"))
+    d = table(spark, folder, "documents").where("lang <> 'en'").select("doc_id", F.col("lang").alias("b"))
     both = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("string").alias("a")).join(d, "doc_id", "full_outer")
     return both.groupBy(F.coalesce("a", F.lit("∅")).alias("a"), F.coalesce("b", F.lit("∅")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -144,7 +144,7 @@ ORACLE = {
     "alpha": """WITH s AS (SELECT count(*) AS n, avg((quality <> toxic)::INT) AS d_o FROM labels), m AS (SELECT v, count(*) AS c FROM (SELECT quality AS v FROM labels UNION ALL SELECT toxic FROM labels) GROUP BY v),
         q AS (SELECT sum(c * c)::DOUBLE AS s2, count(*) AS categories FROM m), e AS (SELECT n, d_o, (4.0::DOUBLE * n * n - s2) / (2.0::DOUBLE * n * (2 * n - 1)) AS d_e, categories FROM s, q)
         SELECT n AS n_items, round(1 - d_o / nullif(d_e, 0), 3) AS alpha, round(d_o, 4) AS d_o, round(d_e, 4) AS d_e, categories FROM e""",
-    "codings": """SELECT coalesce(quality::VARCHAR, '∅') AS a, coalesce(lang, '∅') AS b, count(*) AS n FROM labels l FULL JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d ON l.doc_id = d.doc_id GROUP BY 1, 2""",
+    "codings": """SELECT coalesce(quality::VARCHAR, '∅') AS a, coalesce(lang, '∅') AS b, count(*) AS n FROM labels l FULL JOIN (SELECT * FROM documents WHERE lang <> 'en') d ON l.doc_id = d.doc_id GROUP BY 1, 2""",
     "prf": f"""WITH c AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn
         FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (source)) SELECT source, tp, fp, fn, {_PR} AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
         round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""",
