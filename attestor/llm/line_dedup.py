@@ -37,6 +37,8 @@ STRIPPED = b" \t\n\x0b\x0c\r"
 LEAST = 10
 LAST = 2**63 - 1
 SALTS = 32
+#: Shards double until each holds about so many shared keys at most, so a filter takes a few MB at any size of corpus.
+SHARD_KEYS = 500_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -108,6 +110,13 @@ class LineIndex:
             now = now.groupBy("digest").agg(F.sum("change").cast("int").alias("change")).where("change <> 0")
         old, self.version = self.filters, self.version + 1
         self.filters = f"{self.root}/filters-{self.version}"
+        n_shared, grown = self.references.count(), self.shards
+        while n_shared > grown * SHARD_KEYS:
+            grown *= 2
+        if old and grown > self.shards:
+            self.shards = grown
+            return self._rebuild(self.filters)
+        self.shards = grown
         new, shards = self.filters, self.shards
 
         def update(key: tuple, changes: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +141,7 @@ class LineIndex:
             self._carry(old, new, [s for s in range(shards) if s not in state])
 
     def _rebuild(self, new: str) -> None:
-        """A shard has outgrown its filter: build all anew from the references."""
+        """Filters or their number have become too small: build all anew from the references."""
 
         def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             write_once(_file(new, int(key[0])), cuckoo.build(_hash64(rows["digest"])).to_bytes())
@@ -141,10 +150,18 @@ class LineIndex:
         self.references.withColumn("shard", _shard(self.shards)).groupBy("shard").applyInPandas(build, "shard int").count()
 
     def _carry(self, old: str, new: str, shards: list[int]) -> None:
-        for s in shards:
-            at, path = filesystem(_file(old, s))
-            if at.get_file_info(path).type.name != "NotFound":
-                write_once(_file(new, s), at.open_input_file(path).read())
+        """Copy the filters of shards without changes, in tasks."""
+
+        def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for s in b["shard"]:
+                    kept = _load(old, s)
+                    if kept is not None:
+                        write_once(_file(new, s), kept.to_bytes())
+                yield b
+
+        if shards:
+            self.spark.createDataFrame([(s,) for s in shards], "shard int").mapInPandas(copy, "shard int").count()
 
     def probe(self, docs: DataFrame) -> DataFrame:
         """(doc, drop): for documents with lines to drop, the digests of those lines.

@@ -87,6 +87,21 @@ def test_line_index_is_reversible(spark):
     assert {(r["doc"], len(r["drop"])) for r in index.probe(None).collect()} == {(3, 1)}
 
 
+def test_line_filters_grow_with_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 10)
+    make = lambda first, last: spark.createDataFrame([(d, "\n".join(f"common line number {i}" for i in range(first, last))) for d in (2 * first, 2 * first + 1)], "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, shards=1)
+    for first, last, shards in ((0, 8, 1), (8, 9, 1), (20, 60, 8)):
+        index.insert(make(first, last))
+        assert index.shards == shards
+    one = make(70, 71)
+    index.insert(one)
+    dropped = lambda: {r["doc"]: len(r["drop"]) for r in index.probe(None).collect()}
+    assert dropped() == {1: 8, 17: 1, 41: 40, 141: 1} and index.references.count() == 50
+    index.delete(one)
+    assert dropped() == {1: 8, 17: 1, 41: 40} and index.references.count() == 49
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 50_000, dtype=np.uint64)
