@@ -27,6 +27,8 @@ INDEX = "page_id long, url string, archive string, offset long, length long, dig
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 ARCHIVE_BYTES = 64 << 20
 GAP, MOST = 64 << 10, 8 << 20
+#: A reading task fetches about so many bytes of archives; index rows are far too short to size tasks by.
+TASK_BYTES = 256 << 20
 
 
 def _urn(page_id: object) -> str:
@@ -114,7 +116,9 @@ def _index(rows: list[tuple]) -> pd.DataFrame:
 
 def read(index: DataFrame) -> DataFrame:
     """The records of the selected index rows; a revisit has a null payload and the digest and size of the full one."""
-    chosen = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    size = index.agg(F.count_distinct("archive").alias("archives"), F.sum("length").alias("bytes")).first()
+    tasks = max(1, min(size["archives"], int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))), (size["bytes"] or 0) // TASK_BYTES)
+    chosen = index.select("archive", "offset", "length").repartition(tasks, "archive").sortWithinPartitions("archive", "offset")
 
     def ranges(b: pd.DataFrame) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
         name, start, end, inside = None, 0, 0, []
