@@ -27,11 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.memory import Remembered
+
 LEAF = 8
 NO_RANK = 1 << 40
-KNOWN_CHUNKS = 300_000
-KNOWN_WORDS = 250_000
-KNOWN_PIECES = 100_000
+KNOWN_CHUNKS = 150_000
+KNOWN_WORDS = 100_000
+KNOWN_PIECES = 50_000
+KNOWN_PAIRS = 100_000
 
 
 class Encoder:
@@ -42,10 +45,9 @@ class Encoder:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[bytes, list[int]] = {}
-        self.first, self.later = _Chunks(self, ""), _Chunks(self, " ")
+        self.stable_pairs = Remembered(self._stable, KNOWN_PAIRS)
+        self.words, self.pieces = Remembered(self._word, KNOWN_WORDS), Remembered(self.merged, KNOWN_PIECES)
+        self.first, self.later = Remembered(lambda c: self._chunk("", c), KNOWN_CHUNKS), Remembered(lambda c: self._chunk(" ", c), KNOWN_CHUNKS)
 
     def merged(self, piece: bytes) -> list[int]:
         """Merge adjacent parts, least rank first and leftmost among equals, until nothing merges."""
@@ -92,13 +94,11 @@ class Encoder:
                 offer(before[i])
         return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
+    def _stable(self, pair: tuple[int, int]) -> bool:
+        return self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == [*pair]
+
     def stable(self, a: int, b: int) -> bool:
-        known = self.stable_pairs.get((a, b))
-        if known is None:
-            if len(self.stable_pairs) > 200_000:
-                self.stable_pairs.clear()
-            known = self.stable_pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+        return self.stable_pairs[a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours' bytes together."""
@@ -117,25 +117,25 @@ class Encoder:
     def tree(self, piece: bytes) -> list[int]:
         """Halves first, then their join."""
         if len(piece) <= LEAF:
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= KNOWN_PIECES:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = self.merged(piece)
-            return ids
+            return self.pieces[piece]
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
-    def word(self, match: str) -> bytes:
+    def _word(self, match: str) -> bytes:
         """The packed ids of one match of the pattern; a match that is a token itself stays whole."""
-        ids = self.words.get(match)
-        if ids is None:
-            if len(self.words) >= KNOWN_WORDS:
-                self.words.clear()
-            piece = match.encode("utf-8")
-            whole = self.ranks.get(piece)
-            ids = self.words[match] = np.array(self.tree(piece) if whole is None else [whole], "<u4").tobytes()
-        return ids
+        piece = match.encode("utf-8")
+        whole = self.ranks.get(piece)
+        return np.array(self.tree(piece) if whole is None else [whole], "<u4").tobytes()
+
+    def _chunk(self, before: str, chunk: str) -> bytes | None:
+        """The packed ids of a chunk between spaces, with the space before it.
+
+        A match of the pattern starts at such a space if nothing but the space itself is white around it, so chunks that
+        are empty or have white space at an end have no encoding of their own (None).
+        """
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            return None
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(before + chunk)))
 
     def encode(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit integers."""
@@ -143,34 +143,12 @@ class Encoder:
         try:
             return self.first[head] + b"".join(map(self.later.__getitem__, rest))
         except TypeError:  # white space meets a space somewhere: the pattern has to see it whole
-            return b"".join(map(self.word, self.pattern.findall(text)))
+            return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
 
-class _Chunks(dict):
-    """Encodings of the chunks between spaces, with the space before them.
-
-    A match of the pattern starts at such a space if nothing but the space itself is white around it, so chunks that are
-    empty or have white space at an end have no encoding of their own (None).
-    """
-
-    def __init__(self, encoder: Encoder, before: str):
-        super().__init__()
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        if len(self) >= KNOWN_CHUNKS:
-            self.clear()
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            ids = None
-        else:
-            ids = b"".join(map(self.encoder.word, self.encoder.pattern.findall(self.before + chunk)))
-        self[chunk] = ids
-        return ids
-
-
 @functools.cache
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker, from a file of base64 tokens and ranks."""
