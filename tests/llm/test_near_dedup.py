@@ -94,3 +94,34 @@ def test_rounds_run_out(spark, monkeypatch):
     got = order_minhash.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     same = sum(r["class_id"] == expected[r["doc_id"]] for r in got)
     assert same >= 0.95 * len(texts)
+
+
+def variants(seed, n, length):
+    """An origin, ``n`` texts with one edit each and a second edit of each of these; all are linked in chains only."""
+    rng = random.Random(seed)
+    origin = [f"w{i}" for i in range(length)]
+    texts = {0: " ".join(origin)}
+    for i in range(n):
+        w = list(origin)
+        for k, name in enumerate("xy"):
+            w[rng.randrange(length)] = f"{name}{i}"
+            texts[2 * i + k + 1] = " ".join(w)
+    return texts
+
+
+def classes_of(spark, texts):
+    got = order_minhash.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    return {r["doc_id"]: r["class_id"] for r in got}
+
+
+def test_no_link_of_a_bucket_is_lost(spark):
+    """Texts that miss their leaders meet all texts of their buckets, also those that linked to a leader."""
+    texts = variants(2, 100, 60)
+    assert classes_of(spark, texts) == brute_classes(texts)
+
+
+def test_waves_end_with_every_pair(spark, monkeypatch):
+    for name, value in {"ROUNDS": 1, "AT_ONCE": 20, "FIRST_WAVE": 1, "BLOCK": 16}.items():
+        monkeypatch.setattr(order_minhash, name, value)
+    texts = variants(2, 50, 60) | {1000 + d: f"other {t}" for d, t in variants(3, 5, 30).items()}
+    assert classes_of(spark, texts) == brute_classes(texts)
