@@ -14,7 +14,10 @@ compared nor in one component are compared, so no link between texts of a common
 candidates is linear in the number of texts where families hold together, and grows with the square of a bucket only
 as far as its texts are not linked.  Classes are the connected components of all links.
 
-A link at exactly 0.8 is in a common bucket with a chance of over 0.9999; the recall of classes is measured in the tests.
+Sketches alone tell little of a short text.  Texts of at most ``EXACT`` k-mers therefore also have a key for each sequence
+that is left without up to a fifth of their k-mers, which finds every link among them, and texts of at most ``FEW`` k-mers
+have twice as many sketches.  So a link at exactly 0.8 is in a common bucket with a chance of over 0.9999 whatever the
+length of its texts; the recall of classes is measured in the tests.
 
 Defined results: null and empty texts and those of white space have no k-mers and are classes of their own; texts of one
 to four words have one k-mer, all their words; a class is named by its smallest doc_id (null ids come last); of repeated
@@ -24,6 +27,8 @@ rows one is kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,6 +41,8 @@ from attestor.llm.storage import saved
 
 WORDS = 5
 SKETCHES, SIZE = 28, 5
+#: Texts of at most ``EXACT`` k-mers also have exact keys, those of at most ``FEW`` twice as many sketches.
+EXACT, FEW = 10, 15
 ROUNDS = 3
 #: Untested pairs are compared at once up to ``AT_ONCE``; more of them in waves, the best partners of each text first.
 AT_ONCE, FIRST_WAVE, WAVE_GROWTH = 200_000, 4, 8
@@ -83,19 +90,38 @@ def kmers(w: np.ndarray) -> np.ndarray:
     return s
 
 
+@cache
+def _subsets(n: int, size: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), size)))
+
+
+def shortened(s: np.ndarray) -> np.ndarray:
+    """One key for each sequence that is left of ``s`` without up to a fifth of its k-mers.
+
+    Two linked texts share M k-mers in order with M >= 0.8 of each one's count, so they share the key of those M.
+    """
+    keys = []
+    for gone in range(len(s) // 5 + 1):
+        left = _subsets(len(s), len(s) - gone)
+        keys.append((s[left] * _ODD[120 : 120 + len(s) - gone]).sum(axis=1, dtype=np.uint64))
+    return np.unique(_mix(np.concatenate(keys)))
+
+
 def sketches(s: np.ndarray) -> np.ndarray:
     """The bucket keys of one text."""
     if not len(s):
         return np.zeros(0, np.int64)
+    exact = shortened(s).view(np.int64) if len(s) <= EXACT else np.zeros(0, np.int64)
     if len(s) <= SIZE:
-        return np.array([_mix((s * _ODD[120 : 120 + len(s)]).sum(keepdims=True))[0]]).view(np.int64)
+        return exact
+    count = SKETCHES if len(s) > FEW else 2 * SKETCHES
     found, step = [], max(1, 2_000_000 // len(s))  # so many permutations at once that long texts take no more room
-    for i in range(0, SKETCHES, step):
-        order = (s[None, :] * _ODD[130 + i : 130 + min(i + step, SKETCHES), None]) >> np.uint64(32)
+    for i in range(0, count, step):
+        order = (s[None, :] * _ODD[130 + i : 130 + min(i + step, count), None]) >> np.uint64(32)
         found.append(np.argpartition(order.astype(np.uint32), SIZE - 1, axis=1)[:, :SIZE])
     least = np.sort(np.concatenate(found), axis=1)
-    keys = (s[least] * _ODD[120 : 120 + SIZE]).sum(axis=1, dtype=np.uint64) + _ODD[200 : 200 + SKETCHES]
-    return _mix(keys).view(np.int64)
+    keys = (s[least] * _ODD[120 : 120 + SIZE]).sum(axis=1, dtype=np.uint64) + _ODD[200 : 200 + count]
+    return np.concatenate([exact, _mix(keys).view(np.int64)])
 
 
 def banded_matches(a: np.ndarray, b: np.ndarray, band: int) -> int:

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from attestor.llm import order_minhash, queries
@@ -125,3 +126,34 @@ def test_waves_end_with_every_pair(spark, monkeypatch):
         monkeypatch.setattr(order_minhash, name, value)
     texts = variants(2, 50, 60) | {1000 + d: f"other {t}" for d, t in variants(3, 5, 30).items()}
     assert classes_of(spark, texts) == brute_classes(texts)
+
+
+def test_short_texts_share_a_bucket():
+    """Every linked pair of up to ten k-mers, and nearly every pair at or above 0.8 beyond."""
+    rng = np.random.default_rng(3)
+    for n in range(1, 25):
+        for m in range(n, 25):
+            for common in range(-(-4 * (n + m) // 9), n + 1):
+                missed = 0
+                for _ in range(20):
+                    x = rng.integers(0, 2**63, n + m - common, dtype=np.uint64)
+                    own, other = np.split(x[common:], [n - common])
+                    a = np.insert(x[:common], rng.integers(0, common + 1, n - common), own)
+                    b = np.insert(x[:common], rng.integers(0, common + 1, m - common), other)
+                    assert order_minhash.linked(a, b)
+                    missed += not np.isin(order_minhash.sketches(a), order_minhash.sketches(b)).any()
+                assert missed <= (0 if m <= 10 else 1)
+
+
+def test_one_word_more_or_less(spark):
+    """Pairs of 8 and 9, 9 and 10, and 13 and 13 words with one word appended or changed at an end."""
+    texts = {}
+    for f in range(30):
+        for size, more in ((8, 1), (9, 1), (13, 0)):
+            w = [f"f{f}s{size}w{i}" for i in range(size)]
+            texts[len(texts)] = " ".join(w)
+            texts[len(texts)] = " ".join([*w, "more"] if more else [*w[:-1], "more"])
+            texts[len(texts)] = " ".join(w[: size // 2])  # no link
+    expected = brute_classes(texts)
+    assert len(set(expected.values())) == 180
+    assert classes_of(spark, texts) == expected
