@@ -1,16 +1,19 @@
 """Byte-level BPE as a tree reduction, and its decoding.
 
-The pattern's matches are independent of each other, so a text is the concatenation of its encoded matches.  A match is
-cut in halves down to a few bytes, the pieces are merged by rank, and neighbours are joined on the way up: a window
-around the seam is encoded anew and grows until the tokens at both of its ends are stable.  A pair of neighbouring tokens
-is stable when encoding their bytes gives just that pair; a sequence whose neighbours are all stable is the encoding of
-its bytes, because a merge that could change it would have to start between two of its tokens.  Hence nothing outside
-the window can change.  Decoding concatenates the tokens' bytes, which is associative and needs no seams.
-
-Words recur, so each Python worker remembers the encodings of space-separated chunks up to a bound.
-
-Defined results: a null text is empty and has no tokens; rows are encoded one by one, also repeated ones; lone surrogates
-can't occur in Spark's strings.
+The pattern's matches are independent of each other, so a text is the concatenation of its encoded matches: its list of
+matches is halved recursively and the halves' ids are joined on the way up.  A match is a tree of its own, cut in halves
+down to single bytes.  Neighbours are joined by encoding a window around their seam anew, which grows until the tokens at
+both of its ends are stable.  A pair of neighbouring tokens is stable when encoding their bytes gives just that pair; a
+sequence whose neighbours are all stable is the encoding of its bytes, because a merge that could change it would have to
+start between two of its tokens.  Hence nothing outside the window can change.  Decoding concatenates the tokens' bytes
+up a tree of the ids, which is associative and needs no seams.
+
+Words and their parts recur, so each Python worker remembers matches, subtrees, windows and stable pairs, within bounds
+in bytes.
+
+Defined results: a null text is empty and has no tokens; rows are encoded one by one, also repeated ones; a match of any
+length is encoded whole; letters and digits are those of the regex module's version of Unicode; lone surrogates can't occur in Spark's strings; an empty table gives no rows; columns beside
+``doc_id`` and ``text`` are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import base64
 import functools
 import hashlib
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,12 +32,21 @@ from pyspark.sql import functions as F
 
 from attestor.llm.memory import Remembered
 
-LEAF = 8
 NO_RANK = 1 << 40
-KNOWN_CHUNKS = 300_000
-KNOWN_WORDS = 100_000
-KNOWN_PIECES = 50_000
-KNOWN_PAIRS = 100_000
+#: Bytes that a Python worker's memories of each kind may take.
+ROOM_MATCHES, ROOM_PARTS, ROOM_WINDOWS, ROOM_PAIRS = 64 << 20, 8 << 20, 16 << 20, 16 << 20
+#: Parts of at most so many bytes are remembered; longer ones seldom recur outside the matches themselves.
+SHORT = 6
+#: So many neighbours are concatenated at once at the leaves of the trees over matches and over ids.
+LEAVES = 256
+
+
+def up_the_tree(leaves: Sequence, of: Callable[[object], bytes]) -> bytes:
+    """The concatenation of ``of`` each leaf: of both halves first, then of the two."""
+    if len(leaves) <= LEAVES:
+        return b"".join(map(of, leaves))
+    half = len(leaves) // 2
+    return up_the_tree(leaves[:half], of) + up_the_tree(leaves[half:], of)
 
 
 class Encoder:
@@ -45,9 +57,9 @@ class Encoder:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.stable_pairs = Remembered(self._stable, KNOWN_PAIRS)
-        self.words, self.pieces = Remembered(self._word, KNOWN_WORDS), Remembered(self.merged, KNOWN_PIECES)
-        self.first, self.later = Remembered(lambda c: self._chunk("", c), KNOWN_CHUNKS), Remembered(lambda c: self._chunk(" ", c), KNOWN_CHUNKS)
+        self.pairs = Remembered(self._stable, ROOM_PAIRS)
+        self.parts, self.windows = Remembered(self._halves, ROOM_PARTS), Remembered(self.merged, ROOM_WINDOWS)
+        self.matches = Remembered(self._match, ROOM_MATCHES)
 
     def merged(self, piece: bytes) -> list[int]:
         """Merge adjacent parts, least rank first and leftmost among equals, until nothing merges."""
@@ -97,56 +109,38 @@ class Encoder:
     def _stable(self, pair: tuple[int, int]) -> bool:
         return self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == [*pair]
 
-    def stable(self, a: int, b: int) -> bool:
-        return self.stable_pairs[a, b]
-
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours' bytes together."""
-        if not left or not right:
-            return left or right
-        if self.stable(left[-1], right[0]):
+        pairs, window = self.pairs, 1
+        if pairs[left[-1], right[0]]:
             return left + right
-        window = 1
         while True:
             i, j = max(0, len(left) - window), min(len(right), window)
-            middle = self.merged(b"".join(self.bytes_of[t] for t in left[i:]) + b"".join(self.bytes_of[t] for t in right[:j]))
-            if (i == 0 or self.stable(left[i - 1], middle[0])) and (j == len(right) or self.stable(middle[-1], right[j])):
+            middle = self.windows[b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j]))]
+            if (i == 0 or pairs[left[i - 1], middle[0]]) and (j == len(right) or pairs[middle[-1], right[j]]):
                 return left[:i] + middle + right[j:]
             window *= 2
 
+    def _halves(self, piece: bytes) -> list[int]:
+        half = len(piece) // 2
+        return self.join(self.tree(piece[:half]), self.tree(piece[half:])) if half else [self.ranks[piece]]
+
     def tree(self, piece: bytes) -> list[int]:
         """Halves first, then their join."""
-        if len(piece) <= LEAF:
-            return self.pieces[piece]
-        half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        return self.parts[piece] if len(piece) <= SHORT else self._halves(piece)
 
-    def _word(self, match: str) -> bytes:
+    def _match(self, match: str) -> bytes:
         """The packed ids of one match of the pattern; a match that is a token itself stays whole."""
         piece = match.encode("utf-8")
         whole = self.ranks.get(piece)
         return np.array(self.tree(piece) if whole is None else [whole], "<u4").tobytes()
 
-    def _chunk(self, before: str, chunk: str) -> bytes | None:
-        """The packed ids of a chunk between spaces, with the space before it.
-
-        A match of the pattern starts at such a space if nothing but the space itself is white around it, so chunks that
-        are empty or have white space at an end have no encoding of their own (None).
-        """
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(before + chunk)))
-
     def encode(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit integers."""
-        head, *rest = text.split(" ")
-        try:
-            return self.first[head] + b"".join(map(self.later.__getitem__, rest))
-        except TypeError:  # white space meets a space somewhere: the pattern has to see it whole
-            return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+        return up_the_tree(self.pattern.findall(text), self.matches.__getitem__)
 
     def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        return up_the_tree(ids.tolist() if isinstance(ids, np.ndarray) else ids, self.bytes_of.__getitem__)
 
 
 @functools.cache

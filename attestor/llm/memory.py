@@ -1,33 +1,35 @@
-"""A bounded memory for Python workers, which live on from task to task and share an executor's memory."""
+"""A memory of bounded size for Python workers, which live on from task to task and share an executor's memory."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from sys import getsizeof
 
-SLOTS = 1 << 20
+#: Room of a dictionary's entry beside its key and its value.
+ENTRY = 100
 
 
 class Remembered(dict):
-    """``make(key)`` for each key; values are kept from a key's second sight on, so what occurs once takes no room.
+    """``make(key)`` for each key, remembered in two generations of at most ``room`` / 2 bytes each.
 
-    Sights are marked in a table of ``SLOTS`` bytes by hash, emptied when half full.  The memory is emptied at ``most`` keys.
+    When the young generation is full it becomes the old one, whose place it takes; keys met again move back to the young.
+    So what recurs stays, and what does not is forgotten after a while.  Values too large to keep are made anew each time.
     """
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, room: int):
         super().__init__()
-        self.make, self.most = make, most
-        self.seen, self.marks = bytearray(SLOTS), 0
+        self.make, self.room, self.left, self.old = make, room // 2, room // 2, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        slot = hash(key) & (SLOTS - 1)
-        if self.seen[slot]:
-            if len(self) >= self.most:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        size = ENTRY + getsizeof(key) + getsizeof(value)
+        if size <= self.room // 16:
+            self.left -= size
+            if self.left < 0:
+                self.old = dict(self)
                 self.clear()
+                self.left = self.room - size
             self[key] = value
-        else:
-            if self.marks >= SLOTS // 2:
-                self.seen, self.marks = bytearray(SLOTS), 0
-            self.seen[slot] = 1
-            self.marks += 1
         return value

@@ -28,7 +28,6 @@ def test_op1_equals_the_library(spark, texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     got, start = rows(queries.op1_token_files(spark, FOLDER)), 0
     assert len(got) == len(texts)
     for d in sorted(texts):
@@ -37,6 +36,82 @@ def test_op1_equals_the_library(spark, texts):
         start += len(ids)
 
 
+def test_op1_odd_texts(spark):
+    """Special strings, marks, white space and other scripts against the plain library, also as files read back."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from attestor.llm import token_files
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng, library = random.Random(8), Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|END", "word", "Word", "ÉTÉ", "İst", "ſ", "naïve", "日本", "😀", "12,5", "'s", "!!", "\n", "\t", "\r\n", " ", "  ", "\xa0", "\u2028", "-", "|", "x" * 300]
+    odd = ["", "<|endoftext|>", "a<|endoftext|>b <|startoftext|> ", "x" * 200_000]
+    odd += ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 20))) for _ in range(3_000)]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for as_text in (False, True):
+        library.encode_special_tokens = as_text
+        got, start = rows(token_files.read(token_files.write(docs, path, special_as_text=as_text))), 0
+        for d, text in enumerate(odd):
+            ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes())), text[:60]
+            start += len(ids)
+
+
+def test_op5_equals_the_library(spark, texts):
+    import base64
+
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = rows(queries.op5_byte_bpe(spark, FOLDER))
+    assert len(got) == len(texts)
+    for d, text in texts.items():
+        ids = np.array(library.encode_ordinary(text), "<u4")
+        assert (got[d]["n_tokens"], got[d]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert got[d]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_op5_odd_texts(spark):
+    """Long unbroken matches, pathological runs and random bytes against the library."""
+    import random
+    import unicodedata
+
+    import tiktoken
+
+    from attestor.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    e = bpe.encoder(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=e.ranks, special_tokens={})
+    rng = random.Random(6)
+    odd = ["a" * 20_000, "ab" * 9_000, "é" * 5_000, " " * 3_000 + "x", "\n\t  \r\n" * 500, "日本語" * 3_000, "0123456789" * 1_000, "", "'s 's'll  I'd"]
+    odd += ["".join(rng.choice("abc dé\n1.,'日😀ß") for _ in range(rng.randrange(1, 60))) for _ in range(2_000)]
+    assigned = [c for c in map(chr, range(32, 0xD7FF)) if unicodedata.category(c) != "Cn"]  # both libraries know their classes
+    odd += ["".join(rng.choice(assigned) for _ in range(40)) for _ in range(500)]
+    docs = spark.createDataFrame([*enumerate(odd), (None, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect()}
+    for d, text in [*enumerate(odd), (None, "")]:
+        ids = np.array(library.encode_ordinary(text), "<u4").tobytes()
+        assert (got[d]["n_tokens"], got[d]["ids_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest()), text[:40]
+        assert got[d]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_memory_is_bounded():
+    from attestor.llm.memory import Remembered
+
+    made = []
+    known = Remembered(lambda k: made.append(k) or "x" * 50, 40_000)
+    for i in range(5_000):
+        assert known[i] == "x" * 50 and known[0] == "x" * 50
+    assert len(known) + len(known.old) < 400 and made.count(0) < 50
+    known["long" * 10_000]
+    assert "long" * 10_000 not in known
+
+
 def base_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
