@@ -20,12 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.memory import Remembered
 from attestor.llm.storage import filesystem, fresh, saved, write_once
 
 NULL_ID = -(2**63)
 SHARDS = "path string, first_doc long, n_docs long, n_ids long, width int"
-#: A worker's memory of encoded words; it starts afresh when full.
-KNOWN_WORDS = 600_000
+#: Bytes that a Python worker remembers of encoded words.
+ROOM_WORDS = 96 << 20
 #: Spaces at which every text may be cut without changing its ids: no token and no merge crosses them.
 CUTS = str.maketrans("\n\t\r", "   ")
 MARKS = ".,;:!?#%&*$|"
@@ -45,53 +46,50 @@ def _signs(word: str) -> str:
     return "".join(map(BYTE_SIGNS.__getitem__, word.encode("utf-8")))
 
 
-class WordEncoder(dict):
+class WordEncoder(Remembered):
     """Encodes texts word by word and remembers words; the ids are those of the tokenizers library for the whole text.
 
     The tokenizer's first steps (normal form, lower case, split) never join characters over a space, so a text's ids are
     the ids of its space-separated chunks in turn.  A chunk of plain letters with marks after it is looked up as the
-    lower-case word and the marks, which its pattern separates.
+    lower-case word and the marks, which its pattern separates; a plain lower-case word is in normal form already and goes
+    straight to the library's merges (``model.tokenize``).  All other chunks, also those that hold the string of a special
+    token, go through the whole library.
     """
 
-    def __init__(self, path: str, width: np.dtype):
+    def __init__(self, path: str, width: np.dtype, special_as_text: bool):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(self._ids, ROOM_WORDS)
         self.library, self.width = Tokenizer.from_file(path), width
-        self.library.encode_special_tokens = True
-        self[""] = b""
+        self.library.encode_special_tokens = special_as_text
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-            self[""] = b""
+    def _ids(self, chunk: str) -> bytes:
         core = chunk.rstrip(MARKS)
         if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
             low = core.lower()
             if low != chunk:
-                ids = self[low] + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
-            else:  # one word in its normal form: only the merges are left to do
-                ids = np.array([t.id for t in self.library.model.tokenize(low if low.isascii() else _signs(low))], self.width).tobytes()
-        else:
-            ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.width).tobytes()
-        self[chunk] = ids
-        return ids
+                return self[low] + (self[chunk[len(core) :]] if len(core) < len(chunk) else b"")
+            return np.array([t.id for t in self.library.model.tokenize(low if low.isascii() else _signs(low))], self.width).tobytes()
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.width).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.translate(CUTS).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")))
 
 
 @functools.cache
-def encoder(path: str, width: str) -> WordEncoder:
+def encoder(path: str, width: str, special_as_text: bool) -> WordEncoder:
     """One encoder for each Python worker."""
-    return WordEncoder(path, np.dtype(width))
+    return WordEncoder(path, np.dtype(width), special_as_text)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2, shards: int | None = None, folder: str | None = None) -> DataFrame:
+def write(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2, shards: int | None = None, folder: str | None = None, special_as_text: bool = False
+) -> DataFrame:
     """Encode ``docs`` into shards and return a row for each (``SHARDS``), itself stored as a table.
 
     ``width`` is 2 for vocabularies of at most 65,536 ids, else 4.  ``shards`` is Spark's number of shuffle partitions
-    unless given.
+    unless given.  The string of a special token in a text gets that token's id, as is the library's default, unless
+    ``special_as_text``.
     """
     spark = docs.sparkSession
     folder = folder or fresh(spark, "tokens")
@@ -102,7 +100,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 2, shar
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path = f"{folder}/{uuid.uuid4().hex}"  # a repeated task writes under another name
-        end, words = np.array([end_id], kind).tobytes(), encoder(tokenizer, kind)
+        end, words = np.array([end_id], kind).tobytes(), encoder(tokenizer, kind, special_as_text)
         offsets, ids, at, position = [0], [], None, 0
         out = None
         for b in batches:
