@@ -1,23 +1,34 @@
 """Exact dedup as a log-structured merge index, with DataFrame functions only.
 
-Each task that reads documents is a memtable: it flushes its (digest, doc_id) rows sorted by digest into one Parquet run
-with a Bloom filter per file.  Compaction merges all runs into one row per digest that keeps the smallest id.  Digests
-with several rows are hits, and the bytes of all their texts are compared; texts that share a digest without being
-equal are grouped by the text itself.
+Each task that reads documents is a memtable: it flushes its (digest, doc_id) rows in order of their digests.  The flushed
+rows of a batch are merged into a sorted run of level 0 with one row per digest, its smallest id and its number of rows,
+and a filter: a bitmap with ``BITS_PER_KEY`` bits a digest.  As soon as a level holds ``FAN`` runs they are compacted into
+one of the next level, where again the smallest ids stay, so every row is rewritten once a level.
+
+A batch is answered for its own rows.  Digests that occur once in the batch and pass no older run's filter are new, and
+their rows of the batch's run are the answer.  Only digests that pass a filter are looked up in that run.  The texts
+of all hits are compared byte by byte, those of older batches as stored with their runs; texts that share a digest
+without being equal are grouped by the text itself.
 
 Defined results: null texts count as empty; a null doc_id is never the smallest unless all ids of a group are null; rows
-that repeat a doc_id and its text are one document, so either all or none of them are kept; empty tables give no rows.
+that repeat a doc_id and its text are one document, so either all or none of them are kept; ids that come again in a later
+batch count again; empty tables give no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm.storage import fresh, remove
 
-#: So many hit digests at most are broadcast as a filter (40 bytes each); beyond that they are joined by a shuffle.
-BROADCAST_HITS = 200_000
+#: Runs of a level that are compacted into one.
+FAN = 4
+#: Bits of a run's filter for each digest; a digest that is not in the run passes with a chance of 1 / BITS_PER_KEY.
+BITS_PER_KEY = 16
+RUN = "digest binary, keep_id long, group_size long"
 
 
 def normalised(text: str | Column) -> Column:
@@ -26,64 +37,161 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-class ExactIndex:
-    """Sorted digest runs below one folder: ``runs`` as flushed, ``merged`` after compaction."""
+def _digest(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, root or fresh(spark, "exact")
-        self.generation = 0
 
-    def flush(self, docs: DataFrame) -> None:
-        """Add a batch: one sorted run with a filter per task, no shuffle."""
-        rows = docs.select(F.unhex(F.sha2(normalised("text"), 256)).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"))
-        self._write(rows.sortWithinPartitions("digest", "doc_id"), "runs", "append")
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
-    def rows(self) -> DataFrame:
-        """(digest, doc_id) of every document flushed so far."""
-        return self.spark.read.schema("digest binary, doc_id long").parquet(f"{self.root}/runs")
 
-    def compact(self) -> DataFrame:
-        """Merge all runs: (digest, keep_id, group_size), sorted within files; older generations go."""
-        merged = self.rows().groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        self.generation += 1
-        self._write(merged.sortWithinPartitions("digest"), f"merged-{self.generation}", "errorifexists")
-        if self.generation > 1:
-            remove(self.spark, f"{self.root}/merged-{self.generation - 1}")
-        return self.merged()
+@dataclass(frozen=True)
+class Run:
+    """A sorted run: its folder, its level, its number of digests and the batches it holds."""
 
-    def merged(self) -> DataFrame:
-        schema = "digest binary, keep_id long, group_size long"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/merged-{self.generation}")
+    path: str
+    level: int
+    keys: int
+    batches: tuple[int, ...]
 
-    def _write(self, rows: DataFrame, name: str, mode: str) -> None:
-        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true"}
-        rows.write.options(**options).mode(mode).parquet(f"{self.root}/{name}")
 
-
-def _hits_only(texts: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
-    """Rows of ``texts`` whose digest is a hit; the hits are broadcast only below ``BROADCAST_HITS``."""
-    return texts.join(F.broadcast(hits) if n_hits <= BROADCAST_HITS else hits, "digest", "left_semi")
+class ExactIndex:
+    """Sorted digest runs below one folder, newest last.
+
+    With ``keep_texts`` the normalised texts of every batch stay readable below the folder, which later batches need to
+    have their hits verified.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, keep_texts: bool = True):
+        self.spark, self.root, self.keep_texts = spark, root or fresh(spark, "exact"), keep_texts
+        self.runs: list[Run] = []
+        self.written = 0
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, Run]:
+        """Flush a batch's memtables and merge them into a run: its (digest, doc_id) rows and the run."""
+        batch, self.written = self.written, self.written + 1
+        body = normalised("text")
+        rows = docs.select(_digest(body).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"))
+        memtables = f"{self.root}/memtables-{batch}"
+        rows.sortWithinPartitions("digest", "doc_id").write.parquet(memtables)
+        flushed = self.spark.read.schema("digest binary, doc_id long").parquet(memtables)
+        merged = flushed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        run = self._write(merged, 0, (batch,))
+        if self.keep_texts:
+            docs.select(_digest(body).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body")).write.parquet(f"{self.root}/texts-{batch}")
+        return flushed, run
+
+    def _write(self, merged: DataFrame, level: int, batches: tuple[int, ...]) -> Run:
+        """One sorted run with its filter."""
+        path = f"{self.root}/run-{level}-{batches[0]}-{batches[-1]}"
+        merged.sortWithinPartitions("digest").write.parquet(path)
+        run = Run(path, level, self.spark.read.schema(RUN).parquet(path).count(), batches)
+        self.runs.append(run)
+        return run
+
+    def write_filter(self, run: Run) -> None:
+        """The bitmap of a run's digests in pieces of 32,768 bits."""
+        at = self._position(run)
+        bits = self.rows(run).select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit"))
+        bits.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).write.parquet(f"{run.path}-filter")
+
+    def _position(self, run: Run) -> Column:
+        return F.pmod(F.xxhash64("digest"), F.lit(max(run.keys, 1) * BITS_PER_KEY)) + 1
+
+    def rows(self, run: Run) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(run.path)
+
+    def passing(self, digests: DataFrame, run: Run) -> DataFrame:
+        """The digests that pass a run's filter: all that it holds and a few more."""
+        pieces = self.spark.read.schema("piece long, bits binary").parquet(f"{run.path}-filter")
+        at = digests.select("digest", F.bitmap_bucket_number(self._position(run)).alias("piece"), F.bitmap_bit_position(self._position(run)).alias("bit"))
+        byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bit div 8 as int)") + 1, F.lit(1))), 16, 10).cast("int")
+        return at.join(pieces, "piece").where(F.getbit(byte, F.col("bit") % 8) == 1).select("digest")
+
+    def find(self, digests: DataFrame, among: list[Run]) -> DataFrame | None:
+        """(digest, keep_id, group_size) for each run of ``among`` that holds one of the digests; None without runs."""
+        found = None
+        for run in among:
+            held = self.rows(run).join(self.passing(digests, run), "digest", "left_semi")
+            found = held if found is None else found.unionByName(held)
+        return found
+
+    def texts(self, batches: list[int]) -> DataFrame:
+        return self.spark.read.schema("digest binary, doc_id long, body string").parquet(*(f"{self.root}/texts-{b}" for b in batches))
+
+    def compact(self) -> None:
+        """Merge each level that has ``FAN`` runs into one run of the next level; the merged runs go."""
+        level = 0
+        while any(r.level >= level for r in self.runs):
+            old = [r for r in self.runs if r.level == level]
+            if len(old) >= FAN:
+                rows = self.rows(old[0])
+                for r in old[1:]:
+                    rows = rows.unionByName(self.rows(r))
+                self.write_filter(self._write(_merged(rows), level + 1, tuple(sorted(b for r in old for b in r.batches))))
+                for r in old:
+                    self.runs.remove(r)
+                    remove(self.spark, r.path)
+                    remove(self.spark, f"{r.path}-filter")
+            level += 1
+
+
+def _verified(docs: DataFrame, index: ExactIndex, flushed: DataFrame, hits: DataFrame, older: list[Run]) -> tuple[DataFrame, DataFrame] | None:
+    """The hits whose texts differ although their digests agree, and the rows (digest, doc_id, body, own) that hold them.
+
+    The batch's rows are found by the ids of the hits, so only their texts are normalised again; older texts are read back.
+    None if all bytes agree.
+    """
+    ids = flushed.join(hits.select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
+    body = normalised("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
+    texts = texts.select(_digest(body).alias("digest"), "doc_id", body.alias("body"), F.lit(True).alias("own"))
+    if older:
+        before = index.texts([b for r in older for b in r.batches]).join(hits.select("digest"), "digest", "left_semi")
+        texts = texts.unionByName(before.withColumn("own", F.lit(False)))
+    differ = texts.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("digest")
+    differ = _kept(index, differ, f"clashes-{index.written}")
+    if differ.isEmpty():
+        return None
+    return differ, texts.join(differ, "digest", "left_semi")
+
+
+def _kept(index: ExactIndex, rows: DataFrame, name: str) -> DataFrame:
+    path = f"{index.root}/{name}"
+    rows.write.parquet(path)
+    return index.spark.read.schema(rows.schema).parquet(path)
 
 
 def deduplicate(docs: DataFrame, index: ExactIndex | None = None) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
-    index = index or ExactIndex(docs.sparkSession)
-    index.flush(docs)
-    merged = index.compact()
-    hits = merged.where("group_size > 1").select("digest")
-    decided = index.rows().join(merged, "digest")
-    n_hits = hits.count()
-    if n_hits:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("body"))
-        texts = texts.withColumn("digest", F.unhex(F.sha2("body", 256)))
-        found = _hits_only(texts, hits, n_hits)
-        differ = found.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("digest")
-        clashes = differ.count()
-        if clashes:
-            clashing = _hits_only(texts, differ, clashes)
-            groups = clashing.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-            split = clashing.join(groups, ["digest", "body"]).select("digest", "doc_id", "keep_id", "group_size")
-            decided = decided.join(differ, "digest", "left_anti").unionByName(split)
+    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``, against all batches of the index.
+
+    The batch is added to the index.  Without one ``docs`` is all there is, and no texts are kept for later batches.
+    """
+    alone = index is None
+    index = index or ExactIndex(docs.sparkSession, keep_texts=False)
+    older = list(index.runs)
+    flushed, run = index.add(docs)
+    merged = index.rows(run)
+    earlier = index.find(merged.select("digest"), older)
+    if earlier is not None:
+        earlier = _merged(earlier).select("digest", F.col("keep_id").alias("was"), F.col("group_size").alias("before"))
+        sizes = F.col("group_size") + F.coalesce("before", F.lit(0))
+        merged = merged.join(earlier, "digest", "left")
+        merged = merged.select("digest", F.least("keep_id", "was").alias("keep_id"), sizes.alias("group_size"))
+    if not alone:  # a later batch may compact the runs away
+        merged = _kept(index, merged, f"answers-{index.written}")
+    hits = merged.where("group_size > 1").select("digest", "keep_id", "group_size")
+    new = merged.where("group_size = 1").select("digest", F.col("keep_id").alias("doc_id"), "keep_id", "group_size")
+    decided = new.unionByName(flushed.join(hits, "digest").select("digest", "doc_id", "keep_id", "group_size"))
+    clashing = _verified(docs, index, flushed, hits, older)
+    if clashing is not None:
+        differ, texts = clashing
+        groups = texts.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        split = texts.where("own").join(groups, ["digest", "body"]).select("digest", "doc_id", "keep_id", "group_size")
+        decided = decided.join(differ, "digest", "left_anti").unionByName(split)
+    if not alone:
+        index.write_filter(run)
+        index.compact()
     return decided.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

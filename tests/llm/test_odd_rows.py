@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator."""
 
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
@@ -44,11 +45,40 @@ def test_exact_dedup_splits_equal_digests(spark, docs, monkeypatch):
 
 
 def test_exact_index_takes_batches(spark):
+    """Each batch is answered for its own rows, against all batches so far, while levels are compacted."""
+    index, texts, n = exact_dedup.ExactIndex(spark), {}, 0
+    for batch in range(exact_dedup.FAN + 2):
+        rows = [(100 - n - i, f"text  {(n + 3 * i) % 11}" if i % 3 else f"only {n} {i}") for i in range(8)] + [(None, "text 1"), (500 + batch, None)]
+        n += 8
+        for d, t in rows:
+            texts.setdefault(" ".join((t or "").split(" ")).replace("  ", " "), []).append(d)
+        got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), index).collect()
+        assert len(got) == len(rows)
+        by = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in texts.items()}
+        for r in got:
+            ids = by[r["text_sha256"]]
+            assert (r["keep_id"], r["group_size"]) == (min((d for d in ids if d is not None), default=None), len(ids))
+        assert {r["doc_id"] for r in got} == {d for d, _ in rows}
+    assert sorted((r.level, len(r.batches)) for r in index.runs) == [(0, 1), (0, 1), (1, exact_dedup.FAN)]
+
+
+def test_exact_index_filters(spark):
     index = exact_dedup.ExactIndex(spark)
-    index.flush(spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string"))
-    index.compact()
-    index.flush(spark.createDataFrame([(2, "a  b")], "doc_id long, text string"))
-    assert {(r["keep_id"], r["group_size"]) for r in index.compact().collect()} == {(2, 2), (6, 1)}
+    make = lambda a, b: spark.createDataFrame([(i, f"text {i}") for i in range(a, b)], "doc_id long, text string")
+    exact_dedup.deduplicate(make(0, 3000), index)
+    digests = lambda a, b: make(a, b).select(F.unhex(F.sha2("text", 256)).alias("digest"))
+    assert index.passing(digests(0, 3000), index.runs[0]).count() == 3000
+    assert index.passing(digests(3000, 6000), index.runs[0]).count() < 400
+
+
+def test_exact_index_verifies_older_bytes(spark, monkeypatch):
+    """With digests that always clash, the texts of older batches are read back and decide."""
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("00" * 32))
+    index = exact_dedup.ExactIndex(spark)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    exact_dedup.deduplicate(make([(1, "a"), (2, "b"), (3, "a")]), index).collect()
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.deduplicate(make([(0, "b"), (9, "a"), (8, "c")]), index).collect()}
+    assert got == {(0, 0, 2), (9, 1, 3), (8, 8, 1)}
 
 
 def test_line_dedup(spark, docs):
@@ -78,7 +108,7 @@ def test_line_index_is_reversible(spark):
     fresh = line_dedup.LineIndex(spark, shards=4)
     fresh.insert(b.unionByName(c))
     assert refs() == {(bytes(r["digest"]), r["first_doc"], r["refs"]) for r in fresh.references.collect()}
-    held = {s: line_dedup._load(index.filters, s) for s in range(4)}
+    held = {s: line_dedup._load(index.filters[s]) if s in index.filters else None for s in range(4)}
     digests = [r["digest"] for r in line_dedup.postings(a).withColumn("s", line_dedup._shard(4)).where("digest is not null").collect()]
     shard = {bytes(r["digest"]): r["s"] for r in line_dedup.postings(a.unionByName(b)).withColumn("s", line_dedup._shard(4)).collect()}
     for d in digests:  # line one was unshared by the deletion, and the filter says so
@@ -87,6 +117,43 @@ def test_line_index_is_reversible(spark):
     assert {(r["doc"], len(r["drop"])) for r in index.probe(None).collect()} == {(3, 1)}
 
 
+def test_line_index_counts_documents(spark):
+    """A document counts once, however often it is given; the smallest one is repaired when it goes."""
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    line, other = "one line that is shared", "another line that is shared"
+    index = line_dedup.LineIndex(spark, shards=2, parts=4)
+    index.insert(make((1, line), (1, line), (2, line)))
+    refs = lambda: sorted((r["first_doc"], r["refs"]) for r in index.references.collect())
+    assert refs() == [(1, 2)]
+    index.insert(make((1, line), (1, f"{line}\n{other}"), (3, line)))
+    assert refs() == [(1, 3)]
+    index.insert(make((4, other)))
+    assert refs() == [(1, 2), (1, 3)]
+    index.delete(make((1, None), (77, None)))
+    assert refs() == [(2, 2)]
+    index.delete(make((1, None)))
+    index.insert(make((0, line)))
+    assert refs() == [(0, 3)] and {(r["doc"], len(r["drop"])) for r in index.probe(None).collect()} == {(2, 1), (3, 1)}
+    assert {r["doc"] for r in index.probe(make((9, f" {line.upper()}"), (8, other))).collect()} == {9}
+
+
+def test_line_index_reads_touched_partitions_only(spark):
+    make = lambda a, b: spark.createDataFrame([(d, f"line of the number {d // 2}") for d in range(a, b)], "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, shards=8, parts=64)
+    index.insert(make(0, 400))
+    before = dict(index.filters)
+    one = spark.createDataFrame([(900, "line of the number 7"), (901, "a line that is new here")], "doc_id long, text string")
+    delta = line_dedup.postings(one).groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+    plan = index._touched(delta)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[part#\d+ IN \(\d+,\d+\)", plan) or re.search(r"PartitionFilters: \[.*\(part#\d+ = \d+\)", plan)  # two of 64
+    index.insert(one)
+    assert len(index.log) == 2 and spark.read.parquet(index.log[1]).count() == 2 and spark.read.parquet(index.versions[1]).count() == 2
+    assert index.filters == before  # no key has become shared
+    for n in range(line_dedup.VERSIONS):
+        index.insert(spark.createDataFrame([(1000 + n, "line of the number 7")], "doc_id long, text string"))
+    assert len(index.versions) <= line_dedup.VERSIONS and {r["refs"] for r in index.references.collect()} == {2, 3 + line_dedup.VERSIONS}
+
+
 def test_line_filters_grow_with_their_keys(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 10)
     make = lambda first, last: spark.createDataFrame([(d, "\n".join(f"common line number {i}" for i in range(first, last))) for d in (2 * first, 2 * first + 1)], "doc_id long, text string")
