@@ -3,23 +3,30 @@
 A line's key is the line without ASCII white space at its ends and with A-Z lowered; keys shorter than ten code points
 are never dropped.  The index below one folder holds
 
-* postings: one (digest, doc) row per key and document, with the batches that were inserted and deleted,
-* references: per digest the number of documents and the smallest one, counted exactly from the postings,
+* a log: for each batch its (digest, doc, change) rows, +1 for a document that gains a key and -1 for one that loses it,
+* references: per digest the number of documents and the smallest one, in partitions by digest; a batch writes new rows
+  for the digests that it touches, and the newest row of a digest holds,
 * filters: per shard of the digests a cuckoo filter of the keys that several documents share.
 
+A batch costs what it touches.  Inserting reads its own rows and the references' partitions that they fall in: counts are
+sums of changes, smallest ids the smaller of two.  Deleting finds the documents' keys in the log; only keys that lose
+their smallest document look for the next one.  Keys that become shared enter their shard's filter, keys that stop being
+shared leave it; filters of other shards stay as they are.
+
 Documents probe the filters first; only keys that pass (shared ones and rare false positives) are joined with the
-references, which decide.  Inserting documents adds the keys that become shared to their shard's filter, deleting
-documents takes those out that stop being shared, so both can be undone.
+references, which decide.
 
 Digests are 16 bytes of SHA-256.  Hot lines: postings are counted with partial sums, probes are salted by document, and
 the join with the references is a plain one that adaptive execution splits.
 
 Defined results: null and empty texts are one empty line; rows with a null doc_id count as one document that comes last;
-rows that repeat a doc_id are one document; other columns pass through untouched.
+rows that repeat a doc_id are one document; inserting a document again adds the keys that it didn't have, deleting one that
+the index doesn't hold changes nothing; an empty table has no rows; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -31,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.llm import cuckoo
-from attestor.llm.storage import filesystem, fresh, saved, write_once
+from attestor.llm.storage import filesystem, fresh, remove, write_once
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LEAST = 10
@@ -39,6 +46,9 @@ LAST = 2**63 - 1
 SALTS = 32
 #: Shards double until each holds about so many shared keys at most, so a filter takes a few MB at any size of corpus.
 SHARD_KEYS = 500_000
+#: So many versions of the references at most are read side by side.
+VERSIONS = 8
+REFERENCES = "digest binary, first_doc long, refs long, part int"
 
 
 def line_key(line: bytes) -> bytes:
@@ -83,93 +93,155 @@ def _hash64(digests: pd.Series | list[bytes]) -> np.ndarray:
 class LineIndex:
     """Reference counts and filters of the lines of a corpus, below one shared folder."""
 
-    def __init__(self, spark: SparkSession, shards: int = 64):
-        self.spark, self.root, self.shards, self.version = spark, fresh(spark, "lines"), shards, 0
-        self.present: DataFrame | None = None
-        self.references: DataFrame | None = None
-        self.filters = ""
+    def __init__(self, spark: SparkSession, shards: int = 64, parts: int = 64):
+        self.spark, self.root, self.shards, self.parts, self.version = spark, fresh(spark, "lines"), shards, parts, 0
+        self.log: list[str] = []
+        self.docs: list[str] = []
+        self.versions: list[str] = []
+        self.filters: dict[int, str] = {}
+        self.n_shared = 0
 
     def insert(self, docs: DataFrame) -> None:
-        """Add documents that the index doesn't hold yet."""
-        added = saved(postings(docs), "postings")
-        self._update(added if self.present is None else saved(self.present.unionByName(added), "postings"))
+        """Add documents; those that the index holds already gain what they didn't have."""
+        added = postings(docs).groupBy("digest", "doc").agg(F.lit(1).alias("change"))
+        if self.log:
+            known = self._read(self.docs, "doc long").join(docs.select(_doc().alias("doc")), "doc", "left_semi")
+            if not known.isEmpty():
+                added = added.join(self._present(self._logged().join(known, "doc", "left_semi")), ["digest", "doc"], "left_anti")
+        ids = self._path("docs")
+        docs.select(_doc().alias("doc")).distinct().write.parquet(ids)
+        added = self._append(added)
+        self.docs.append(ids)
+        delta = added.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+        old = self._touched(delta)
+        refs = F.coalesce("refs", F.lit(0))
+        self._update(old.select("digest", "part", F.least("first_doc", "first").alias("first_doc"), (refs + F.col("n")).alias("refs"), refs.alias("was")))
 
     def delete(self, docs: DataFrame) -> None:
         """Take documents (by doc_id) out again: all is as if they had never been inserted."""
-        if self.present is not None:
-            gone = docs.select(_doc().alias("doc")).distinct()
-            self._update(saved(self.present.join(gone, "doc", "left_anti").select("digest", "doc"), "postings"))
-
-    def _update(self, present: DataFrame) -> None:
-        before, self.present = self.references, present
-        counted = present.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count(F.lit(1)).alias("refs"))
-        self.references = saved(counted.where("first_doc < last_doc").select("digest", "first_doc", "refs"), "references")
-        now = self.references.select("digest", F.lit(1).alias("change"))
-        if before is not None:
-            now = now.unionByName(before.select("digest", F.lit(-1).alias("change")))
-            now = now.groupBy("digest").agg(F.sum("change").cast("int").alias("change")).where("change <> 0")
-        old, self.version = self.filters, self.version + 1
-        self.filters = f"{self.root}/filters-{self.version}"
-        n_shared, grown = self.references.count(), self.shards
-        while n_shared > grown * SHARD_KEYS:
+        if not self.log:
+            return
+        gone = docs.select(_doc().alias("doc")).distinct()
+        removed = self._append(self._present(self._logged().join(gone, "doc", "left_semi")).withColumn("change", F.lit(-1)))
+        delta = removed.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+        old = self._touched(delta).withColumn("left", F.col("refs") - F.col("n"))
+        orphans = old.where("first <= first_doc and left > 0").select("digest")
+        heirs = self._present(self._logged().join(orphans, "digest", "left_semi")).groupBy("digest").agg(F.min("doc").alias("heir"))
+        self._update(old.join(heirs, "digest", "left").select("digest", "part", F.coalesce("heir", "first_doc").alias("first_doc"), F.col("left").alias("refs"), F.col("refs").alias("was")))
+
+    @property
+    def references(self) -> DataFrame:
+        """(digest, first_doc, refs) of all keys that several documents share."""
+        return self._newest(self._rows()).where("refs > 1").select("digest", "first_doc", "refs")
+
+    def _path(self, name: str) -> str:
+        self.version += 1
+        return f"{self.root}/{self.version:05d}-{name}"
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _logged(self) -> DataFrame:
+        return self._read(self.log, "digest binary, doc long, change int")
+
+    def _append(self, changes: DataFrame) -> DataFrame:
+        path = self._path("log")
+        changes.select("digest", "doc", "change").write.parquet(path)
+        self.log.append(path)
+        return self._read([path], "digest binary, doc long, change int")
+
+    @staticmethod
+    def _present(changes: DataFrame) -> DataFrame:
+        """(digest, doc) pairs that hold after all changes."""
+        return changes.groupBy("digest", "doc").agg(F.sum("change").alias("held")).where("held > 0").select("digest", "doc")
+
+    def _rows(self) -> DataFrame:
+        rows = [self._read([p], REFERENCES).withColumn("version", F.lit(n)) for n, p in enumerate(self.versions)]
+        return functools.reduce(DataFrame.unionByName, rows)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        if len(self.versions) == 1:
+            return rows
+        last = F.max(F.struct("version", "first_doc", "refs")).alias("last")
+        return rows.groupBy("digest", "part").agg(last).select("digest", "part", "last.first_doc", "last.refs")
+
+    def _touched(self, delta: DataFrame) -> DataFrame:
+        """``delta`` with part, first_doc and refs of its digests, from the partitions that they fall in."""
+        delta = delta.withColumn("part", _shard(self.parts))
+        if not self.versions:
+            return delta.withColumns({"first_doc": F.lit(None).cast("long"), "refs": F.lit(None).cast("long")})
+        parts = [r["part"] for r in delta.select("part").distinct().collect()]  # ``parts`` rows at most
+        rows = self._rows().where(F.col("part").isin(parts)).join(delta.select("digest"), "digest", "left_semi")
+        return delta.join(self._newest(rows).drop("part", "version"), "digest", "left")
+
+    def _update(self, changed: DataFrame) -> None:
+        """Write the touched references and bring the filters up to date."""
+        path = self._path("references")
+        changed.select("digest", "first_doc", "refs", "was", "part").repartition(self.parts, "part").write.partitionBy("part").parquet(path)
+        self.versions.append(path)
+        written = self._read([path], f"{REFERENCES}, was long")
+        crossed = written.where("(refs > 1) <> (was > 1)").select("digest", F.when(F.col("refs") > 1, 1).otherwise(-1).alias("change"))
+        self.n_shared += crossed.agg(F.coalesce(F.sum("change"), F.lit(0))).first()[0]
+        grown = self.shards
+        while self.n_shared > grown * SHARD_KEYS:
             grown *= 2
-        if old and grown > self.shards:
+        if len(self.versions) > VERSIONS:
+            self._compact()
+        if grown > self.shards and self.filters:
             self.shards = grown
-            return self._rebuild(self.filters)
+            return self._rebuild()
         self.shards = grown
-        new, shards = self.filters, self.shards
+        folder, shards, old = self._path("filters"), self.shards, dict(self.filters)
 
         def update(key: tuple, changes: pd.DataFrame) -> pd.DataFrame:
             shard = int(key[0])
             h, change = _hash64(changes["digest"]), changes["change"].to_numpy()
-            kept = _load(old, shard) if old else None
-            if kept is None:
-                made = cuckoo.build(h[change > 0])
+            if shard not in old:
+                made, full = cuckoo.build(h[change > 0]), False
             else:
-                made = kept
+                made = _load(old[shard])
                 made.delete(h[change < 0])
-                if not made.insert(h[change > 0]):
-                    return pd.DataFrame({"shard": [shard], "full": [True]})
-            write_once(_file(new, shard), made.to_bytes())
-            return pd.DataFrame({"shard": [shard], "full": [False]})
-
-        changed = now.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(update, "shard int, full boolean")
-        state = {r["shard"]: r["full"] for r in changed.collect()}  # a row for each shard
-        if any(state.values()):
-            self._rebuild(new)
-        elif old:
-            self._carry(old, new, [s for s in range(shards) if s not in state])
-
-    def _rebuild(self, new: str) -> None:
+                full = not made.insert(h[change > 0])
+            if not full:
+                write_once(f"{folder}/shard-{shard:05d}.cuckoo", made.to_bytes())
+            return pd.DataFrame({"shard": [shard], "full": [full]})
+
+        state = crossed.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(update, "shard int, full boolean").collect()  # a row for each shard
+        if any(r["full"] for r in state):
+            return self._rebuild()
+        self.filters |= {r["shard"]: f"{folder}/shard-{r['shard']:05d}.cuckoo" for r in state}
+
+    def _compact(self) -> None:
+        path = self._path("references")
+        rows = self._newest(self._rows()).where("refs > 0").select("digest", "first_doc", "refs", "part")
+        rows.repartition(self.parts, "part").write.partitionBy("part").parquet(path)
+        old, self.versions = self.versions, [path]
+        for p in old:
+            remove(self.spark, p)
+
+    def _rebuild(self) -> None:
         """Filters or their number have become too small: build all anew from the references."""
+        folder = self._path("filters")
 
         def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            write_once(_file(new, int(key[0])), cuckoo.build(_hash64(rows["digest"])).to_bytes())
+            write_once(f"{folder}/shard-{int(key[0]):05d}.cuckoo", cuckoo.build(_hash64(rows["digest"])).to_bytes())
             return pd.DataFrame({"shard": [int(key[0])]})
 
-        self.references.withColumn("shard", _shard(self.shards)).groupBy("shard").applyInPandas(build, "shard int").count()
-
-    def _carry(self, old: str, new: str, shards: list[int]) -> None:
-        """Copy the filters of shards without changes, in tasks."""
-
-        def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for s in b["shard"]:
-                    kept = _load(old, s)
-                    if kept is not None:
-                        write_once(_file(new, s), kept.to_bytes())
-                yield b
-
-        if shards:
-            self.spark.createDataFrame([(s,) for s in shards], "shard int").mapInPandas(copy, "shard int").count()
+        made = self.references.withColumn("shard", _shard(self.shards)).groupBy("shard").applyInPandas(build, "shard int").collect()
+        self.filters = {r["shard"]: f"{folder}/shard-{r['shard']:05d}.cuckoo" for r in made}
 
     def probe(self, docs: DataFrame) -> DataFrame:
         """(doc, drop): for documents with lines to drop, the digests of those lines.
 
         A shared key is dropped in every document but the smallest that the index holds it for.
         """
-        pairs = self.present if docs is None else postings(docs)
-        folder, shards = self.filters, self.shards
+        if not self.versions:
+            return self.spark.createDataFrame([], "doc long, drop array<binary>")
+        if docs is not None:
+            pairs = postings(docs)
+        else:
+            pairs = self._logged().select("digest", "doc") if len(self.log) == 1 else self._present(self._logged())
+        filters, shards = dict(self.filters), self.shards
         pairs = pairs.withColumn("shard", _shard(shards)).repartition("shard", F.pmod(F.hash("doc"), F.lit(SALTS)))
 
         def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +256,7 @@ class LineIndex:
                     if s not in loaded:
                         if len(loaded) >= 64:
                             loaded.clear()
-                        loaded[s] = _load(folder, s)
+                        loaded[s] = _load(filters[s]) if s in filters else None
                     if loaded[s] is not None:
                         rows = np.flatnonzero(shard == s)
                         keep[rows] = loaded[s].contains(h[rows])
@@ -199,14 +271,8 @@ def _shard(shards: int):
     return F.pmod(F.hash("digest"), F.lit(shards)).cast("int")
 
 
-def _file(folder: str, shard: int) -> str:
-    return f"{folder}/shard-{shard:05d}.cuckoo"
-
-
-def _load(folder: str, shard: int) -> cuckoo.CuckooFilter | None:
-    at, path = filesystem(_file(folder, shard))
-    if at.get_file_info(path).type.name == "NotFound":
-        return None
+def _load(uri: str) -> cuckoo.CuckooFilter:
+    at, path = filesystem(uri)
     with at.open_input_file(path) as f:
         return cuckoo.CuckooFilter.from_bytes(f.read())
 
