@@ -5,34 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attestor.functions.text import is_quantity
+from attestor.functions.text import flat, is_quantity
 
-# Axes a property name may carry.
-AXES = {"temperature": "{}c", "rate": "{}c_rate", "cycle": "cycle{}", "mode": "{}"}
+# Families and axes of a grid's properties, the modes of one axis, how a section begins, units that may be
+# printed a thousandfold, and what makes a table region a grid or a specification table.
+FAMILIES = ("rel_discharge_capacity", "rel_charge_capacity", "rel_capacity")
+AXES = ("temperature_c", "current_a", "charge_mode")
+CHARGE_MODES = ("std", "rapid")
+SECTION = r"""^\s*'?"?(\d+(?:\.\d+)*)\s*([A-Za-z][^|:,;]{0,44})?"""
+MILLI_UNITS = ("a", "ah", "v")
+GRID_ROWS, GRID_CELLS, SPEC_COLUMNS, SPEC_ROWS = 2, 2, 2, 4
+
+
+def _plain(number: Column) -> Column:
+    """A number without trailing zeros, up to ten decimals."""
+    return F.regexp_replace(F.format_string("%.10f", number), r"\.?0+$", "")
 
 
 def axis_token(kind: Column, value: Column) -> Column:
-    """The token of an axis value; an unknown axis is an error."""
-    number = F.replace(F.regexp_replace(F.regexp_extract(value, r"-?\d+(?:\.\d+)?", 0), r"\.0+$", ""), F.lit("-"), F.lit("minus"))
-    tidy = F.replace(number, F.lit("."), F.lit("p"))
-    mode = F.regexp_replace(F.regexp_replace(F.lower(value), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-    out = F.raise_error(F.concat(F.lit("unknown axis "), kind)).cast("string")
-    for name, form in AXES.items():
-        head, tail = form.split("{}")
-        out = F.when(kind == name, F.concat(F.lit(head), mode if name == "mode" else tidy, F.lit(tail))).otherwise(out)
-    return out
+    """The token of an axis value (text); an unknown axis or mode is an error."""
+    number = value.try_cast("double")
+    tidy = F.replace(_plain(F.abs(number)), F.lit("."), F.lit("_"))
+    mode = F.lower(F.trim(value))
+    known_mode = F.when(mode.isin(*CHARGE_MODES), mode).otherwise(F.raise_error(F.concat(F.lit("unknown charge mode "), value)).cast("string"))
+    return (
+        F.when(kind == "temperature_c", F.concat(F.when(number < 0, "m").otherwise(""), tidy, F.lit("c")))
+        .when(kind == "current_a", F.concat(F.when(number < 0, "-").otherwise(""), tidy, F.lit("a")))
+        .when(kind == "charge_mode", known_mode)
+        .otherwise(F.raise_error(F.concat(F.lit("unknown axis "), kind)).cast("string"))
+    )
 
 
 def property_name(family: Column, kind: Column, value: Column) -> Column:
-    """family_at_token, in lower snake case."""
-    return F.concat(F.regexp_replace(F.lower(family), r"[^a-z0-9]+", "_"), F.lit("_at_"), axis_token(kind, value))
+    """<family>_<token>_pct, or <family>_<mode>_charge_pct; an unknown family is an error."""
+    known = F.when(family.isin(*FAMILIES), family).otherwise(F.raise_error(F.concat(F.lit("unknown family "), family)).cast("string"))
+    return F.concat(known, F.lit("_"), axis_token(kind, value), F.when(kind == "charge_mode", "_charge_pct").otherwise("_pct"))
 
 
 def section(text: Column) -> Column:
-    """struct<number, title> of a leading section number, null without one."""
-    pattern = r"^\s*(\d+(?:\.\d+)*)\.?\s+(\S.*)$"
-    line = F.element_at(F.split(text, "\n"), 1)
-    return F.when(line.rlike(pattern), F.struct(F.regexp_extract(line, pattern, 1).alias("number"), F.trim(F.regexp_extract(line, pattern, 2)).alias("title")))
+    """§number and title of a leading section number, §number without a title, — for anything else and null."""
+    title = F.regexp_replace(F.regexp_extract(text, SECTION, 2), r"""^[ '"—-]+|[ '"—-]+$""", "")
+    label = F.concat(F.lit("§"), F.regexp_extract(text, SECTION, 1), F.when(title != "", F.concat(F.lit(" "), title)).otherwise(""))
+    return F.when(text.rlike(SECTION), label).otherwise("—")
 
 
 def parsed_value(text: Column) -> Column:
@@ -40,25 +54,35 @@ def parsed_value(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<double>")), F.when(text.try_cast("double").isNotNull(), F.array(text.try_cast("double"))))
 
 
-def printed_forms(value: Column) -> Column:
-    """How a number may be printed: as it is, a thousandfold, and without or with a decimal."""
-    short = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), r"0+$", ""), r"\.$", "")
-    return F.array_distinct(F.array(short(value), short(value * 1000), F.format_string("%.0f", value), F.format_string("%.1f", value)))
+def _general(number: Column) -> Column:
+    """Six significant digits without trailing zeros, with an exponent for very large and small numbers."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.6g", number), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+
+
+def printed_forms(value: Column, unit: Column) -> Column:
+    """How a number may be printed: as it is, in thousandths of a unit that allows it, and whole ones with a decimal."""
+    milli = F.when(F.lower(unit).isin(*MILLI_UNITS), _general(value * 1000))
+    whole = F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string"))
+    return F.array_distinct(F.array_compact(F.array(_general(value), milli, whole, F.concat(whole, F.lit(".0")))))
 
 
 def quantity_rows(rows: Column) -> Column:
     """Numbers of the rows of a table (array of arrays) that have two or more quantities."""
-    marked = F.transform(rows, lambda r, i: F.when(F.size(F.filter(r, is_quantity)) >= 2, i))
+    marked = F.transform(rows, lambda r, i: F.when(F.size(F.filter(r, is_quantity)) >= GRID_CELLS, i))
     return F.filter(marked, lambda x: x.isNotNull())
 
 
+def _width(rows: Column) -> Column:
+    return F.array_max(F.transform(rows, F.size))
+
+
 def region_kind(rows: Column) -> Column:
-    """grid for two or more quantity rows, spec_table if any cell has a digit, else other."""
-    digit = F.exists(F.flatten(rows), lambda c: c.rlike(r"\d"))
-    return F.when(F.size(quantity_rows(rows)) >= 2, "grid").when(digit, "spec_table").otherwise("other")
+    """grid for two or more quantity rows, spec_table for two columns and four or more rows, else other."""
+    return F.when(F.size(quantity_rows(rows)) >= GRID_ROWS, "grid").when((_width(rows) == SPEC_COLUMNS) & (F.size(rows) >= SPEC_ROWS), "spec_table").otherwise("other")
 
 
 def rendered(rows: Column) -> Column:
-    """Rows as lines of cells between bars, short rows padded."""
-    width = F.array_max(F.transform(rows, F.size))
-    return F.array_join(F.transform(rows, lambda r: F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | ")), "\n")
+    """Rows as lines of cells between bars, cells on one line each, short rows padded."""
+    width = _width(rows)
+    cells = lambda r: F.concat(F.transform(r, flat), F.array_repeat(F.lit(""), width - F.size(r)))
+    return F.array_join(F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(cells(r), " | "), F.lit(" |"))), "\n")

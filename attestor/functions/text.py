@@ -19,6 +19,8 @@ HEDGE = (
     r"|varies by|couldn'?t find|no reliable|not able to verify)"
 )
 SOURCE = r"(?i)(p\.\s*\d+|page \d+|https?://|doi\.org|full (product )?specification|marketing (sheet|datasheet)|product specification)"
+TRIAGE = r"(?is)^\s*(yes|maybe|no)\s*[:\-–]\s*(.+)$"
+QUANTITY = r"(?iu)^[-−~]?\s*\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:%|℃|°C|mAh|Ah|mA|A|mV|V|mΩ|mOhm|cycles?|g|mm|min|h)?$"
 
 
 def html_text(html: Column) -> Column:
@@ -134,13 +136,12 @@ def source_key(doi: Column, arxiv: Column, title: Column) -> Column:
 
 
 def triage(reply: Column) -> Column:
-    """struct<decision, rationale>: yes, maybe or no with at most 300 characters of reason, else unparsed."""
-    pattern = r"(?is)^\s*(yes|maybe|no)\s*:\s*(.*)$"
-    tidy = lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 300)
-    known = reply.rlike(pattern)
+    """struct<decision, rationale>: yes, maybe or no with at most 300 characters of reason; else unparsed and 200 of the reply."""
+    bare = F.regexp_replace(reply, r"^\s+|\s+$", "")
+    known = bare.rlike(TRIAGE)
     return F.struct(
-        F.when(known, F.lower(F.regexp_extract(reply, pattern, 1))).otherwise("unparsed").alias("decision"),
-        F.when(known, tidy(F.regexp_extract(reply, pattern, 2))).otherwise(tidy(reply)).alias("rationale"),
+        F.when(known, F.lower(F.regexp_extract(bare, TRIAGE, 1))).otherwise("unparsed").alias("decision"),
+        F.when(known, F.substring(flat(F.regexp_extract(bare, TRIAGE, 2)), 1, 300)).otherwise(F.substring(bare, 1, 200)).alias("rationale"),
     )
 
 
@@ -158,7 +159,11 @@ def json_block(reply: Column, opening: str, closing: str) -> Column:
     return F.when((first > 0) & (F.instr(bare, closing) > 0) & (last > first), F.substr(bare, first, last - first + 1))
 
 
+def flat(cell: Column) -> Column:
+    """The text on one line with single spaces; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
+
+
 def is_quantity(cell: Column) -> Column:
     """Whether a table cell is a bare number with perhaps a unit."""
-    squashed = F.regexp_replace(cell, r"\s+", "")
-    return squashed.rlike(r"^[<>≤≥±~]?[-+]?\d+(?:[.,]\d+)?(?:mAh|Ah|mA|A|mV|V|mΩ|g|%|°C|h|min|C|cycles)?$")
+    return flat(cell).rlike(QUANTITY)

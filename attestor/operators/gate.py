@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.operators.graph import loo_coverage
+from attestor.operators.stats import quantiles, running_totals
 
 
 def squared_error(true_log: str, predicted_log: str) -> Column:
@@ -21,23 +22,27 @@ def risk_coverage(rows: DataFrame, coverage: str, square: str) -> DataFrame:
 
     One total per threshold and running sums over the thresholds, instead of a comparison of every row with each.
     """
-    totals = rows.groupBy(F.col(coverage).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("s"))
+    totals = rows.groupBy(F.col(coverage).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("sq"))
     every = rows.agg(F.count(F.lit(1)).alias("all"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    out = totals.select("threshold", F.sum("n").over(w).alias("n_retained"), F.sum("s").over(w).alias("s")).join(F.broadcast(every))
+    out = running_totals(totals, "threshold", {"n_retained": "n", "s": "sq"}, descending=True).join(F.broadcast(every))
     return out.select("threshold", "n_retained", (F.col("n_retained") / F.col("all")).alias("frac_retained"), F.sqrt(F.col("s") / F.col("n_retained")).alias("rmse_retained"))
 
 
 def area(curve: DataFrame, lo: float = 0.2, hi: float = 1.0, points: int = 161) -> DataFrame:
     """(aurc): the mean risk over a grid of retentions, by trapezoids of the interpolated curve, held at its ends."""
-    from attestor.operators.series import interpolated
-
-    knots = curve.select(F.lit(0).alias("one"), F.col("frac_retained").alias("x"), F.col("rmse_retained").alias("y"))
     step = (hi - lo) / (points - 1)
-    grid = curve.sparkSession.range(points).select(F.lit(0).alias("one"), (lo + F.col("id") * step).alias("g"))
-    on = interpolated(knots, "one", "x", "y", grid)
-    w = Window.partitionBy("one").orderBy("g")
-    pieces = on.select(((F.col("y") + F.lead("y").over(w)) / 2 * (F.lead("g").over(w) - F.col("g"))).alias("a"))
+    x, y = F.col("frac_retained"), F.col("rmse_retained")
+    cell = F.greatest(F.lit(0), F.least(F.lit(points), F.floor((x - lo) / step) + 1))  # cell i lies below grid point i
+    ends = curve.groupBy(cell.alias("i")).agg(F.min_by(F.struct(x.alias("x"), y.alias("y")), x).alias("first"), F.max_by(F.struct(x.alias("x"), y.alias("y")), x).alias("last"))
+    grid = curve.sparkSession.range(points + 1).withColumnRenamed("id", "i").join(F.broadcast(ends), "i", "left")  # so many rows in all
+    w = Window.orderBy("i")
+    under = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    over = F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    on = grid.select("i", (lo + F.col("i") * step).alias("g"), under.alias("a"), over.alias("b")).where(F.col("i") < points)
+    between = F.col("a.y") + (F.col("g") - F.col("a.x")) / (F.col("b.x") - F.col("a.x")) * (F.col("b.y") - F.col("a.y"))
+    held = on.select("i", "g", F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("a.x") == F.col("g")), F.col("a.y")).otherwise(between).alias("y"))
+    w = Window.orderBy("i")
+    pieces = held.select(((F.col("y") + F.lead("y").over(w)) / 2 * (F.lead("g").over(w) - F.col("g"))).alias("a"))
     return pieces.agg((F.sum("a") / (hi - lo)).alias("aurc"))
 
 
@@ -58,7 +63,7 @@ def fold_banks(edges: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
 
 def fold_thresholds(banks: DataFrame, q: float) -> DataFrame:
     """(fold, threshold): the q-th percentile (linear) of each fold's bank."""
-    return banks.groupBy("fold").agg(F.percentile("coverage", F.lit(q / 100)).alias("threshold"))
+    return quantiles(banks, "coverage", {"threshold": q / 100}, "fold").select("fold", "threshold")
 
 
 def decisions(predictions: DataFrame, thresholds: DataFrame, coverage: str = "coverage") -> DataFrame:
@@ -68,7 +73,7 @@ def decisions(predictions: DataFrame, thresholds: DataFrame, coverage: str = "co
 
 def quantile_curve(predictions: DataFrame, banks: DataFrame, qs: list[float], square: str) -> DataFrame:
     """Per q: threshold (median over folds), retention, RMSE and share of the total error of the rows that stay."""
-    arrays = banks.groupBy("fold").agg(F.percentile("coverage", F.array(*[F.lit(q / 100) for q in qs])).alias("t"))
+    arrays = quantiles(banks, "coverage", {f"q{i}": q / 100 for i, q in enumerate(qs)}, "fold").select("fold", F.array(*[f"q{i}" for i in range(len(qs))]).alias("t"))
     cuts = arrays.select("fold", F.posexplode("t").alias("i", "threshold")).select("fold", "threshold", F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1).alias("q"))
     each = predictions.join(F.broadcast(cuts), "fold")
     keep = F.col("coverage") >= F.col("threshold")
@@ -91,17 +96,19 @@ def cheapest(curve: DataFrame, ratios: list[float]) -> DataFrame:
 def bank_threshold(edges: DataFrame, groups: DataFrame, q: float, k: int = 5, least: int = 5) -> DataFrame:
     """(grp, n, threshold, whole): per group its own percentile, or the whole bank's where it has under ``least`` rows."""
     bank = loo_coverage(edges, groups, k)
-    own = bank.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.percentile("coverage", F.lit(q / 100)).alias("own"))
-    everyone = bank.agg(F.percentile("coverage", F.lit(q / 100)).alias("everyone"))
+    own = quantiles(bank, "coverage", {"own": q / 100}, "grp")
+    everyone = quantiles(bank, "coverage", {"everyone": q / 100}).select("everyone")
     small = F.col("n") < least
     return own.join(F.broadcast(everyone)).select("grp", "n", F.when(small, F.col("everyone")).otherwise(F.col("own")).alias("threshold"), small.alias("whole"))
 
 
 def percentile_of(scores: DataFrame, banks: DataFrame) -> DataFrame:
     """(fold, id, percentile): the mean percentile rank of each score within its fold's bank."""
-    both = scores.select("fold", "id", F.col("coverage").alias("s")).join(banks.select("fold", "coverage"), "fold")
-    share = (F.count_if(F.col("coverage") < F.col("s")) + F.count_if(F.col("coverage") <= F.col("s"))) / 2 / F.count(F.lit(1)) * 100
-    return both.groupBy("fold", "id").agg(share.alias("percentile"))
+    seen = banks.select("fold", "coverage", F.lit(1).alias("bank")).unionByName(scores.select("fold", "coverage", F.lit(0).alias("bank")))
+    counts = running_totals(seen.groupBy("fold", "coverage").agg(F.sum("bank").alias("same")), "coverage", {"upto": "same"}, within="fold")
+    sizes = banks.groupBy("fold").agg(F.count("coverage").alias("n"))
+    rank = (2 * F.col("upto") - F.col("same")) / 2 / F.nullif("n", F.lit(0)) * 100
+    return scores.select("fold", "id", "coverage").join(counts, ["fold", "coverage"]).join(sizes, "fold").select("fold", "id", rank.alias("percentile"))
 
 
 def hybrid(rows: DataFrame, n: int, levels: list[float], coverage: str = "coverage", spread: str = "spread", square: str = "square") -> DataFrame:
@@ -111,8 +118,8 @@ def hybrid(rows: DataFrame, n: int, levels: list[float], coverage: str = "covera
     then higher retention, then the lower coverage and higher spread threshold.  Sums per fold and pair make the other
     folds' figures a subtraction.
     """
-    points = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-    cut = rows.agg(F.percentile(coverage, points).alias("c"), F.percentile(spread, points).alias("s"))
+    points = {f"q{i}": i / (n - 1) for i in range(n)}
+    cut = quantiles(rows, coverage, points).select(F.array(*points).alias("c")).join(F.broadcast(quantiles(rows, spread, points).select(F.array(*points).alias("s"))))
     low, high = F.lit(float("-inf")), F.lit(float("inf"))
     pairs = cut.select(F.explode(F.array_distinct(F.concat(F.array(low), "c"))).alias("t_cov"), "s").select("t_cov", F.explode(F.array_distinct(F.concat("s", F.array(high)))).alias("t_spr"))
     keep = (F.col(coverage) >= F.col("t_cov")) & (F.col(spread) <= F.col("t_spr"))

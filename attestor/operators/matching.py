@@ -11,11 +11,14 @@ import itertools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from attestor.functions.text import numbers
+from attestor.functions.values import close
+
 FLUSH = 10_000
 TOLERANCE = 0.02
 
@@ -150,33 +153,44 @@ def consensus(claims: DataFrame, keys: Sequence[str], least_runs: int = 2, toler
     return by_group(picked, keys, ["run", "pos"], cluster, "run long, pos long, value double, level long")
 
 
-def field_majority(fields: DataFrame, keys: Sequence[str], least_runs: int = 2) -> DataFrame:
+def field_majority(fields: DataFrame, keys: Sequence[str], least_runs: int = 2, tolerance: float = TOLERANCE) -> DataFrame:
     """(keys, field, value, n): per field the value that most runs give, if at least ``least_runs`` do; ties go to the first run.
 
-    ``fields`` has (keys, run, field, value); absent marks (empty, unspecified, none, null) don't count.
+    ``fields`` has (keys, run, field, value), one value for a run; absent marks (empty, unspecified, none, null) don't count.
+    Values agree if they hold equally many numbers that are close in order of size, otherwise if their texts do; so the
+    values of a field meet in one array, whose length is the number of runs.
     """
     tidy = F.lower(F.trim("value"))
-    given = fields.where(F.col("value").isNotNull() & ~tidy.isin("", "unspecified", "none", "null")).withColumn("same__", tidy)
-    votes = given.groupBy(*keys, "field", "same__").agg(F.countDistinct("run").alias("n"), F.min("run").alias("first__"), F.min_by("value", "run").alias("value"))
-    best = votes.groupBy(*keys, "field").agg(F.max_by(F.struct("value", "n"), F.struct("n", (-F.col("first__")).alias("m"))).alias("b"))
+    given = fields.where(F.col("value").isNotNull() & ~tidy.isin("", "unspecified", "none", "null"))
+    one = F.struct("run", "value", tidy.alias("same"), F.array_sort(numbers(F.col("value"))).alias("n"))
+    votes = given.groupBy(*keys, "field").agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def agree(a: Column, b: Column) -> Column:
+        by_number = F.forall(F.zip_with(a["n"], b["n"], lambda x, y: close(x, y, tolerance)), lambda x: x)
+        return F.when((F.size(a["n"]) > 0) & (F.size(a["n"]) == F.size(b["n"])), by_number).otherwise(a["same"] == b["same"])
+
+    counted = F.transform("all", lambda a, i: F.struct(F.size(F.filter("all", lambda b: agree(a, b))).cast("long").alias("n"), (-i).alias("order"), a["value"].alias("value")))
+    best = votes.select(*keys, "field", F.array_max(counted).alias("b"))
     return best.select(*keys, "field", "b.value", "b.n").where(F.col("n") >= least_runs)
 
 
-def stitched(regions: DataFrame, doc: str, page: str) -> DataFrame:
+def stitched(regions: DataFrame, doc: str, page: str, position: str | None = None) -> DataFrame:
     """(doc, first, last, joined): regions joined with the next page's where both have one quantity row and equal width.
 
-    ``regions`` has (doc, page, n_cols, n_quantity, has_free).  In a chain of joinable regions pairs are taken from the
+    ``regions`` has (doc, page, n_cols, n_quantity, has_free) and, where pages hold several, their ``position`` on the page:
+    only the last region of a page is joined with the first one of the next.  In a chain of joinable regions pairs are taken from the
     left, so the first, third, ... of a chain take their successor.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(doc).orderBy(page)
+    order = [page, position] if position else [page]
+    w = Window.partitionBy(doc).orderBy(*order)
     nxt = lambda c: F.lead(c).over(w)
     can = (nxt(page) == F.col(page) + 1) & (nxt("n_cols") == F.col("n_cols")) & (F.col("n_quantity") == 1) & (nxt("n_quantity") == 1) & ~nxt("has_free")
     rows = regions.withColumn("can__", F.coalesce(can, F.lit(False)).cast("int")).withColumn("next__", nxt(page))
     broken = F.sum(1 - F.col("can__")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("chain__", F.coalesce(broken, F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(doc, "chain__").orderBy(page))
+    rank = F.row_number().over(Window.partitionBy(doc, "chain__").orderBy(*order))
     rows = rows.withColumn("takes__", (F.col("can__") == 1) & (rank % 2 == 1))
     taken = F.coalesce(F.lag("takes__").over(w), F.lit(False))
     return rows.withColumn("taken__", taken).where(~F.col("taken__")).select(doc, F.col(page).alias("first"), F.when(F.col("takes__"), F.col("next__")).otherwise(F.col(page)).alias("last"), F.col("takes__").alias("joined"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.functions.values import finite
+
 # End of life at 80 %, accepted 1 % above it at the end of a series.
 END_SHARE, END_TOLERANCE = 0.8, 0.01
 SHORT_SERIES = 50
@@ -46,14 +48,15 @@ def crossing(rows: DataFrame, entity: str, cycle: str, value: str, threshold: st
 def lives(rows: DataFrame, entity: str, cycle: str, value: str, nominal: Column | None = None, reach: int = 2, tolerance: float | None = END_TOLERANCE, nearest: bool = False) -> DataFrame:
     """One row for each entity: counts, first, last and largest value, life under both definitions, flags.
 
-    ``nominal`` gives the nameplate value of an entity (an aggregate expression), null where unknown; then the measured
-    initial value is the basis.  ``tolerance`` None switches off the acceptance of a series that ends just above.
+    NaN and infinite values count as missing everywhere, and as non-finite in the flags.  ``nominal`` gives the nameplate
+    value of an entity (an aggregate expression), null where unknown; then the measured initial value is the basis.  ``tolerance`` None switches off the acceptance of a series that ends just above.
     """
+    rows = rows.withColumn(value, finite(F.col(value).cast("double")))
     w = Window.partitionBy(entity).orderBy(cycle)
     base = rows.select(entity, cycle, value, (F.col(value) - F.lag(value).over(w)).alias("step"))
     summary = base.groupBy(entity).agg(
         F.count(F.lit(1)).alias("n_cycles"), F.max_by(value, cycle).alias("final"), F.max(value).alias("top"), F.min("step").alias("drop"),
-        F.max(cycle).cast("double").alias("last_cycle"), F.count_if(F.col(value).isNull() | F.isnan(value)).alias("odd"),
+        F.max(cycle).cast("double").alias("last_cycle"), F.count_if(F.col(value).isNull()).alias("odd"),
     )
     named = rows.groupBy(entity).agg((F.lit(None).cast("double") if nominal is None else nominal).alias("nominal"))
     facts = summary.join(first_values(rows, entity, cycle, value), entity, "left").join(named, entity)

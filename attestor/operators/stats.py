@@ -30,17 +30,41 @@ def average_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def running_total(rows: DataFrame, key: str, value: str, out: str, parts: int | None = None) -> DataFrame:
-    """``rows`` (one for each key) with the sum of ``value`` up to each key, by range partitions and their bases."""
+    """``rows`` (one for each key) with the sum of ``value`` up to each key."""
+    return running_totals(rows, key, {out: value}, parts=parts)
+
+
+def running_totals(rows: DataFrame, key: str, sums: dict[str, str], descending: bool = False, within: str | None = None, parts: int | None = None) -> DataFrame:
+    """``rows`` (one for each key, or key and group) with the sum of each value up to its key, ``sums`` naming result and value.
+
+    Keys are dealt by ranges; a window runs within each range and the ranges' bases are added, so no order is ever in one task.
+    """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = [within] if within else []
     bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("b"))
     part = F.size(F.filter("b", lambda x: x < F.col(key)))
     placed = rows.join(F.broadcast(bounds)).withColumn("part__", part).drop("b")
-    totals = placed.groupBy("part__").agg(F.sum(value).alias("t__"))
-    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part__", F.coalesce(F.sum("t__").over(before), F.lit(0)).alias("base__"))
-    within = F.sum(value).over(Window.partitionBy("part__").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return placed.join(F.broadcast(bases), "part__").withColumn(out, F.col("base__") + within).drop("part__", "base__")
+    totals = placed.groupBy(*groups, "part__").agg(*[F.sum(v).alias(f"t__{o}") for o, v in sums.items()])
+    last = F.desc if descending else F.asc
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(last("part__")).rowsBetween(Window.unboundedPreceding, -1)  # ``parts`` rows a group
+    bases = totals.select(*groups, "part__", *[F.coalesce(F.sum(f"t__{o}").over(before), F.lit(0)).alias(f"base__{o}") for o in sums])
+    inside = Window.partitionBy(*groups, "part__").orderBy(last(key)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("*", *[F.sum(v).over(inside).alias(o) for o, v in sums.items()]).join(bases, [*groups, "part__"])
+    return summed.withColumns({o: F.col(o) + F.col(f"base__{o}") for o in sums}).drop("part__", *[f"base__{o}" for o in sums])
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], group: str | None = None) -> DataFrame:
+    """(group, n, ...): exact linear quantiles, named by ``shares``, from running counts of the distinct values."""
+    groups = [group] if group else []
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n__"))
+    ranked = running_totals(counts, value, {"upto__": "n__"}, within=group)
+    sizes = counts.groupBy(*groups).agg(F.sum("n__").alias("n"))
+    both = ranked.join(sizes, groups) if groups else ranked.join(F.broadcast(sizes))
+    at = lambda k: F.min(F.when(F.col("upto__") > k, F.col(value)))
+    place = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
+    ends = both.groupBy(*groups, "n").agg(*[c for name, p in place.items() for c in (at(F.floor(p)).alias(f"lo__{name}"), at(F.ceil(p)).alias(f"hi__{name}"))])
+    return ends.select(*groups, "n", *[(F.col(f"lo__{name}") + (p - F.floor(p)) * (F.col(f"hi__{name}") - F.col(f"lo__{name}"))).alias(name) for name, p in place.items()])
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -101,17 +125,17 @@ def histogram(rows: DataFrame, group: str, value: str, bins: int) -> DataFrame:
 def kaplan_meier(rows: DataFrame, time: str, event: str, z: float = 1.959963984540054) -> DataFrame:
     """(t, n_risk, n_event, survival, ci_lo, ci_hi) at t = 0 and each event time, with log-log intervals.
 
-    Counts per distinct time come first; only these go through the running product.
+    Counts per distinct time come first; only these go through running sums of logarithms, dealt by ranges of time.
     """
     per = rows.groupBy(F.col(time).cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("d"))
-    later = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = per.withColumn("n_risk", F.sum("n").over(later)).where("d > 0")
-    upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    alive = F.exp(F.sum(F.when(F.col("d") < F.col("n_risk"), F.log(1 - F.col("d") / F.col("n_risk")))).over(upto))
-    dead = F.max((F.col("d") == F.col("n_risk")).cast("int")).over(upto) == 1
-    s = F.when(dead, 0.0).otherwise(alive)
-    green = F.sum(F.when(F.col("d") < F.col("n_risk"), F.col("d") / (F.col("n_risk") * (F.col("n_risk") - F.col("d")))).otherwise(0.0)).over(upto)
-    curve = risk.select("t", "n_risk", F.col("d").alias("n_event"), s.alias("survival"), green.alias("g"))
+    risk = running_totals(per, "t", {"n_risk": "n"}, descending=True).where("d > 0")
+    some = F.col("d") < F.col("n_risk")
+    terms = risk.select(
+        "t", "n_risk", "d", F.when(some, F.log(1 - F.col("d") / F.col("n_risk"))).otherwise(0.0).alias("log_s"), F.when(some, 0).otherwise(1).alias("none_left"),
+        F.when(some, F.col("d") / (F.col("n_risk") * (F.col("n_risk") - F.col("d")))).otherwise(0.0).alias("v"),
+    )
+    summed = running_totals(terms, "t", {"alive": "log_s", "dead": "none_left", "g": "v"})
+    curve = summed.select("t", "n_risk", F.col("d").alias("n_event"), F.when(F.col("dead") > 0, 0.0).otherwise(F.exp("alive")).alias("survival"), "g")
     inside = (F.col("survival") > 0) & (F.col("survival") < 1) & (F.col("g") > 0)
     se = F.sqrt("g") / F.abs(F.log("survival"))
     x, y = F.pow("survival", F.exp(z * se)), F.pow("survival", F.exp(-z * se))
@@ -126,11 +150,35 @@ def median_survival(curve: DataFrame) -> DataFrame:
 
 
 def logrank(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
-    """(grp, observed, expected, variance) of each group over all event times with more than one at risk."""
-    per = rows.groupBy(F.col(time).cast("double").alias("t"), F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("d"))
-    times, groups = per.groupBy("t").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), rows.select(F.col(group).alias("grp")).distinct()
-    full = times.crossJoin(F.broadcast(groups)).join(per.withColumnsRenamed({"n": "ng", "d": "dg"}), ["t", "grp"], "left").na.fill(0, ["ng", "dg"])
-    later = lambda *k: Window.partitionBy(*k).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    at = full.select("t", "grp", "d", "dg", F.sum("n").over(later("grp")).alias("nj"), F.sum("ng").over(later("grp")).alias("nij")).where("d > 0 and nj > 1")
-    nj, nij, d = F.col("nj"), F.col("nij"), F.col("d")
-    return at.groupBy("grp").agg(F.sum("dg").alias("observed"), F.sum(nij * d / nj).alias("expected"), F.sum(d * (nj - d) / (nj - 1) / (nj * nj) * (nij * nj - nij * nij)).alias("variance"))
+    """(grp, observed, expected, variance) of each group over all event times with more than one at risk.
+
+    A row at risk until t meets every event time up to t, so sums over event times and groups become running sums over
+    times, looked up once for each group's own times.
+    """
+    per = rows.groupBy(F.col(time).cast("double").alias("t"), F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("ng"), F.sum(F.col(event).cast("long")).alias("dg"))
+    times = running_totals(per.groupBy("t").agg(F.sum("ng").alias("n"), F.sum("dg").alias("d")), "t", {"nj": "n"}, descending=True)
+    counts, nj, d = F.expr("d > 0 and nj > 1"), F.col("nj"), F.col("d")
+    weight = F.when(counts, d * (nj - d) / (nj - 1) / (nj * nj)).otherwise(0.0)
+    terms = times.select("t", counts.alias("counts"), F.when(counts, d / nj).otherwise(0.0).alias("h"), weight.alias("w"), (weight * nj).alias("wn"))
+    sums = running_totals(terms, "t", {"hazard": "h", "weights": "w", "weighted": "wn"})
+    own = running_totals(per, "t", {"nij": "ng"}, descending=True, within="grp").join(sums, "t")
+    left = F.col("nij") - F.col("ng")
+    squares = F.col("weights") * (F.col("nij") * F.col("nij") - left * left)
+    return own.groupBy("grp").agg(
+        F.coalesce(F.sum(F.when(F.col("counts"), F.col("dg"))), F.lit(0)).alias("observed"), F.sum(F.col("ng") * F.col("hazard")).alias("expected"),
+        (F.sum(F.col("ng") * F.col("weighted")) - F.sum(squares)).alias("variance"),
+    )
+
+
+def logrank_test(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
+    """(chi2, p) of two groups; null unless there are just two and the variance is positive.
+
+    The tail of the chi-square distribution with one degree of freedom comes from a polynomial for the error function
+    (Abramowitz and Stegun 7.1.26, error below 1.5e-7).
+    """
+    both = logrank(rows, time, event, group).agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct("grp", "observed", "expected", "variance")).alias("a"))
+    chi = F.when((F.col("groups") == 2) & (F.col("a.variance") > 0), F.pow(F.col("a.observed") - F.col("a.expected"), F.lit(2.0)) / F.col("a.variance"))
+    x = F.sqrt(F.col("chi2") / 2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
+    return both.select(chi.alias("chi2")).select("chi2", tail.alias("p"))

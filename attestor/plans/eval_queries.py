@@ -13,11 +13,6 @@ from attestor.operators import answers, matching, stats
 from attestor.plans.common import rounded, table
 from attestor.plans.graph_queries import _predictions
 
-TABLES = ["Temp | 0 °C | 25 °C / Cap | 3.1 Ah | 3.3 Ah", "Weight | 47.5 g", "Name | none", "a | b | c / d"]
-SECTIONS = ["1.2 Scope of use\nmore", "3. Ratings", "no number", "2.10.1   Deep one"]
-UNITS = ["mAh", "A", "cycles", "furlong", "°C", ""]
-
-
 def _number_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Parts with gold and predicted conditions as maps."""
     p = table(spark, folder, "part")
@@ -71,36 +66,39 @@ def wrong_answers(spark: SparkSession, folder: str) -> DataFrame:
 def composed_names(spark: SparkSession, folder: str) -> DataFrame:
     """Property names of parts by family and axis."""
     p = table(spark, folder, "part")
-    k = F.col("p_partkey")
-    kind = F.when(k % 4 == 0, "temperature").when(k % 4 == 1, "rate").when(k % 4 == 2, "cycle").otherwise("mode")
-    value = F.when(k % 4 == 0, F.concat(F.lit("-"), F.col("p_size"), F.lit(" °C"))).when(k % 4 == 1, F.concat(F.col("p_size"), F.lit(".5C"))).when(k % 4 == 2, F.concat(F.col("p_size"), F.lit(".0"))).otherwise(F.col("p_name"))
-    return p.select("p_partkey", nm.property_name(F.col("p_type"), kind, value).alias("name"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    family = F.element_at(F.array(*map(F.lit, nm.FAMILIES)), (k % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, nm.AXES)), (F.floor(k / 3) % 3 + 1).cast("int"))
+    value = F.when(kind == "temperature_c", F.format_string("%.1f", F.when(k % 2 == 0, -size).otherwise(size))).when(kind == "current_a", F.format_string("%.4f", size / 8)).otherwise(F.when(k % 2 == 0, " Rapid ").otherwise("std"))
+    return p.select("p_partkey", nm.property_name(family, kind, value).alias("name"))
 
 
 def sections(spark: SparkSession, folder: str) -> DataFrame:
-    """Leading section numbers and titles."""
-    d = spark.createDataFrame(list(enumerate(SECTIONS)), "n long, t string")
-    return d.select("n", F.inline_outer(F.array(nm.section(F.col("t")))))
+    """How many lines of documents begin a section of each number and title."""
+    line = table(spark, folder, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return line.groupBy(nm.section(F.col("line")).alias("section")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def printed_values(spark: SparkSession, folder: str) -> DataFrame:
-    """How sizes may be printed, and printed lists read back."""
-    p = table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"))
+    """How sizes of two units may be printed, and printed lists read back."""
+    p = table(spark, folder, "part").select("p_partkey", (F.col("p_size") / 4.0).alias("s"), F.when(F.col("p_partkey") % 2 == 0, "Ah").otherwise("g").alias("unit"))
     back = nm.parsed_value(F.concat(F.lit("["), F.col("s").cast("string"), F.lit(", 2]")))
-    return p.select("p_partkey", F.array_join(nm.printed_forms(F.col("s")), ";").alias("forms"), F.aggregate(back, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return p.select("p_partkey", F.array_join(nm.printed_forms(F.col("s"), F.col("unit")), ";").alias("forms"), F.aggregate(back, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 def unit_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Physical classes of units."""
-    d = spark.createDataFrame(list(enumerate(UNITS)), "n long, u string")
-    return d.select("n", unit_class(F.col("u")).alias("unit_class"))
+    """Physical classes of the words that follow the numbers of documents."""
+    unit = F.regexp_extract_all("text", F.lit(r"\d ?([A-Za-z%]+)"), F.lit(1))
+    units = table(spark, folder, "documents").select(F.explode(unit).alias("u"))
+    return units.groupBy(unit_class(F.col("u")).alias("unit_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def table_regions(spark: SparkSession, folder: str) -> DataFrame:
-    """Kinds of table regions, their quantity rows and how they read as text."""
-    d = spark.createDataFrame(list(enumerate(TABLES)), "n long, t string")
-    rows = F.transform(F.split("t", " / "), lambda r: F.split(r, r" \| "))
-    return d.select("n", nm.region_kind(rows).alias("kind"), F.size(nm.quantity_rows(rows)).alias("quantity_rows"), nm.rendered(rows).alias("rendered"))
+    """Kinds of the tables that documents hold as lines with bars, their quantity rows and how they read as text."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.contains("|"))
+    d = table(spark, folder, "documents").select("doc_id", F.transform(lines, lambda r: F.split(r, r"\|")).alias("rows")).where("size(rows) > 0")
+    rows = F.col("rows")
+    return d.select("doc_id", nm.region_kind(rows).alias("kind"), F.size(nm.quantity_rows(rows)).alias("quantity_rows"), F.md5(nm.rendered(rows)).alias("digest"))
 
 
 def lookup_with_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,13 +230,24 @@ ORACLE = {
         WHEN NOT ((bx IS NOT NULL AND ax IS NULL) OR (bw IS NOT NULL AND ay IS NULL)) THEN 'a_richer'
         WHEN NOT ((ax IS NOT NULL AND bx IS NULL) OR (ay IS NOT NULL AND bw IS NULL)) THEN 'b_richer' ELSE 'partial' END AS outcome, count(*) AS n FROM s GROUP BY 1""",
     "answers_with_conditions": "SELECT * FROM (VALUES (0::BIGINT, true), (1, true), (2, false), (3, NULL), (4, true)) v(n, stated)",
-    "composed_names": rf"""SELECT {_K}, regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g') || '_at_' || CASE {_K} % 4 WHEN 0 THEN 'minus' || p_size || 'c' WHEN 1 THEN p_size || 'p5c_rate' WHEN 2 THEN 'cycle' || p_size
-        ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') END AS name FROM part""",
-    "sections": "SELECT * FROM (VALUES (0::BIGINT, '1.2', 'Scope of use'), (1, '3', 'Ratings'), (2, NULL, NULL), (3, '2.10.1', 'Deep one')) v(n, number, title)",
-    "printed_values": f"""SELECT {_K}, concat_ws(';', p_size::VARCHAR, (p_size * 1000)::VARCHAR, p_size || '.0') AS forms, p_size + 2.0::DOUBLE AS total FROM part""",
-    "unit_classes": "SELECT * FROM (VALUES (0::BIGINT, 'capacity'), (1, 'current'), (2, 'count'), (3, 'other:furlong'), (4, 'temperature'), (5, 'other:')) v(n, unit_class)",
-    "table_regions": """SELECT n, kind, quantity_rows, replace(rendered, '#', chr(10)) AS rendered FROM (VALUES (0::BIGINT, 'grid', 2, 'Temp | 0 °C | 25 °C#Cap | 3.1 Ah | 3.3 Ah'), (1, 'spec_table', 0, 'Weight | 47.5 g'),
-        (2, 'other', 0, 'Name | none'), (3, 'other', 0, 'a | b | c#d |  | ')) v(n, kind, quantity_rows, rendered)""",
+    "composed_names": f"""WITH p AS (SELECT {_K} AS k, p_size AS s FROM part)
+        SELECT k AS {_K}, ['rel_discharge_capacity', 'rel_charge_capacity', 'rel_capacity'][k % 3 + 1] || '_' || CASE (k // 3) % 3 WHEN 0 THEN CASE WHEN k % 2 = 0 THEN 'm' ELSE '' END || s || 'c_pct'
+        WHEN 1 THEN replace(regexp_replace((s / 8.0)::DECIMAL(12, 3)::VARCHAR, '\\.?0+$', ''), '.', '_') || 'a_pct' WHEN 2 THEN CASE WHEN k % 2 = 0 THEN 'rapid' ELSE 'std' END || '_charge_pct' END AS name FROM p""",
+    "sections": r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+        m AS (SELECT regexp_extract(line, '^\s*''?"?(\d+(?:\.\d+)*)\s*([A-Za-z][^|:,;]{0,44})?', ['number', 'title']) AS g FROM l),
+        t AS (SELECT g.number AS number, regexp_replace(g.title, '^[ ''"—-]+|[ ''"—-]+$', '', 'g') AS title FROM m)
+        SELECT CASE WHEN number = '' THEN '—' WHEN title = '' THEN '§' || number ELSE '§' || number || ' ' || title END AS section, count(*) AS n FROM t GROUP BY 1""",
+    "printed_values": f"""WITH p AS (SELECT {_K}, p_size / 4.0 AS s, {_K} % 2 = 0 AS milli, p_size % 4 = 0 AS whole FROM part),
+        f AS (SELECT *, regexp_replace(s::DECIMAL(12, 2)::VARCHAR, '\\.?0+$', '') AS g FROM p)
+        SELECT {_K}, concat_ws(';', g, CASE WHEN milli THEN (s * 1000)::BIGINT::VARCHAR END, CASE WHEN whole THEN g || '.0' END) AS forms, s + 2.0::DOUBLE AS total FROM f""",
+    "unit_classes": r"""WITH u AS (SELECT lower(unnest(regexp_extract_all(text, '\d ?([A-Za-z%]+)', 1))) AS u FROM documents)
+        SELECT CASE WHEN u IN ('mah', 'ah') THEN 'capacity' WHEN u IN ('ma', 'a') THEN 'current' WHEN u IN ('mv', 'v') THEN 'voltage' WHEN u = 'g' THEN 'mass' WHEN u IN ('h', 'min') THEN 'time'
+        WHEN u = 'cycles' THEN 'count' WHEN u = '%' THEN 'share' WHEN u = 'degc' THEN 'temperature' WHEN u = 'mohm' THEN 'impedance' ELSE 'other:' || u END AS unit_class, count(*) AS n FROM u GROUP BY 1""",
+    "table_regions": r"""WITH r AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|')), lambda x: list_transform(string_split(x, '|'), lambda c: trim(regexp_replace(c, '\s+', ' ', 'g')))) AS rows
+        FROM documents WHERE contains(text, '|')), w AS (SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS width,
+        len(list_filter(rows, lambda r: len(list_filter(r, lambda c: regexp_matches(c, '(?i)^[-−~]?\s*\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:%|℃|°C|mAh|Ah|mA|A|mV|V|mΩ|mOhm|cycles?|g|mm|min|h)?$'))) >= 2)) AS q FROM r WHERE len(rows) > 0)
+        SELECT doc_id, CASE WHEN q >= 2 THEN 'grid' WHEN width = 2 AND len(rows) >= 4 THEN 'spec_table' ELSE 'other' END AS kind, q::INT AS quantity_rows,
+        md5(array_to_string(list_transform(rows, lambda r: '| ' || array_to_string(list_concat(r, list_transform(range(width - len(r)), lambda i: '')), ' | ') || ' |'), chr(10))) AS digest FROM w""",
     "lookup_with_filter": """WITH p AS (SELECT *, bool_or(p_size = 7) OVER (PARTITION BY p_brand) AS known FROM part) SELECT p_brand, count(*) AS n, min(p_partkey) AS first_part FROM p WHERE p_size = 7 OR NOT known GROUP BY 1""",
     "claim_similarity": r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark)
         SELECT a.item_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON a.item_id + 1 = b.item_id""",

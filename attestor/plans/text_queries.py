@@ -162,9 +162,9 @@ def source_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def triage_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """Decisions of replies; every third turn is given a verdict before its text."""
+    """Decisions of replies; two of three turns are given a verdict before their text."""
     c = table(spark, folder, "conversations")
-    reply = F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" Maybe: "), "text")).otherwise(F.col("text"))
+    reply = F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" Maybe: "), "text")).when(F.col("turn") % 3 == 2, F.concat(F.lit("NO - "), "text")).otherwise(F.col("text"))
     out = c.select(tx.triage(reply).alias("t"))
     return out.groupBy("t.decision").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("t.rationale").cast("long")).alias("chars"))
 
@@ -191,9 +191,9 @@ def page_context(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def field_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    """Majority of a field (length class) over the turns of a conversation as runs."""
-    c = table(spark, folder, "conversations")
-    value = F.when(F.char_length("text") % 5 == 0, "Unspecified").when(F.char_length("text") % 2 == 0, "even").otherwise("odd")
+    """Majority of a field (length class, one of them in two spellings) over the turns of a conversation as runs."""
+    c, n = table(spark, folder, "conversations"), F.char_length("text")
+    value = F.when(n % 5 == 0, "Unspecified").when(n % 4 == 0, "1 A").when(n % 2 == 0, "1.0 A").otherwise("odd")
     return matching.field_majority(c.select("conv_id", F.col("turn").alias("run"), F.col("role").alias("field"), value.alias("value")), ["conv_id"])
 
 
@@ -325,10 +325,10 @@ ORACLE = {
     "name_fields": r"""WITH m AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/(\d+)(.*)$', ['scheme', 'host', 'lang', 'number', 'rest']) AS g FROM pages WHERE regexp_matches(url, '^(https?)://([^/]+)/([a-z]{2})/(\d+)(.*)$'))
         SELECT page_id, g.scheme, g.host, g.lang, g.number::INT AS number FROM m""",
     "source_keys": f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'arxiv:' || doc_id ELSE {_KEY} END AS key FROM documents",
-    "triage_parse": r"""WITH r AS (SELECT CASE WHEN turn % 3 = 1 THEN ' Maybe: ' || text ELSE text END AS t FROM conversations),
-        d AS (SELECT t, regexp_matches(t, '(?is)^\s*(yes|maybe|no)\s*:\s*(.*)$') AS known FROM r),
-        o AS (SELECT CASE WHEN known THEN lower(regexp_extract(t, '(?is)^\s*(yes|maybe|no)\s*:\s*(.*)$', 1)) ELSE 'unparsed' END AS decision,
-            substring(trim(regexp_replace(CASE WHEN known THEN regexp_extract(t, '(?is)^\s*(yes|maybe|no)\s*:\s*(.*)$', 2) ELSE t END, '\s+', ' ', 'g')), 1, 300) AS rationale FROM d)
+    "triage_parse": r"""WITH r AS (SELECT regexp_replace(CASE WHEN turn % 3 = 1 THEN ' Maybe: ' || text WHEN turn % 3 = 2 THEN 'NO - ' || text ELSE text END, '^\s+|\s+$', '', 'g') AS t FROM conversations),
+        d AS (SELECT t, regexp_matches(t, '(?is)^\s*(yes|maybe|no)\s*[:\-–]\s*(.+)$') AS known FROM r),
+        o AS (SELECT CASE WHEN known THEN lower(regexp_extract(t, '(?is)^\s*(yes|maybe|no)\s*[:\-–]\s*(.+)$', 1)) ELSE 'unparsed' END AS decision,
+            CASE WHEN known THEN substring(trim(regexp_replace(regexp_extract(t, '(?is)^\s*(yes|maybe|no)\s*[:\-–]\s*(.+)$', 2), '\s+', ' ', 'g')), 1, 300) ELSE substring(t, 1, 200) END AS rationale FROM d)
         SELECT decision, count(*) AS n, sum(length(rationale))::BIGINT AS chars FROM o GROUP BY 1""",
     "answer_scores": """SELECT * FROM (VALUES (0::BIGINT, 'correct', false, true), (1, 'wrong', true, false), (2, 'unit_confused', false, false), (3, 'no_value', true, false), (4, 'correct', false, true),
         (5, 'correct', false, false), (6, 'correct', false, false)) v(n, outcome, hedged, sourced)""",
@@ -336,8 +336,9 @@ ORACLE = {
         count(*) FILTER (regexp_matches(text, '(?i)(p\.\s*\d+|page \d+|https?://|doi\.org|product specification)')) AS sourced, count(*) FILTER (contains(text, '?')) AS asks FROM conversations GROUP BY 1""",
     "page_context": r"""WITH c AS (SELECT *, lag(text) OVER w AS a, lead(text) OVER w AS b, length(regexp_replace(text, '\s', '', 'g')) < 100 AS short FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         SELECT conv_id, turn, short, md5(CASE WHEN short THEN concat_ws(chr(10), a, text, b) ELSE text END) AS digest FROM c""",
-    "field_consensus": """WITH f AS (SELECT conv_id, turn, role AS field, CASE WHEN length(text) % 5 = 0 THEN NULL WHEN length(text) % 2 = 0 THEN 'even' ELSE 'odd' END AS value FROM conversations),
-        v AS (SELECT conv_id, field, value, count(DISTINCT turn) AS n, min(turn) AS first FROM f WHERE value IS NOT NULL GROUP BY 1, 2, 3)
+    "field_consensus": """WITH f AS (SELECT conv_id, turn, role AS field, length(text) AS n FROM conversations),
+        c AS (SELECT *, CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, CASE WHEN n % 4 = 0 THEN '1 A' WHEN n % 2 = 0 THEN '1.0 A' ELSE 'odd' END AS value FROM f WHERE n % 5 <> 0),
+        v AS (SELECT conv_id, field, kind, arg_min(value, turn) AS value, count(*) AS n, min(turn) AS first FROM c GROUP BY 1, 2, 3)
         SELECT conv_id, field, value, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, field ORDER BY n DESC, first) AS k FROM v) WHERE k = 1 AND n >= 2""",
     "categorise": r"""SELECT CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 'legal' WHEN regexp_matches(text, '@[a-z0-9.]+') THEN 'contact' WHEN regexp_matches(text, '\d') THEN 'numeric'
         WHEN contains(text, '|') THEN 'table' ELSE 'prose' END AS category, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1""",
@@ -350,8 +351,8 @@ ORACLE = {
     "questions": """SELECT p_partkey, 'What is the price of ' || p_brand || ' ' || p_size || CASE WHEN count(*) OVER (PARTITION BY p_brand, p_size) > 1 THEN ' (' || p_type || ')' ELSE '' END || '?' AS question FROM part""",
     "vocabulary": """WITH u AS (SELECT DISTINCT p_brand AS w FROM part), d AS (SELECT 'Brand#' || i AS w FROM range(1, 26) t(i))
         SELECT w, 'undefined' AS problem FROM (SELECT w FROM u EXCEPT SELECT w FROM d) UNION ALL SELECT w, 'unused' FROM (SELECT w FROM d EXCEPT SELECT w FROM u)""",
-    "quantity_cells": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, [regexp_replace(trim(x), '\s+', '', 'g') for x in string_split(line, '|')] AS cells FROM l WHERE contains(line, '|'))
+    "quantity_cells": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, [trim(regexp_replace(x, '\s+', ' ', 'g')) for x in string_split(line, '|')] AS cells FROM l WHERE contains(line, '|'))
         SELECT doc_id, count(*) AS rows, sum(len(cells))::BIGINT AS cells,
-               sum(len(list_filter(cells, lambda x: regexp_matches(x, '^[<>≤≥±~]?[-+]?\d+(?:[.,]\d+)?(?:mAh|Ah|mA|A|mV|V|mΩ|g|%|°C|h|min|C|cycles)?$'))))::BIGINT AS quantities FROM c GROUP BY 1""",
+               sum(len(list_filter(cells, lambda x: regexp_matches(x, '(?i)^[-−~]?\s*\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:%|℃|°C|mAh|Ah|mA|A|mV|V|mΩ|mOhm|cycles?|g|mm|min|h)?$'))))::BIGINT AS quantities FROM c GROUP BY 1""",
     "stage_candidates": f"SELECT {_KEY} AS candidate_id, min(doc_id) AS doc_id, 'pending_review' AS status FROM documents GROUP BY 1",
 }

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from attestor.functions import names, text
 from attestor.functions import text as tx
 from attestor.functions import values as vl
 
@@ -78,5 +79,38 @@ def test_html_and_sentences(spark):
 
 
 def test_quantities(spark):
-    df = spark.createDataFrame([("3.35 Ah", True), ("-20°C", True), ("≥ 5", True), ("about 5", False), ("", False)], "c string, want boolean")
+    df = spark.createDataFrame([("3.35 Ah", True), ("-20°C", True), ("≥ 5", False), ("about 5", False), ("", False)], "c string, want boolean")
     assert all(r[0] == r[1] for r in df.select(tx.is_quantity(F.col("c")), "want").collect())
+
+
+def test_cells_and_regions(spark):
+    """Which cells are bare quantities, what kind a region is and how it reads."""
+    yes = ["-20℃", "0.50A", "100%", "2,500mAh", "1,234,567 mAh", "−20 °C", "4.2 v", "25 ", "3 cycles"]
+    no = ["", None, "<5", "CCCV, 1.25A", "4.20 ± 0.05 V", "abc", "12 x"]
+    cells = spark.createDataFrame([(c,) for c in yes + no], "c string")
+    assert [r["q"] for r in cells.select(text.is_quantity(F.col("c")).alias("q")).collect()] == [True] * len(yes) + [False] * len(no)
+    regions = [[["T", "0 °C", "25 °C"], ["C", "90%", "100%"]], [["a", "b"]] * 4, [["a", "1"]] * 3, [["a", "b\n c"], ["d"]]]
+    got = spark.createDataFrame([(r,) for r in regions], "r array<array<string>>").select(names.region_kind(F.col("r")).alias("k"), names.rendered(F.col("r")).alias("t")).collect()
+    assert [r["k"] for r in got] == ["grid", "spec_table", "other", "other"] and got[3]["t"] == "| a | b c |\n| d |  |"
+
+
+def test_names_of_grid_cells(spark):
+    cases = [("temperature_c", "-20", "m20c"), ("temperature_c", "0", "0c"), ("current_a", "0.50", "0_5a"), ("current_a", "20.0", "20a"), ("charge_mode", " Rapid ", "rapid")]
+    df = spark.createDataFrame(cases, "kind string, value string, token string")
+    assert all(r["t"] == r["token"] for r in df.select("token", names.axis_token(F.col("kind"), F.col("value")).alias("t")).collect())
+    name = lambda f, k, v: spark.range(1).select(names.property_name(F.lit(f), F.lit(k), F.lit(v)).alias("n")).first()["n"]
+    assert name("rel_capacity", "temperature_c", "-10") == "rel_capacity_m10c_pct" and name("rel_charge_capacity", "charge_mode", "std") == "rel_charge_capacity_std_charge_pct"
+    for bad in (("other", "current_a", "1"), ("rel_capacity", "humidity", "1"), ("rel_capacity", "charge_mode", "slow")):
+        with pytest.raises(Exception, match="unknown"):
+            name(*bad)
+
+
+def test_sections_printed_forms_and_triage(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    said = {"3.12 Storage: cool": "§3.12 Storage", "4": "§4", "'2.1 Scope' of": "§2.1 Scope' of", "none": "—"}
+    assert {t: one(names.section(F.lit(t))) for t in said} == said
+    forms = lambda v, u: set(one(names.printed_forms(F.lit(v), F.lit(u))))
+    assert forms(0.05, "A") == {"0.05", "50"} and forms(45.0, "g") == {"45", "45.0"} and forms(2.0, "Ah") == {"2", "2000", "2.0"} and forms(1e6, "g") == {"1e+06", "1000000", "1000000.0"}
+    reply = lambda t: tuple(one(text.triage(F.lit(t))))
+    assert reply("yes - good  data") == ("yes", "good data") and reply(" No: x") == ("no", "x") and reply("maybe – y") == ("maybe", "y")
+    assert reply("  well " + "z" * 300) == ("unparsed", ("well " + "z" * 300)[:200]) and reply("yes:")[0] == "unparsed"

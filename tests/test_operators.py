@@ -172,12 +172,53 @@ def test_field_majority(spark):
     rows = [("k", 1, "t", "25"), ("k", 2, "t", " 25 "), ("k", 3, "t", "20"), ("k", 1, "u", "unspecified"), ("k", 2, "u", "x")]
     got = matching.field_majority(spark.createDataFrame(rows, "k string, run long, field string, value string"), ["k"]).collect()
     assert [(r["field"], r["value"], r["n"]) for r in got] == [("t", "25", 2)]
+    rows = [("k", 1, "t", "1 A"), ("k", 2, "t", "2 A"), ("k", 3, "t", "1.0 A"), ("k", 1, "u", "a or b"), ("k", 2, "u", "A or B "), ("k", 1, "v", "3 to 4"), ("k", 2, "v", "4 to 3")]
+    got = matching.field_majority(spark.createDataFrame(rows, "k string, run long, field string, value string"), ["k"]).collect()
+    assert sorted((r["field"], r["value"], r["n"]) for r in got) == [("t", "1 A", 2), ("u", "a or b", 2), ("v", "3 to 4", 2)]
+
+
+def test_life_of_series_with_odd_values(spark):
+    """NaN and infinity count as missing and as non-finite, and don't make a healthy cell look too large."""
+    rows = [("a", n, {20: float("nan"), 30: float("inf"), 40: None}.get(n, 1.1 - 0.001 * n)) for n in range(1, 400)]
+    got = series.lives(spark.createDataFrame(rows, "cell string, cycle long, q double"), "cell", "cycle", "q", F.lit(1.1)).first()
+    assert (got["odd"], got["flags"]) == (3, "non_finite_capacity") and abs(got["top"] - 1.099) < 1e-9 and 218 <= got["life"] <= 222
+
+
+def test_running_totals_and_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 400), rng.integers(0, 60, 400), strict=True)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r["g"]: r for r in stats.quantiles(df, "v", {"a": 0.0, "b": 0.41, "c": 1.0}, "g").collect()}
+    for g in range(3):
+        own = [v for k, v in rows if k == g]
+        assert got[g]["n"] == len(own) and np.allclose([got[g][c] for c in "abc"], np.percentile(own, [0, 41, 100]))
+    whole = stats.quantiles(df, "v", {"m": 0.5}).first()
+    assert abs(whole["m"] - np.median([v for _, v in rows])) < 1e-9
+    counts = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    down = {r["v"]: r["t"] for r in stats.running_totals(counts, "v", {"t": "n"}, descending=True).collect()}
+    assert all(t == sum(x >= v for _, x in rows) for v, t in down.items())
+
+
+def test_logrank_test(spark):
+    rows = [(float(t), 1, "a") for t in (1, 2, 3, 4, 5)] + [(float(t), 1, "b") for t in (4, 6, 8, 9, 10)]
+    got = stats.logrank_test(spark.createDataFrame(rows, "t double, e int, g string"), "t", "e", "g").first()
+    at = [(1, 5, 5, 1, 1), (2, 4, 5, 1, 1), (3, 3, 5, 1, 1), (4, 2, 5, 2, 1), (5, 1, 4, 1, 1), (6, 0, 4, 1, 0), (8, 0, 3, 1, 0), (9, 0, 2, 1, 0)]
+    o, e, v = 5, sum(d * a / (a + b) for _, a, b, d, _ in at), sum(d * (a + b - d) / (a + b - 1) * a * b / (a + b) ** 2 for _, a, b, d, _ in at)
+    assert abs(got["chi2"] - (o - e) ** 2 / v) < 1e-9
+    import math
+
+    assert abs(got["p"] - math.erfc(math.sqrt(got["chi2"] / 2))) < 1e-6
 
 
 def test_stitching_takes_pairs_from_the_left(spark):
     rows = [("d", 1, 3, 1, False), ("d", 2, 3, 1, False), ("d", 3, 3, 1, False), ("d", 4, 3, 2, False), ("d", 6, 3, 1, False)]
     got = sorted((r["first"], r["last"]) for r in matching.stitched(spark.createDataFrame(rows, "doc string, page long, n_cols int, n_quantity int, has_free boolean"), "doc", "page").collect())
     assert got == [(1, 2), (3, 3), (4, 4), (6, 6)]
+    rows = [("d", 1, 1, 3, 1, False), ("d", 1, 2, 3, 2, False), ("d", 2, 1, 3, 1, False), ("d", 2, 2, 3, 1, False), ("d", 3, 1, 3, 1, False)]
+    many = spark.createDataFrame(rows, "doc string, page long, at int, n_cols int, n_quantity int, has_free boolean")
+    assert sorted((r["first"], r["last"]) for r in matching.stitched(many, "doc", "page", "at").collect()) == [(1, 1), (1, 1), (2, 2), (2, 3)]
 
 
 def test_upsert_is_idempotent(spark):
