@@ -114,18 +114,55 @@ def test_memory_is_bounded():
 
 def base_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
-    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    found = [(m.start(), 0, m.end(), m[2]) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
     return sorted(found)
 
 
+def all_spans(texts, owners, most=20):
+    """Base spans and, of the long mixed tokens apart from them, those of one owner and few documents."""
+    found, held = {}, {}
+    for d, text in texts.items():
+        base = base_spans(text)
+        mixed = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_-]{28,}", text)]
+        mixed = [m for m in mixed if re.search("[0-9]", m[3]) and re.search("[A-Za-z]", m[3]) and not any(b[0] < m[2] and m[0] < b[2] for b in base)]
+        found[d] = base, mixed
+        for x in base + mixed:
+            held.setdefault(x[3], set()).add((owners[d], d))
+    live = {v for v, at in held.items() if len({o for o, _ in at}) == 1 and len({d for _, d in at}) <= most}
+    return {d: sorted(base + [m for m in mixed if m[3] in live]) for d, (base, mixed) in found.items()}
+
+
+def listed(spans):
+    return ",".join(f"{('assign', 'access', 'hex', 'live')[k]}:{s}:{e}" for s, k, e, _ in spans)
+
+
 def test_op10_base_spans(spark, texts):
     got = rows(queries.op10_secrets(spark, FOLDER))
     assert len(got) == len(texts)
     for d, text in texts.items():
         base = base_spans(text)
-        listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in base)
-        assert got[d]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
-        assert [got[d][f"n_{n}"] for n in ("assign", "access", "hex")] == [sum(k == i for _, k, _ in base) for i in range(3)]
-        assert set(filter(None, listed.split(","))) <= set(got[d]["spans"].split(","))
+        assert got[d]["base_sha256"] == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert [got[d][f"n_{n}"] for n in ("assign", "access", "hex")] == [sum(k == i for _, k, _, _ in base) for i in range(3)]
+    t = pq.read_table(f"{FOLDER}/documents.parquet").to_pydict()
+    expected = all_spans(texts, dict(zip(t["doc_id"], t["source"], strict=True)))
+    assert {d: r["spans"] for d, r in got.items()} == {d: listed(x) for d, x in expected.items()}
+
+
+def test_op10_owners_and_repositories(spark):
+    """A value of one owner is live up to 20 repositories; texts with many matches keep all their spans."""
+    import random
+
+    from attestor.llm import secrets
+
+    rng = random.Random(2)
+    token = lambda: "".join(rng.choice("abcXYZ019_-") for _ in range(30)) + "aZ9"
+    few, many, two = token(), token(), token()
+    texts = {d: f"x {few}" for d in range(20)} | {100 + d: f"é {many} y" for d in range(21)} | {200: two, 201: two}
+    texts[300] = " ".join(rng.choice([token(), "ab" * 12, "secret=abcdef", "AKIA" + "A1" * 10, "token: zz"]) for _ in range(3_000))
+    owners = dict.fromkeys(texts, "one") | {201: "other"}
+    docs = spark.createDataFrame([(d, t, owners[d]) for d, t in texts.items()], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find_secrets(docs)).collect()}
+    expected = {d: listed(x) for d, x in all_spans(texts, owners).items()}
+    assert got == expected and got[0] and not got[100] and not got[200] and got[300].count("live") > 400
