@@ -14,12 +14,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors in a block: each pair of blocks is one task's work, so memory stays bounded and only top rows leave it.
-BLOCK = 2_000
+BLOCK = 10_000
+#: Queries whose products with a block are in memory at once.
+AT_ONCE = 256
 
 
-def zscored(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``rows`` with each column less its mean and divided by its population deviation (1 where that is 0)."""
-    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+def scaling(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the mean and population deviation of each column."""
+    return rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+
+
+def zscored(rows: DataFrame, columns: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
+    """``rows`` with each column less its mean and divided by its deviation (1 where that is 0), their own unless ``stats`` is given."""
+    stats = scaling(rows, columns) if stats is None else stats
     z = {c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in columns}
     return rows.join(F.broadcast(stats)).withColumns(z).select(rows.columns)
 
@@ -35,8 +42,9 @@ def features(rows: DataFrame, id_col: str, group_col: str, columns: dict[str, Co
 def nearest(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = True, exclude_group: bool = False, size: int | None = None) -> DataFrame:
     """(src, dst, weight, same_group): the k bank rows nearest to each query row.
 
-    Exact.  Queries and bank are dealt into blocks, each pair of blocks is compared as a matrix in one task, and only its
-    k best rows for each query leave it.  Rows are excluded by id or group, never by distance.
+    Exact.  Queries and bank are dealt into blocks, each pair of blocks is one task's matrix product, whose nearest rows are
+    measured again without its rounding, and only the k best for each query leave it.  Rows are excluded by id or group,
+    never by distance.
     """
     n = size or bank.count()
     parts = max(1, math.ceil(n / BLOCK))
@@ -47,24 +55,32 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = Tr
     right = bank.select(*named, own.alias("j"), every.alias("i"))
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"src": [], "dst": [], "weight": [], "same_group": []}
+        parts = []
         if len(q) and len(b):
             b = b.sort_values("id_")
-            ids, groups, x = b["id_"].to_numpy(), b["grp_"].to_numpy(), np.stack(b["vec_"])
-            for src, group, v in zip(q["id_"], q["grp_"], q["vec_"], strict=True):
-                d = np.sqrt(((x - np.asarray(v)) ** 2).sum(axis=1))
-                allowed = np.ones(len(ids), bool)
+            ids, groups, x = b["id_"].to_numpy(), b["grp_"].to_numpy(), np.stack(b["vec_"]).astype(float)
+            norm = (x * x).sum(axis=1)
+            for at in range(0, len(q), AT_ONCE):
+                src, group, v = q["id_"].to_numpy()[at : at + AT_ONCE], q["grp_"].to_numpy()[at : at + AT_ONCE], np.stack(q["vec_"].iloc[at : at + AT_ONCE]).astype(float)
+                own = (v * v).sum(axis=1)
+                square = own[:, None] + norm[None, :] - 2 * (v @ x.T)
+                banned = np.zeros(square.shape, bool)
                 if exclude_self:
-                    allowed &= ids != src
+                    banned |= ids[None, :] == src[:, None]
                 if exclude_group:
-                    allowed &= groups != group
-                at = np.flatnonzero(allowed)
-                top = at[np.argsort(d[at], kind="stable")[:k]]
-                out["src"] += [src] * len(top)
-                out["dst"] += ids[top].tolist()
-                out["weight"] += (1 / (1 + d[top])).tolist()
-                out["same_group"] += (groups[top] == group).tolist()
-        return pd.DataFrame(out)
+                    banned |= groups[None, :] == group[:, None]
+                square[banned] = np.inf
+                worst = np.partition(square, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                near = (square <= (worst + 1e-9 * (own + norm.max() + 1))[:, None]) & ~banned  # room for the product's rounding
+                i, j = np.nonzero(near)
+                d = np.sqrt(((x[j] - v[i]) ** 2).sum(axis=1))
+                order = np.lexsort((j, d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.searchsorted(i, i, side="left")
+                top = np.arange(len(i)) - first < k
+                i, j, d = i[top], j[top], d[top]
+                parts.append(pd.DataFrame({"src": src[i], "dst": ids[j], "weight": 1 / (1 + d), "same_group": groups[j] == group[i]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "weight": [], "same_group": []})
 
     pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "src long, dst long, weight double, same_group boolean")
     return top_edges(pairs, k)
@@ -120,6 +136,20 @@ def neighbour_statistics(edges: DataFrame, targets: DataFrame, keys: Sequence[st
     )
 
 
+def query_features(queries: DataFrame, bank: DataFrame, columns: Sequence[str], k: int = 5, exclude_group: bool = False) -> DataFrame:
+    """(id, nbr_mean, nbr_std, mean_weight, coverage) of every query over its k nearest rows of the bank.
+
+    Both have (id, grp, columns), the bank also y.  Queries are scaled by the bank's means and deviations, so a query gets
+    the same features whatever comes with it; one that is in the bank itself is never its own neighbour.  Queries without
+    neighbours have no statistics and coverage 0.
+    """
+    stats = scaling(bank, columns)
+    packed = lambda rows: zscored(rows.select("id", "grp", *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=list(columns)), columns, stats).select("id", "grp", F.array(*columns).alias("vec"))
+    found = nearest(packed(queries), packed(bank), k, exclude_group=exclude_group)
+    known = neighbour_statistics(found, bank.select("id", "y")).withColumnRenamed("src", "id")
+    return queries.select("id").join(known, "id", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+
+
 def loo_coverage(edges: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
     """(id, coverage): of each bank row over the rest of the bank, its own group left out."""
     inside = edges.join(groups.select(F.col("id").alias("dst"), F.col("grp").alias("dst_grp")), "dst").join(groups.select(F.col("id").alias("src"), "grp"), "src")

@@ -110,6 +110,13 @@ def knn_query_topk(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(graph.nearest(v.where("id % 100 = 0"), v, 5, exclude_group=True))
 
 
+def query_graph_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbour statistics and coverage of every hundredth vector, scaled and searched over the whole bank."""
+    e = table(spark, folder, "embeddings")
+    bank = e.select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.log10(F.col("vec_id") + 100.0).alias("y"), *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in VIEWS["behavior"]])
+    return rounded(graph.query_features(bank.where("id % 100 = 0"), bank, [f"f{i}" for i in VIEWS["behavior"]]))
+
+
 def knn_distances(spark: SparkSession, folder: str) -> DataFrame:
     """The three smallest distances of every hundredth vector, in order."""
     v = _vectors(spark, folder)
@@ -231,7 +238,7 @@ def fold_wins(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "knn_coverage": knn_coverage, "knn_edges_behavior": knn_edges("behavior"), "knn_edges_condition": knn_edges("condition"),
-    "knn_neighbor_stats": knn_neighbor_stats, "knn_query_topk": knn_query_topk, "knn_distances": knn_distances, "loo_coverage_xgroup": loo_coverage_xgroup,
+    "knn_neighbor_stats": knn_neighbor_stats, "knn_query_topk": knn_query_topk, "query_graph_features": query_graph_features, "knn_distances": knn_distances, "loo_coverage_xgroup": loo_coverage_xgroup,
     "cross_set_edges": cross_set_edges, "logo_fold_features": logo_fold_features, "fold_thresholds": fold_thresholds, "gate_decisions": gate_decisions,
     "quantile_curve": quantile_curve, "cost_optimum": cost_optimum, "threshold_fallback": threshold_fallback, "fold_percentile": fold_percentile,
     "risk_coverage": risk_coverage, "aurc": aurc, "hybrid_gate": hybrid_gate, "coverage_signals_k": coverage_signals_k, "bottom_coverage": bottom_coverage,
@@ -272,6 +279,9 @@ ORACLE = {
                round(any_value(mean_weight), 6) AS mean_weight, round(any_value(coverage), 6) AS coverage FROM t JOIN m ON t.src = m.src GROUP BY t.src""",
     "knn_query_topk": f"""WITH {_B} SELECT src, dst, round(weight, 6) AS weight, same_group FROM
         (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM p WHERE NOT same_group AND src % 100 = 0) WHERE r <= 5""",
+    "query_graph_features": f"""WITH {_B}, n AS (SELECT p.src, p.weight, d.y, row_number() OVER (PARTITION BY p.src ORDER BY p.weight DESC, p.dst) AS r FROM p JOIN z d ON d.id = p.dst WHERE p.src % 100 = 0),
+        t AS (SELECT *, sum(weight * y) OVER w / sum(weight) OVER w AS m FROM n WHERE r <= 5 WINDOW w AS (PARTITION BY src))
+        SELECT src AS id, round(any_value(m), 6) AS nbr_mean, round(sqrt(sum(weight * (y - m) ^ 2) / sum(weight)), 6) AS nbr_std, round(avg(weight), 6) AS mean_weight, round(sum(weight), 6) AS coverage FROM t GROUP BY src""",
     "knn_distances": f"""WITH {_B} SELECT src, string_agg(CAST(round(1 / weight - 1, 4) AS VARCHAR), ';' ORDER BY weight DESC) AS distances FROM
         (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM p WHERE src % 100 = 0) WHERE r <= 3 GROUP BY src""",
     "loo_coverage_xgroup": f"WITH {_B}, {_LOO} SELECT * FROM loo",

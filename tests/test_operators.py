@@ -201,6 +201,34 @@ def test_running_totals_and_quantiles(spark):
     assert all(t == sum(x >= v for _, x in rows) for v, t in down.items())
 
 
+def test_query_features_use_the_bank(spark):
+    """A foreign query is scaled by the bank alone, and a twin counts unless it is the query itself."""
+    bank = spark.createDataFrame([(i, i % 2, float(i), float(i)) for i in range(10)], "id long, grp long, a double, y double")
+    one = spark.createDataFrame([(77, 5, 3.0), (4, 0, 4.0)], "id long, grp long, a double")
+    got = {r["id"]: r for r in graph.query_features(one, bank, ["a"], k=1).collect()}
+    more = one.unionByName(spark.createDataFrame([(78, 5, 1000.0)], one.schema))
+    again = {r["id"]: r for r in graph.query_features(more, bank, ["a"], k=1).collect()}
+    assert got[77]["nbr_mean"] == 3.0 and got[77]["coverage"] == 1.0 and again[77] == got[77] and again[78]["nbr_mean"] == 9.0
+    assert got[4]["nbr_mean"] == 3.0 and got[4]["coverage"] < 1.0
+
+
+def test_nearest_equals_plain_search(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-4, 5, size=(130, 3)).astype(float)
+    x[5] = x[6]
+    rows = [(i, i % 4, x[i].tolist()) for i in range(130)]
+    v = spark.createDataFrame(rows, "id long, grp long, vec array<double>")
+    got = {}
+    for r in graph.nearest(v, v, 4, exclude_group=True).collect():
+        got.setdefault(r["src"], []).append((-r["weight"], r["dst"]))
+    for i in range(130):
+        d = sorted((round(float(np.sqrt(((x[i] - x[j]) ** 2).sum())), 12), j) for j in range(130) if j % 4 != i % 4)[:4]
+        assert [j for _, j in d] == [j for _, j in sorted(got[i])]
+
+
 def test_logrank_test(spark):
     rows = [(float(t), 1, "a") for t in (1, 2, 3, 4, 5)] + [(float(t), 1, "b") for t in (4, 6, 8, 9, 10)]
     got = stats.logrank_test(spark.createDataFrame(rows, "t double, e int, g string"), "t", "e", "g").first()
