@@ -6,10 +6,13 @@ Aho-Corasick automaton that scans every whole document.  Around each hit the ite
 algorithm, whose least distance decides.
 
 Items are taken in blocks of bounded size (``BLOCK_CHARS``), each broadcast on its own, so a large benchmark means more
-passes, not more memory.  Documents are never shuffled.
+passes, not more memory.  A Python worker keeps the automaton of its last block.  Documents are never shuffled.
 
-Defined results: null texts are empty and match nothing; items under ``least`` characters are not searched, as they would
-match ordinary prose; a null item id stays null; repeated items and rows each count by themselves.
+Items under ``least`` characters say little with edits; they are found as they are, without edits and as whole words.
+
+Defined results: null texts are empty and match nothing; null and empty items are found nowhere; a null item id stays null;
+repeated items and rows each count by themselves; an empty table on either side gives no matches; other columns are
+left out of matches and kept by ``without_matches``.
 """
 
 from __future__ import annotations
@@ -71,11 +74,20 @@ class Myers:
         return best, at
 
 
+def _joined(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word; scripts that put no spaces between words have none."""
+    return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
+
+
+def _whole_words(text: str, start: int, end: int) -> bool:
+    return not (start and _joined(text[start - 1], text[start])) and not (end < len(text) and _joined(text[end - 1], text[end]))
+
+
 class Matcher:
     """The automaton of one block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float):
-        self.items, self.budgets = items, [budget(len(t), rate) for _, t in items]
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, least: int):
+        self.items, self.least, self.budgets = items, least, [budget(len(t), rate) if len(t) >= least else 0 for _, t in items]
         self.myers = [Myers(t) for _, t in items]
         self.automaton = ahocorasick.Automaton()
         for n, (_, text) in enumerate(items):
@@ -99,6 +111,8 @@ class Matcher:
                 if begin < -k or begin + len(item) > len(text) + k or n in found and not found[n][0]:
                     continue
                 if text.startswith(item, max(begin, 0)) and begin >= 0:
+                    if len(item) < self.least and not _whole_words(text, begin, begin + len(item)):
+                        continue
                     found[n] = (0, begin, begin + len(item))
                     continue
                 if not k or (n, begin) in tried:
@@ -111,12 +125,23 @@ class Matcher:
         return found
 
 
-def blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int | None, str]]]:
+_last: list = [None, None, None]
+
+
+def matcher(items: Broadcast, rate: float, least: int) -> Matcher:
+    """The automaton of a broadcast block, kept in the Python worker until another one is asked for."""
+    value = items.value
+    if _last[0] is not value or _last[1] != (rate, least):
+        _last[:] = value, (rate, least), Matcher(value, rate, least)
+    return _last[2]
+
+
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items in order of their ids, in blocks of at most ``BLOCK_CHARS`` characters (or one longer item)."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         item = normal(r["text"])
-        if len(item) >= least:
+        if item:
             if block and size + len(item) > BLOCK_CHARS:
                 yield block
                 block, size = [], 0
@@ -131,15 +156,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: in
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], MATCHES)
-    for block in blocks(benchmark, least):
+    for block in blocks(benchmark):
         items = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(items.value, rate)
+            m = matcher(items, rate, least)
             for b in batches:
                 rows = []
                 for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                    for n, (distance, start, end) in matcher.find(normal(text)).items():
+                    for n, (distance, start, end) in m.find(normal(text)).items():
                         rows.append((None if pd.isna(doc) else doc, items.value[n][0], distance, start, end))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
@@ -150,16 +175,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: in
 def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no item."""
     kept = docs
-    for block in blocks(benchmark, least):
-        kept = kept.where(_clean(docs.sparkSession.sparkContext.broadcast(block), rate)(F.col("text")))
+    for block in blocks(benchmark):
+        kept = kept.where(_clean(docs.sparkSession.sparkContext.broadcast(block), rate, least)(F.col("text")))
     return kept
 
 
-def _clean(items: Broadcast, rate: float):
+def _clean(items: Broadcast, rate: float, least: int):
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(items.value, rate)
+        m = matcher(items, rate, least)
         for t in texts:
-            yield pd.Series([not matcher.find(normal(x)) for x in t], dtype=bool)
+            yield pd.Series([not m.find(normal(x)) for x in t], dtype=bool)
 
     return clean

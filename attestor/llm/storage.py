@@ -19,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder; set here only where the session has none."""
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="attestor-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -37,6 +39,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+class Scratch:
+    """A folder for the tables between an operator's jobs, deleted when the ``with`` block ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.tables = spark, fresh(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.root)
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` below the folder and read it again."""
+        self.tables += 1
+        at = f"{self.root}/{self.tables:03d}-{name}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     """Delete a folder that :func:`fresh` named; a missing one is fine."""
     jvm = spark.sparkContext._jvm

@@ -109,12 +109,12 @@ def candidate_terms(words: list[str]) -> set[str]:
     return out
 
 
-def learn_lexicon(train: DataFrame, least_families: int = 5, least_gain: float = 25.0, max_terms: int = 5_000) -> Lexicon:
+def learn_lexicon(train: DataFrame, least_families: int = 5, least_gain: float = 25.0) -> Lexicon:
     """Terms that training labels mark as toxic.
 
     ``train`` has (text, y) and is a bounded sample.  Support is counted in families of copies, not rows, so that a text
-    copied often does not push its own words in.  ``least_gain`` bounds the likelihood ratio statistic from below;
-    ``max_terms`` is the lexicon's size, best terms first.
+    copied often does not push its own words in.  ``least_gain`` bounds the likelihood ratio statistic from below.  The
+    lexicon is as large as the sample's words make it.
     """
 
     def one_per_family(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,8 +144,6 @@ def learn_lexicon(train: DataFrame, least_families: int = 5, least_gain: float =
         counted.where((F.col("pos") >= least_families) & (pos / p > 10 * (neg + 0.5) / (n - p)))
         .withColumn("gain", gain)
         .where(F.col("gain") >= least_gain)
-        .orderBy(F.desc("gain"), "term")
-        .limit(max_terms)
     )
     found = [r["term"] for r in marked.select("term").collect()]
     return Lexicon(SEED, frozenset(t[1:] for t in found if t[0] == "=") - SEED, frozenset(t for t in found if t[0] != "="))
@@ -169,8 +167,9 @@ def fit(train: DataFrame) -> Model:
     y, part = (rows["y"].to_numpy() > 0).astype(float), rows["part"].to_numpy()
     fitted = part != 0 if 0 < y[part != 0].sum() < (part != 0).sum() else np.ones(len(y), bool)
     forest = boosting.fit(x[fitted], y[fitted], trees=60, depth=3)
-    checked = ~fitted if y[~fitted].sum() >= 5 else np.ones(len(y), bool)
-    return Model(lexicon, forest, boosting.isotonic(forest.probability(x[checked]), y[checked]))
+    if y[~fitted].sum() < 5:  # too few rows to calibrate on: the trees' probabilities stay as they are
+        return Model(lexicon, forest)
+    return Model(lexicon, forest, boosting.isotonic(forest.probability(x[~fitted]), y[~fitted]))
 
 
 def scorer(spark: SparkSession, model: Model):
