@@ -22,28 +22,56 @@ def risk_coverage(rows: DataFrame, coverage: str, square: str) -> DataFrame:
 
     One total per threshold and running sums over the thresholds, instead of a comparison of every row with each.
     """
-    totals = rows.groupBy(F.col(coverage).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("sq"))
-    every = rows.agg(F.count(F.lit(1)).alias("all"))
-    out = running_totals(totals, "threshold", {"n_retained": "n", "s": "sq"}, descending=True).join(F.broadcast(every))
-    return out.select("threshold", "n_retained", (F.col("n_retained") / F.col("all")).alias("frac_retained"), F.sqrt(F.col("s") / F.col("n_retained")).alias("rmse_retained"))
+    return _retained(rows.groupBy(F.col(coverage).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("sq")))
 
 
-def area(curve: DataFrame, lo: float = 0.2, hi: float = 1.0, points: int = 161) -> DataFrame:
-    """(aurc): the mean risk over a grid of retentions, by trapezoids of the interpolated curve, held at its ends."""
-    step = (hi - lo) / (points - 1)
+def _retained(totals: DataFrame, within: str | None = None) -> DataFrame:
+    """The curve of totals (threshold, n, sq), for each group ``within``."""
+    groups = [within] if within else []
+    every = totals.groupBy(*groups).agg(F.sum("n").alias("all"))
+    summed = running_totals(totals, "threshold", {"n_retained": "n", "s": "sq"}, descending=True, within=within)
+    out = summed.join(every, groups) if within else summed.join(F.broadcast(every))
+    return out.select(*groups, "threshold", "n_retained", (F.col("n_retained") / F.col("all")).alias("frac_retained"), F.sqrt(F.col("s") / F.col("n_retained")).alias("rmse_retained"))
+
+
+def area(curve: DataFrame, lo: float = 0.2, hi: float = 1.0, points: int = 161, within: str | None = None) -> DataFrame:
+    """(within, aurc): the mean risk over a grid of retentions, by trapezoids of the interpolated curve, held at its ends.
+
+    Of the curve only the first and last point between two grid points matter, so windows hold ``points`` rows each.
+    """
+    step, groups = (hi - lo) / (points - 1), [within] if within else []
     x, y = F.col("frac_retained"), F.col("rmse_retained")
     cell = F.greatest(F.lit(0), F.least(F.lit(points), F.floor((x - lo) / step) + 1))  # cell i lies below grid point i
-    ends = curve.groupBy(cell.alias("i")).agg(F.min_by(F.struct(x.alias("x"), y.alias("y")), x).alias("first"), F.max_by(F.struct(x.alias("x"), y.alias("y")), x).alias("last"))
-    grid = curve.sparkSession.range(points + 1).withColumnRenamed("id", "i").join(F.broadcast(ends), "i", "left")  # so many rows in all
-    w = Window.orderBy("i")
+    point = F.struct(x.alias("x"), y.alias("y"))
+    ends = curve.groupBy(*groups, cell.alias("i")).agg(F.min_by(point, x).alias("first"), F.max_by(point, x).alias("last"))
+    grid = curve.sparkSession.range(points + 1).withColumnRenamed("id", "i")
+    grid = curve.select(*groups).distinct().join(F.broadcast(grid)) if within else grid
+    w = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("i")
     under = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     over = F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    on = grid.select("i", (lo + F.col("i") * step).alias("g"), under.alias("a"), over.alias("b")).where(F.col("i") < points)
+    on = grid.join(ends, [*groups, "i"], "left").select(*groups, "i", (lo + F.col("i") * step).alias("g"), under.alias("a"), over.alias("b")).where(F.col("i") < points)
     between = F.col("a.y") + (F.col("g") - F.col("a.x")) / (F.col("b.x") - F.col("a.x")) * (F.col("b.y") - F.col("a.y"))
-    held = on.select("i", "g", F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("a.x") == F.col("g")), F.col("a.y")).otherwise(between).alias("y"))
-    w = Window.orderBy("i")
-    pieces = held.select(((F.col("y") + F.lead("y").over(w)) / 2 * (F.lead("g").over(w) - F.col("g"))).alias("a"))
-    return pieces.agg((F.sum("a") / (hi - lo)).alias("aurc"))
+    held = on.select(*groups, "i", "g", F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("a.x") == F.col("g")), F.col("a.y")).otherwise(between).alias("y"))
+    pieces = held.select(*groups, ((F.col("y") + F.lead("y").over(w)) / 2 * (F.lead("g").over(w) - F.col("g"))).alias("a"))
+    return pieces.groupBy(*groups).agg((F.sum("a") / (hi - lo)).alias("aurc"))
+
+
+def bootstrap_area(rows: DataFrame, coverage: str, square: str, fold: str = "fold", replicates: int = 200, seed: int = 42) -> DataFrame:
+    """(point, n, lo, hi): the area under the risk-coverage curve and its 95 % interval over folds drawn with replacement.
+
+    A replicate weighs each fold's totals by how often its hash draws the fold, so no row is copied.
+    """
+    totals = rows.groupBy(F.col(fold).alias("fold"), F.col(coverage).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("sq")).persist()
+    whole = totals.groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("sq").alias("sq"))
+    point = area(_retained(whole)).select(F.col("aurc").alias("point"))
+    folds = totals.select("fold").distinct()
+    numbered = folds.withColumn("i", F.row_number().over(Window.orderBy("fold")) - 1)
+    size = folds.agg(F.count(F.lit(1)).alias("folds"))
+    draws = rows.sparkSession.range(replicates).withColumnRenamed("id", "rep").join(F.broadcast(size)).select("rep", "folds", F.explode(F.sequence(F.lit(0), F.col("folds").cast("int") - 1)).alias("place"))
+    drawn = draws.groupBy("rep", F.pmod(F.xxhash64("rep", "place", F.lit(seed)), F.col("folds")).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("times"))
+    picked = totals.join(drawn.join(numbered, "i"), "fold")
+    each = picked.groupBy("rep", "threshold").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.col("sq") * F.col("times")).alias("sq"))
+    return point.join(quantiles(area(_retained(each, "rep"), within="rep"), "aurc", {"lo": 0.025, "hi": 0.975}))
 
 
 def fold_banks(edges: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
@@ -93,6 +121,28 @@ def cheapest(curve: DataFrame, ratios: list[float]) -> DataFrame:
     return best.select("ratio", "best.q", "best.cost")
 
 
+def excess_cost(curve: DataFrame, ratios: list[float], q: float) -> DataFrame:
+    """(ratio, cost, least, excess_pct): what one q of the curve costs beyond the best one, for each cost ratio."""
+    table = curve.sparkSession.createDataFrame([(r,) for r in ratios], "ratio double")
+    cost = F.col("ratio") * (1 - F.col("retention")) + F.col("error_share")
+    each = curve.crossJoin(F.broadcast(table)).groupBy("ratio").agg(F.max(F.when(F.col("q") == q, cost)).alias("cost"), F.min(cost).alias("least"))
+    return each.select("ratio", "cost", "least", (100 * (F.col("cost") / F.nullif("least", F.lit(0.0)) - 1)).alias("excess_pct"))
+
+
+def implied_ratio(curve: DataFrame, ratios: list[float], q: float, tolerance: float = 5.0) -> DataFrame:
+    """One row: the cost ratios at which q is the optimum, those where it costs at most ``tolerance`` per cent more, the
+    ratio whose optimum is closest to q, and where its excess is least; the smaller ratio on a tie."""
+    both = cheapest(curve, ratios).select("ratio", F.col("q").alias("best_q")).join(excess_cost(curve, ratios, q), "ratio")
+    hit, near, gap = F.col("best_q") == q, F.col("excess_pct") <= tolerance, F.abs(F.col("best_q") - q)
+    at = lambda cond, agg: agg(F.when(cond, F.col("ratio")))
+    return both.agg(
+        F.coalesce(F.bool_or(hit), F.lit(False)).alias("exactly_optimal"), at(hit, F.min).alias("ratio_lo"), at(hit, F.max).alias("ratio_hi"),
+        F.min_by("ratio", F.struct(gap, "ratio")).alias("closest_ratio"), F.min_by("best_q", F.struct(gap, "ratio")).alias("closest_q"),
+        F.min("excess_pct").alias("min_excess_pct"), F.min_by("ratio", F.struct(F.round("excess_pct", 6), "ratio")).alias("ratio_at_min_excess"),
+        at(near, F.min).alias("near_lo"), at(near, F.max).alias("near_hi"),
+    )
+
+
 def bank_threshold(edges: DataFrame, groups: DataFrame, q: float, k: int = 5, least: int = 5) -> DataFrame:
     """(grp, n, threshold, whole): per group its own percentile, or the whole bank's where it has under ``least`` rows."""
     bank = loo_coverage(edges, groups, k)

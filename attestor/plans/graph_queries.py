@@ -161,6 +161,16 @@ def threshold_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(gate.bank_threshold(_edges(spark, folder), _groups(spark, folder), 41, least=50))
 
 
+def excess_costs(spark: SparkSession, folder: str) -> DataFrame:
+    """What the deployed percentile (41) costs beyond the best one, for each cost ratio."""
+    return rounded(gate.excess_cost(gate.quantile_curve(_predictions(spark, folder), _banks(spark, folder), QS, "square"), RATIOS, 41.0))
+
+
+def implied_cost_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """The cost ratios that the deployed percentile (41) implies."""
+    return rounded(gate.implied_ratio(gate.quantile_curve(_predictions(spark, folder), _banks(spark, folder), QS, "square"), RATIOS, 41.0))
+
+
 def fold_percentile(spark: SparkSession, folder: str) -> DataFrame:
     """Mean percentile rank of each prediction's coverage in its fold's bank."""
     return rounded(gate.percentile_of(_predictions(spark, folder), _banks(spark, folder)))
@@ -240,7 +250,7 @@ QUERIES = {
     "knn_coverage": knn_coverage, "knn_edges_behavior": knn_edges("behavior"), "knn_edges_condition": knn_edges("condition"),
     "knn_neighbor_stats": knn_neighbor_stats, "knn_query_topk": knn_query_topk, "query_graph_features": query_graph_features, "knn_distances": knn_distances, "loo_coverage_xgroup": loo_coverage_xgroup,
     "cross_set_edges": cross_set_edges, "logo_fold_features": logo_fold_features, "fold_thresholds": fold_thresholds, "gate_decisions": gate_decisions,
-    "quantile_curve": quantile_curve, "cost_optimum": cost_optimum, "threshold_fallback": threshold_fallback, "fold_percentile": fold_percentile,
+    "quantile_curve": quantile_curve, "cost_optimum": cost_optimum, "excess_costs": excess_costs, "implied_cost_ratio": implied_cost_ratio, "threshold_fallback": threshold_fallback, "fold_percentile": fold_percentile,
     "risk_coverage": risk_coverage, "aurc": aurc, "hybrid_gate": hybrid_gate, "coverage_signals_k": coverage_signals_k, "bottom_coverage": bottom_coverage,
     "optional_match_topk": optional_match_topk, "query_snapshot": query_snapshot, "edge_counts": edge_counts, "spearman_coverage": spearman_coverage,
     "fold_wins": fold_wins,
@@ -294,6 +304,15 @@ ORACLE = {
     "cost_optimum": f"""{_PRED}, {_CURVE}, rt AS (SELECT * FROM (VALUES {", ".join(f"({r}::DOUBLE)" for r in RATIOS)}) v(ratio)),
         c AS (SELECT ratio, q, round(ratio * (1 - retention) + error_share, 9) AS cost FROM curve, rt)
         SELECT ratio, q::DOUBLE AS q, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY ratio ORDER BY cost, q) AS r FROM c) WHERE r = 1""",
+    "excess_costs": f"""{_PRED}, {_CURVE}, rt AS (SELECT * FROM (VALUES {", ".join(f"({r}::DOUBLE)" for r in RATIOS)}) v(ratio)),
+        c AS (SELECT ratio, q, ratio * (1 - retention) + error_share AS cost FROM curve, rt), x AS (SELECT ratio, max(cost) FILTER (q = 41) AS cost, min(cost) AS least FROM c GROUP BY 1)
+        SELECT ratio, round(cost, 6) AS cost, round(least, 6) AS least, round(100 * (cost / least - 1), 6) AS excess_pct FROM x""",
+    "implied_cost_ratio": f"""{_PRED}, {_CURVE}, rt AS (SELECT * FROM (VALUES {", ".join(f"({r}::DOUBLE)" for r in RATIOS)}) v(ratio)),
+        c AS (SELECT ratio, q::DOUBLE AS q, ratio * (1 - retention) + error_share AS cost FROM curve, rt),
+        x AS (SELECT ratio, arg_min(q, round(cost, 9) * 1e6 + q * 1e-6) AS best_q, 100 * (max(cost) FILTER (q = 41) / min(cost) - 1) AS e FROM c GROUP BY 1)
+        SELECT bool_or(best_q = 41) AS exactly_optimal, min(ratio) FILTER (best_q = 41) AS ratio_lo, max(ratio) FILTER (best_q = 41) AS ratio_hi,
+        arg_min(ratio, abs(best_q - 41) * 1e3 + ratio) AS closest_ratio, arg_min(best_q, abs(best_q - 41) * 1e3 + ratio) AS closest_q, round(min(e), 6) AS min_excess_pct,
+        arg_min(ratio, round(e, 6) * 1e6 + ratio) AS ratio_at_min_excess, min(ratio) FILTER (e <= 5) AS near_lo, max(ratio) FILTER (e <= 5) AS near_hi FROM x""",
     "threshold_fallback": f"""WITH {_B}, {_LOO} SELECT grp, count(*) AS n,
         round(CASE WHEN count(*) < 50 THEN (SELECT quantile_cont(coverage, 0.41) FROM loo) ELSE quantile_cont(coverage, 0.41) END, 6) AS threshold, count(*) < 50 AS whole FROM loo GROUP BY grp""",
     "fold_percentile": f"""{_PRED} SELECT pr.fold, pr.id, round((count(*) FILTER (b.coverage < pr.coverage) + count(*) FILTER (b.coverage <= pr.coverage)) / 2 / count(*) * 100, 6) AS percentile

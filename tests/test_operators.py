@@ -201,6 +201,17 @@ def test_running_totals_and_quantiles(spark):
     assert all(t == sum(x >= v for _, x in rows) for v, t in down.items())
 
 
+def test_bootstrap_of_the_area(spark):
+    """The point is the curve's own area, the interval encloses the folds' spread, and equal errors give one flat curve."""
+    rows = [(i % 5, float(i), 4.0 if i % 5 == 0 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "fold long, c double, s double")
+    got = gate.bootstrap_area(df, "c", "s", replicates=40).first()
+    assert abs(got["point"] - gate.area(gate.risk_coverage(df, "c", "s")).first()["aurc"]) < 1e-9
+    assert got["n"] == 40 and 1.0 <= got["lo"] < got["point"] < got["hi"] <= 2.0
+    flat = gate.bootstrap_area(df.withColumn("s", F.lit(9.0)), "c", "s", replicates=10).first()
+    assert abs(flat["lo"] - 3) < 1e-9 and abs(flat["hi"] - 3) < 1e-9 and abs(flat["point"] - 3) < 1e-9
+
+
 def test_query_features_use_the_bank(spark):
     """A foreign query is scaled by the bank alone, and a twin counts unless it is the query itself."""
     bank = spark.createDataFrame([(i, i % 2, float(i), float(i)) for i in range(10)], "id long, grp long, a double, y double")
