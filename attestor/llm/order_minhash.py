@@ -272,9 +272,10 @@ def _open(torn: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
             rows, roots = (np.repeat(b.column(i).to_numpy(), sizes) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(roots), pa.array(np.concatenate(own))], ["row", "root", "kmer"])
 
-    each = scratch.saved(torn.join(texts, "row").select("row", "root", "words").mapInArrow(unpacked, "row long, root long, kmer long"), "kmers")
+    # not stored, as unpacking twice takes less than all k-mers on disk
+    each = torn.join(texts, "row").select("row", "root", "words").mapInArrow(unpacked, "row long, root long, kmer long")
     shared = each.groupBy("kmer").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("kmer")
-    able = each.join(shared, "kmer", "left_semi").groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("able"))
+    able = each.select("row", "kmer").join(shared, "kmer", "left_semi").groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("able"))
     least_partner = F.greatest(F.col("shortest").cast("double"), 0.8 * F.col("kmers"))
     open_rows = torn.join(able, "row").where(9 * F.col("able") >= 4 * (F.col("kmers") + least_partner) - 1e-6)
     return scratch.saved(open_rows.select("row", "root", "kmers", "able"), "open")
