@@ -1,15 +1,10 @@
-"""Decontamination and the corpus pipeline against plain versions, stage by stage, and their odd rows."""
-
-import base64
-import hashlib
+"""Decontamination against the full table of edit distances, trees against a plain walk, and the odd rows of the pipeline's stages."""
 
 import numpy as np
-import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 
 from attestor.llm import boosting, decontaminate, queries
-from tests.llm.test_near_dedup import brute_classes
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -83,43 +78,6 @@ def test_trees_equal_a_plain_walk():
         assert abs(p - 1 / (1 + np.exp(-margin))) < 1e-12
 
 
-def without_repeated_lines(texts):
-    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
-    holders = {}
-    for d, t in texts.items():
-        for line in (t or "").split("\n"):
-            if len(key(line)) >= 10:
-                holders.setdefault(key(line), set()).add(d)
-    gone = {k: min(ds) for k, ds in holders.items() if len(ds) > 1}
-    return {d: "\n".join(x for x in (t or "").split("\n") if gone.get(key(x), d) == d) for d, t in texts.items()}
-
-
-def test_pipeline_equals_plain_stages(spark, tables, tmp_path):
-    import corpus_pipeline
-    import tiktoken
-
-    by_name, stages = lambda rows: {r["doc_id"]: r["text"] for r in rows}, dict(corpus_pipeline.STAGES)
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    kept = {}
-    for name in ("toxicity", "line_dedup", "near_dedup", "decontamination"):
-        docs.write.parquet(f"{tmp_path}/{name}")
-        docs = stages[name](spark, spark.read.parquet(f"{tmp_path}/{name}"), FOLDER)
-        kept[name] = by_name(docs.collect())
-    assert 0 < len(kept["toxicity"]) < len(tables[0]) and kept["toxicity"].items() <= tables[0].items()
-    assert kept["line_dedup"] == without_repeated_lines(kept["toxicity"])
-    classes = brute_classes(kept["line_dedup"])
-    assert kept["near_dedup"] == {d: t for d, t in kept["line_dedup"].items() if classes[d] == d}
-    long = {d for d, t in kept["near_dedup"].items() if len(t) >= 6_000}
-    leaks = {d for d, _ in plain_matches({d: t for d, t in kept["near_dedup"].items() if d not in long}, tables[1])}
-    assert kept["decontamination"].keys() - long == kept["near_dedup"].keys() - long - leaks and leaks
-    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, FOLDER).collect()}
-    ids = {d: np.array(library.encode_ordinary(t), "<u4") for d, t in kept["decontamination"].items()}
-    assert got == {d: (len(x), hashlib.sha256(x.tobytes()).hexdigest()) for d, x in ids.items()}
-
-
 def test_stages_take_odd_rows_and_empty_tables(spark):
     import corpus_pipeline
 
