@@ -16,15 +16,15 @@ class Remembered(dict):
     So what recurs stays, and what does not is forgotten after a while.  Values too large to keep are made anew each time.
     """
 
-    def __init__(self, make: Callable, room: int):
+    def __init__(self, make: Callable, room: int, sizeof: Callable = getsizeof):
         super().__init__()
-        self.make, self.room, self.left, self.old = make, room // 2, room // 2, {}
+        self.make, self.room, self.left, self.old, self.sizeof = make, room // 2, room // 2, {}, sizeof
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        size = ENTRY + getsizeof(key) + getsizeof(value)
+        size = ENTRY + getsizeof(key) + self.sizeof(value)
         if size <= self.room // 16:
             self.left -= size
             if self.left < 0:
