@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import alignment, bpe, decontaminate, exact_dedup, line_dedup, order_minhash, quality, secrets, token_files, toxicity, warc
+from attestor.llm import alignment, bpe, decontaminate, exact_dedup, licenses, line_dedup, order_minhash, quality, secrets, token_files, toxicity, warc
 from attestor.llm.labelled import remainder
 
 
@@ -78,6 +78,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
 
 
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses that every document names or holds."""
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Where two tokenizers agree on every document, and how usual their links are."""
     return alignment.align(
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
+    "op12_licenses": op12_licenses,
     "op13_alignment": op13_alignment,
 }
 ORACLE: dict[str, str] = {
