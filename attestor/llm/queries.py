@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import alignment, bpe, decontaminate, exact_dedup, licenses, line_dedup, order_minhash, quality, secrets, token_files, toxicity, warc
+from attestor.llm import alignment, bpe, conversation_trie, decontaminate, exact_dedup, licenses, line_dedup, order_minhash, quality, secrets, token_files, toxicity, warc
 from attestor.llm.labelled import remainder
 
 
@@ -78,6 +78,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_table(spark, folder, "documents")))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, the first turns of which are shared within each hundred of ids."""
+    return conversation_trie.of_regrown(_table(spark, folder, "conversations"))
+
+
 def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licenses that every document names or holds."""
     return licenses.scan(_table(spark, folder, "documents"))
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_licenses": op12_licenses,
     "op13_alignment": op13_alignment,
 }
@@ -127,4 +133,27 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    # crc32 of a conversation's id bit by bit; prefixes as lists of turns
+    "op11_conversation_trie": """
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (SELECT c, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+                     lambda a, d: list_reduce([xor(a, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, n: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+              FROM (SELECT DISTINCT c FROM t)),
+        s AS (SELECT c, xor(crc, 4294967295) % 6 AS h FROM h),
+        r AS (SELECT s.c, t.pos, t.role, t.text FROM s JOIN t ON t.c = s.c - s.c % 100 AND t.pos <= s.h
+              UNION ALL SELECT s.c, t.pos + 1000000 AS pos, t.role, t.text FROM s JOIN t ON t.c = s.c AND t.pos > s.h),
+        p AS (SELECT c, row_number() OVER w AS depth, list(row(role, text)) OVER w AS path, length(text) AS chars, count(*) OVER (PARTITION BY c) AS n
+              FROM r WINDOW w AS (PARTITION BY c ORDER BY pos)),
+        m AS (SELECT c, depth, md5(path::VARCHAR) || depth AS k, md5(path[:-2]::VARCHAR) || (depth - 1) AS up, chars, n FROM p
+              UNION ALL SELECT s.c, 0, 'root', NULL, 0, (SELECT count(*) FROM r WHERE r.c = s.c) FROM s),
+        g AS (SELECT k, CASE WHEN depth = 1 THEN 'root' ELSE up END AS up, depth, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+                     sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = depth), '')) AS ends_sha256
+              FROM m GROUP BY ALL),
+        f AS (SELECT g.*, (SELECT count(*) FROM g AS x WHERE x.up = g.k) AS n_children FROM g),
+        a AS (SELECT DISTINCT x.k, y.k AS below FROM m AS x JOIN m AS y ON x.c = y.c AND y.depth >= x.depth),
+        o AS (SELECT a.k, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars)::BIGINT AS saved_tokens FROM a JOIN f ON f.k = a.below GROUP BY a.k)
+        SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, o.n_leaves, o.saved_tokens, f.ends_sha256
+        FROM f JOIN o ON o.k = f.k LEFT JOIN f AS u ON u.k = f.up""",
 }

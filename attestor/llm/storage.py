@@ -44,6 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.tables = spark, fresh(spark, name), 0
+        self.places: dict[int, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -51,12 +52,19 @@ class Scratch:
     def __exit__(self, *_) -> None:
         remove(self.spark, self.root)
 
-    def saved(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` below the folder and read it again."""
+    def saved(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write ``df`` below the folder, in folders by the columns ``by``, and read it again."""
         self.tables += 1
         at = f"{self.root}/{self.tables:03d}-{name}"
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        (df.write.partitionBy(*by) if by else df.write).parquet(at)
+        read = self.spark.read.schema(df.schema).parquet(at)
+        self.places[id(read)] = read, at
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that :meth:`saved` returned; nothing that reads them may run after that."""
+        for t in tables:
+            remove(self.spark, self.places.pop(id(t))[1])
 
 
 def remove(spark: SparkSession, uri: str) -> None:
