@@ -65,13 +65,19 @@ class CuckooFilter:
         return True
 
     def delete(self, h: np.ndarray) -> None:
-        """Take one copy of each key out."""
-        for fp, at in zip(*self._places(h), strict=True):
-            for place in (at, self._other(np.array([fp]), np.array([at]))[0]):
-                slots = np.flatnonzero(self.table[place] == fp)
-                if len(slots):
-                    self.table[place, slots[0]] = 0
-                    break
+        """Take one copy of each key out, at its first place or else at its other one."""
+        fp, at = self._places(h)
+        for _ in range(2):
+            order = np.lexsort((fp, at))
+            fp, at = fp[order], at[order]
+            alike = np.r_[False, (at[1:] == at[:-1]) & (fp[1:] == fp[:-1])] if len(fp) else np.zeros(0, bool)
+            n = np.arange(len(fp))
+            rank = n - np.maximum.accumulate(np.where(alike, 0, n))  # the how manieth of equal keys
+            held = self.table[at] == fp[:, None]
+            nth = np.cumsum(held, axis=1)
+            found = nth[:, -1] > rank
+            self.table[at[found], np.argmax(nth > rank[:, None], axis=1)[found]] = 0
+            fp, at = fp[~found], self._other(fp[~found], at[~found])
 
     def to_bytes(self) -> bytes:
         return self.table.tobytes()

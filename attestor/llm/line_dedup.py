@@ -13,6 +13,11 @@ sums of changes, smallest ids the smaller of two.  Deleting finds the documents'
 their smallest document look for the next one.  Keys that become shared enter their shard's filter, keys that stop being
 shared leave it; filters of other shards stay as they are.
 
+After ``VERSIONS`` batches the versions of the references become one, and the logs one set of held pairs, in partitions by
+document: a batch reads the short logs since and the partitions that its documents fall in.  Pairs that were taken back are
+gone then.  What a batch writes counts only once all of it is written, so a batch that fails changes nothing.  Replaced files
+stay until the next compaction, so results of ``probe`` have to be read before ``VERSIONS`` further batches.
+
 Documents probe the filters first; only keys that pass (shared ones and rare false positives) are joined with the
 references, which decide.
 
@@ -49,6 +54,7 @@ SHARD_KEYS = 500_000
 #: So many versions of the references at most are read side by side.
 VERSIONS = 8
 REFERENCES = "digest binary, first_doc long, refs long, part int"
+CHANGES = "digest binary, doc long, change int"
 
 
 def line_key(line: bytes) -> bytes:
@@ -95,44 +101,44 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, shards: int = 64, parts: int = 64):
         self.spark, self.root, self.shards, self.parts, self.version = spark, fresh(spark, "lines"), shards, parts, 0
+        self.held: str | None = None
         self.log: list[str] = []
-        self.docs: list[str] = []
         self.versions: list[str] = []
         self.filters: dict[int, str] = {}
+        self.replaced: list[str] = []
         self.n_shared = 0
 
     def insert(self, docs: DataFrame) -> None:
         """Add documents; those that the index holds already gain what they didn't have."""
         added = postings(docs).groupBy("digest", "doc").agg(F.lit(1).alias("change"))
-        if self.log:
-            known = self._read(self.docs, "doc long").join(docs.select(_doc().alias("doc")), "doc", "left_semi")
-            if not known.isEmpty():
-                added = added.join(self._present(self._logged().join(known, "doc", "left_semi")), ["digest", "doc"], "left_anti")
-        ids = self._path("docs")
-        docs.select(_doc().alias("doc")).distinct().write.parquet(ids)
-        added = self._append(added)
-        self.docs.append(ids)
+        if self.versions:
+            own = docs.select(_doc().alias("doc")).distinct()
+            known = self._present(self._logged(own).join(own, "doc", "left_semi"))
+            added = added.join(known, ["digest", "doc"], "left_anti")
+        path, added = self._written(added)
         delta = added.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
         old = self._touched(delta)
         refs = F.coalesce("refs", F.lit(0))
-        self._update(old.select("digest", "part", F.least("first_doc", "first").alias("first_doc"), (refs + F.col("n")).alias("refs"), refs.alias("was")))
+        self._update(path, old.select("digest", "part", F.least(F.when(refs > 0, F.col("first_doc")), "first").alias("first_doc"), (refs + F.col("n")).alias("refs"), refs.alias("was")))
 
     def delete(self, docs: DataFrame) -> None:
         """Take documents (by doc_id) out again: all is as if they had never been inserted."""
-        if not self.log:
+        if not self.versions:
             return
         gone = docs.select(_doc().alias("doc")).distinct()
-        removed = self._append(self._present(self._logged().join(gone, "doc", "left_semi")).withColumn("change", F.lit(-1)))
+        path, removed = self._written(self._present(self._logged(gone).join(gone, "doc", "left_semi")).withColumn("change", F.lit(-1)))
         delta = removed.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
         old = self._touched(delta).withColumn("left", F.col("refs") - F.col("n"))
         orphans = old.where("first <= first_doc and left > 0").select("digest")
-        heirs = self._present(self._logged().join(orphans, "digest", "left_semi")).groupBy("digest").agg(F.min("doc").alias("heir"))
-        self._update(old.join(heirs, "digest", "left").select("digest", "part", F.coalesce("heir", "first_doc").alias("first_doc"), F.col("left").alias("refs"), F.col("refs").alias("was")))
+        after = self._logged().unionByName(removed)
+        heirs = self._present(after.join(orphans, "digest", "left_semi")).groupBy("digest").agg(F.min("doc").alias("heir"))
+        self._update(path, old.join(heirs, "digest", "left").select("digest", "part", F.coalesce("heir", "first_doc").alias("first_doc"), F.col("left").alias("refs"), F.col("refs").alias("was")))
 
     @property
     def references(self) -> DataFrame:
         """(digest, first_doc, refs) of all keys that several documents share."""
-        return self._newest(self._rows()).where("refs > 1").select("digest", "first_doc", "refs")
+        rows = self._rows(self.versions)
+        return (rows if len(self.versions) == 1 else self._newest(rows)).where("refs > 1").select("digest", "first_doc", "refs")
 
     def _path(self, name: str) -> str:
         self.version += 1
@@ -141,57 +147,68 @@ class LineIndex:
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _logged(self) -> DataFrame:
-        return self._read(self.log, "digest binary, doc long, change int")
+    def _logged(self, docs: DataFrame | None = None) -> DataFrame:
+        """All changes, or at least those of some documents (doc)."""
+        changes = self._read(self.log, CHANGES) if self.log else self.spark.createDataFrame([], CHANGES)
+        if not self.held:
+            return changes
+        held = self._read([self.held], f"{CHANGES}, part int")
+        if docs is not None:
+            parts = [r["part"] for r in docs.select(_part("doc", self.parts).alias("part")).distinct().collect()]  # ``parts`` rows at most
+            held = held.where(F.col("part").isin(parts))
+        return held.drop("part").unionByName(changes)
 
-    def _append(self, changes: DataFrame) -> DataFrame:
+    def _written(self, changes: DataFrame) -> tuple[str, DataFrame]:
         path = self._path("log")
         changes.select("digest", "doc", "change").write.parquet(path)
-        self.log.append(path)
-        return self._read([path], "digest binary, doc long, change int")
+        return path, self._read([path], CHANGES)
 
     @staticmethod
     def _present(changes: DataFrame) -> DataFrame:
         """(digest, doc) pairs that hold after all changes."""
         return changes.groupBy("digest", "doc").agg(F.sum("change").alias("held")).where("held > 0").select("digest", "doc")
 
-    def _rows(self) -> DataFrame:
-        rows = [self._read([p], REFERENCES).withColumn("version", F.lit(n)) for n, p in enumerate(self.versions)]
+    def _rows(self, versions: list[str]) -> DataFrame:
+        rows = [self._read([p], REFERENCES).withColumn("version", F.lit(n)) for n, p in enumerate(versions)]
         return functools.reduce(DataFrame.unionByName, rows)
 
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        if len(self.versions) == 1:
-            return rows
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
         last = F.max(F.struct("version", "first_doc", "refs")).alias("last")
         return rows.groupBy("digest", "part").agg(last).select("digest", "part", "last.first_doc", "last.refs")
 
     def _touched(self, delta: DataFrame) -> DataFrame:
         """``delta`` with part, first_doc and refs of its digests, from the partitions that they fall in."""
-        delta = delta.withColumn("part", _shard(self.parts))
+        delta = delta.withColumn("part", _part("digest", self.parts))
         if not self.versions:
             return delta.withColumns({"first_doc": F.lit(None).cast("long"), "refs": F.lit(None).cast("long")})
         parts = [r["part"] for r in delta.select("part").distinct().collect()]  # ``parts`` rows at most
-        rows = self._rows().where(F.col("part").isin(parts)).join(delta.select("digest"), "digest", "left_semi")
+        rows = self._rows(self.versions).where(F.col("part").isin(parts)).join(delta.select("digest"), "digest", "left_semi")
         return delta.join(self._newest(rows).drop("part", "version"), "digest", "left")
 
-    def _update(self, changed: DataFrame) -> None:
-        """Write the touched references and bring the filters up to date."""
-        path = self._path("references")
+    def _update(self, log: str, changed: DataFrame) -> None:
+        """Write the touched references and new filters; then the batch counts, and compaction may follow."""
+        path, crossings = self._path("references"), self._path("crossed")
         changed.select("digest", "first_doc", "refs", "was", "part").repartition(self.parts, "part").write.partitionBy("part").parquet(path)
-        self.versions.append(path)
         written = self._read([path], f"{REFERENCES}, was long")
-        crossed = written.where("(refs > 1) <> (was > 1)").select("digest", F.when(F.col("refs") > 1, 1).otherwise(-1).alias("change"))
-        self.n_shared += crossed.agg(F.coalesce(F.sum("change"), F.lit(0))).first()[0]
-        grown = self.shards
-        while self.n_shared > grown * SHARD_KEYS:
-            grown *= 2
+        written.where("(refs > 1) <> (was > 1)").select("digest", F.when(F.col("refs") > 1, 1).otherwise(-1).alias("change")).write.parquet(crossings)
+        crossed = self._read([crossings], "digest binary, change int")
+        n_shared = self.n_shared + crossed.agg(F.coalesce(F.sum("change"), F.lit(0))).first()[0]
+        shards, versions = self.shards, [*self.versions, path]
+        while n_shared > shards * SHARD_KEYS:
+            shards *= 2
+        filters = None if shards > self.shards and self.filters else self._refiltered(crossed, shards)
+        if filters is None:
+            filters = self._rebuilt(versions, shards)
+        self.versions, self.n_shared, self.shards, self.filters = versions, n_shared, shards, filters
+        self.log.append(log)
+        remove(self.spark, crossings)
         if len(self.versions) > VERSIONS:
             self._compact()
-        if grown > self.shards and self.filters:
-            self.shards = grown
-            return self._rebuild()
-        self.shards = grown
-        folder, shards, old = self._path("filters"), self.shards, dict(self.filters)
+
+    def _refiltered(self, crossed: DataFrame, shards: int) -> dict[int, str] | None:
+        """The filters after keys have crossed into or out of being shared; None if one of them is full."""
+        folder, old = self._path("filters"), dict(self.filters)
 
         def update(key: tuple, changes: pd.DataFrame) -> pd.DataFrame:
             shard = int(key[0])
@@ -208,27 +225,31 @@ class LineIndex:
 
         state = crossed.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(update, "shard int, full boolean").collect()  # a row for each shard
         if any(r["full"] for r in state):
-            return self._rebuild()
-        self.filters |= {r["shard"]: f"{folder}/shard-{r['shard']:05d}.cuckoo" for r in state}
+            return None
+        return old | {r["shard"]: f"{folder}/shard-{r['shard']:05d}.cuckoo" for r in state}
 
-    def _compact(self) -> None:
-        path = self._path("references")
-        rows = self._newest(self._rows()).where("refs > 0").select("digest", "first_doc", "refs", "part")
-        rows.repartition(self.parts, "part").write.partitionBy("part").parquet(path)
-        old, self.versions = self.versions, [path]
-        for p in old:
-            remove(self.spark, p)
-
-    def _rebuild(self) -> None:
-        """Filters or their number have become too small: build all anew from the references."""
+    def _rebuilt(self, versions: list[str], shards: int) -> dict[int, str]:
+        """All filters anew from the references: they, or their number, have become too small."""
         folder = self._path("filters")
 
         def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             write_once(f"{folder}/shard-{int(key[0]):05d}.cuckoo", cuckoo.build(_hash64(rows["digest"])).to_bytes())
             return pd.DataFrame({"shard": [int(key[0])]})
 
-        made = self.references.withColumn("shard", _shard(self.shards)).groupBy("shard").applyInPandas(build, "shard int").collect()
-        self.filters = {r["shard"]: f"{folder}/shard-{r['shard']:05d}.cuckoo" for r in made}
+        shared = self._newest(self._rows(versions)).where("refs > 1").select("digest", _shard(shards).alias("shard"))
+        return {r["shard"]: f"{folder}/shard-{r['shard']:05d}.cuckoo" for r in shared.groupBy("shard").applyInPandas(build, "shard int").collect()}
+
+    def _compact(self) -> None:
+        """One version of the references and one set of held pairs in place of many; what they replace goes a turn later."""
+        path, held = self._path("references"), self._path("held")
+        rows = self._newest(self._rows(self.versions)).where("refs > 0").select("digest", "first_doc", "refs", "part")
+        rows.repartition(self.parts, "part").write.partitionBy("part").parquet(path)
+        pairs = self._present(self._logged()).select("digest", "doc", F.lit(1).alias("change"), _part("doc", self.parts).alias("part"))
+        pairs.repartition(self.parts, "part", F.pmod(F.hash("digest"), F.lit(SALTS))).write.partitionBy("part").parquet(held)
+        for old in self.replaced:
+            remove(self.spark, old)
+        self.replaced = [*self.versions, *self.log, *([self.held] if self.held else [])]
+        self.versions, self.log, self.held = [path], [], held
 
     def probe(self, docs: DataFrame) -> DataFrame:
         """(doc, drop): for documents with lines to drop, the digests of those lines.
@@ -240,7 +261,7 @@ class LineIndex:
         if docs is not None:
             pairs = postings(docs)
         else:
-            pairs = self._logged().select("digest", "doc") if len(self.log) == 1 else self._present(self._logged())
+            pairs = self._logged().select("digest", "doc") if len(self.log) == 1 and not self.held else self._present(self._logged())
         filters, shards = dict(self.filters), self.shards
         pairs = pairs.withColumn("shard", _shard(shards)).repartition("shard", F.pmod(F.hash("doc"), F.lit(SALTS)))
 
@@ -267,8 +288,12 @@ class LineIndex:
         return drops.groupBy("doc").agg(F.collect_set("digest").alias("drop"))
 
 
+def _part(column: str, parts: int):
+    return F.pmod(F.hash(column), F.lit(parts)).cast("int")
+
+
 def _shard(shards: int):
-    return F.pmod(F.hash("digest"), F.lit(shards)).cast("int")
+    return _part("digest", shards)
 
 
 def _load(uri: str) -> cuckoo.CuckooFilter:
