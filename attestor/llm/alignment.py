@@ -22,14 +22,15 @@ import functools
 import hashlib
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.bpe import PLAIN, PLAIN_PATTERN, UNUSUAL
 from attestor.llm.memory import Remembered
 from attestor.llm.storage import Scratch, saved
 from attestor.llm.token_files import BYTE_SIGNS
@@ -39,41 +40,40 @@ ROOM_UNITS, ROOM_MATCHES = 192 << 20, 32 << 20
 #: Pairs that are broadcast at once, of 40 bytes or so each.
 BROADCAST_PAIRS = 1_000_000
 #: Spaces and line ends after a word open a unit; other white space may be in the middle of one of B's pieces.
-UNIT = re.compile(r"\s*\S+(?:(?![ \n\t])\s+\S*)*|\s+")
+LONG_UNIT = r"\s*\S+(?:(?![ \n\t])\s+\S*)*|\s+"
+#: Letters that all versions of Unicode know as such, and marks that may follow them.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ",.;:!?)"
 MERGED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 _SPACE = "▁"
 
 
-def two_pointers(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """(i, j) for every pair of positions at which both ascending lists of ends have the same value."""
-    i = j = 0
-    common = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            common.append((i, j))
+def two_pointers(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+    """(i, j) of the tokens of both lists, which hold the same bytes, that end together."""
+    i, j, end_a, end_b, common = 0, 0, len(a[0]), len(b[0]), []
+    while True:
+        if end_a < end_b:
             i += 1
+            end_a += len(a[i])
+        elif end_b < end_a:
             j += 1
-        elif a[i] < b[j]:
-            i += 1
+            end_b += len(b[j])
         else:
+            common.append((i, j))
+            i += 1
             j += 1
-    return common
-
-
-def _ends(sizes: list[int]) -> list[int]:
-    out, at = [], 0
-    for n in sizes:
-        at += n
-        out.append(at)
-    return out
+            if i == len(a):
+                return common
+            end_a += len(a[i])
+            end_b += len(b[j])
 
 
 class Pair:
     """Both tokenizers, and the merges of units.
 
-    A's pattern never joins a word with white space after it.  B merges neighbours into pieces of its vocabulary alone; if
-    no piece has a space, tab or line end after another character, none crosses a unit's start, and the unit can be encoded
-    behind a word of one piece.  ``Pair`` looks through the vocabulary for that and else takes each text as one unit.
+    A's pattern never joins a letter with white space or a mark after it, nor a line end with a letter.  B merges neighbours
+    into pieces of its vocabulary alone, so none of its tokens crosses a place whose two characters no piece has side by
+    side; ``Pair`` looks through the vocabulary for the marks that never follow a letter, and takes each text as one unit if
+    white space follows other characters in some piece.  No piece has a line end, so a unit is encoded behind one.
     """
 
     def __init__(self, path_a: str, path_b: str, pattern: str):
@@ -82,55 +82,57 @@ class Pair:
 
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
-        self.pattern = regex.compile(pattern)
+        self.plain = PLAIN if pattern == PLAIN_PATTERN else None
         byte_of = {sign: b for b, sign in BYTE_SIGNS.items()}
         self.bytes_a = {i: bytes(byte_of[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in token)}
-        self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.head = self.b.encode("a")
-        crossing = any(re.search(r"\S[ \n\t]", self.b.id_to_piece(i).replace(_SPACE, " ")) for i in range(self.b.get_piece_size()))
-        self.by_unit = not crossing and [self.bytes_b[i] for i in self.head] == [b" a"]
+        pieces = ["" if self.b.is_byte(i) else self.b.id_to_piece(i).replace(_SPACE, " ") for i in range(self.b.get_piece_size())]
+        self.bytes_b = [p.encode("utf-8") or bytes([int(self.b.id_to_piece(i)[3:5], 16)]) for i, p in enumerate(pieces)]
+        whole = "".join(f"\0{p}\0" for p in pieces)
+        self.by_unit = "\n" not in whole and not re.search(r"[^\s\0][ \n\t]", whole)
+        marks = "".join(m for m in MARKS if not re.search(f"[{LETTERS}]{re.escape(m)}", whole))
+        self.unit = re.compile(rf"\n(?=[{LETTERS}])|\s*[{LETTERS}]+(?=[ \n\t{re.escape(marks)}])|{LONG_UNIT}")
+        self.head = len(self.b.encode("\n"))
         self.matches = Remembered(self._match, ROOM_MATCHES, lambda ids: 60 + 40 * len(ids))
         self.units = Remembered(self._unit, ROOM_UNITS, lambda unit: 64 + sum(map(sys.getsizeof, unit)))
 
-    def _piece(self, i: int) -> bytes:
-        if self.b.is_byte(i):
-            return bytes([int(self.b.id_to_piece(i)[3:5], 16)])
-        return self.b.id_to_piece(i).replace(_SPACE, " ").encode("utf-8")
-
     def _match(self, match: str) -> tuple[int, ...]:
         signs = "".join(map(BYTE_SIGNS.__getitem__, match.encode("utf-8")))
         return tuple(t.id for t in self.a.model.tokenize(signs))
 
     def ids_a(self, text: str) -> list[int]:
-        """A's ids of a text, whose bytes other than ASCII go through the library's own pattern."""
-        if not text.isascii():
+        """A's ids of a text; unusual characters go through the library's own pattern."""
+        if not self.plain or UNUSUAL.search(text):
             return self.a.encode(text, add_special_tokens=False).ids
-        return [i for m in self.pattern.findall(text) for i in self.matches[m]]
+        return [i for m in self.plain.findall(text) for i in self.matches[m]]
 
     def ids_b(self, unit: str) -> list[int]:
-        return self.b.encode("a" + unit)[len(self.head) :] if self.by_unit else self.b.encode(unit[1:])
+        return self.b.encode("\n" + unit)[self.head :] if self.by_unit else self.b.encode(unit[1:])
 
     def _unit(self, unit: str) -> tuple:
         """Groups as written in the digest, links as packed pairs, and both numbers of tokens; empty if bytes differ."""
-        a, b, raw = self.ids_a(unit), self.ids_b(unit), unit.encode("utf-8")
-        own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        a, b = self.ids_a(unit), self.ids_b(unit)
+        own_a, own_b, raw = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], unit.encode("utf-8")
         if b"".join(own_a) != raw or b"".join(own_b) != raw:
             return ()
-        groups, links, i, j = [], [], 0, 0
-        for x, y in two_pointers(_ends(list(map(len, own_a))), _ends(list(map(len, own_b)))):
-            groups.append(",".join(map(str, a[i : x + 1])) + "|" + ",".join(map(str, b[j : y + 1])))
+        if len(a) == 1 or len(b) == 1:
+            common = ((len(a) - 1, len(b) - 1),)
+        else:
+            common = two_pointers(own_a, own_b)
+        groups, links, i, j = [], array("q"), 0, 0
+        for x, y in common:
+            groups.append(f"{a[i]}|{b[j]}" if x == i and y == j else ",".join(map(str, a[i : x + 1])) + "|" + ",".join(map(str, b[j : y + 1])))
             links.append(a[x] << 32 | b[y])
             i, j = x + 1, y + 1
-        return ";".join(groups).encode(), np.array(links, "<i8").tobytes(), len(a) << 32 | len(b)
+        return ";".join(groups).encode(), links.tobytes(), len(a) << 32 | len(b)
 
     def merge(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_links, groups_sha256, pairs, times) of one text; each link closes a group."""
         whole = " " + text
-        units = list(map(self.units.__getitem__, UNIT.findall(whole) if self.by_unit else [whole])) if text else [()]
+        units = list(map(self.units.__getitem__, self.unit.findall(whole) if self.by_unit else [whole])) if text else [()]
         if not all(units):
             return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         groups, links, sizes = zip(*units, strict=True)
-        pairs, times = np.unique(np.frombuffer(b"".join(links), "<i8"), return_counts=True)
+        pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
         n = sum(sizes)
         return n >> 32, n & 0xFFFFFFFF, int(times.sum()), hashlib.sha256(b";".join(groups)).hexdigest(), pairs, times
 
