@@ -227,35 +227,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def links(base: DataFrame, texts_of: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of all linked texts; ``texts_of`` has the row of each different text."""
+    """(node, root) of all linked texts; ``texts_of`` has the row of each different text.  Drops both tables."""
     kmer_count = F.greatest(F.length("words") / 4 - (WORDS - 1), F.lit(1)).cast("int").alias("kmers")
     exploded = base.select("row", "bands", kmer_count).join(texts_of, "row", "left_semi").select("row", "kmers", F.explode("bands").alias("band"))
     sizes = scratch.saved(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
     shared = scratch.saved(exploded.join(sizes, "band"), "shared")
     weight = scratch.saved(shared.groupBy("row").agg(F.sum("n").alias("weight")), "weights")
     texts = scratch.saved(base.select("row", "words").join(weight, "row", "left_semi"), "texts")
+    scratch.drop(base, texts_of, sizes)
     blocks = F.ceil(F.col("n") / LED)
-    buckets = shared.join(weight, "row").withColumn("block", F.pmod(F.xxhash64("row"), blocks))
-    buckets = scratch.saved(buckets.select("band", "block", "n", "row", "weight", "kmers"), "buckets")
-    lead = buckets.groupBy("band", "n").agg(F.max(F.struct("weight", (-F.col("row")).alias("minus"))).alias("top"))
-    lead = lead.select("band", (-F.col("top.minus")).alias("leader"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    led = buckets.join(lead, ["band", "block"]).where("row <> leader").select("row", "leader").distinct()
+    lead = shared.join(weight, "row").groupBy("band", "n").agg(F.max(F.struct("weight", (-F.col("row")).alias("minus"))).alias("top"))
+    lead = scratch.saved(lead.select("band", "n", (-F.col("top.minus")).alias("leader")), "leaders")
+    scratch.drop(weight)
+    everywhere = lead.select("band", "leader", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    dealt = shared.select("band", "row", F.pmod(F.xxhash64("row"), blocks).alias("block"))
+    led = dealt.join(everywhere, ["band", "block"]).where("row <> leader").select("row", "leader").distinct()
     tried = _verified(led, texts, scratch)
+    scratch.drop(lead)
     roots = components(tried.where("linked").select("row", "leader"), scratch)
-    return _completed(buckets, tried, roots, texts, scratch)
+    return _completed(shared, tried, roots, texts, scratch)
 
 
-def _completed(buckets: DataFrame, tried: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) once every two texts that may be linked across components are compared."""
-    placed = buckets.join(roots, buckets["row"] == roots["node"], "left").select("band", "row", "kmers", F.coalesce("root", "row").alias("root"))
+def _completed(shared: DataFrame, tried: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) once every two texts that may be linked across components are compared; drops all but the roots."""
+    placed = shared.join(roots, shared["row"] == roots["node"], "left").select("band", "row", "kmers", F.coalesce("root", "row").alias("root"))
     placed = scratch.saved(placed, "placed")
+    scratch.drop(shared)
     ends = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("kmers").alias("shortest")).where("low <> high")
     torn = placed.join(ends.select("band", "shortest"), "band").groupBy("row", "root", "kmers").agg(F.min("shortest").alias("shortest"))
     torn = scratch.saved(torn, "torn")
+    scratch.drop(placed)
     open_rows = _open(torn, texts, scratch)
+    scratch.drop(torn)
     pairs = _across(open_rows, texts, scratch)
     tested = tried.select(F.greatest("row", "leader").alias("row"), F.least("row", "leader").alias("leader"))
-    found = _verified(scratch.saved(pairs.join(tested, ["row", "leader"], "left_anti"), "pairs"), texts, scratch).where("linked").select("row", "leader")
+    untested = scratch.saved(pairs.join(tested, ["row", "leader"], "left_anti"), "untested")
+    scratch.drop(pairs, tried)
+    found = _verified(untested, texts, scratch)
+    scratch.drop(untested, texts)
+    found = found.where("linked").select("row", "leader")
     if found.isEmpty():
         return roots
     stars = roots.select(F.col("node").alias("row"), F.col("root").alias("leader"))
@@ -293,18 +303,23 @@ def _across(open_rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns[:4], bands], ["row", "root", "kmers", "able", "bands"])
 
     keys = open_rows.join(texts, "row").select("row", "root", "kmers", "able", "words").mapInArrow(keyed, "row long, root long, kmers int, able int, bands array<long>")
-    keys = scratch.saved(keys, "fine").select("row", "root", "kmers", "able", F.explode("bands").alias("band"))
+    fine = scratch.saved(keys, "fine")
+    scratch.drop(open_rows)
+    keys = fine.select("row", "root", "kmers", "able", F.explode("bands").alias("band"))
     sizes = keys.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     torn = sizes.groupBy("band").agg(F.max(F.struct("size", "root"))["root"].alias("home"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     torn = torn.select("band", "home", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     members = scratch.saved(keys.join(torn, "band").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))), "members")
+    scratch.drop(fine)
     outer = members.where("root <> home").select(
         "band", *(F.col(c).alias(f"outer_{c}") for c in ("row", "root", "kmers", "able")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     )
     may_link = (F.col("root") != F.col("outer_root")) & (9 * F.least("able", "outer_able") >= 4 * (F.col("kmers") + F.col("outer_kmers")))
     once = (F.col("root") == F.col("home")) | (F.col("row") < F.col("outer_row"))
     both = outer.join(members, ["band", "block"]).where(may_link & once)
-    return both.select(F.greatest("row", "outer_row").alias("row"), F.least("row", "outer_row").alias("leader")).distinct()
+    pairs = scratch.saved(both.select(F.greatest("row", "outer_row").alias("row"), F.least("row", "outer_row").alias("leader")).distinct(), "pairs")
+    scratch.drop(members)
+    return pairs
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -316,9 +331,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.saved(large, "stars")
+        scratch.drop(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = scratch.saved(small.distinct(), "edges")
+        scratch.drop(large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -330,8 +347,10 @@ def classes(docs: DataFrame) -> DataFrame:
     with Scratch(docs.sparkSession, "near") as scratch:
         base = _base(docs, scratch)
         groups = scratch.saved(base.where("copy is not null").groupBy("copy").agg(F.min("row").alias("text")), "copies")
-        members = base.select("row", "doc_id", "copy").join(groups, "copy", "left").select("row", "doc_id", F.coalesce("text", "row").alias("text"))
-        roots = links(base, groups.select(F.col("text").alias("row")), scratch)
+        members = scratch.saved(base.select("row", "doc_id", "copy").join(groups, "copy", "left").select("row", "doc_id", F.coalesce("text", "row").alias("text")), "members")
+        different = scratch.saved(groups.select(F.col("text").alias("row")), "different")
+        scratch.drop(groups)
+        roots = links(base, different, scratch)
         placed = members.join(roots, members["text"] == roots["node"], "left").select("row", "doc_id", F.coalesce("root", "text").alias("root"))
         placed = scratch.saved(placed, "placed")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")

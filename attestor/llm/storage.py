@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Has Spark delete a job's shuffle files when it ends, and not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,11 +35,26 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/attestor/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Jobs that end within take their shuffle files along; what they wrote is stored and needs none of them."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again, which also cuts the lineage."""
     spark = df.sparkSession
     at = fresh(spark, name)
-    df.write.parquet(at)
+    with shuffles_cleaned(spark):
+        df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -56,7 +75,8 @@ class Scratch:
         """Write ``df`` below the folder, in folders by the columns ``by``, and read it again."""
         self.tables += 1
         at = f"{self.root}/{self.tables:03d}-{name}"
-        (df.write.partitionBy(*by) if by else df.write).parquet(at)
+        with shuffles_cleaned(self.spark):
+            (df.write.partitionBy(*by) if by else df.write).parquet(at)
         read = self.spark.read.schema(df.schema).parquet(at)
         self.places[id(read)] = read, at
         return read
