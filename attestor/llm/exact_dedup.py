@@ -1,14 +1,16 @@
 """Exact dedup as a log-structured merge index, with DataFrame functions only.
 
-Each task that reads documents is a memtable: it flushes its (digest, doc_id) rows in order of their digests.  The flushed
-rows of a batch are merged into a sorted run of level 0 with one row per digest, its smallest id and its number of rows,
-and a filter: a bitmap with ``BITS_PER_KEY`` bits a digest.  As soon as a level holds ``FAN`` runs they are compacted into
-one of the next level, where again the smallest ids stay, so every row is rewritten once a level.
-
-A batch is answered for its own rows.  Digests that occur once in the batch and pass no older run's filter are new, and
-their rows of the batch's run are the answer.  Only digests that pass a filter are looked up in that run.  The texts
-of all hits are compared byte by byte, those of older batches as stored with their runs; texts that share a digest
-without being equal are grouped by the text itself.
+The tasks that read a batch deal its rows to ``MEMTABLES`` memtables, which are flushed in order of their digests.  One after
+the other the memtables become runs of level 0: sorted, one row per digest with its smallest id and its number of rows, and a
+filter, a bitmap with ``BITS_PER_KEY`` bits a digest.  A new run's digests probe the filters of all runs before it; only
+those that pass are looked up there, and what is found is a hit, as is a digest that the memtable has several times.  As
+soon as a level holds ``FAN`` runs they are compacted into one of the next level, where again the smallest ids stay, so
+every row is rewritten once a level.
+
+A batch is answered for its own rows.  Hits are looked up in the compacted runs, again through their filters; all other rows
+are new and alone.  Hits with more than a thousandth of the batch's rows (fewer than a thousand) are broadcast to the rows,
+the others joined by digest.  The texts of all hits are compared byte by byte, those of older batches as stored with their
+runs; texts that share a digest without being equal are grouped by the text itself.
 
 Defined results: null texts count as empty; a null doc_id is never the smallest unless all ids of a group are null; rows
 that repeat a doc_id and its text are one document, so either all or none of them are kept; ids that come again in a later
@@ -22,8 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.storage import fresh, remove
+from attestor.llm.storage import fresh, remove, shuffles_cleaned
 
+#: Memtables that a batch fills.
+MEMTABLES = 5
 #: Runs of a level that are compacted into one.
 FAN = 4
 #: Bits of a run's filter for each digest; a digest that is not in the run passes with a chance of 1 / BITS_PER_KEY.
@@ -47,12 +51,13 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Run:
-    """A sorted run: its folder, its level, its number of digests and the batches it holds."""
+    """A sorted run: its folder, its level, its number of digests and its first and last memtable."""
 
     path: str
     level: int
     keys: int
-    batches: tuple[int, ...]
+    first: int
+    last: int
 
 
 class ExactIndex:
@@ -65,27 +70,46 @@ class ExactIndex:
     def __init__(self, spark: SparkSession, root: str | None = None, keep_texts: bool = True):
         self.spark, self.root, self.keep_texts = spark, root or fresh(spark, "exact"), keep_texts
         self.runs: list[Run] = []
-        self.written = 0
+        self.batches = self.memtables = self.probes = 0
 
-    def add(self, docs: DataFrame) -> tuple[DataFrame, Run]:
-        """Flush a batch's memtables and merge them into a run: its (digest, doc_id) rows and the run."""
-        batch, self.written = self.written, self.written + 1
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Flush a batch's memtables and take them in: its (digest, doc_id) rows and the digests that are hits."""
+        batch, self.batches = self.batches, self.batches + 1
         body = normalised("text")
-        rows = docs.select(_digest(body).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"))
-        memtables = f"{self.root}/memtables-{batch}"
-        rows.sortWithinPartitions("digest", "doc_id").write.parquet(memtables)
-        flushed = self.spark.read.schema("digest binary, doc_id long").parquet(memtables)
-        merged = flushed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        run = self._write(merged, 0, (batch,))
+        rows = docs.select(_digest(body).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.monotonically_increasing_id(), F.lit(MEMTABLES)).cast("int").alias("memtable"))
+        path, hits = f"{self.root}/memtables-{batch}", f"{self.root}/hits-{batch}"
+        rows.sortWithinPartitions("memtable", "digest", "doc_id").write.partitionBy("memtable").parquet(path)
         if self.keep_texts:
             docs.select(_digest(body).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), body.alias("body")).write.parquet(f"{self.root}/texts-{batch}")
-        return flushed, run
-
-    def _write(self, merged: DataFrame, level: int, batches: tuple[int, ...]) -> Run:
+        flushed = self.spark.read.schema("digest binary, doc_id long, memtable int").parquet(path)
+        for m in range(MEMTABLES):
+            merged = flushed.where(F.col("memtable") == m).groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+            older, run = list(self.runs), self._write(merged, 0, self.memtables, self.memtables)
+            self.memtables += 1
+            found = self.rows(run).where("group_size > 1").select("digest")
+            earlier = self.find(self.rows(run).select("digest"), older)
+            if earlier is not None:
+                found = found.unionByName(earlier.select("digest"))
+            self._store(found, f"{hits}/memtable={m}")
+            self.compact()
+        found = self.spark.read.schema("digest binary").parquet(*(f"{hits}/memtable={m}" for m in range(MEMTABLES)))
+        return flushed.drop("memtable"), self.kept(found.distinct(), f"hit-digests-{batch}")
+
+    def _store(self, rows: DataFrame, path: str) -> None:
+        with shuffles_cleaned(self.spark):
+            rows.write.parquet(path)
+
+    def kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` stored below the index's folder."""
+        self._store(rows, f"{self.root}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
+
+    def _write(self, merged: DataFrame, level: int, first: int, last: int) -> Run:
         """One sorted run with its filter."""
-        path = f"{self.root}/run-{level}-{batches[0]}-{batches[-1]}"
-        merged.sortWithinPartitions("digest").write.parquet(path)
-        run = Run(path, level, self.spark.read.schema(RUN).parquet(path).count(), batches)
+        path = f"{self.root}/run-{level}-{first}-{last}"
+        self._store(merged.sortWithinPartitions("digest"), path)
+        run = Run(path, level, self.spark.read.schema(RUN).parquet(path).count(), first, last)
+        self.write_filter(run)
         self.runs.append(run)
         return run
 
@@ -93,7 +117,7 @@ class ExactIndex:
         """The bitmap of a run's digests in pieces of 32,768 bits."""
         at = self._position(run)
         bits = self.rows(run).select(F.bitmap_bucket_number(at).alias("piece"), F.bitmap_bit_position(at).alias("bit"))
-        bits.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).write.parquet(f"{run.path}-filter")
+        self._store(bits.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")), f"{run.path}-filter")
 
     def _position(self, run: Run) -> Column:
         return F.pmod(F.xxhash64("digest"), F.lit(max(run.keys, 1) * BITS_PER_KEY)) + 1
@@ -103,6 +127,7 @@ class ExactIndex:
 
     def passing(self, digests: DataFrame, run: Run) -> DataFrame:
         """The digests that pass a run's filter: all that it holds and a few more."""
+        self.probes += 1
         pieces = self.spark.read.schema("piece long, bits binary").parquet(f"{run.path}-filter")
         at = digests.select("digest", F.bitmap_bucket_number(self._position(run)).alias("piece"), F.bitmap_bit_position(self._position(run)).alias("bit"))
         byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bit div 8 as int)") + 1, F.lit(1))), 16, 10).cast("int")
@@ -116,8 +141,9 @@ class ExactIndex:
             found = held if found is None else found.unionByName(held)
         return found
 
-    def texts(self, batches: list[int]) -> DataFrame:
-        return self.spark.read.schema("digest binary, doc_id long, body string").parquet(*(f"{self.root}/texts-{b}" for b in batches))
+    def texts(self, batches: int) -> DataFrame:
+        """The normalised texts of the first batches."""
+        return self.spark.read.schema("digest binary, doc_id long, body string").parquet(*(f"{self.root}/texts-{b}" for b in range(batches)))
 
     def compact(self) -> None:
         """Merge each level that has ``FAN`` runs into one run of the next level; the merged runs go."""
@@ -128,7 +154,7 @@ class ExactIndex:
                 rows = self.rows(old[0])
                 for r in old[1:]:
                     rows = rows.unionByName(self.rows(r))
-                self.write_filter(self._write(_merged(rows), level + 1, tuple(sorted(b for r in old for b in r.batches))))
+                self._write(_merged(rows), level + 1, old[0].first, old[-1].last)
                 for r in old:
                     self.runs.remove(r)
                     remove(self.spark, r.path)
@@ -136,30 +162,36 @@ class ExactIndex:
             level += 1
 
 
-def _verified(docs: DataFrame, index: ExactIndex, flushed: DataFrame, hits: DataFrame, older: list[Run]) -> tuple[DataFrame, DataFrame] | None:
+def _verified(docs: DataFrame, index: ExactIndex, decided: DataFrame, before: int) -> tuple[DataFrame, DataFrame] | None:
     """The hits whose texts differ although their digests agree, and the rows (digest, doc_id, body, own) that hold them.
 
-    The batch's rows are found by the ids of the hits, so only their texts are normalised again; older texts are read back.
-    None if all bytes agree.
+    The batch's rows are found by the ids of the hits, so only their texts are normalised again; the texts of the ``before``
+    older batches are read back.  Rows without an id are taken as they are.  None if all bytes agree.
     """
-    ids = flushed.join(hits.select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("hit")).distinct()
+    hits = decided.where("group_size > 1")
+    ids = hits.where("doc_id is not null").select(F.col("doc_id").alias("hit")).distinct()
     body = normalised("text")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
-    texts = texts.select(_digest(body).alias("digest"), "doc_id", body.alias("body"), F.lit(True).alias("own"))
-    if older:
-        before = index.texts([b for r in older for b in r.batches]).join(hits.select("digest"), "digest", "left_semi")
-        texts = texts.unionByName(before.withColumn("own", F.lit(False)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(ids, F.col("doc_id") == F.col("hit"), "left_semi").unionByName(rows.where("doc_id is null"))
+    texts = rows.select(_digest(body).alias("digest"), "doc_id", body.alias("body"), F.lit(True).alias("own"))
+    if before:
+        older = index.texts(before).join(hits.select("digest").distinct(), "digest", "left_semi")
+        texts = texts.unionByName(older.withColumn("own", F.lit(False)))
     differ = texts.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("digest")
-    differ = _kept(index, differ, f"clashes-{index.written}")
+    differ = index.kept(differ, f"clashes-{index.batches}")
     if differ.isEmpty():
         return None
     return differ, texts.join(differ, "digest", "left_semi")
 
 
-def _kept(index: ExactIndex, rows: DataFrame, name: str) -> DataFrame:
-    path = f"{index.root}/{name}"
-    rows.write.parquet(path)
-    return index.spark.read.schema(rows.schema).parquet(path)
+def _answered(flushed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(digest, doc_id, keep_id, group_size) of all rows, those of hits by their groups, the others alone."""
+    many = F.broadcast(groups.where(F.col("group_size") * 1000 > flushed.count()))
+    marked = flushed.join(many, "digest", "left")
+    rest = marked.where("group_size is null").select("digest", "doc_id").join(groups, "digest", "left")
+    alone = F.col("group_size").isNull()
+    rest = rest.select("digest", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    return marked.where("group_size is not null").unionByName(rest)
 
 
 def deduplicate(docs: DataFrame, index: ExactIndex | None = None) -> DataFrame:
@@ -167,31 +199,17 @@ def deduplicate(docs: DataFrame, index: ExactIndex | None = None) -> DataFrame:
 
     The batch is added to the index.  Without one ``docs`` is all there is, and no texts are kept for later batches.
     """
-    alone = index is None
     index = index or ExactIndex(docs.sparkSession, keep_texts=False)
-    older = list(index.runs)
-    flushed, run = index.add(docs)
-    merged = index.rows(run)
-    earlier = index.find(merged.select("digest"), older)
-    if earlier is not None:
-        earlier = _merged(earlier).select("digest", F.col("keep_id").alias("was"), F.col("group_size").alias("before"))
-        sizes = F.col("group_size") + F.coalesce("before", F.lit(0))
-        merged = merged.join(earlier, "digest", "left")
-        merged = merged.select("digest", F.least("keep_id", "was").alias("keep_id"), sizes.alias("group_size"))
-    if not alone:  # a later batch may compact the runs away
-        merged = _kept(index, merged, f"answers-{index.written}")
-    hits = merged.where("group_size > 1").select("digest", "keep_id", "group_size")
-    new = merged.where("group_size = 1").select("digest", F.col("keep_id").alias("doc_id"), "keep_id", "group_size")
-    decided = new.unionByName(flushed.join(hits, "digest").select("digest", "doc_id", "keep_id", "group_size"))
-    clashing = _verified(docs, index, flushed, hits, older)
+    before = index.batches
+    flushed, hits = index.add(docs)
+    groups = index.kept(_merged(index.find(hits, index.runs)), f"groups-{index.batches}")
+    decided = index.kept(_answered(flushed, groups), f"answers-{index.batches}")
+    clashing = _verified(docs, index, decided, before)
     if clashing is not None:
         differ, texts = clashing
-        groups = texts.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        split = texts.where("own").join(groups, ["digest", "body"]).select("digest", "doc_id", "keep_id", "group_size")
+        split = texts.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        split = texts.where("own").join(split, ["digest", "body"]).select("digest", "doc_id", "keep_id", "group_size")
         decided = decided.join(differ, "digest", "left_anti").unionByName(split)
-    if not alone:
-        index.write_filter(run)
-        index.compact()
     return decided.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

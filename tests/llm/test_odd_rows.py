@@ -59,7 +59,25 @@ def test_exact_index_takes_batches(spark):
             ids = by[r["text_sha256"]]
             assert (r["keep_id"], r["group_size"]) == (min((d for d in ids if d is not None), default=None), len(ids))
         assert {r["doc_id"] for r in got} == {d for d, _ in rows}
-    assert sorted((r.level, len(r.batches)) for r in index.runs) == [(0, 1), (0, 1), (1, exact_dedup.FAN)]
+    assert exact_dedup.MEMTABLES * (exact_dedup.FAN + 2) == 30  # 132 in base 4
+    assert [(r.level, r.last - r.first + 1) for r in index.runs] == [(2, 16), (1, 4), (1, 4), (1, 4), (0, 1), (0, 1)]
+
+
+def test_exact_dedup_of_one_table_goes_through_runs_and_filters(spark, monkeypatch):
+    """The registered query's way: memtables, probes of older runs' filters, a compacted level, answers from the runs."""
+    made, wanted = [], {}
+    init = exact_dedup.ExactIndex.__init__
+    monkeypatch.setattr(exact_dedup.ExactIndex, "__init__", lambda self, *a, **k: (init(self, *a, **k), made.append(self))[0])
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    for i, t in rows:
+        wanted.setdefault(t, []).append(i)
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, min(wanted[t]), len(wanted[t])) for i, t in rows}
+    (index,) = made
+    assert [r.level for r in index.runs] == [1, 0] and sum(r.keys for r in index.runs) >= 700
+    assert index.probes == 0 + 1 + 2 + 3 + 1 + 2  # each memtable the runs before it, then the hits both runs
+    folders = {p.name for p in __import__("pathlib").Path(index.root.removeprefix("file://").removeprefix("file:")).iterdir()}
+    assert {"memtables-0", "run-1-0-3", "run-1-0-3-filter", "run-0-4-4", "run-0-4-4-filter", "hits-0", "groups-1", "answers-1"} <= folders
 
 
 def test_exact_index_filters(spark):
@@ -67,8 +85,12 @@ def test_exact_index_filters(spark):
     make = lambda a, b: spark.createDataFrame([(i, f"text {i}") for i in range(a, b)], "doc_id long, text string")
     exact_dedup.deduplicate(make(0, 3000), index)
     digests = lambda a, b: make(a, b).select(F.unhex(F.sha2("text", 256)).alias("digest"))
-    assert index.passing(digests(0, 3000), index.runs[0]).count() == 3000
-    assert index.passing(digests(3000, 6000), index.runs[0]).count() < 400
+    assert len(index.runs) == 2 and sum(r.keys for r in index.runs) == 3000
+    passing = [index.passing(digests(0, 3000), r).distinct() for r in index.runs]
+    assert passing[0].union(passing[1]).distinct().count() == 3000
+    for r in index.runs:
+        assert index.passing(index.rows(r).select("digest"), r).count() == r.keys
+        assert index.passing(digests(3000, 6000), r).count() < 400
 
 
 def test_exact_index_verifies_older_bytes(spark, monkeypatch):
