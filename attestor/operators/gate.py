@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.operators.graph import loo_coverage
+from attestor.operators.graph import grouped, loo_coverage, top_edges, without_each
 from attestor.operators.stats import quantiles, running_totals
+from attestor.storage import stored
 
 
 def squared_error(true_log: str, predicted_log: str) -> Column:
@@ -61,7 +62,8 @@ def bootstrap_area(rows: DataFrame, coverage: str, square: str, fold: str = "fol
 
     A replicate weighs each fold's totals by how often its hash draws the fold, so no row is copied.
     """
-    totals = rows.groupBy(F.col(fold).alias("fold"), F.col(coverage).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("sq")).persist()
+    totals = rows.groupBy(F.col(fold).alias("fold"), F.col(coverage).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("sq"))
+    totals = stored(totals, "fold-totals")
     whole = totals.groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("sq").alias("sq"))
     point = area(_retained(whole)).select(F.col("aurc").alias("point"))
     folds = totals.select("fold").distinct()
@@ -80,13 +82,15 @@ def fold_banks(edges: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
     Sources of the held-out group leave with it; what a bank row may count are the edges to neither its own nor the
     held-out group.
     """
-    folds = groups.select(F.col("grp").alias("fold")).distinct()
-    bank = groups.join(F.broadcast(folds), F.col("grp") != F.col("fold")).select("fold", "id", "grp")
-    e = edges.join(groups.select(F.col("id").alias("src"), F.col("grp").alias("src_grp")), "src").join(groups.select(F.col("id").alias("dst"), F.col("grp").alias("dst_grp")), "dst")
-    e = e.where("src_grp <> dst_grp").join(F.broadcast(folds), (F.col("src_grp") != F.col("fold")) & (F.col("dst_grp") != F.col("fold")))
-    w = Window.partitionBy("fold", "src").orderBy(F.desc("weight"), "dst")
-    sums = e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).groupBy("fold", F.col("src").alias("id")).agg(F.sum("weight").alias("coverage"))
-    return bank.join(sums, ["fold", "id"], "left").select("fold", "id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    folds = groups.agg(F.collect_set("grp").alias("folds"))
+    known = grouped(edges, groups).where("src_grp <> dst_grp")
+    usual = top_edges(known, k).groupBy("src").agg(F.sum("weight").alias("usual"))
+    own = without_each(known, k).groupBy("fold", F.col("src").alias("id")).agg(F.sum("weight").alias("own"))
+    # a fold may also leave a source without any edge: then it has a row here and none in ``own``
+    touched = known.select(F.col("src").alias("id"), F.col("dst_grp").alias("fold")).distinct().join(own, ["fold", "id"], "left").select("fold", "id", F.coalesce("own", F.lit(0.0)).alias("own"))
+    bank = groups.join(F.broadcast(folds)).select(F.explode(F.array_except("folds", F.array("grp"))).alias("fold"), "id")
+    both = bank.join(usual.withColumnRenamed("src", "id"), "id", "left").join(touched, ["fold", "id"], "left")
+    return both.select("fold", "id", F.coalesce("own", "usual", F.lit(0.0)).alias("coverage"))
 
 
 def fold_thresholds(banks: DataFrame, q: float) -> DataFrame:
@@ -168,14 +172,20 @@ def hybrid(rows: DataFrame, n: int, levels: list[float], coverage: str = "covera
     then higher retention, then the lower coverage and higher spread threshold.  Sums per fold and pair make the other
     folds' figures a subtraction.
     """
-    points = {f"q{i}": i / (n - 1) for i in range(n)}
-    cut = quantiles(rows, coverage, points).select(F.array(*points).alias("c")).join(F.broadcast(quantiles(rows, spread, points).select(F.array(*points).alias("s"))))
-    low, high = F.lit(float("-inf")), F.lit(float("inf"))
-    pairs = cut.select(F.explode(F.array_distinct(F.concat(F.array(low), "c"))).alias("t_cov"), "s").select("t_cov", F.explode(F.array_distinct(F.concat("s", F.array(high)))).alias("t_spr"))
-    keep = (F.col(coverage) >= F.col("t_cov")) & (F.col(spread) <= F.col("t_spr"))
-    own = rows.join(F.broadcast(pairs)).groupBy("fold", "t_cov", "t_spr").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(keep).alias("kept"), F.coalesce(F.sum(F.when(keep, F.col(square))), F.lit(0.0)).alias("error")
+    points, low, high = {f"q{i}": i / (n - 1) for i in range(n)}, float("-inf"), float("inf")
+    cuts = lambda column: sorted(set(quantiles(rows, column, points).select(*points).first() or ()))  # noqa: E731  n numbers
+    t_cov, t_spr = [low, *cuts(coverage)], [*cuts(spread), high]
+    above = lambda column, at, meets: F.size(F.filter(F.array(*map(F.lit, at)), meets(F.col(column)))) - 1
+    last_cov = above(coverage, t_cov, lambda x: lambda t: t <= x)
+    first_spr = len(t_spr) - 1 - above(spread, t_spr, lambda x: lambda t: t >= x)
+    cells = rows.groupBy("fold", last_cov.alias("a"), first_spr.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("error"))
+    pairs = rows.sparkSession.createDataFrame([(i, x, j, y) for i, x in enumerate(t_cov) for j, y in enumerate(t_spr)], "i int, t_cov double, j int, t_spr double")
+    # each row lies in one cell of the grid; a pair of thresholds keeps the cells up to its corner
+    keep = (F.col("a") >= F.col("i")) & (F.col("b") <= F.col("j"))
+    own = cells.join(F.broadcast(pairs)).groupBy("fold", "t_cov", "t_spr").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.when(keep, F.col("error"))), F.lit(0.0)).alias("error")
     )
+    own = stored(own, "pairs")
     w = Window.partitionBy("t_cov", "t_spr")
     rest = own.select("*", *[(F.sum(c).over(w) - F.col(c)).alias(f"rest_{c}") for c in ("n", "kept", "error")])
     risk = F.when(F.col("rest_kept") > 0, F.round(F.sqrt(F.greatest(F.col("rest_error"), F.lit(0.0)) / F.col("rest_kept")), 6)).otherwise(float("inf"))

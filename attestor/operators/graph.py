@@ -111,18 +111,40 @@ def coverage(ids: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     return ids.join(both.withColumnRenamed("src", "id"), "id", "left").select("id", zero("coverage_all"), zero("coverage_xgroup"))
 
 
+def grouped(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """``edges`` (src, dst, weight) with the groups of both ends."""
+    known = edges.select("src", "dst", "weight").join(groups.select(F.col("id").alias("dst"), F.col("grp").alias("dst_grp")), "dst")
+    return known.join(groups.select(F.col("id").alias("src"), F.col("grp").alias("src_grp")), "src").select("src", "dst", "weight", "src_grp", "dst_grp")
+
+
+def without_each(edges: DataFrame, k: int) -> DataFrame:
+    """(fold, src, dst, weight, src_grp): for each source and each group among its edges, the k best edges into the others.
+
+    Only these folds change a source's k best edges; a source meets its own few edges, not all folds.
+    """
+    touched = edges.select("src", F.col("dst_grp").alias("fold")).distinct()
+    w = Window.partitionBy("fold", "src").orderBy(F.desc("weight"), "dst")
+    left = edges.join(touched, "src").where("dst_grp <> fold").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return left.select("fold", "src", "dst", "weight", "src_grp")
+
+
 def fold_edges(edges: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
     """(fold, src, dst, weight, is_test): with each group held out in turn, the k stored edges into the other groups.
 
     ``groups`` has (id, grp).  A source that is itself held out is a test row of that fold.
     """
-    folds = groups.select(F.col("grp").alias("fold")).distinct()
-    known = edges.join(groups.select(F.col("id").alias("dst"), F.col("grp").alias("dst_grp")), "dst")
-    placed = known.join(groups.select(F.col("id").alias("src"), F.col("grp").alias("src_grp")), "src")
-    split = placed.join(F.broadcast(folds), F.col("dst_grp") != F.col("fold"))
-    w = Window.partitionBy("fold", "src").orderBy(F.desc("weight"), "dst")
-    kept = split.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return kept.select("fold", "src", "dst", "weight", (F.col("src_grp") == F.col("fold")).alias("is_test"), "src_grp")
+    folds = groups.agg(F.array_sort(F.collect_set("grp")).alias("folds"))
+    known = grouped(edges, groups)
+    touched = known.groupBy("src").agg(F.collect_set("dst_grp").alias("touched"))
+    best = top_edges(known, k).join(touched, "src").join(F.broadcast(folds))
+    same = best.select(F.explode(F.array_except("folds", "touched")).alias("fold"), "src", "dst", "weight", "src_grp")
+    return same.unionByName(without_each(known, k)).select("fold", "src", "dst", "weight", (F.col("src_grp") == F.col("fold")).alias("is_test"), "src_grp")
+
+
+def held_out_edges(edges: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
+    """(fold, src, dst, weight): the test rows of ``fold_edges`` alone, each source in the fold of its own group."""
+    known = grouped(edges, groups).where("src_grp <> dst_grp")
+    return top_edges(known, k).select(F.col("src_grp").alias("fold"), "src", "dst", "weight")
 
 
 def neighbour_statistics(edges: DataFrame, targets: DataFrame, keys: Sequence[str] = ("src",)) -> DataFrame:

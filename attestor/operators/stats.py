@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.storage import stored
+
+#: Rows of running totals that one sorted task may take; beyond, keys are dealt by ranges.
+ONE_TASK = 100_000
+
 
 def quartiles(value: str, prefix: str = "") -> list[Column]:
     """n, median, min, max and quartiles (linear) of a column."""
@@ -37,16 +42,18 @@ def running_total(rows: DataFrame, key: str, value: str, out: str, parts: int |
 def running_totals(rows: DataFrame, key: str, sums: dict[str, str], descending: bool = False, within: str | None = None, parts: int | None = None) -> DataFrame:
     """``rows`` (one for each key, or key and group) with the sum of each value up to its key, ``sums`` naming result and value.
 
-    Keys are dealt by ranges; a window runs within each range and the ranges' bases are added, so no order is ever in one task.
+    The rows are stored first, as they are read several times.  More than ``ONE_TASK`` of them are dealt by ranges of keys; a
+    window runs within each range and the ranges' bases are added, so no long order is ever in one task.
     """
-    spark = rows.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = [within] if within else []
-    bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("b"))
-    part = F.size(F.filter("b", lambda x: x < F.col(key)))
-    placed = rows.join(F.broadcast(bounds)).withColumn("part__", part).drop("b")
+    rows = stored(rows, "totals")
+    groups, last = [within] if within else [], F.desc if descending else F.asc
+    if parts is None and rows.count() <= ONE_TASK:
+        upto = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(last(key)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *[F.sum(v).over(upto).alias(o) for o, v in sums.items()])
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("b")).first()["b"] or []
+    placed = rows.withColumn("part__", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(key))) if bounds else F.lit(0))
     totals = placed.groupBy(*groups, "part__").agg(*[F.sum(v).alias(f"t__{o}") for o, v in sums.items()])
-    last = F.desc if descending else F.asc
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(last("part__")).rowsBetween(Window.unboundedPreceding, -1)  # ``parts`` rows a group
     bases = totals.select(*groups, "part__", *[F.coalesce(F.sum(f"t__{o}").over(before), F.lit(0)).alias(f"base__{o}") for o in sums])
     inside = Window.partitionBy(*groups, "part__").orderBy(last(key)).rowsBetween(Window.unboundedPreceding, 0)
@@ -57,7 +64,7 @@ def running_totals(rows: DataFrame, key: str, sums: dict[str, str], descending:
 def quantiles(rows: DataFrame, value: str, shares: dict[str, float], group: str | None = None) -> DataFrame:
     """(group, n, ...): exact linear quantiles, named by ``shares``, from running counts of the distinct values."""
     groups = [group] if group else []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n__"))
+    counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n__")), "counts")
     ranked = running_totals(counts, value, {"upto__": "n__"}, within=group)
     sizes = counts.groupBy(*groups).agg(F.sum("n__").alias("n"))
     both = ranked.join(sizes, groups) if groups else ranked.join(F.broadcast(sizes))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators import gate, graph, stats
 from attestor.plans.common import rounded, table
+from attestor.storage import stored
 
 VIEWS = {"behavior": range(0, 8), "condition": range(8, 11)}
 QS = [0.0, 10.0, 25.0, 41.0, 60.0, 80.0, 95.0]
@@ -22,7 +23,7 @@ def _vectors(spark: SparkSession, folder: str, view: str = "behavior") -> DataFr
 
 
 def _edges(spark: SparkSession, folder: str, view: str = "behavior", k: int = 10) -> DataFrame:
-    return graph.similarity_edges(_vectors(spark, folder, view), view, k)
+    return stored(graph.similarity_edges(_vectors(spark, folder, view), view, k), "edges")
 
 
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,14 +85,33 @@ def _fold_rows(spark: SparkSession, folder: str) -> DataFrame:
     return graph.neighbour_statistics(edges, _targets(groups), ("fold", "src", "is_test"))
 
 
-def _predictions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _fold_rows(spark, folder).where("is_test")
+def _held_out(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each row predicted by its neighbours outside its own group, stored."""
+    rows = graph.neighbour_statistics(graph.held_out_edges(edges, groups), _targets(groups), ("fold", "src"))
     square = F.pow(F.col("src") + 100.0 - F.pow(F.lit(10.0), F.col("nbr_mean")), F.lit(2.0))
-    return rows.select("fold", F.col("src").alias("id"), F.round("coverage", 6).alias("coverage"), F.round("nbr_std", 6).alias("spread"), square.alias("square"))
+    return stored(rows.select("fold", F.col("src").alias("id"), F.round("coverage", 6).alias("coverage"), F.round("nbr_std", 6).alias("spread"), square.alias("square")), "predictions")
+
+
+def _predictions(spark: SparkSession, folder: str) -> DataFrame:
+    return _held_out(_edges(spark, folder), _groups(spark, folder))
+
+
+def _banked(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    return stored(gate.fold_banks(edges, groups).withColumn("coverage", F.round("coverage", 6)), "banks")
 
 
 def _banks(spark: SparkSession, folder: str) -> DataFrame:
-    return gate.fold_banks(_edges(spark, folder), _groups(spark, folder)).withColumn("coverage", F.round("coverage", 6))
+    return _banked(_edges(spark, folder), _groups(spark, folder))
+
+
+def _gate(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions and banks over one set of edges."""
+    edges, groups = _edges(spark, folder), _groups(spark, folder)
+    return _held_out(edges, groups), _banked(edges, groups)
+
+
+def _curve(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(gate.quantile_curve(*_gate(spark, folder), QS, "square"), "curve")
 
 
 def logo_fold_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,18 +162,19 @@ def fold_thresholds(spark: SparkSession, folder: str) -> DataFrame:
 
 def gate_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Which predictions the gate retains."""
-    kept = gate.decisions(_predictions(spark, folder), gate.fold_thresholds(_banks(spark, folder), 41))
+    predictions, banks = _gate(spark, folder)
+    kept = gate.decisions(predictions, gate.fold_thresholds(banks, 41))
     return rounded(kept.select("fold", "id", "coverage", "threshold", "retained"))
 
 
 def quantile_curve(spark: SparkSession, folder: str) -> DataFrame:
     """Retention, risk and error share for a grid of percentiles."""
-    return rounded(gate.quantile_curve(_predictions(spark, folder), _banks(spark, folder), QS, "square"), rmse=4)
+    return rounded(_curve(spark, folder), rmse=4)
 
 
 def cost_optimum(spark: SparkSession, folder: str) -> DataFrame:
     """The cheapest percentile for each cost ratio."""
-    return rounded(gate.cheapest(gate.quantile_curve(_predictions(spark, folder), _banks(spark, folder), QS, "square"), RATIOS))
+    return rounded(gate.cheapest(_curve(spark, folder), RATIOS))
 
 
 def threshold_fallback(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,17 +184,17 @@ def threshold_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 def excess_costs(spark: SparkSession, folder: str) -> DataFrame:
     """What the deployed percentile (41) costs beyond the best one, for each cost ratio."""
-    return rounded(gate.excess_cost(gate.quantile_curve(_predictions(spark, folder), _banks(spark, folder), QS, "square"), RATIOS, 41.0))
+    return rounded(gate.excess_cost(_curve(spark, folder), RATIOS, 41.0))
 
 
 def implied_cost_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """The cost ratios that the deployed percentile (41) implies."""
-    return rounded(gate.implied_ratio(gate.quantile_curve(_predictions(spark, folder), _banks(spark, folder), QS, "square"), RATIOS, 41.0))
+    return rounded(gate.implied_ratio(_curve(spark, folder), RATIOS, 41.0))
 
 
 def fold_percentile(spark: SparkSession, folder: str) -> DataFrame:
     """Mean percentile rank of each prediction's coverage in its fold's bank."""
-    return rounded(gate.percentile_of(_predictions(spark, folder), _banks(spark, folder)))
+    return rounded(gate.percentile_of(*_gate(spark, folder)))
 
 
 def risk_coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,13 +256,13 @@ def edge_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def spearman_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Rank correlation of coverage and squared error."""
-    p = _predictions(spark, folder).withColumn("square", F.round("square", 6)).cache()  # ranks read it several times
+    p = _predictions(spark, folder).withColumn("square", F.round("square", 6))
     return rounded(stats.spearman(p, "coverage", "square"))
 
 
 def fold_wins(spark: SparkSession, folder: str) -> DataFrame:
     """Signed rank comparison of the folds' errors with and without weights."""
-    p = _predictions(spark, folder).cache()  # ranks read it several times
+    p = _predictions(spark, folder)
     all_mean = p.groupBy("fold").agg(F.sqrt(F.avg("square")).alias("risk"), F.sqrt(F.avg(F.when(F.col("coverage") > 1.5, F.col("square")))).alias("kept"))
     return rounded(stats.wilcoxon(all_mean.select(F.round(F.col("kept") - F.col("risk"), 4).alias("d")).dropna(), "d"))
 
