@@ -1,24 +1,28 @@
 """One-to-one matching that depends on order: greedy pairs, matches in gold order, clusters over runs.
 
-Groups (the claims of one document and property) are dealt by their key and sorted, and each partition is read as a stream
-in which one group after another is matched.  So many small groups cost no more than their rows, and a task holds one
-group at a time.
+Greedy pairs are found in rounds over all groups at once (see ``greedy_pairs``).  The other matchings deal groups (the claims
+of one document and property) by their key and sort them, and each partition is read as a stream in which one group after
+another is matched.  So many small groups cost no more than their rows, and a task holds one group at a time.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from attestor.functions.text import numbers
 from attestor.functions.values import close
+from attestor.storage import stored
 
+#: Rounds of ``greedy_pairs``; what they leave is matched group by group.
+ROUNDS = 12
 FLUSH = 10_000
 TOLERANCE = 0.02
 
@@ -62,23 +66,117 @@ def sides(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
 
 
 def greedy_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, i, j): within a group the closest values first, each row once; what is left has the other side null.
-
-    Rows have a position ``pos`` within their group and side.
+    """(keys, i, j): within a group the closest values first, then the smallest i and j, each row once; what is left has the
+    other side null.
+
+    Rows have a position ``pos`` within their group and side; a null value counts as 0.  No pairs are formed beforehand.  Equal
+    values meet by their rank.  After that each distinct value belongs to one side, and a value and the one after it in
+    order are matched as soon as neither has anything closer: nothing that comes first in the sequential rule can take their
+    rows.  Runs of such values at one distance form small groups of their own, which are matched by position.  Every round
+    does that everywhere at once, so their number grows with the logarithm of a group; after ``ROUNDS`` of them the few rows of groups
+    where distances keep growing along the order are matched from a heap of neighbours.
     """
-
-    def pair(rows: list[tuple]) -> Iterator[tuple]:
-        left, right = sides(rows)
-        used_i, used_j = set(), set()
-        for _, i, j in sorted((abs(x - y), i, j) for i, x in left for j, y in right):
-            if i not in used_i and j not in used_j:
-                used_i.add(i), used_j.add(j)
-                yield i, j
-        yield from ((i, None) for i, _ in left if i not in used_i)
-        yield from ((None, j) for j, _ in right if j not in used_j)
-
-    both = two_sided(a, b, keys, [F.col(value).cast("double").alias("value")])
-    return by_group(both, keys, ["side", "pos"], pair, "i long, j long")
+    keys = list(keys)
+    free = stored(two_sided(a, b, keys, [F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value")]), "free")
+    rank = F.row_number().over(Window.partitionBy(*keys, "value", "side").orderBy("pos"))
+    ranked = free.withColumn("rank", rank)
+    left = ranked.where("side = 0").select(*keys, "value", "rank", F.col("pos").alias("i"))
+    pairs = [stored(left.join(ranked.where("side = 1").select(*keys, "value", "rank", F.col("pos").alias("j")), [*keys, "value", "rank"]).select(*keys, "i", "j"), "pairs")]
+    for _ in range(ROUNDS):
+        free = stored(_without(free, pairs[-1], keys), "free")
+        near = _mutually_nearest(free, keys)
+        group = [*keys, "run"]
+        found = by_group(free.join(near, [*keys, "value"]).select(*group, "side", "pos", "value"), group, ["side", "pos"], _of_one_distance, "i long, j long")
+        found = stored(found.select(*keys, "i", "j"), "pairs")
+        if found.isEmpty():
+            break
+        pairs.append(found)
+    else:
+        free = stored(_without(free, pairs[-1], keys), "free")
+        pairs.append(stored(by_group(free, keys, ["value", "side", "pos"], _from_heap, "i long, j long"), "pairs"))
+        free = stored(_without(free, pairs[-1], keys), "free")
+    alone = free.select(*keys, F.when(F.col("side") == 0, F.col("pos")).alias("i"), F.when(F.col("side") == 1, F.col("pos")).alias("j"))
+    for p in pairs:
+        alone = alone.unionByName(p)
+    return alone
+
+
+def _without(free: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    used = pairs.select(*keys, F.lit(0).alias("side"), F.col("i").alias("pos")).unionByName(pairs.select(*keys, F.lit(1).alias("side"), F.col("j").alias("pos")))
+    same = [free[c].eqNullSafe(used[c]) for c in (*keys, "side", "pos")]
+    return free.join(used, same, "left_anti")
+
+
+def _mutually_nearest(free: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, run): values that are as close to a neighbour of the other side as both are to anything there."""
+    sides = free.groupBy(*keys, "value").agg(F.min("side").alias("side"))
+    up, down = (Window.partitionBy(*keys).orderBy(o("value")) for o in (F.asc, F.desc))
+    other = lambda w: F.when(F.col("side") == 0, _last(1, w)).otherwise(_last(0, w))
+    placed = sides.withColumns({"below": other(up), "above": other(down)})
+    placed = placed.withColumn("d", F.least(F.col("value") - F.col("below"), F.col("above") - F.col("value"))).where("d is not null")
+    w = Window.partitionBy(*keys).orderBy("value")
+    gap = F.lead("value").over(w) - F.col("value")
+    joined = (F.lead("side").over(w) != F.col("side")) & (gap == F.col("d")) & (gap == F.lead("d").over(w))
+    placed = placed.withColumn("joined", F.coalesce(joined, F.lit(False)))
+    placed = placed.withColumn("after", F.coalesce(F.lag("joined").over(w), F.lit(False)))
+    runs = placed.withColumn("run", F.sum(F.when(F.col("after"), 0).otherwise(1)).over(w))
+    return runs.where("joined or after").select(*keys, "value", "run")
+
+
+def _last(side: int, w) -> Column:
+    """The last value of one side before this one in the order of a window."""
+    return F.last(F.when(F.col("side") == side, F.col("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _of_one_distance(rows: list[tuple]) -> Iterator[tuple]:
+    """Pairs among neighbouring values of a run, all at one distance: each left row takes the first free neighbour."""
+    order = sorted({v for _, _, v in rows})
+    at = {v: n for n, v in enumerate(order)}
+    waiting: dict[int, list[int]] = {}
+    for side, pos, v in rows:
+        if side:
+            waiting.setdefault(at[v], []).append(pos)
+    queues = {n: iter(q) for n, q in waiting.items()}
+    heads = {n: next(q) for n, q in queues.items()}
+    for side, pos, v in rows:
+        if not side:
+            best = min(((heads[n], n) for n in (at[v] - 1, at[v] + 1) if heads.get(n) is not None), default=None)
+            if best:
+                heads[best[1]] = next(queues[best[1]], None)
+                yield pos, best[0]
+
+
+def _from_heap(rows: list[tuple]) -> Iterator[tuple]:
+    """The sequential rule over one group sorted by value, from a heap of neighbouring values of different sides."""
+    blocks = [(key, [pos for _, pos, _ in block]) for key, block in itertools.groupby(rows, key=lambda r: (r[2], r[0]))]
+    n, first = len(blocks), [0] * len(blocks)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple] = []
+
+    def offer(x: int, y: int) -> None:
+        if x >= 0 and y < n and blocks[x][0][1] != blocks[y][0][1]:
+            i, j = (x, y) if blocks[x][0][1] == 0 else (y, x)
+            heapq.heappush(heap, (blocks[y][0][0] - blocks[x][0][0], blocks[i][1][first[i]], blocks[j][1][first[j]], x, y, first[x], first[y]))
+
+    for x in range(n - 1):
+        offer(x, x + 1)
+    while heap:
+        _, i, j, x, y, at_x, at_y = heapq.heappop(heap)
+        if after[x] != y or before[y] != x or len(blocks[x][1]) == first[x] or len(blocks[y][1]) == first[y]:
+            continue
+        if (at_x, at_y) == (first[x], first[y]):
+            yield i, j
+            for z in (x, y):
+                first[z] += 1
+                if first[z] == len(blocks[z][1]):
+                    p, q = before[z], after[z]
+                    if p >= 0:
+                        after[p] = q
+                    if q < n:
+                        before[q] = p
+                    offer(p, q)
+        if len(blocks[x][1]) > first[x] and len(blocks[y][1]) > first[y]:
+            offer(x, y)
 
 
 def gold_order(gold: DataFrame, predicted: DataFrame, keys: Sequence[str], tolerance: float = TOLERANCE) -> DataFrame:
@@ -181,8 +279,6 @@ def stitched(regions: DataFrame, doc: str, page: str, position: str | None = Non
     only the last region of a page is joined with the first one of the next.  In a chain of joinable regions pairs are taken from the
     left, so the first, third, ... of a chain take their successor.
     """
-    from pyspark.sql import Window
-
     order = [page, position] if position else [page]
     w = Window.partitionBy(doc).orderBy(*order)
     nxt = lambda c: F.lead(c).over(w)
