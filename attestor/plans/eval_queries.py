@@ -46,13 +46,6 @@ def condition_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy(cn.outcome(side(3, 2), side(4, 5)).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def answers_with_conditions(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether an answer states the gold's conditions."""
-    rows = [(0, "at 5 A and 20 °C", {"a": "5", "t": "20"}), (1, "at 600 mA", {"a": "0.6"}), (2, "somehow", {"a": "5"}), (3, "any", {"text": "9"}), (4, "1.5 A", {"a": "1500"})]
-    d = spark.createDataFrame(rows, "n long, answer string, gold map<string,string>")
-    return d.select("n", cn.stated_in(F.col("answer"), F.col("gold")).alias("stated"))
-
-
 def wrong_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Why answers about a part's size aren't right, with other sizes of its brand as variants."""
     p = table(spark, folder, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("s"))
@@ -207,7 +200,7 @@ def answer_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    condition_scores, grounded_conditions, condition_outcomes, answers_with_conditions, wrong_answers, composed_names, sections, printed_values, unit_classes, table_regions,
+    condition_scores, grounded_conditions, condition_outcomes, wrong_answers, composed_names, sections, printed_values, unit_classes, table_regions,
     lookup_with_filter, match_views, claim_similarity, bootstrap, input_limits, refused_inputs, sanity_findings, dataset_join, taxonomy_totals, false_acceptance,
     variant_catalog, precedents, close_prices, answer_units,
 )}
@@ -229,7 +222,6 @@ ORACLE = {
         WHEN (ax IS NULL) = (bx IS NULL) AND (ay IS NULL) = (bw IS NULL) THEN 'identical'
         WHEN NOT ((bx IS NOT NULL AND ax IS NULL) OR (bw IS NOT NULL AND ay IS NULL)) THEN 'a_richer'
         WHEN NOT ((ax IS NOT NULL AND bx IS NULL) OR (ay IS NOT NULL AND bw IS NULL)) THEN 'b_richer' ELSE 'partial' END AS outcome, count(*) AS n FROM s GROUP BY 1""",
-    "answers_with_conditions": "SELECT * FROM (VALUES (0::BIGINT, true), (1, true), (2, false), (3, NULL), (4, true)) v(n, stated)",
     "composed_names": f"""WITH p AS (SELECT {_K} AS k, p_size AS s FROM part)
         SELECT k AS {_K}, ['rel_discharge_capacity', 'rel_charge_capacity', 'rel_capacity'][k % 3 + 1] || '_' || CASE (k // 3) % 3 WHEN 0 THEN CASE WHEN k % 2 = 0 THEN 'm' ELSE '' END || s || 'c_pct'
         WHEN 1 THEN replace(regexp_replace((s / 8.0)::DECIMAL(12, 3)::VARCHAR, '\\.?0+$', ''), '.', '_') || 'a_pct' WHEN 2 THEN CASE WHEN k % 2 = 0 THEN 'rapid' ELSE 'std' END || '_charge_pct' END AS name FROM p""",

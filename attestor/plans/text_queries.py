@@ -10,41 +10,6 @@ from attestor.functions import values as vl
 from attestor.operators import claims, matching
 from attestor.plans.common import rounded, table
 
-POLICIES = ["3.6C(80%)-3.6C", "5.4C(50%)-3C-newstructure", "  4C(4%)-4.85C ", "bad", "", "8C(15%)-3.6C-newstructure", "1C(4%)-6C"]
-ECHO = [
-    "Nominal capacity & voltage: 1.1Ah, 3.3v", "Nominal voltage: 3.6 V", "Standard charge: 1500mA, 4.2V, 50mA", "Recommended fast charge current: 4A", "Max. charge voltage: 4.2 V",
-    "Max charge current: 4,000mA", "Pulse discharge at 10 sec: 60A", "Cycle life at 10C discharge, 100% DOD: Over 1,000 cycles", "Cell weight: Max. 47.5 g",
-    "Recommended charge/cut-off voltage: 3.5v to 2v", "Cut off at 2.75V, full charge 4.35V", "Nothing here",
-]
-ANSWERS = [
-    ("The capacity is 3,350 mAh per page 4 of the datasheet.", [3.35], "Ah"), ("It may vary, approximately 3.1 Ah", [3.35], "Ah"), ("Nominal capacity: 3350 Ah", [3.35], "Ah"),
-    ("I don't know.", [3.35], "Ah"), ("Between 2.5 V and 4.2 V, see https://example.org", [2.5, 4.2], "V"), ("about −20 °C to 60 °C", [-20.0, 60.0], "degC"), ("1.5 A", [1500.0], "mA"),
-]
-RULES = [
-    (1, r"(?i)(?:Nominal|Real) capacity(?: & voltage)?:\s*(?:NCR )?([\d.,]+)\s*(mAh|Ah)", "nominal_capacity_ah"),
-    (2, r"(?i)Nominal voltage:\s*([\d.]+)\s*(V)", "nominal_voltage_v"),
-    (3, r"(?i)standard charge(?: method)?:\s*([\d.,]+)\s*(mA|A)\b", "std_charge_current_a"),
-    (4, r"(?i)fast charge(?: current)?:\s*([\d.,]+)\s*(mA|A)\b", "fast_charge_current_a"),
-    (5, r"(?i)Max\.? charge voltage:\s*([\d.]+)\s*(V)", "max_charge_voltage_v"),
-    (6, r"(?i)Max\.? charge current:\s*([\d.,]+)\s*(mA|A)\b", "max_charge_current_a"),
-    (7, r"(?i)Standard discharge:\s*([\d.,]+)\s*(mA|A)\b", "std_discharge_current_a"),
-    (8, r"(?i)Max\.?(?:imum)? continuous discharge:\s*([\d.,]+)\s*(mA|A)\b", "max_cont_discharge_a"),
-    (9, r"(?i)Pulse discharge[^:]*:\s*([\d.,]+)\s*(A)", "max_pulse_discharge_a"),
-    (10, r"(?i)Cycle life at [\d.]+C discharge,\s*[\d.]+% DOD:\s*(?:Over\s*)?([\d.,]+)\s*(cycles)", "cycle_life_cycles"),
-    (11, r"(?i)(?:Cell )?(?:Net)?weight:?\s*(?:Max\.?\s*)?([\d.]+)\s*(g)", "mass_g"),
-    (12, r"(?i)charge/cut-?off voltage:\s*([\d.]+)\s*(v)", "charge_voltage_v"),
-    (13, r"(?i)Cut off at ([\d.]+)\s*(V)", "discharge_cutoff_v"),
-]
-
-
-def _constant(spark: SparkSession, texts: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "n long, line string")
-
-
-def _values(texts: list[str]) -> str:
-    quoted = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(texts))
-    return f"(VALUES {quoted}) v(n, line)"
-
 
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     """The text of every page, as digest and length."""
@@ -62,18 +27,6 @@ def spec_echo_lines(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.posexplode(tx.list_items(F.col("html"))).alias("pos", "line"))
 
 
-def echo_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """The first rule that each specification line meets, with its value in the property's unit."""
-    rules = spark.createDataFrame(RULES, "rule int, pattern string, property string")
-    lines = _constant(spark, ECHO)
-    hits = lines.join(F.broadcast(rules), F.expr("line rlike pattern"))
-    first = hits.groupBy("n", "line").agg(F.min_by(F.struct("rule", "pattern", "property"), "rule").alias("r")).select("n", "line", "r.*")
-    value = F.replace(F.expr("regexp_extract(line, pattern, 1)"), F.lit(","), F.lit("")).cast("double")
-    unit = F.expr("regexp_extract(line, pattern, 2)")
-    out = first.select("n", "rule", "property", vl.normalized(F.array(value), unit, F.col("property"))[0].alias("value"))
-    return rounded(out)
-
-
 def review_parts(spark: SparkSession, folder: str) -> DataFrame:
     """List items per page and their mean length, the shape of a parsed review."""
     items = table(spark, folder, "pages").select("page_id", tx.list_items(F.col("html")).alias("i"))
@@ -134,12 +87,6 @@ def validate_claims(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def policy_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """Two-step policies and their three numbers; anything else stays null."""
-    d = _constant(spark, POLICIES).select("n", tx.policy_name(F.col("line")).alias("policy"))
-    return d.select("n", "policy", F.inline_outer(F.array(tx.policy_parts(F.col("policy")))))
-
-
 def policy_group_id(spark: SparkSession, folder: str) -> DataFrame:
     """Dense group numbers of brands in sorted order."""
     p = table(spark, folder, "part")
@@ -169,12 +116,6 @@ def triage_parse(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("t.decision").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("t.rationale").cast("long")).alias("chars"))
 
 
-def answer_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Outcome of answers against gold values, with hedging and sources."""
-    d = spark.createDataFrame([(i, a, g, u) for i, (a, g, u) in enumerate(ANSWERS)], "n long, answer string, gold array<double>, unit string")
-    return d.select("n", tx.score_value(F.col("answer"), F.col("gold"), F.col("unit")).alias("outcome"), tx.hedges(F.col("answer")).alias("hedged"), tx.names_source(F.col("answer")).alias("sourced"))
-
-
 def hedging(spark: SparkSession, folder: str) -> DataFrame:
     """Hedges, sources and question marks by role."""
     c = table(spark, folder, "conversations")
@@ -275,8 +216,8 @@ def stage_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    html_text, html_sentences, spec_echo_lines, echo_rule_cascade, review_parts, doc_numbers, value_in_source, schema_gate, unit_bounds, tolerance_normalize, validate_claims,
-    policy_parse, policy_group_id, name_fields, source_keys, triage_parse, answer_scores, hedging, page_context, field_consensus, stitched_regions, categorise, strata,
+    html_text, html_sentences, spec_echo_lines, review_parts, doc_numbers, value_in_source, schema_gate, unit_bounds, tolerance_normalize, validate_claims,
+    policy_group_id, name_fields, source_keys, triage_parse, hedging, page_context, field_consensus, stitched_regions, categorise, strata,
     value_location, json_numbers, query_keys, questions, vocabulary, quantity_cells, stage_candidates,
 )}
 
@@ -299,15 +240,6 @@ ORACLE = {
         SELECT page_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM s""",
     "spec_echo_lines": f"WITH {_ITEMS} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT AS pos, line FROM items WHERE line <> ''",
     "review_parts": f"WITH {_ITEMS} SELECT p.page_id, count(line) FILTER (line <> '') AS n, coalesce(sum(length(line)), 0)::INT AS chars FROM pages p LEFT JOIN items i ON i.page_id = p.page_id GROUP BY p.page_id",
-    "echo_rule_cascade": "WITH r AS (SELECT * FROM (VALUES "
-    + ", ".join("({}, '{}', '{}')".format(n, p.replace(r"\b", r"\b"), name) for n, p, name in RULES)
-    + f""") x(rule, pattern, property)), l AS (SELECT * FROM {_values(ECHO)}), h AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY rule) AS k FROM l, r WHERE regexp_matches(line, pattern)),
-        f AS (SELECT n::BIGINT AS n, rule, property, """
-    + "CASE rule "
-    + " ".join("WHEN {0} THEN regexp_extract(line, '{1}', 1)".format(n, p) for n, p, _ in RULES)
-    + " END AS v, CASE rule "
-    + " ".join("WHEN {0} THEN lower(regexp_extract(line, '{1}', 2))".format(n, p) for n, p, _ in RULES)
-    + " END AS u FROM h WHERE k = 1) SELECT n, rule, property, round(replace(v, ',', '')::DOUBLE * CASE WHEN u IN ('mah', 'ma', 'mv') THEN 0.001 ELSE 1 END, 6) AS value FROM f",
     "doc_numbers": f"WITH {_NUMS} SELECT doc_id, len(x) AS n, round(coalesce(list_sum(list_filter(x, lambda v: abs(v) < 1e6)), 0), 3) AS total FROM nums",
     "value_in_source": f"WITH {_NUMS} SELECT doc_id, {_near(50.0)} AS fifty, {_near(3.35)} AS small, {_near(1999.0)} AS large FROM nums",
     "schema_gate": """WITH e AS (SELECT vec_id, vec_id % 6 AS k, [floor(embedding[i]::DOUBLE * 100) for i in [1, 2, 3, 4]] AS v FROM embeddings)
@@ -317,10 +249,6 @@ ORACLE = {
     "tolerance_normalize": """WITH p AS (SELECT p_partkey, p_size::DOUBLE AS x, (p_partkey % 3 + 1)::DOUBLE AS y, CASE WHEN p_partkey % 5 = 0 THEN 9.0 ELSE p_partkey % 3 + 1 END AS s FROM part),
         n AS (SELECT *, abs(y - s) <= 0.05 * greatest(y, s) AS normalized FROM p)
         SELECT p_partkey, normalized, CASE WHEN normalized THEN 1 ELSE 2 END AS arity, round(CASE WHEN normalized THEN x ELSE x - y END, 6) AS first FROM n""",
-    "policy_parse": r"""WITH p AS (SELECT n::BIGINT AS n, nullif(trim(replace(line, '-newstructure', '')), '') AS policy FROM """
-    + _values(POLICIES)
-    + r"""), m AS (SELECT *, regexp_extract(policy, '^(\d+(?:\.\d+)?)C\((\d+(?:\.\d+)?)%\)-(\d+(?:\.\d+)?)C$', ['c1', 'soc', 'c2']) AS g FROM p)
-        SELECT n, policy, try_cast(g.c1 AS DOUBLE) AS c1, try_cast(g.soc AS DOUBLE) AS soc, try_cast(g.c2 AS DOUBLE) AS c2 FROM m""",
     "policy_group_id": "SELECT p_brand, count(*) AS n, 'pg' || lpad((dense_rank() OVER (ORDER BY p_brand) - 1)::VARCHAR, 3, '0') AS group_id FROM part GROUP BY p_brand",
     "name_fields": r"""WITH m AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/([a-z]{2})/(\d+)(.*)$', ['scheme', 'host', 'lang', 'number', 'rest']) AS g FROM pages WHERE regexp_matches(url, '^(https?)://([^/]+)/([a-z]{2})/(\d+)(.*)$'))
         SELECT page_id, g.scheme, g.host, g.lang, g.number::INT AS number FROM m""",
@@ -330,8 +258,6 @@ ORACLE = {
         o AS (SELECT CASE WHEN known THEN lower(regexp_extract(t, '(?is)^\s*(yes|maybe|no)\s*[:\-–]\s*(.+)$', 1)) ELSE 'unparsed' END AS decision,
             CASE WHEN known THEN substring(trim(regexp_replace(regexp_extract(t, '(?is)^\s*(yes|maybe|no)\s*[:\-–]\s*(.+)$', 2), '\s+', ' ', 'g')), 1, 300) ELSE substring(t, 1, 200) END AS rationale FROM d)
         SELECT decision, count(*) AS n, sum(length(rationale))::BIGINT AS chars FROM o GROUP BY 1""",
-    "answer_scores": """SELECT * FROM (VALUES (0::BIGINT, 'correct', false, true), (1, 'wrong', true, false), (2, 'unit_confused', false, false), (3, 'no_value', true, false), (4, 'correct', false, true),
-        (5, 'correct', false, false), (6, 'correct', false, false)) v(n, outcome, hedged, sourced)""",
     "hedging": r"""SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)(not (entirely |completely )?certain|I don''?t know|cannot confirm|unsure|uncertain|may vary|approximately|not specified)')) AS hedged,
         count(*) FILTER (regexp_matches(text, '(?i)(p\.\s*\d+|page \d+|https?://|doi\.org|product specification)')) AS sourced, count(*) FILTER (contains(text, '?')) AS asks FROM conversations GROUP BY 1""",
     "page_context": r"""WITH c AS (SELECT *, lag(text) OVER w AS a, lead(text) OVER w AS b, length(regexp_replace(text, '\s', '', 'g')) < 100 AS short FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
