@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from attestor.functions.values import SMALL_UNITS, close
 
-# Patterns of numbers, policies, tolerances, bounds, sources and hedges.
+# Patterns of mark-up, sentence ends, numbers, percentages, policies, tolerances, bounds, sources, hedges and fences.
+IMAGE, TAG, BLANKS = r"<img[^>]*>", r"<[^>]+>", r"[ \t]+"
+SENTENCE_END = r"(?<=[.!?])\s+|\n"
+ITEM, LIST_END = r"(?i)<li[^>]*>", r"(?is)</(?:li|ul|ol)>.*$"
+SEPARATOR = r"(?<=\d),(?=\d{3}\b)"
+PERCENT = r"(\d+(?:\.\d+)?)\s*%"
+FENCE = r"(?m)^```(?:json)?\s*|\s*```$"
 NUMBER = r"-?\d+(?:\.\d+)?"
 ANSWER_NUMBER = r"(?i)(-?\d[\d,]*(?:\.\d+)?)\s*(mAh|Ah|mA|A|mV|V|mΩ|mOhm|g|%|°C|degC|Wh/kg|Wh/l|h|hours|min|cycles)?"
 POLICY = r"^(\d+(?:\.\d+)?)C\((\d+(?:\.\d+)?)%\)-(\d+(?:\.\d+)?)C$"
@@ -25,26 +31,26 @@ QUANTITY = r"(?iu)^[-−~]?\s*\d{1,3}(?:,\d{3})*(?:\.\d+)?\s*(?:%|℃|°C|mAh|Ah
 
 def html_text(html: Column) -> Column:
     """Images become a space, other tags a line break, blanks and tabs one space."""
-    text = F.regexp_replace(html, r"<img[^>]*>", " ")
-    return F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", "\n"), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, IMAGE, " "), TAG, "\n"), BLANKS, " ")
 
 
 def sentences(text: Column) -> Column:
     """Trimmed non-empty parts between sentence ends or line breaks."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 
 
 def list_items(html: Column) -> Column:
     """The texts of the items of all lists, also of unclosed ones."""
-    items = F.slice(F.split(html, r"(?i)<li[^>]*>"), 2, 1_000_000)
-    bare = F.transform(items, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?is)</(?:li|ul|ol)>.*$", ""), r"<[^>]+>", " "), r"\s+", " ")))
+    parts = F.split(html, ITEM)
+    items = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    bare = F.transform(items, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, LIST_END, ""), TAG, " "), r"\s+", " ")))
     return F.filter(bare, lambda x: x != "")
 
 
 def numbers(text: Column) -> Column:
     """All numbers; a typographic minus counts as one and thousands separators don't split."""
-    plain = F.regexp_replace(F.regexp_replace(text, "−", "-"), r"(?<=\d),(?=\d{3}\b)", "")
+    plain = F.regexp_replace(F.regexp_replace(text, "−", "-"), SEPARATOR, "")
     return raw_numbers(plain)
 
 
@@ -62,7 +68,7 @@ def plus_minus(text: Column) -> Column:
 
 def first_percent(text: Column) -> Column:
     """The first number before a percent sign."""
-    return F.nullif(F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*%", 1), F.lit("")).cast("double")
+    return F.nullif(F.regexp_extract(text, PERCENT, 1), F.lit("")).cast("double")
 
 
 def bound(text: Column) -> Column:
@@ -154,7 +160,7 @@ def query_key(query: Column, params: Column) -> Column:
 
 def json_block(reply: Column, opening: str, closing: str) -> Column:
     """What lies from the first opening to the last closing sign, code fences removed; null if there is none."""
-    bare = F.trim(F.regexp_replace(reply, r"(?m)^```(?:json)?\s*|\s*```$", ""))
+    bare = F.trim(F.regexp_replace(reply, FENCE, ""))
     first, last = F.instr(bare, opening), F.length(bare) - F.instr(F.reverse(bare), closing) + 1
     return F.when((first > 0) & (F.instr(bare, closing) > 0) & (last > first), F.substr(bare, first, last - first + 1))
 

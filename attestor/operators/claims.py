@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as tx
 from attestor.functions.values import close, comparable, in_numbers, relative_gap, unit_factor
-from attestor.operators.stats import quartiles
+from attestor.operators.stats import distribution
 
 # Plausible ranges of properties in their own units.
 BOUNDS = {
@@ -26,7 +26,7 @@ BOUNDS = {
 
 def claim_gaps(claims: DataFrame, measured: DataFrame, key: str, claimed: str, value: str) -> DataFrame:
     """Claims with the distribution of the measured values of their key and the gap of its median."""
-    facts = measured.groupBy(key).agg(*quartiles(value))
+    facts = distribution(measured, value, key)
     return claims.join(facts, key).withColumn("gap", relative_gap(F.col("median"), F.col(claimed)))
 
 

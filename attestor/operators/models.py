@@ -9,6 +9,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.operators.stats import quantiles
+
 # Fixed values of the model: rounds, depth, rate, share of rows, seed.
 ROUNDS, DEPTH, RATE, SHARE, SEED = 30, 3, 0.1, 0.8, 42
 
@@ -47,10 +49,12 @@ def cross_validated(rows: DataFrame, columns: Sequence[str], target: str, folds:
 
 def residual_band(predictions: DataFrame, target: str, coverage: str, buckets: int = 4, lo: float = 0.16, hi: float = 0.84) -> DataFrame:
     """(bucket, from, lo, hi): percentiles of out-of-fold residuals by bucket of coverage."""
-    cuts = predictions.agg(F.percentile(coverage, F.array(*[F.lit(i / buckets) for i in range(buckets)])).alias("cuts"))
-    placed = predictions.join(F.broadcast(cuts)).withColumn("bucket", F.greatest(F.size(F.filter("cuts", lambda c: c <= F.col(coverage))), F.lit(1)))
-    r = F.col(target) - F.col("prediction")
-    return placed.groupBy("bucket").agg(F.min(coverage).alias("from"), F.percentile(r, F.lit(lo)).alias("lo"), F.percentile(r, F.lit(hi)).alias("hi"), F.count(F.lit(1)).alias("n"))
+    shares = {f"c{i}": i / buckets for i in range(buckets)}
+    cuts = [F.lit(x) for x in quantiles(predictions, coverage, shares).select(*shares).first() or ()]
+    bucket = F.greatest(F.size(F.filter(F.array(*cuts), lambda c: c <= F.col(coverage))), F.lit(1)) if cuts else F.lit(1)
+    placed = predictions.select(bucket.alias("bucket"), F.col(coverage).alias("at"), (F.col(target) - F.col("prediction")).alias("r"))
+    ends = quantiles(placed, "r", {"lo": lo, "hi": hi}, "bucket").select("bucket", "lo", "hi")
+    return placed.groupBy("bucket").agg(F.min("at").alias("from"), F.count(F.lit(1)).alias("n")).join(ends, "bucket", "left").select("bucket", "from", "lo", "hi", "n")
 
 
 def gated(predictions: DataFrame, coverage: str, threshold: float, band: DataFrame) -> DataFrame:

@@ -11,13 +11,6 @@ from attestor.storage import stored
 ONE_TASK = 100_000
 
 
-def quartiles(value: str, prefix: str = "") -> list[Column]:
-    """n, median, min, max and quartiles (linear) of a column."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    named = {"n": F.count(value), "median": p(0.5), "least": F.min(value), "most": F.max(value), "q1": p(0.25), "q3": p(0.75)}
-    return [c.alias(prefix + n) for n, c in named.items()]
-
-
 def errors(true: Column, predicted: Column) -> list[Column]:
     """rmse, mape (per cent) and n."""
     return [F.sqrt(F.avg(F.pow(true - predicted, F.lit(2.0)))).alias("rmse"), (F.avg(F.abs(true - predicted) / F.abs(true)) * 100).alias("mape"), F.count(F.lit(1)).alias("n")]
@@ -71,7 +64,14 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], group: str
     at = lambda k: F.min(F.when(F.col("upto__") > k, F.col(value)))
     place = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
     ends = both.groupBy(*groups, "n").agg(*[c for name, p in place.items() for c in (at(F.floor(p)).alias(f"lo__{name}"), at(F.ceil(p)).alias(f"hi__{name}"))])
-    return ends.select(*groups, "n", *[(F.col(f"lo__{name}") + (p - F.floor(p)) * (F.col(f"hi__{name}") - F.col(f"lo__{name}"))).alias(name) for name, p in place.items()])
+    between = lambda name, p: F.col(f"lo__{name}") * (F.ceil(p) - p) + F.col(f"hi__{name}") * (p - F.floor(p))
+    return ends.select(*groups, "n", *[F.when(F.floor(p) == F.ceil(p), F.col(f"lo__{name}")).otherwise(between(name, p)).alias(name) for name, p in place.items()])
+
+
+def distribution(rows: DataFrame, value: str, group: str) -> DataFrame:
+    """(group, n, median, least, most, q1, q3): size, extremes and linear quartiles of each group; null without values."""
+    shares = {"median": 0.5, "least": 0.0, "most": 1.0, "q1": 0.25, "q3": 0.75}
+    return rows.select(group).distinct().join(quantiles(rows, value, shares, group), group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -173,7 +173,7 @@ def false_acceptance(spark: SparkSession, folder: str) -> DataFrame:
 def variant_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """All known values of each brand and container over two sources."""
     p = table(spark, folder, "part")
-    both = p.select("p_brand", F.col("p_size").cast("double").alias("v")).unionByName(p.select("p_brand", F.floor("p_retailprice").cast("double").alias("v")).where("v < 920"))
+    both = p.select("p_brand", F.col("p_size").cast("double").alias("v")).unionByName(p.select("p_brand", F.floor("p_retailprice").cast("double").alias("v")))
     return both.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_set("v")), lambda x: x.cast("int").cast("string")), ",").alias("known"))
 
 
@@ -257,7 +257,7 @@ ORACLE = {
         SELECT role, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c""",
     "false_acceptance": f"""{_PRED}, x AS (SELECT *, sqrt(square) > 0.5::DOUBLE * (id + 100) AS bad FROM pr), t AS (SELECT * FROM (VALUES (1.2::DOUBLE), (1.5), (1.8), (2.1)) v(threshold))
         SELECT threshold, count(*) FILTER (coverage >= threshold) AS accepted, count(*) FILTER (coverage >= threshold AND bad) AS false_accepted, count(*) FILTER (coverage < threshold AND NOT bad) AS useful_refused FROM x, t GROUP BY 1""",
-    "variant_catalog": """WITH b AS (SELECT p_brand, p_size::INT AS v FROM part UNION SELECT p_brand, floor(p_retailprice)::INT FROM part WHERE floor(p_retailprice) < 920) SELECT p_brand, string_agg(v::VARCHAR, ',' ORDER BY v) AS known FROM b GROUP BY 1""",
+    "variant_catalog": """WITH b AS (SELECT p_brand, p_size::INT AS v FROM part UNION SELECT p_brand, floor(p_retailprice)::INT FROM part) SELECT p_brand, string_agg(v::VARCHAR, ',' ORDER BY v) AS known FROM b GROUP BY 1""",
     "precedents": r"""WITH d AS (SELECT doc_id, lang, CASE WHEN contains(text, '|') THEN 'table' WHEN regexp_matches(text, '\d') THEN 'numeric' ELSE 'prose' END AS category FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY category, lang ORDER BY doc_id) AS r FROM d) SELECT category, lang, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r <= 3) AS examples FROM r GROUP BY 1, 2""",
     "close_prices": """WITH l AS (SELECT l_extendedprice AS a, lead(l_extendedprice) OVER (PARTITION BY l_partkey ORDER BY l_extendedprice) AS b FROM lineitem)

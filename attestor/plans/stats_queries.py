@@ -58,8 +58,7 @@ def repeat_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def quantile_limits(spark: SparkSession, folder: str) -> DataFrame:
     """Limits that leave half a per cent on each side."""
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.005), F.lit(0.995)))
-    return rounded(table(spark, folder, "lineitem").agg(q.alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")), 3)
+    return rounded(stats.quantiles(table(spark, folder, "lineitem"), "l_extendedprice", {"lo": 0.005, "hi": 0.995}).select("lo", "hi"), 3)
 
 
 def paired_wins(spark: SparkSession, folder: str) -> DataFrame:

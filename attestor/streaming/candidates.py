@@ -28,13 +28,20 @@ class CandidateStore:
             return self.spark.createDataFrame([], self.schema)
         rows = self.spark.read.schema(self.schema).parquet(f"{self.folder}/parts")
         if self._exists("status"):
-            changed = self.spark.read.schema(f"{self.key} string, new_status string").parquet(f"{self.folder}/status").distinct()
-            rows = rows.join(changed, self.key, "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+            changed = self.spark.read.schema(f"{self.key} string, new_status string, at timestamp").parquet(f"{self.folder}/status")
+            newest = changed.groupBy(self.key).agg(F.max_by("new_status", F.struct("at", "new_status")).alias("new_status"))
+            rows = rows.join(newest, self.key, "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
         return rows.select(self.schema.names)
 
+    def _ids(self, number: int) -> DataFrame:
+        """The ids that other batches have staged: of the parts only the key is read, and no status."""
+        if not self._exists("parts"):
+            return self.spark.createDataFrame([], self.schema).select(self.key)
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/parts").where(F.col("batch") != number).select(self.key)
+
     def stage(self, batch: DataFrame, number: int) -> None:
         """Add the candidates of a batch that no other batch has; of several with one id, the first by all columns."""
-        others = self.staged().where(F.col("batch") != number).select(self.key)
+        others = self._ids(number)
         own = [f.name for f in self.schema if f.name not in ("status", "batch", self.key)]
         new = batch.join(others, self.key, "left_anti").groupBy(self.key).agg(F.min(F.struct(*own)).alias("r"))
         rows = new.select(self.key, "r.*").withColumn("status", F.lit("pending_review"))
@@ -43,14 +50,18 @@ class CandidateStore:
     def pending(self) -> DataFrame:
         return self.staged().where("status = 'pending_review'")
 
+    def set_status(self, candidate_id: str, status: str) -> None:
+        """Note a change of status; of several the newest holds."""
+        change = self.spark.createDataFrame([(candidate_id, status)], f"{self.key} string, new_status string")
+        change.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.folder}/status")
+
     def promote(self, candidate_id: str, confirm: bool) -> str:
         """Mark one candidate as promoted and return the id of its source; needs ``confirm``."""
         if not confirm:
             raise PermissionError("promotion needs an explicit confirmation")
         if self.staged().where(F.col(self.key) == candidate_id).isEmpty():
             raise KeyError(candidate_id)
-        change = self.spark.createDataFrame([(candidate_id, "promoted")], f"{self.key} string, new_status string")
-        change.write.mode("append").parquet(f"{self.folder}/status")
+        self.set_status(candidate_id, "promoted")
         return "lit_" + candidate_id.replace(":", "_").replace("/", "_")
 
 
