@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.operators.graph import fold_edges, neighbour_statistics
 from attestor.operators.stats import quantiles
 
 # Fixed values of the model: rounds, depth, rate, share of rows, seed.
@@ -47,6 +51,43 @@ def cross_validated(rows: DataFrame, columns: Sequence[str], target: str, folds:
     return out
 
 
+GRAPH_STEMS = ("nbr_mean", "nbr_std", "mean_weight", "coverage")
+
+
+def fold_features(edges: dict[str, DataFrame], folds: DataFrame, targets: DataFrame, k: int = 5) -> tuple[DataFrame, list[str]]:
+    """(fold, id, is_test, features of each view): with each fold held out in turn, of every row over its k best training neighbours.
+
+    ``edges`` are stored edges by view, ``folds`` (id, fold), ``targets`` (id, y).  A fold's features come from its training rows
+    alone, and no row is its own neighbour; without neighbours coverage is 0 and the rest null.
+    """
+    every = folds.agg(F.array_sort(F.collect_set("fold")).alias("folds"))  # one array of all folds
+    out = folds.select("id", F.col("fold").alias("own")).join(F.broadcast(every)).select(F.explode("folds").alias("fold"), "id", "own")
+    out = out.withColumn("is_test", F.col("fold") == F.col("own")).drop("own")
+    placed, columns = folds.select("id", F.col("fold").alias("grp")), []
+    for view, own in edges.items():
+        names = [f"{view}_{s}" for s in GRAPH_STEMS]
+        known = neighbour_statistics(fold_edges(own, placed, k), targets, ("fold", "src")).select("fold", F.col("src").alias("id"), *[F.col(s).alias(n) for s, n in zip(GRAPH_STEMS, names, strict=True)])
+        out = out.join(known, ["fold", "id"], "left").withColumn(f"{view}_coverage", F.coalesce(f"{view}_coverage", F.lit(0.0)))
+        columns += names
+    return out, columns
+
+
+def fold_models(rows: DataFrame, columns: Sequence[str], target: str, rounds: int = ROUNDS, at_once: int = 4) -> DataFrame:
+    """Out-of-fold predictions of rows (fold, is_test, columns): a model for each fold from its rows that are no test rows.
+
+    Folds are fitted side by side, ``at_once`` of them.
+    """
+    folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+
+    @inheritable_thread_target(rows.sparkSession)
+    def one(k: int) -> DataFrame:
+        own = rows.where(F.col("fold") == k)
+        return predict(fit(own.where(~F.col("is_test")), columns, target, rounds), own.where("is_test"), columns)
+
+    with ThreadPool(at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, folds))
+
+
 def residual_band(predictions: DataFrame, target: str, coverage: str, buckets: int = 4, lo: float = 0.16, hi: float = 0.84) -> DataFrame:
     """(bucket, from, lo, hi): percentiles of out-of-fold residuals by bucket of coverage."""
     shares = {f"c{i}": i / buckets for i in range(buckets)}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import graph, models
+from attestor.operators import gate, graph, models, pinball
 from attestor.plans.common import rounded, seconds, table
-from attestor.plans.graph_queries import _edges, _groups
+from attestor.plans.graph_queries import _FOLDS, VIEWS, _edges, _groups, _sql
 from attestor.sources import cycles, feeds
+from attestor.storage import stored
 
 COLUMNS = [f"f{i}" for i in range(6)]
 
@@ -44,6 +45,50 @@ def predict_with_gate(spark: SparkSession, folder: str) -> DataFrame:
     return models.gated(p, "coverage", 1.7, models.residual_band(p, "y", "coverage")).select("vec_id", "coverage", "abstain", "low", "high", "value")
 
 
+def _with_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """Rows of every fold with their own columns and the neighbour features of both views from the fold's training rows."""
+    rows = models.grouped_folds(_model_rows(spark, folder), "grp", 3).withColumnRenamed("vec_id", "id")
+    edges = {v: _edges(spark, folder, v) for v in VIEWS}
+    features, graph_columns = models.fold_features(edges, rows.select("id", "fold"), rows.select("id", "y"))
+    return stored(features.join(rows.drop("fold"), "id"), "fold-rows"), [*COLUMNS, *graph_columns]
+
+
+def graph_gbt_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """Out-of-fold predictions with neighbour features, those of each fold from its own training rows."""
+    rows, columns = _with_graph(spark, folder)
+    rows, columns = models.with_indicators(rows, columns)
+    return models.fold_models(rows, columns, "y", rounds=10).select(F.col("id").alias("vec_id"), "fold", "y", "prediction")
+
+
+def fold_graph_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The neighbour features of every row with each of ten groups held out in turn."""
+    groups = _groups(spark, folder)
+    targets = groups.select("id", F.log10(F.col("id") + 100.0).alias("y"))
+    rows, columns = models.fold_features({"behavior": _edges(spark, folder)}, groups.select("id", F.col("grp").alias("fold")), targets)
+    return rounded(rows.select("fold", "id", "is_test", *columns))
+
+
+def _spreads(spark: SparkSession, folder: str) -> DataFrame:
+    rows, columns = _with_graph(spark, folder)
+    x = F.array(*[F.col(c).cast("double") for c in columns])
+    picked = rows.select(F.col("fold").alias("model"), "id", (~F.col("is_test")).alias("train"), "y", x.alias("x"))
+    return pinball.spread(picked, "x", len(columns))
+
+
+def quantile_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """Out-of-fold 16th and 84th percentiles by boosted trees, and their distance as a sign of doubt."""
+    return rounded(_spreads(spark, folder).select(F.col("id").alias("vec_id"), F.col("model").alias("fold"), "lo", "hi", "spread"))
+
+
+def spread_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """A gate on coverage and the trees' spread together, thresholds from the other folds."""
+    c = graph.loo_coverage(_edges(spark, folder), _groups(spark, folder)).select("id", "coverage")
+    rows = _spreads(spark, folder).join(c, "id").join(_model_rows(spark, folder).select(F.col("vec_id").alias("id"), "y"), "id")
+    middle = F.col("y") - (F.col("lo") + F.col("hi")) / 2
+    rows = stored(rows.select(F.col("model").alias("fold"), "id", F.round("coverage", 6).alias("coverage"), F.round("spread", 6).alias("spread"), (middle * middle).alias("square")), "spreads")
+    return rounded(gate.hybrid(rows, 5, [0.2, 0.5, 0.8, 1.0]), rmse_retained=4)
+
+
 def sampled_bank(spark: SparkSession, folder: str) -> DataFrame:
     """A bank of two studies: all vectors of the first five groups and forty others drawn by a hash."""
     e = _groups(spark, folder)
@@ -84,8 +129,10 @@ def longest_file(spark: SparkSession, folder: str) -> DataFrame:
     return cycles.longest_file(d, "lang", "source").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_cv, residual_band, predict_with_gate, sampled_bank, search_feed, step_features, reference_screen, finite_series, longest_file)}
+QUERIES = {f.__name__: f for f in (gbt_cv, graph_gbt_cv, fold_graph_rows, quantile_spread, spread_gate, residual_band, predict_with_gate, sampled_bank, search_feed, step_features, reference_screen, finite_series, longest_file)}
 ORACLE = {
+    "fold_graph_rows": f"""WITH {_sql("behavior")}, {_FOLDS} SELECT f.fold, z.id, z.grp = f.fold AS is_test, round(fs.nbr_mean, 6) AS behavior_nbr_mean, round(fs.nbr_std, 6) AS behavior_nbr_std,
+        round(fs.mean_weight, 6) AS behavior_mean_weight, round(coalesce(fs.coverage, 0), 6) AS behavior_coverage FROM z CROSS JOIN folds f LEFT JOIN fs ON fs.fold = f.fold AND fs.src = z.id""",
     "search_feed": """WITH p AS (SELECT event_id, 2020 + event_id % 8 AS year FROM events), k AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'doi:10.1/x' || (event_id % 20)
         ELSE 'title:' || substring(sha1('t' || (event_id % 50)), 1, 16) END AS candidate_id FROM p WHERE year >= 2024) SELECT candidate_id, count(*) AS n, min(year)::INT AS first_year FROM k GROUP BY 1""",
     "step_features": """WITH e AS (SELECT user_id, floor(epoch_us(ts) / 1e6 / 86400)::BIGINT AS day, ts, epoch_us(ts) / 1e6 AS s, event_type, value FROM events)
