@@ -355,7 +355,11 @@ def classes(docs: DataFrame) -> DataFrame:
         placed = scratch.saved(placed, "placed")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
         named = placed.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
-        out = placed.join(named, "root")
+        named = scratch.saved(named, "named")
+        many = F.broadcast(named.where(F.col("class_size") * 1000 > placed.count()))  # fewer than a thousand classes
+        marked = placed.join(many, "root", "left")
+        rest = marked.where("class_size is null").select("root", "row", "doc_id").join(named, "root")
+        out = marked.where("class_size is not null").unionByName(rest)
         return saved(out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept")), "classes")
 
 
