@@ -57,6 +57,19 @@ def area(curve: DataFrame, lo: float = 0.2, hi: float = 1.0, points: int = 161,
     return pieces.groupBy(*groups).agg((F.sum("a") / (hi - lo)).alias("aurc"))
 
 
+def drawn_folds(folds: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(rep, fold, times): how often each replicate draws each fold (with replacement), by a hash of replicate and place."""
+    numbered = folds.withColumn("i", F.row_number().over(Window.orderBy("fold")) - 1)  # a row for each fold
+    size = folds.agg(F.count(F.lit(1)).alias("folds"))
+    draws = folds.sparkSession.range(replicates).withColumnRenamed("id", "rep").join(F.broadcast(size)).select("rep", "folds", F.explode(F.sequence(F.lit(0), F.col("folds").cast("int") - 1)).alias("place"))
+    drawn = draws.groupBy("rep", F.pmod(F.xxhash64("rep", "place", F.lit(seed)), F.col("folds")).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("times"))
+    return drawn.join(numbered, "i").select("rep", "fold", "times")
+
+
+def _interval(point: DataFrame, areas: DataFrame) -> DataFrame:
+    return point.select(F.col("aurc").alias("point")).join(quantiles(areas, "aurc", {"lo": 0.025, "hi": 0.975}))
+
+
 def bootstrap_area(rows: DataFrame, coverage: str, square: str, fold: str = "fold", replicates: int = 200, seed: int = 42) -> DataFrame:
     """(point, n, lo, hi): the area under the risk-coverage curve and its 95 % interval over folds drawn with replacement.
 
@@ -65,15 +78,25 @@ def bootstrap_area(rows: DataFrame, coverage: str, square: str, fold: str = "fol
     totals = rows.groupBy(F.col(fold).alias("fold"), F.col(coverage).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("sq"))
     totals = stored(totals, "fold-totals")
     whole = totals.groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("sq").alias("sq"))
-    point = area(_retained(whole)).select(F.col("aurc").alias("point"))
-    folds = totals.select("fold").distinct()
-    numbered = folds.withColumn("i", F.row_number().over(Window.orderBy("fold")) - 1)
-    size = folds.agg(F.count(F.lit(1)).alias("folds"))
-    draws = rows.sparkSession.range(replicates).withColumnRenamed("id", "rep").join(F.broadcast(size)).select("rep", "folds", F.explode(F.sequence(F.lit(0), F.col("folds").cast("int") - 1)).alias("place"))
-    drawn = draws.groupBy("rep", F.pmod(F.xxhash64("rep", "place", F.lit(seed)), F.col("folds")).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("times"))
-    picked = totals.join(drawn.join(numbered, "i"), "fold")
+    picked = totals.join(drawn_folds(totals.select("fold").distinct(), replicates, seed), "fold")
     each = picked.groupBy("rep", "threshold").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.col("sq") * F.col("times")).alias("sq"))
-    return point.join(quantiles(area(_retained(each, "rep"), within="rep"), "aurc", {"lo": 0.025, "hi": 0.975}))
+    return _interval(area(_retained(whole)), area(_retained(each, "rep"), within="rep"))
+
+
+def random_baseline(rows: DataFrame, key: str, square: str, draws: int = 50, seed: int = 42) -> DataFrame:
+    """(n_retained, rmse_random): the mean RMSE of the first n rows, over ``draws`` orders by a hash of key and draw.
+
+    Each order's sums are running totals, so a draw gives a random choice of every size at once.
+    """
+    each = rows.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), F.col(key).alias("key"), F.col(square).alias("sq"))
+    placed = each.groupBy("draw", F.xxhash64("key", "draw", F.lit(seed)).alias("at")).agg(F.sum("sq").alias("sq"), F.count(F.lit(1)).alias("n"))
+    sums = running_totals(placed, "at", {"n_retained": "n", "s": "sq"}, within="draw")
+    return sums.groupBy("n_retained").agg(F.avg(F.sqrt(F.col("s") / F.col("n_retained"))).alias("rmse_random"))
+
+
+def risk_coverage_random(rows: DataFrame, key: str, coverage: str, square: str, draws: int = 50, seed: int = 42) -> DataFrame:
+    """``risk_coverage`` with the RMSE of random choices of the same size beside it."""
+    return risk_coverage(rows, coverage, square).join(random_baseline(rows, key, square, draws, seed), "n_retained", "left")
 
 
 def fold_banks(edges: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
@@ -165,8 +188,8 @@ def percentile_of(scores: DataFrame, banks: DataFrame) -> DataFrame:
     return scores.select("fold", "id", "coverage").join(counts, ["fold", "coverage"]).join(sizes, "fold").select("fold", "id", rank.alias("percentile"))
 
 
-def hybrid(rows: DataFrame, n: int, levels: list[float], coverage: str = "coverage", spread: str = "spread", square: str = "square") -> DataFrame:
-    """(level, frac_retained, rmse_retained) of a gate on coverage and spread together.
+def hybrid_folds(rows: DataFrame, n: int, levels: list[float], coverage: str = "coverage", spread: str = "spread", square: str = "square") -> DataFrame:
+    """(level, fold, n, kept, error): what a gate on coverage and spread together keeps of each fold, and its squared error.
 
     For each fold the pair of thresholds is chosen on the other folds alone: least RMSE among pairs that retain the level,
     then higher retention, then the lower coverage and higher spread threshold.  Sums per fold and pair make the other
@@ -194,4 +217,27 @@ def hybrid(rows: DataFrame, n: int, levels: list[float], coverage: str = "covera
     fit = ranked.join(F.broadcast(table), F.col("share") >= F.col("level") - 1e-12)
     order = F.struct("risk", (-F.col("share")).alias("s"), "t_cov", (-F.col("t_spr")).alias("t"))
     best = fit.groupBy("level", "fold").agg(F.min_by(F.struct("n", "kept", "error"), order).alias("b"))
-    return best.groupBy("level").agg((F.sum("b.kept") / F.sum("b.n")).alias("frac_retained"), F.sqrt(F.sum("b.error") / F.nullif(F.sum("b.kept"), F.lit(0))).alias("rmse_retained"))
+    return best.select("level", "fold", "b.n", "b.kept", "b.error")
+
+
+def _kept_curve(totals: DataFrame, *keys: str) -> DataFrame:
+    """(keys, frac_retained, rmse_retained) of sums (n, kept, error)."""
+    return totals.groupBy(*keys).agg((F.sum("kept") / F.sum("n")).alias("frac_retained"), F.sqrt(F.sum("error") / F.nullif(F.sum("kept"), F.lit(0))).alias("rmse_retained"))
+
+
+def hybrid(rows: DataFrame, n: int, levels: list[float], coverage: str = "coverage", spread: str = "spread", square: str = "square") -> DataFrame:
+    """(level, frac_retained, rmse_retained) of the gate of ``hybrid_folds`` over all folds."""
+    return _kept_curve(hybrid_folds(rows, n, levels, coverage, spread, square), "level")
+
+
+def bootstrap_hybrid(rows: DataFrame, n: int, levels: list[float], replicates: int = 200, seed: int = 42, **columns: str) -> DataFrame:
+    """(point, n, lo, hi): the area under the hybrid gate's curve and its 95 % interval over folds drawn with replacement.
+
+    The gate's decisions stay as they are; a replicate weighs the sums of each fold and level.  Levels that keep nothing are left
+    out, and levels with equal retention count once, with their mean risk.
+    """
+    totals = stored(hybrid_folds(rows, n, levels, **columns), "hybrid-folds")
+    drawn = totals.join(drawn_folds(totals.select("fold").distinct(), replicates, seed), "fold")
+    weighed = drawn.select("rep", "level", *[(F.col(c) * F.col("times")).alias(c) for c in ("n", "kept", "error")])
+    once = lambda curve, *keys: curve.where("rmse_retained is not null").groupBy(*keys, "frac_retained").agg(F.avg("rmse_retained").alias("rmse_retained"))
+    return _interval(area(once(_kept_curve(totals, "level"))), area(once(_kept_curve(weighed, "rep", "level"), "rep"), within="rep"))

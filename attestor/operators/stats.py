@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,15 +180,82 @@ def logrank(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
     )
 
 
+def upper_gamma(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function: by its series below a + 1, by a continued fraction above."""
+    if x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - scale * total)
+    b = x + 1 - a  # Lentz's method
+    c, d = 1e300, 1 / b
+    h, i = d, 0
+    while True:
+        i += 1
+        an, b = -i * (i - a), b + 2
+        d, c = 1 / (an * d + b), b + an / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15 or i > 10_000:
+            return scale * h
+
+
+def chi_square_tail(chi2: float, df: int) -> float:
+    """How likely a chi-square variable exceeds ``chi2``."""
+    return upper_gamma(df / 2, chi2 / 2)
+
+
+def logrank_sums(rows: DataFrame, time: str, event: str, group: str) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, observed, expected, covariance) over all event times with more than one at risk.
+
+    One row for each distinct time holds how many of each group are at risk from then on, by running totals; the covariance of
+    every two groups is a sum over these rows.  Only the sums reach the driver, groups times groups of them.
+    """
+    known = rows.where(F.col(time).isNotNull() & F.col(group).isNotNull())
+    groups = [r[0] for r in known.select(group).distinct().orderBy(group).collect()]
+    if not groups:
+        return groups, np.zeros(0), np.zeros(0), np.zeros((0, 0))
+    k = range(len(groups))
+    of = lambda i, x: F.sum(F.when(F.col(group) == F.lit(groups[i]), x).otherwise(0)).cast("double")
+    happened = F.coalesce(F.col(event).cast("long"), F.lit(0))
+    per = known.groupBy(F.col(time).cast("double").alias("t")).agg(*[of(i, F.lit(1)).alias(f"n{i}") for i in k], *[of(i, happened).alias(f"d{i}") for i in k])
+    risk = running_totals(per, "t", {f"r{i}": f"n{i}" for i in k}, descending=True)
+    n, d = (sum(F.col(f"{c}{i}") for i in k) for c in "rd")
+    used = risk.withColumns({"n": n, "d": d}).where("d > 0 and n > 1")
+    factor = F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1) / (F.col("n") * F.col("n"))
+    cells = [F.sum(factor * ((F.col(f"r{i}") * F.col("n") if i == j else F.lit(0.0)) - F.col(f"r{i}") * F.col(f"r{j}"))).alias(f"v{i}_{j}") for i in k for j in k if i <= j]
+    sums = used.agg(*[F.sum(f"d{i}").alias(f"o{i}") for i in k], *[F.sum(F.col(f"r{i}") * F.col("d") / F.col("n")).alias(f"e{i}") for i in k], *cells).first()
+    value = lambda name: sums[name] or 0.0
+    return groups, np.array([value(f"o{i}") for i in k]), np.array([value(f"e{i}") for i in k]), np.array([[value(f"v{min(i, j)}_{max(i, j)}") for j in k] for i in k])
+
+
 def logrank_test(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
-    """(chi2, p) of two groups; null unless there are just two and the variance is positive.
+    """(groups, chi2, df, p): whether k groups survive alike; null with fewer than two groups.
 
-    The tail of the chi-square distribution with one degree of freedom comes from a polynomial for the error function
-    (Abramowitz and Stegun 7.1.26, error below 1.5e-7).
+    The last group's difference follows from the others', so it is left out; a singular covariance has a pseudo-inverse.
     """
-    both = logrank(rows, time, event, group).agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct("grp", "observed", "expected", "variance")).alias("a"))
-    chi = F.when((F.col("groups") == 2) & (F.col("a.variance") > 0), F.pow(F.col("a.observed") - F.col("a.expected"), F.lit(2.0)) / F.col("a.variance"))
-    x = F.sqrt(F.col("chi2") / 2)
-    t = 1 / (1 + 0.3275911 * x)
-    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-    return both.select(chi.alias("chi2")).select("chi2", tail.alias("p"))
+    groups, observed, expected, covariance = logrank_sums(rows, time, event, group)
+    chi2 = p = df = None
+    if len(groups) > 1:
+        z, df = (observed - expected)[:-1], len(groups) - 1
+        chi2 = float(z @ np.linalg.pinv(covariance[:-1, :-1]) @ z)
+        p = chi_square_tail(chi2, df)
+    return rows.sparkSession.createDataFrame([(len(groups), chi2, df, p)], "groups int, chi2 double, df int, p double")
+
+
+def logrank_pairs(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
+    """(a, b, chi2, p) of every two groups by themselves, with the risk sets of the two alone."""
+    rows = stored(rows.select(time, event, group), "spans")
+    names = [r[0] for r in rows.where(F.col(group).isNotNull()).select(group).distinct().orderBy(group).collect()]
+    out = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            _, observed, expected, v = logrank_sums(rows.where(F.col(group).isin(a, b)), time, event, group)
+            chi2 = float((observed[0] - expected[0]) ** 2 / v[0, 0]) if len(v) and v[0, 0] > 0 else None
+            out.append((str(a), str(b), chi2, None if chi2 is None else chi_square_tail(chi2, 1)))
+    return rows.sparkSession.createDataFrame(out, "a string, b string, chi2 double, p double")

@@ -212,6 +212,21 @@ def hybrid_gate(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(gate.hybrid(_predictions(spark, folder), 5, [0.2, 0.5, 0.8, 1.0]), rmse_retained=3)
 
 
+def aurc_interval(spark: SparkSession, folder: str) -> DataFrame:
+    """The area under the risk-coverage curve with its interval over drawn folds."""
+    return rounded(gate.bootstrap_area(_predictions(spark, folder), "coverage", "square"), 4)
+
+
+def hybrid_interval(spark: SparkSession, folder: str) -> DataFrame:
+    """The area under the hybrid gate's curve with its interval over drawn folds."""
+    return rounded(gate.bootstrap_hybrid(_predictions(spark, folder), 5, [i / 20 for i in range(1, 21)]), 4)
+
+
+def risk_coverage_random(spark: SparkSession, folder: str) -> DataFrame:
+    """Risk among the rows that each threshold retains, and among random rows as many."""
+    return rounded(gate.risk_coverage_random(_predictions(spark, folder), "id", "coverage", "square"), rmse_retained=4, rmse_random=4)
+
+
 def coverage_signals_k(spark: SparkSession, folder: str) -> DataFrame:
     """Out-of-group coverage of both views for several k, and their mean."""
     out = _groups(spark, folder).select("id")
@@ -272,7 +287,7 @@ QUERIES = {
     "knn_neighbor_stats": knn_neighbor_stats, "knn_query_topk": knn_query_topk, "query_graph_features": query_graph_features, "knn_distances": knn_distances, "loo_coverage_xgroup": loo_coverage_xgroup,
     "cross_set_edges": cross_set_edges, "logo_fold_features": logo_fold_features, "fold_thresholds": fold_thresholds, "gate_decisions": gate_decisions,
     "quantile_curve": quantile_curve, "cost_optimum": cost_optimum, "excess_costs": excess_costs, "implied_cost_ratio": implied_cost_ratio, "threshold_fallback": threshold_fallback, "fold_percentile": fold_percentile,
-    "risk_coverage": risk_coverage, "aurc": aurc, "hybrid_gate": hybrid_gate, "coverage_signals_k": coverage_signals_k, "bottom_coverage": bottom_coverage,
+    "risk_coverage": risk_coverage, "aurc": aurc, "hybrid_gate": hybrid_gate, "aurc_interval": aurc_interval, "hybrid_interval": hybrid_interval, "risk_coverage_random": risk_coverage_random, "coverage_signals_k": coverage_signals_k, "bottom_coverage": bottom_coverage,
     "optional_match_topk": optional_match_topk, "query_snapshot": query_snapshot, "edge_counts": edge_counts, "spearman_coverage": spearman_coverage,
     "fold_wins": fold_wins,
 }

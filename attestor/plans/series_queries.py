@@ -164,6 +164,16 @@ def logrank_oe(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stats.logrank(_spans(spark, folder), "time", "event", "grp"), 5)
 
 
+def logrank_test(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the spans of all priorities end alike: chi-square, degrees of freedom and probability."""
+    return rounded(stats.logrank_test(_spans(spark, folder), "time", "event", "grp"))
+
+
+def logrank_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two priorities by themselves."""
+    return rounded(stats.logrank_pairs(_spans(spark, folder), "time", "event", "grp").select("a", "b", "chi2"), 5)
+
+
 def censoring_by_group(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, events and median time of each priority."""
     s = _spans(spark, folder)
@@ -173,7 +183,7 @@ def censoring_by_group(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     conform_cycles, life_table, qc_flags, life_variants, early_features, nearest_value, curve_difference, gap_sessions, longest_run, qv_interp, interp_clamped,
-    continuation_merge, dense_pair, discharge_steps, flag_islands, survival_table, km_curve, km_median, logrank_oe, censoring_by_group,
+    continuation_merge, dense_pair, discharge_steps, flag_islands, survival_table, km_curve, km_median, logrank_oe, logrank_test, logrank_pairs, censoring_by_group,
 )}
 
 
@@ -251,5 +261,10 @@ ORACLE = {
         x AS (SELECT ti.t, g.grp, (SELECT count(*) FROM s WHERE time >= ti.t) AS nj, (SELECT count(*) FROM s WHERE time = ti.t AND event = 1) AS d,
                   (SELECT count(*) FROM s WHERE time >= ti.t AND s.grp = g.grp) AS nij, (SELECT count(*) FROM s WHERE time = ti.t AND event = 1 AND s.grp = g.grp) AS dg FROM ti, g)
         SELECT grp, sum(dg)::BIGINT AS observed, round(sum(nij * d / nj), 5) AS expected, round(sum(d * (nj - d) / (nj - 1) / (nj * nj) * (nij * nj - nij * nij)), 5) AS variance FROM x WHERE nj > 1 GROUP BY grp""",
+    "logrank_pairs": f"""WITH {_SPANS}, pr AS (SELECT x.grp AS a, y.grp AS b FROM (SELECT DISTINCT grp FROM s) x JOIN (SELECT DISTINCT grp FROM s) y ON x.grp < y.grp),
+        ti AS (SELECT DISTINCT a, b, time AS t FROM pr JOIN s ON grp IN (a, b) WHERE event = 1),
+        x AS (SELECT ti.*, (SELECT count(*) FROM s WHERE grp IN (a, b) AND time >= t) AS n, (SELECT count(*) FROM s WHERE grp IN (a, b) AND time = t AND event = 1) AS d,
+                  (SELECT count(*) FROM s WHERE grp = a AND time >= t) AS na, (SELECT count(*) FROM s WHERE grp = a AND time = t AND event = 1) AS da FROM ti)
+        SELECT a, b, round(pow(sum(da) - sum(na * d / n), 2) / sum(d * (n - d) / (n - 1) / (n * n) * (na * n - na * na)), 5) AS chi2 FROM x WHERE n > 1 GROUP BY a, b""",
     "censoring_by_group": f"WITH {_SPANS} SELECT grp, count(*) AS n, sum(event)::BIGINT AS events, round(quantile_cont(time, 0.5), 6) AS median_time FROM s GROUP BY grp",
 }
