@@ -39,8 +39,8 @@ def features(rows: DataFrame, id_col: str, group_col: str, columns: dict[str, Co
     return picked.select("id", "grp", F.array(*columns).alias("vec"))
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = True, exclude_group: bool = False, size: int | None = None) -> DataFrame:
-    """(src, dst, weight, same_group): the k bank rows nearest to each query row.
+def nearest(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = True, exclude_group: bool = False, size: int | None = None, within: str | None = None) -> DataFrame:
+    """(src, dst, weight, same_group): the k bank rows nearest to each query row, among those of equal ``within`` if given.
 
     Exact.  Queries and bank are dealt into blocks, each pair of blocks is one task's matrix product, whose nearest rows are
     measured again without its rounding, and only the k best for each query leave it.  Rows are excluded by id or group,
@@ -51,8 +51,12 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = Tr
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     named = [F.col(c).alias(f"{c}_") for c in ("id", "grp", "vec")]  # new columns, as both sides may come from one table
-    left = queries.select(*named, own.alias("i"), every.alias("j"))
-    right = bank.select(*named, own.alias("j"), every.alias("i"))
+    extra = [within] if within else []
+    left = queries.select(*extra, *named, own.alias("i"), every.alias("j"))
+    right = bank.select(*extra, *named, own.alias("j"), every.alias("i"))
+
+    def within_best(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return best(q, b).assign(**({within: key[0]} if within else {}))
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -82,13 +86,14 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = Tr
                 parts.append(pd.DataFrame({"src": src[i], "dst": ids[j], "weight": 1 / (1 + d), "same_group": groups[j] == group[i]}))
         return pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "weight": [], "same_group": []})
 
-    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "src long, dst long, weight double, same_group boolean")
-    return top_edges(pairs, k)
+    schema = "src long, dst long, weight double, same_group boolean" + (f", {within} {dict(queries.dtypes)[within]}" if within else "")
+    pairs = left.groupBy(*extra, "i", "j").cogroup(right.groupBy(*extra, "i", "j")).applyInPandas(within_best, schema)
+    return top_edges(pairs, k, within)
 
 
-def top_edges(edges: DataFrame, k: int) -> DataFrame:
-    """The k heaviest edges of each source, ties by dst."""
-    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+def top_edges(edges: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """The k heaviest edges of each source (``within`` each value of a column), ties by dst."""
+    w = Window.partitionBy(*([within] if within else []), "src").orderBy(F.desc("weight"), "dst")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 

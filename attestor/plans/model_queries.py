@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import gate, graph, models, pinball
+from attestor.operators import adaptation, gate, graph, models, pinball
 from attestor.plans.common import rounded, seconds, table
 from attestor.plans.graph_queries import _FOLDS, VIEWS, _edges, _groups, _sql
 from attestor.sources import cycles, feeds
@@ -89,6 +89,23 @@ def spread_gate(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(gate.hybrid(rows, 5, [0.2, 0.5, 0.8, 1.0]), rmse_retained=4)
 
 
+def _studies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the first five groups as the known study, the others as a new one."""
+    rows = _model_rows(spark, folder).select(F.col("vec_id").alias("id"), "grp", (F.col("y") + 5).alias("y"), F.array(*[F.col(f"f{i}") for i in range(5)]).alias("x"))
+    return rows.where("grp < 5"), rows.where("grp >= 5")
+
+
+def adaptation_draws(spark: SparkSession, folder: str) -> DataFrame:
+    """What a gate retains of a new study once 0 to 40 of its rows have joined the bank, by draw and rule."""
+    out = adaptation.adapted(*_studies(spark, folder), 5, [0, 5, 10, 40], [0, 1, 2], 41.0, cutoff=10.0)
+    return rounded(out)
+
+
+def adaptation_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The draws' means and deviations by number of added rows and rule."""
+    return rounded(adaptation.summary(adaptation.adapted(*_studies(spark, folder), 5, [0, 10], [0, 1, 2], 41.0, cutoff=10.0)))
+
+
 def sampled_bank(spark: SparkSession, folder: str) -> DataFrame:
     """A bank of two studies: all vectors of the first five groups and forty others drawn by a hash."""
     e = _groups(spark, folder)
@@ -129,7 +146,7 @@ def longest_file(spark: SparkSession, folder: str) -> DataFrame:
     return cycles.longest_file(d, "lang", "source").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_cv, graph_gbt_cv, fold_graph_rows, quantile_spread, spread_gate, residual_band, predict_with_gate, sampled_bank, search_feed, step_features, reference_screen, finite_series, longest_file)}
+QUERIES = {f.__name__: f for f in (gbt_cv, graph_gbt_cv, fold_graph_rows, quantile_spread, spread_gate, adaptation_draws, adaptation_summary, residual_band, predict_with_gate, sampled_bank, search_feed, step_features, reference_screen, finite_series, longest_file)}
 ORACLE = {
     "fold_graph_rows": f"""WITH {_sql("behavior")}, {_FOLDS} SELECT f.fold, z.id, z.grp = f.fold AS is_test, round(fs.nbr_mean, 6) AS behavior_nbr_mean, round(fs.nbr_std, 6) AS behavior_nbr_std,
         round(fs.mean_weight, 6) AS behavior_mean_weight, round(coalesce(fs.coverage, 0), 6) AS behavior_coverage FROM z CROSS JOIN folds f LEFT JOIN fs ON fs.fold = f.fold AND fs.src = z.id""",
