@@ -21,8 +21,8 @@ stay until the next compaction, so results of ``probe`` have to be read before `
 Documents probe the filters first; only keys that pass (shared ones and rare false positives) are joined with the
 references, which decide.
 
-Digests are 16 bytes of SHA-256.  Hot lines: postings are counted with partial sums, probes are salted by document, and
-the join with the references is a plain one that adaptive execution splits.
+Digests are 16 bytes of SHA-256.  Hot lines: postings are counted with partial sums, and both the probes and the join with the
+references are salted by document.
 
 Defined results: null and empty texts are one empty line; rows with a null doc_id count as one document that comes last;
 rows that repeat a doc_id are one document; inserting a document again adds the keys that it didn't have, deleting one that
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.llm import cuckoo
+from attestor.llm.skew import salted_join
 from attestor.llm.storage import filesystem, fresh, remove, write_once
 
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -284,7 +285,7 @@ class LineIndex:
                 yield b.select(["digest", "doc"]).filter(pa.array(keep))
 
         candidates = pairs.mapInArrow(passing, "digest binary, doc long")
-        drops = candidates.join(self.references, "digest").where("doc > first_doc")
+        drops = salted_join(candidates, self.references, "digest", "refs", "doc").where("doc > first_doc")
         return drops.groupBy("doc").agg(F.collect_set("digest").alias("drop"))
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.llm.skew import salted_join
 from attestor.llm.storage import saved
 
 # The base patterns, in order of kind.
@@ -89,11 +90,11 @@ def candidates(scanned: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, repositories, owners): over how many distinct ones each candidate value is spread."""
+    """(hash, repositories, owners, uses): over how many distinct ones each candidate value is spread, and how often it occurs."""
     hashed = found.select("hash", F.coalesce("repository", F.lit("\0")).alias("repository"), F.coalesce("owner", F.lit("\0")).alias("owner"))
     pairs = hashed.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("uses"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return owners.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    owners = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("uses").alias("uses"))
+    return owners.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.sum("uses").alias("uses"))
 
 
 def _listed(spans: Column) -> Column:
@@ -112,7 +113,7 @@ def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     scanned = scan(docs, repository, owner)
     found = candidates(scanned)
     known = saved(ownership(found), "ownership")
-    judged = found.join(known, "hash").withColumn("own", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
+    judged = salted_join(found, known, "hash", "uses", "row").withColumn("own", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
     by_row = judged.groupBy("row").agg(
         F.count_if("own").alias("n_live"), F.count_if(~F.col("own")).alias("n_shared"),
         F.collect_list(F.when(F.col("own") & (F.col("s.kind") == 3), F.col("s"))).alias("live"),

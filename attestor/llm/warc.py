@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.skew import salted_join
 from attestor.llm.storage import filesystem, fresh, saved
 
 INDEX = "page_id long, url string, archive string, offset long, length long, digest string, record_type string, refers_to long"
@@ -71,9 +72,9 @@ def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     groups = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = saved(groups.where("n > 1 and first is not null").select("digest", "first"), "payloads")
+    shared = saved(groups.where("n > 1 and first is not null").select("digest", "first", "n"), "payloads")
     first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(shared, "digest", "left").select("page_id", "url", "html", "digest", first.alias("refers_to"))
+    return salted_join(rows, shared, "digest", "n", "page_id", "left").select("page_id", "url", "html", "digest", first.alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str | None = None, least: int = 100, date: str = "1970-01-01T00:00:00Z", level: int = 4) -> DataFrame:
