@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import adaptation, gate, graph, models, pinball
+from attestor.operators import adaptation, artifacts, gate, graph, models, pinball
 from attestor.plans.common import rounded, seconds, table
 from attestor.plans.graph_queries import _FOLDS, VIEWS, _edges, _groups, _sql
-from attestor.sources import cycles, feeds
-from attestor.storage import stored
+from attestor.sources import archives, cycles, feeds
+from attestor.storage import shared_root, stored
 
 COLUMNS = [f"f{i}" for i in range(6)]
 
@@ -112,6 +114,26 @@ def sampled_bank(spark: SparkSession, folder: str) -> DataFrame:
     return e.where("grp < 5").unionByName(models.sampled(e.where("grp >= 5"), "id", 40, 7)).orderBy("id")
 
 
+def served_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector served by a version of the model that was trained on all of them, stored and read back."""
+    rows = _model_rows(spark, folder).select(F.col("vec_id").alias("id"), "grp", "y", *COLUMNS[:5])
+    shelf = artifacts.Artifacts(spark, f"{shared_root(spark)}/attestor/served-{uuid.uuid4().hex}")
+    shelf.train(rows, COLUMNS[:5], 41.0, rounds=5)
+    shelf.rewrite_gate(50.0)
+    return rounded(shelf.serve(rows))
+
+
+def archived_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written to zip archives, a member for each user, and read back: rows, sums and unreadable members by kind."""
+    at = f"{shared_root(spark)}/attestor/archives-{uuid.uuid4().hex}"
+    e = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    written = archives.write_members(e, at, "user_id", spoiled=1)
+    back = archives.members(spark, at, "member string, event_id long, user_id long, event_type string, value double")
+    rows = back.groupBy(F.element_at(F.split("member", r"\."), -1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("members"), F.sum("value").alias("total"), F.countDistinct("event_type").alias("types"))
+    bad = archives.rejects(spark, at, "event_id long").agg((F.count(F.lit(1)) - written).alias("n")).select(F.lit("beyond the spoiled").alias("kind"), "n", *[F.lit(0).cast(t).alias(c) for c, t in (("members", "long"), ("total", "double"), ("types", "long"))])
+    return rounded(rows.unionByName(bad), 3)
+
+
 def search_feed(spark: SparkSession, folder: str) -> DataFrame:
     """Papers of a search page made from events: those from 2024 on with a title, by identity."""
     e = table(spark, folder, "events")
@@ -146,10 +168,12 @@ def longest_file(spark: SparkSession, folder: str) -> DataFrame:
     return cycles.longest_file(d, "lang", "source").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (gbt_cv, graph_gbt_cv, fold_graph_rows, quantile_spread, spread_gate, adaptation_draws, adaptation_summary, residual_band, predict_with_gate, sampled_bank, search_feed, step_features, reference_screen, finite_series, longest_file)}
+QUERIES = {f.__name__: f for f in (gbt_cv, graph_gbt_cv, fold_graph_rows, quantile_spread, spread_gate, adaptation_draws, adaptation_summary, served_predictions, archived_events, residual_band, predict_with_gate, sampled_bank, search_feed, step_features, reference_screen, finite_series, longest_file)}
 ORACLE = {
     "fold_graph_rows": f"""WITH {_sql("behavior")}, {_FOLDS} SELECT f.fold, z.id, z.grp = f.fold AS is_test, round(fs.nbr_mean, 6) AS behavior_nbr_mean, round(fs.nbr_std, 6) AS behavior_nbr_std,
         round(fs.mean_weight, 6) AS behavior_mean_weight, round(coalesce(fs.coverage, 0), 6) AS behavior_coverage FROM z CROSS JOIN folds f LEFT JOIN fs ON fs.fold = f.fold AND fs.src = z.id""",
+    "archived_events": """SELECT CASE user_id % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' ELSE 'npz' END AS kind, count(*) AS n, count(DISTINCT user_id) AS members, round(sum(value), 3) AS total, count(DISTINCT event_type) AS types
+        FROM events GROUP BY 1 UNION ALL SELECT 'beyond the spoiled', 0, 0, 0, 0""",
     "search_feed": """WITH p AS (SELECT event_id, 2020 + event_id % 8 AS year FROM events), k AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'doi:10.1/x' || (event_id % 20)
         ELSE 'title:' || substring(sha1('t' || (event_id % 50)), 1, 16) END AS candidate_id FROM p WHERE year >= 2024) SELECT candidate_id, count(*) AS n, min(year)::INT AS first_year FROM k GROUP BY 1""",
     "step_features": """WITH e AS (SELECT user_id, floor(epoch_us(ts) / 1e6 / 86400)::BIGINT AS day, ts, epoch_us(ts) / 1e6 AS s, event_type, value FROM events)
