@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as tx
 
-# Papers before this year are left out; at most so many authors and characters of abstract are kept.
+# Papers before this year are left out; at most so many authors and characters of abstract are kept; the fields
+# that a claim can't do without.
+REQUIRED = ("property", "value", "unit")
 FIRST_YEAR, AUTHORS, ABSTRACT = 2024, 12, 1500
 SEARCH = "struct<total:int,data:array<struct<title:string,year:int,venue:string,externalIds:struct<DOI:string,ArXiv:string>,abstract:string,authors:array<struct<name:string>>>>>"
 ATOM = "id string, title string, published string, summary string, author array<struct<name:string>>"
@@ -69,18 +71,25 @@ def omissions(docs: DataFrame, name: str, body: str) -> DataFrame:
 
 
 def reply_claims(replies: DataFrame, reply: str) -> DataFrame:
-    """``replies`` with a row for each claim of the JSON array in a model's reply; ``parse_error`` where there is none."""
+    """``replies`` with a row for each claim of the JSON array in a model's reply.
+
+    ``error`` says why a row is no whole claim: ``no_list`` where the reply has no readable array (``parse_error`` too), else
+    ``missing: `` and the names of the fields that a claim lacks.
+    """
     block = tx.json_block(F.col(reply), "[", "]")
     parsed = F.from_json(block, "array<struct<property:string,value:string,unit:string,stated_conditions:map<string,string>>>")
     rows = replies.withColumn("parsed__", F.when(block.isNotNull(), parsed))
     out = rows.select(*replies.columns, F.col("parsed__").isNull().alias("parse_error"), F.explode_outer("parsed__").alias("c"))
     unspecified = F.create_map(F.lit("text"), F.lit("unspecified"))
-    return out.select(*replies.columns, "parse_error", "c.property", "c.value", "c.unit", F.coalesce("c.stated_conditions", unspecified).alias("stated_conditions"))
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"c.{f}").isNull(), F.lit(f)) for f in REQUIRED]))
+    error = F.when(F.col("parse_error"), "no_list").when(F.size(lacking) > 0, F.concat(F.lit("missing: "), F.array_join(lacking, ", ")))
+    return out.select(*replies.columns, "parse_error", error.alias("error"), "c.property", "c.value", "c.unit", F.coalesce("c.stated_conditions", unspecified).alias("stated_conditions"))
 
 
 def pages_of(docs: DataFrame, key: str, body: str) -> DataFrame:
     """(key, page, text) of documents with ``=== PAGE n ===`` marks."""
     marks = F.regexp_extract_all(body, F.lit(r"=== PAGE (\d+) ==="), F.lit(1))
-    parts = F.slice(F.split(body, r"=== PAGE \d+ ==="), 2, 1_000_000)
+    split = F.split(body, r"=== PAGE \d+ ===")
+    parts = F.slice(split, F.lit(2), F.greatest(F.size(split) - 1, F.lit(0)))
     rows = docs.select(F.col(key), F.explode(F.arrays_zip(marks.alias("m"), parts.alias("t"))).alias("p"))
     return rows.select(key, F.col("p.m").cast("int").alias("page"), F.col("p.t").alias("text"))
