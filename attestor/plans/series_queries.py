@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.operators import series, stats
+from attestor.operators import cells, series, stats
 from attestor.plans.common import rounded, seconds, table
+from attestor.storage import stored
 
 
 def _cycles(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,6 +175,66 @@ def logrank_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stats.logrank_pairs(_spans(spark, folder), "time", "event", "grp").select("a", "b", "chi2"), 5)
 
 
+def _steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of a user as steps, sixteen a cycle, of which the first eleven to thirteen discharge."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = table(spark, folder, "events").withColumn("n", n).withColumn("pos", F.col("n") % 16)
+    out = F.col("pos") < 11 + F.col("user_id") % 3
+    status = F.when(out & ((F.col("user_id") % 4 != 0) | (F.col("pos") != 3)), "CC Discharge").when(out, "rest").otherwise("CC Charge")
+    return e.select(
+        F.col("user_id").alias("cell"), (F.floor(F.col("n") / 16) + 1).cast("int").alias("cycle"), F.col("pos").alias("seq"), status.alias("status"),
+        (3000 - 100 * F.col("pos") - F.col("event_id") % 10).cast("double").alias("capacity"), (4.2 - 0.05 * F.col("pos") - F.col("event_id") % 100 / 10000).alias("voltage"), seconds("ts").alias("time"),
+    )
+
+
+_STEPS = """ev AS (SELECT user_id AS cell, event_id, epoch_us(ts) / 1e6 AS time, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+    sp AS (SELECT cell, (n // 16 + 1)::INT AS cycle, n % 16 AS seq, CASE WHEN n % 16 < 11 + cell % 3 THEN CASE WHEN cell % 4 <> 0 OR n % 16 <> 3 THEN 'd' ELSE 'r' END ELSE 'c' END AS status,
+        (3000 - 100 * (n % 16) - event_id % 10)::DOUBLE AS capacity, 4.2::DOUBLE - 0.05::DOUBLE * (n % 16) - event_id % 100 / 10000 AS voltage, time FROM ev),
+    td0 AS (SELECT cell, cycle, CASE WHEN count(*) FILTER (status = 'd') >= 2 THEN (arg_min(capacity, seq) FILTER (status = 'd') - arg_max(capacity, seq) FILTER (status = 'd')) / 1000 END AS cap,
+        CASE WHEN count(*) FILTER (status = 'c') >= 2 THEN (arg_max(time, seq) FILTER (status = 'c') - arg_min(time, seq) FILTER (status = 'c')) / 60 END AS ct FROM sp GROUP BY 1, 2),
+    td AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY cycle) AS nth FROM td0) WHERE (cell % 10 <> 0 OR nth > 1) AND cap > 0)"""
+
+
+def cell_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The seven early features of every cell from its raw steps; every tenth cell starts with its second cycle."""
+    steps = _steps(spark, folder)
+    skipped = steps.where("cell % 10 = 0").select("cell").distinct().withColumn("n", F.lit(1))
+    return rounded(cells.processed(steps, 2, 3, 1, 4, skipped, grid=40)[1])
+
+
+def cell_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """The tidy cycles of every cell from its raw steps."""
+    return rounded(cells.tidy_cycles(_steps(spark, folder)))
+
+
+def surrogate_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of each cell over its own first dense cycle and the first one two cycles later."""
+    steps = _steps(spark, folder)
+    return rounded(cells.surrogate_features(steps, cells.tidy_cycles(steps), 10, 2, grid=40))
+
+
+def _tidy(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(cells.tidy_cycles(_steps(spark, folder)).select("cell", "cycle", F.col("discharge_capacity_ah").alias("cap")), "tidy")
+
+
+def _instances(tidy: DataFrame) -> DataFrame:
+    lives = stored(series.lives(tidy, "cell", "cycle", "cap").select("cell", "life", "init", "last_cycle", "anomalous"), "lives")
+    early = series.early_features(tidy, "cell", "cycle", "cap", 2, 50).select("cell", "slope", "at_lo", "at_hi")
+    described = lives.select("cell", F.when(F.col("cell") % 7 != 0, F.concat((F.col("cell") % 5).cast("string"), F.lit("C(80%)-4C"))).alias("policy"))
+    return cells.instances(lives, early, described, "events")
+
+
+def study_instances(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each usable cell: life or censoring, features, policy and its group."""
+    return rounded(_instances(_tidy(spark, folder)))
+
+
+def study_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """What the cells' first capacities say about a nominal one of 1.1."""
+    tidy = _tidy(spark, folder)
+    return rounded(cells.evidence(_instances(tidy), tidy, 1.1, 0.09))
+
+
 def censoring_by_group(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, events and median time of each priority."""
     s = _spans(spark, folder)
@@ -183,7 +244,7 @@ def censoring_by_group(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     conform_cycles, life_table, qc_flags, life_variants, early_features, nearest_value, curve_difference, gap_sessions, longest_run, qv_interp, interp_clamped,
-    continuation_merge, dense_pair, discharge_steps, flag_islands, survival_table, km_curve, km_median, logrank_oe, logrank_test, logrank_pairs, censoring_by_group,
+    continuation_merge, dense_pair, discharge_steps, flag_islands, survival_table, km_curve, km_median, logrank_oe, logrank_test, logrank_pairs, censoring_by_group, cell_features, cell_cycles, surrogate_features, study_instances, study_evidence,
 )}
 
 
@@ -209,6 +270,16 @@ def _life(reach: int = 2, tolerance: str = "0.01", nearest: bool = False, nomina
                CASE WHEN life IS NULL THEN 'no_eol_reached' END) AS flags FROM lb)"""
 
 
+def _curves(cycles: str, only: str = "") -> str:
+    """CTE cv: the points of the curves of some cycles, with the next point by voltage."""
+    return f"""cv0 AS (SELECT cell, cycle, voltage AS v, (first_value(capacity) OVER (PARTITION BY cell, cycle ORDER BY seq) - capacity) / 1000 AS q, count(*) OVER (PARTITION BY cell, cycle) AS k FROM sp {only} WHERE status = 'd' AND cycle IN ({cycles})),
+    cv AS (SELECT cell, cycle, v, q, lead(v) OVER w AS v2, lead(q) OVER w AS q2 FROM cv0 WHERE k >= 10 WINDOW w AS (PARTITION BY cell, cycle ORDER BY v))"""
+
+
+_DQ = """en AS (SELECT pr.cell, c1, c2, greatest(min(v) FILTER (cycle = c1), min(v) FILTER (cycle = c2)) + 0.01::DOUBLE AS lo, least(max(v) FILTER (cycle = c1), max(v) FILTER (cycle = c2)) - 0.01::DOUBLE AS hi FROM pr JOIN cv ON cv.cell = pr.cell GROUP BY 1, 2, 3),
+    gd AS (SELECT *, lo + (hi - lo) * i / 39 AS g, i FROM en, range(40) t(i) WHERE lo IS NOT NULL AND hi IS NOT NULL),
+    ip AS (SELECT gd.cell, i, sum(CASE WHEN cycle = c2 THEN 1 ELSE -1 END * (q + (g - v) / (v2 - v) * (q2 - q))) AS d, count(*) AS k FROM gd JOIN cv ON cv.cell = gd.cell AND cv.cycle IN (c1, c2) AND g >= v AND g < v2 GROUP BY 1, 2),
+    dq AS (SELECT cell, var_pop(d) AS v, min(d) AS l FROM ip WHERE k = 2 GROUP BY 1)"""
 _ANOMALOUS = "len(list_intersect(string_split(flags, ','), ['non_finite_capacity', 'capacity_gt_nominal', 'low_initial_capacity', 'capacity_spike_down'])) > 0"
 _RUNS = """g AS (SELECT *, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts) > 86400 AS new FROM events),
     r AS (SELECT *, CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS run FROM g)"""
@@ -223,6 +294,12 @@ _KM = f"""{_SPANS}, per AS (SELECT time AS t, count(*) AS n, sum(event)::BIGINT
     ci AS (SELECT *, pow(survival, exp(1.959963984540054 * sqrt(g) / abs(ln(survival)))) AS a, pow(survival, exp(-1.959963984540054 * sqrt(g) / abs(ln(survival)))) AS b FROM cu WHERE survival > 0 AND survival < 1 AND g > 0),
     km AS (SELECT 0.0::DOUBLE AS t, count(*) AS n_risk, 0::BIGINT AS n_event, 1.0::DOUBLE AS survival, 1.0::DOUBLE AS ci_lo, 1.0::DOUBLE AS ci_hi FROM s
            UNION ALL SELECT cu.t, cu.n_risk, cu.d, cu.survival, coalesce(least(a, b), cu.survival), coalesce(greatest(a, b), cu.survival) FROM cu LEFT JOIN ci ON ci.t = cu.t)"""
+_INSTANCES = f"""{_life(nominal=False).replace(_CYC, _STEPS + ", c AS (SELECT cell, cycle, cap FROM td0 WHERE cap > 0)")},
+    e AS (SELECT cell, regr_slope(cap, cycle) FILTER (cycle BETWEEN 2 AND 50) AS slope, arg_min(cap, abs(cycle - 2) * 1000 + cycle) FILTER (cycle BETWEEN 2 AND 50) AS at_lo,
+        arg_min(cap, abs(cycle - 50) * 1000 + cycle) FILTER (cycle BETWEEN 2 AND 50) AS at_hi FROM c GROUP BY 1),
+    d AS (SELECT cell, CASE WHEN cell % 7 <> 0 THEN (cell % 5) || 'C(80%)-4C' END AS policy FROM lf),
+    ins AS (SELECT 'events_' || cell AS instance_id, 'events' AS study, cell, policy, CASE WHEN policy IS NOT NULL THEN 'pg00' || (cell % 5) END AS policy_group, round(coalesce(life, last_cycle), 6) AS cycles, life IS NULL AS censored,
+        round(init, 6) AS initial_capacity_ah, round(slope, 6) AS slope, round(at_lo, 6) AS at_lo, round(at_hi, 6) AS at_hi FROM lf JOIN d USING (cell) LEFT JOIN e USING (cell) WHERE NOT ({_ANOMALOUS}))"""
 ORACLE = {
     "conform_cycles": f"WITH {_CYC} SELECT 'events' AS study, count(*) AS n, count(DISTINCT cell) AS cells, 0::BIGINT AS with_chemistry, round(avg(cap), 6) AS mean_capacity FROM c",
     "life_table": f"""WITH {_life()} SELECT cell, n_cycles, round(init, 6) AS init, round(final, 6) AS final, basis, round(life_init, 6) AS life_init, round(life_nominal, 6) AS life_nominal,
@@ -261,6 +338,15 @@ ORACLE = {
         x AS (SELECT ti.t, g.grp, (SELECT count(*) FROM s WHERE time >= ti.t) AS nj, (SELECT count(*) FROM s WHERE time = ti.t AND event = 1) AS d,
                   (SELECT count(*) FROM s WHERE time >= ti.t AND s.grp = g.grp) AS nij, (SELECT count(*) FROM s WHERE time = ti.t AND event = 1 AND s.grp = g.grp) AS dg FROM ti, g)
         SELECT grp, sum(dg)::BIGINT AS observed, round(sum(nij * d / nj), 5) AS expected, round(sum(d * (nj - d) / (nj - 1) / (nj * nj) * (nij * nj - nij * nij)), 5) AS variance FROM x WHERE nj > 1 GROUP BY grp""",
+    "cell_cycles": f"WITH {_STEPS} SELECT cell, cycle, round(cap, 6) AS discharge_capacity_ah, round(ct, 6) AS charge_min FROM td0 WHERE cap > 0",
+    "cell_features": f"""WITH {_STEPS}, {_curves("2, 3", "JOIN td USING (cell, cycle)")}, pr AS (SELECT DISTINCT cell, 2 AS c1, 3 AS c2 FROM cv), {_DQ},
+        f AS (SELECT cell, regr_slope(cap, cycle) FILTER (cycle BETWEEN 1 AND 4) AS slope, arg_min(cap, abs(cycle - 1) * 1000 + cycle) AS a, arg_min(cap, abs(cycle - 3) * 1000 + cycle) AS b, avg(ct) FILTER (cycle <= 4) AS m FROM td GROUP BY 1)
+        SELECT f.cell, round(log10(greatest(v, 1e-12)), 6) AS var_dq, round(log10(greatest(abs(l), 1e-12)), 6) AS min_dq, round(slope, 6) AS slope, round(a, 6) AS capacity_early, round(b, 6) AS capacity_late, round(b / a, 6) AS cap_ratio,
+               round(m, 6) AS mean_charge_min FROM f JOIN dq USING (cell)""",
+    "study_instances": f"WITH {_INSTANCES} SELECT * FROM ins",
+    "study_evidence": f"""WITH {_INSTANCES} SELECT count(*) AS cells_matched, min(initial_capacity_ah) AS least_initial, max(initial_capacity_ah) AS most_initial, count(*) FILTER (near) AS near_nominal,
+        count(*) FILTER (initial_capacity_ah < 1.1) AS below_nominal, count(DISTINCT policy_group) AS groups, count(*) FILTER (censored) AS censored, (SELECT count(*) FROM c) AS rows_ingested,
+        CASE WHEN count(*) FILTER (near) = count(*) THEN 'signature_consistent' ELSE 'asserted_from_publication' END AS identity_basis FROM (SELECT *, abs(initial_capacity_ah - 1.1::DOUBLE) <= 0.09::DOUBLE * 1.1::DOUBLE AS near FROM ins)""",
     "logrank_pairs": f"""WITH {_SPANS}, pr AS (SELECT x.grp AS a, y.grp AS b FROM (SELECT DISTINCT grp FROM s) x JOIN (SELECT DISTINCT grp FROM s) y ON x.grp < y.grp),
         ti AS (SELECT DISTINCT a, b, time AS t FROM pr JOIN s ON grp IN (a, b) WHERE event = 1),
         x AS (SELECT ti.*, (SELECT count(*) FROM s WHERE grp IN (a, b) AND time >= t) AS n, (SELECT count(*) FROM s WHERE grp IN (a, b) AND time = t AND event = 1) AS d,
