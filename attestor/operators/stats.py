@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from attestor.storage import stored
 
-#: Rows of running totals that one sorted task may take; beyond, keys are dealt by ranges.
-ONE_TASK = 100_000
+#: Rows of running totals, or of one group of them, that one sorted task may take; beyond, keys are dealt by ranges.
+ONE_TASK = 1_000_000
 
 
 def errors(true: Column, predicted: Column) -> list[Column]:
@@ -35,15 +35,17 @@ def running_total(rows: DataFrame, key: str, value: str, out: str, parts: int |
     return running_totals(rows, key, {out: value}, parts=parts)
 
 
-def running_totals(rows: DataFrame, key: str, sums: dict[str, str], descending: bool = False, within: str | None = None, parts: int | None = None) -> DataFrame:
+def running_totals(rows: DataFrame, key: str, sums: dict[str, str], descending: bool = False, within: str | None = None, parts: int | None = None, keep: bool = True) -> DataFrame:
     """``rows`` (one for each key, or key and group) with the sum of each value up to its key, ``sums`` naming result and value.
 
-    The rows are stored first, as they are read several times.  More than ``ONE_TASK`` of them are dealt by ranges of keys; a
-    window runs within each range and the ranges' bases are added, so no long order is ever in one task.
+    The rows are stored first (unless ``keep`` is false, for stored ones), as they are read several times.  More than
+    ``ONE_TASK`` of them, or of a group, are dealt by ranges of keys; a window runs within each range and the ranges' bases
+    are added, so no long order is ever in one task.
     """
-    rows = stored(rows, "totals")
+    rows = stored(rows, "totals") if keep else rows
     groups, last = [within] if within else [], F.desc if descending else F.asc
-    if parts is None and rows.count() <= ONE_TASK:
+    size = rows.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if parts is None and size <= ONE_TASK:
         upto = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(last(key)).rowsBetween(Window.unboundedPreceding, 0)
         return rows.select("*", *[F.sum(v).over(upto).alias(o) for o, v in sums.items()])
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -61,7 +63,7 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], group: str
     """(group, n, ...): exact linear quantiles, named by ``shares``, from running counts of the distinct values."""
     groups = [group] if group else []
     counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n__")), "counts")
-    ranked = running_totals(counts, value, {"upto__": "n__"}, within=group)
+    ranked = running_totals(counts, value, {"upto__": "n__"}, within=group, keep=False)
     sizes = counts.groupBy(*groups).agg(F.sum("n__").alias("n"))
     both = ranked.join(sizes, groups) if groups else ranked.join(F.broadcast(sizes))
     at = lambda k: F.min(F.when(F.col("upto__") > k, F.col(value)))

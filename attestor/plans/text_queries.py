@@ -173,7 +173,10 @@ def value_location(spark: SparkSession, folder: str) -> DataFrame:
     items = items.withColumn("width", F.least(F.length("item"), F.lit(40))).withColumn("head", F.xxhash64(F.substr("item", F.lit(1), F.col("width"))))
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # 40 at most
     d = table(spark, folder, "documents").select("doc_id", squash(F.coalesce("text", F.lit(""))).alias("body"))
-    each = lambda w: F.expr(f"if(length(body) < {w}, array(), transform(sequence(1, length(body) - {w - 1}), i -> xxhash64(substring(body, i, {w}))))")
+    # windows are cut from chunks, as the place of a character in a long text takes as long to find as the text is
+    chunks = "transform(sequence(0, cast((length(body) - {w}) div 256 as int)), c -> substring(body, c * 256 + 1, {w} + 255))"
+    hashes = f"flatten(transform({chunks}, s -> transform(sequence(1, length(s) - {{w}} + 1), i -> xxhash64(substring(s, i, {{w}})))))"
+    each = lambda w: F.expr(f"if(length(body) < {w}, array(), {hashes.format(w=w)})")
     heads = items.select("head", "width").distinct()
     heads = F.broadcast(heads) if heads.count() <= HEADS else heads
     windows = [d.select("doc_id", F.explode(F.array_distinct(each(w).cast("array<bigint>"))).alias("head"), F.lit(w).alias("width")).join(heads, ["head", "width"], "left_semi") for w in widths]
