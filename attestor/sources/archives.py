@@ -1,4 +1,4 @@
-"""Members of zip archives as rows, through a data source of Spark's own kind: a partition for each member.
+"""Members of zip archives as rows, through a data source of Spark's own kind: a partition for each member, or for several small ones.
 
 ``spark.read.format("zip_members").schema(...).load(folder)`` reads every ``*.zip`` below a folder, or one archive.  Members are CSV with a header, JSON
 (a list of objects, or one object a line) or npz (arrays of one length), by their suffix; others are passed over.  Columns are
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import zipfile
 from collections.abc import Iterator
@@ -23,15 +24,34 @@ from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, L
 
 REJECTS = "archive string, member string, error string"
 KINDS = (".csv", ".json", ".npz")
+#: Up to so many members are a partition each; of more, a partition takes so many neighbours of one archive, or so many of their bytes.
+APART, TOGETHER, TOGETHER_BYTES = 64, 500, 16_000_000
 _WHOLE, _REAL = (LongType, IntegerType, ShortType), (DoubleType, FloatType)
 
 
 @dataclass
-class Member(InputPartition):
-    """One member of one archive."""
+class Members(InputPartition):
+    """Some members of one archive; an archive that can't be opened has one without a name."""
 
     archive: str
-    name: str
+    names: tuple[str, ...]
+
+
+def packed(found: list[tuple[str, str, int]]) -> list[Members]:
+    """Partitions of (archive, member, bytes): their number grows with the bytes, not with the members."""
+    if len(found) <= APART:
+        return [Members(archive, (name,)) for archive, name, _ in found]
+    out: list[Members] = []
+    for archive, own in itertools.groupby(found, key=lambda m: m[0]):
+        names, held = [], 0
+        for _, name, n in own:
+            if names and (len(names) == TOGETHER or held + n > TOGETHER_BYTES):
+                out.append(Members(archive, tuple(names)))
+                names, held = [], 0
+            names.append(name)
+            held += n
+        out.append(Members(archive, tuple(names)))
+    return out
 
 
 def _place(uri: str):
@@ -96,28 +116,38 @@ class MemberReader(DataSourceReader):
         self.schema = StructType.fromJson(json.loads(declared)) if declared else schema
 
     def partitions(self) -> list[InputPartition]:
-        """A partition for each member; an archive that can't be opened is one by itself."""
-        out = []
+        """Partitions of the members of all archives; an archive that can't be opened counts as one member."""
+        found = []
         for archive in archives_below(self.path):
             files, path = _place(archive)
             try:
                 with files.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-                    out += [Member(archive, n) for n in z.namelist() if n.endswith(KINDS)]
+                    found += [(archive, m.filename, m.file_size) for m in z.infolist() if m.filename.endswith(KINDS)]
             except (zipfile.BadZipFile, OSError, ValueError):
-                out.append(Member(archive, ""))
-        return out or [Member("", "")]
+                found.append((archive, "", 0))
+        return packed(found) or [Members("", ())]
 
-    def read(self, partition: Member) -> Iterator[tuple]:
-        if not partition.archive:
+    def read(self, partition: Members) -> Iterator[tuple]:
+        if not partition.names:
             return
-        files, path = _place(partition.archive)
+        archive = partition.archive
+        files, path = _place(archive)
         try:
             with files.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-                place = {"archive": partition.archive, "member": partition.name}
-                rows = [tuple(_cast((r | place).get(c.name), c.dataType) for c in self.schema) for r in parsed(partition.name, z.read(partition.name))]
+                for name in partition.names:
+                    yield from self._member(z, archive, name)
+        except (zipfile.BadZipFile, OSError, ValueError) as e:
+            if self.rejects:
+                yield from ((archive, name, f"{type(e).__name__}: {e}") for name in partition.names)
+
+    def _member(self, z: zipfile.ZipFile, archive: str, name: str) -> Iterator[tuple]:
+        """All rows of a member, or none and a reject."""
+        place, columns = {"archive": archive, "member": name}, [(c.name, c.dataType) for c in self.schema]
+        try:
+            rows = [tuple(_cast(r.get(c), kind) for c, kind in columns) for r in (r | place for r in parsed(name, z.read(name)))]
         except Exception as e:  # noqa: BLE001  whatever is wrong with a member, it's a reject
             if self.rejects:
-                yield partition.archive, partition.name, f"{type(e).__name__}: {e}"
+                yield archive, name, f"{type(e).__name__}: {e}"
             return
         if not self.rejects:
             yield from rows

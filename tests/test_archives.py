@@ -45,3 +45,20 @@ def test_round_trip(spark, tmp_path):
     assert archives.write_members(rows, f"file://{tmp_path}/z", "k", spoiled=1) >= 1
     back = archives.members(spark, f"file://{tmp_path}/z", "id long, k long, x double, name string")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_many_small_members_share_partitions(spark, tmp_path):
+    for name in "ab":
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for n in range(600):
+                z.writestr(f"{name}{n}.json", "[{" if n == 7 else f'[{{"id": {n}}}]')
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive")
+    rows = archives.members(spark, str(tmp_path), "member string, id long")
+    assert rows.rdd.getNumPartitions() == 5  # two for each archive, one for the broken one
+    assert sorted(map(tuple, rows.collect())) == sorted((f"{name}{n}.json", n) for name in "ab" for n in range(600) if n != 7)
+    assert {r["member"] for r in archives.rejects(spark, str(tmp_path), "id long").collect()} == {"a7.json", "b7.json", ""}
+
+
+def test_large_members_part(spark):
+    found = [("a", f"{n}.csv", archives.TOGETHER_BYTES // 2 + 1) for n in range(archives.APART + 1)]
+    assert [p.names for p in archives.packed(found)] == [(f"{n}.csv",) for n in range(archives.APART + 1)]
