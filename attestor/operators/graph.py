@@ -1,4 +1,4 @@
-"""Similarity graphs: exact nearest neighbours in blocks, coverage, neighbour statistics.
+"""Similarity graphs: exact nearest neighbours in cells, coverage, neighbour statistics.
 
 Edges are (view, src, dst, weight, same_group) with weight = 1 / (1 + distance); rankings break ties by dst.
 """
@@ -6,15 +6,19 @@ Edges are (view, src, dst, weight, same_group) with weight = 1 / (1 + distance);
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block: each pair of blocks is one task's work, so memory stays bounded and only top rows leave it.
+from attestor.storage import stored
+
+#: Queries, or vectors of a short bank, in a block: blocks are one task's work, so memory stays bounded and only top rows leave it.
 BLOCK = 10_000
+#: Vectors that a cell of a long bank is meant to hold, levels of the tree of cells, rows that its cuts are fitted on, rows that bound distances.
+CELL, MOST_LEVELS, SAMPLE, SAMPLE_BOUND = 2_000, 12, 20_000, 2_000
 #: Queries whose products with a block are in memory at once.
 AT_ONCE = 256
 
@@ -42,53 +46,139 @@ def features(rows: DataFrame, id_col: str, group_col: str, columns: dict[str, Co
 def nearest(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = True, exclude_group: bool = False, size: int | None = None, within: str | None = None) -> DataFrame:
     """(src, dst, weight, same_group): the k bank rows nearest to each query row, among those of equal ``within`` if given.
 
-    Exact.  Queries and bank are dealt into blocks, each pair of blocks is one task's matrix product, whose nearest rows are
-    measured again without its rounding, and only the k best for each query leave it.  Rows are excluded by id or group,
-    never by distance.
+    Exact.  Up to ``BLOCK`` bank rows are one block.  More are dealt into cells of space, by the cuts of a tree that is fitted on a
+    bounded sample.  A query's own cell, or a sample, bounds the distance of its k-th neighbour, and only cells whose box
+    comes within that bound are searched, so the work grows far slower than queries times bank while few dimensions are used.  What a
+    cell finds by a matrix product is measured again without its rounding, and only the k best for each query leave it.  Rows
+    are excluded by id or group, never by distance.
     """
-    n = size or bank.count()
-    parts = max(1, math.ceil(n / BLOCK))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    n, extra = size or bank.count(), [within] if within else []
     named = [F.col(c).alias(f"{c}_") for c in ("id", "grp", "vec")]  # new columns, as both sides may come from one table
-    extra = [within] if within else []
-    left = queries.select(*extra, *named, own.alias("i"), every.alias("j"))
-    right = bank.select(*extra, *named, own.alias("j"), every.alias("i"))
-
-    def within_best(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return best(q, b).assign(**({within: key[0]} if within else {}))
-
-    def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    left, right = queries.select(*extra, *named), bank.select(*extra, *named)
+    if n <= BLOCK:
+        left, right = (d.withColumn("cell", F.lit(0)) for d in (left.withColumn("bound", F.lit(float("inf"))), right))
+        return top_edges(_searched(left, right, k, exclude_self, exclude_group, within), k, within)
+    # of copies in one group only the first ones by id can be among the k nearest, or k + 1 with the query itself
+    copies = Window.partitionBy(*extra, "vec_", "grp_").orderBy("id_")
+    right = right.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    right = stored(right, "bank")
+    cell = _cells(right, within)
+    right = stored(right.withColumn("cell", cell("vec_")), "cells")
+    dims = len(right.select("vec_").first()[0])
+    ends = [f(F.get("vec_", F.lit(i))) for i in range(dims) for f in (F.min, F.max)]
+    boxes = {}
+    for r in right.groupBy(*extra, "cell").agg(F.array(*ends).alias("ends")).collect():
+        boxes.setdefault(r[within] if within else None, []).append((r["cell"], r["ends"]))
+    boxes = {w: (np.array([c for c, _ in own]), np.array([e for _, e in own], float).reshape(len(own), dims, 2)) for w, own in boxes.items()}
+    few = right.withColumn("at", F.row_number().over(Window.partitionBy(*extra).orderBy(F.xxhash64("id_"), "id_"))).where(F.col("at") <= SAMPLE_BOUND)
+    sample = {None: few.drop("at").toPandas()} if not within else dict(iter(few.drop("at").toPandas().groupby(within)))
+
+    def bounded(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        w = key[0] if within else None
+        out, (names, box) = [], boxes.get(w, (np.zeros(0, int), np.zeros((0, dims, 2))))
+        for part, square, room in _products(q, b, exclude_self, exclude_group):
+            bound = _kth(square, k) + room
+            if w in sample and (open_ := np.flatnonzero(np.isinf(bound))).size:
+                for rest, square, room in _products(part.iloc[open_], sample[w], exclude_self, exclude_group):
+                    bound[open_[: len(rest)]], open_ = _kth(square, k) + room, open_[len(rest) :]
+            v, away = np.stack(part["vec_"]).astype(float), np.zeros((len(part), len(names)))
+            for i in range(dims):
+                away += np.maximum(np.maximum(box[None, :, i, 0] - v[:, i, None], v[:, i, None] - box[None, :, i, 1]), 0) ** 2
+            met = away <= bound[:, None]
+            out.append(part[[*extra, "id_", "grp_", "vec_"]].assign(bound=bound, met=[names[m] for m in met]))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in [*extra, "id_", "grp_", "vec_", "bound", "met"]}, dtype=object)
+
+    kinds = dict(left.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*extra, "id_", "grp_", "vec_"]) + ", bound double, met array<int>"
+    bounds = stored(_dealt(left.withColumn("cell", cell("vec_")), right, within).applyInPandas(bounded, schema), "bounds")
+    visits = bounds.select(*extra, "id_", "grp_", "vec_", "bound", F.explode("met").alias("cell"))
+    return top_edges(_searched(visits, right, k, exclude_self, exclude_group, within), k, within)
+
+
+def _cells(bank: DataFrame, within: str | None):
+    """A function from vectors to the number of their cell, by a complete tree of cuts at medians of a sample of at most ``SAMPLE`` or so rows."""
+    per = [r["count"] for r in bank.groupBy(*([within] if within else [])).count().collect()]
+    depth = min(MOST_LEVELS, max(1, math.ceil(math.log2(max(per) / CELL))))
+    rare = max(1, math.ceil(sum(per) / SAMPLE))
+    x = np.stack(bank.where(F.pmod(F.xxhash64("id_", *([within] if within else [])), F.lit(rare)) == 0).select("vec_").toPandas()["vec_"].tolist() or [bank.select("vec_").first()[0]]).astype(float)
+    axis, cut = np.zeros(2**depth - 1, int), np.zeros(2**depth - 1)
+    own = {0: x}
+    for node in range(2**depth - 1):
+        rows = own.pop(node)
+        if len(rows):
+            axis[node] = int(np.argmax(rows.std(axis=0)))
+            cut[node] = np.median(rows[:, axis[node]])
+        right = rows[:, axis[node]] > cut[node]
+        own[2 * node + 1], own[2 * node + 2] = rows[~right], rows[right]
+
+    @F.pandas_udf("int")
+    def cell(vec: pd.Series) -> pd.Series:
+        v, node, row = np.stack(vec).astype(float), np.zeros(len(vec), int), np.arange(len(vec))
+        for _ in range(depth):
+            node = 2 * node + 1 + (v[row, axis[node]] > cut[node])
+        return pd.Series(node - (2**depth - 1))
+
+    return cell
+
+
+def _dealt(visits: DataFrame, bank: DataFrame, within: str | None):
+    """Visits and bank rows by cell; the visits of a cell are sliced into about ``BLOCK`` rows, each with the cell's bank rows."""
+    keys = [*([within] if within else []), "cell"]
+    slices = F.broadcast(visits.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slices")))
+    left = visits.join(slices, keys).withColumn("slice", F.pmod(F.xxhash64("id_"), F.col("slices")).cast("int")).drop("slices")
+    right = bank.join(slices, keys).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    # a given number of partitions: few bytes are much work here, so small partitions are not to be joined
+    parts, names = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, "slice"]
+    left, right = (d.repartition(parts, *names) for d in (left, right))
+    return left.groupBy(*names).cogroup(right.groupBy(*names))
+
+
+def _products(q: pd.DataFrame, b: pd.DataFrame, exclude_self: bool, exclude_group: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(queries, squared distances to all of ``b``, room for their rounding) for ``AT_ONCE`` queries at a time; infinite where excluded."""
+    ids, groups = b["id_"].to_numpy(), b["grp_"].to_numpy()
+    x = np.stack(b["vec_"]).astype(float) if len(b) else None
+    norm = (x * x).sum(axis=1) if len(b) else np.zeros(0)
+    for at in range(0, len(q), AT_ONCE):
+        part = q.iloc[at : at + AT_ONCE]
+        v = np.stack(part["vec_"]).astype(float)
+        own = (v * v).sum(axis=1)
+        square = own[:, None] + norm[None, :] - 2 * (v @ x.T) if len(b) else np.zeros((len(part), 0))
+        if exclude_self:
+            square[ids[None, :] == part["id_"].to_numpy()[:, None]] = np.inf
+        if exclude_group:
+            square[groups[None, :] == part["grp_"].to_numpy()[:, None]] = np.inf
+        square[np.isnan(square)] = np.inf
+        yield part, square, 1e-9 * (own + norm.max(initial=0) + 1)
+
+
+def _kth(square: np.ndarray, k: int) -> np.ndarray:
+    """The k-th smallest of each row, infinite with fewer."""
+    return np.partition(square, k - 1, axis=1)[:, k - 1] if square.shape[1] >= k else np.full(len(square), np.inf)
+
+
+def _searched(visits: DataFrame, bank: DataFrame, k: int, exclude_self: bool, exclude_group: bool, within: str | None) -> DataFrame:
+    """The k best edges of every visit (a query, its bound and a cell) that are no farther than the bound."""
+
+    def best(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(q) and len(b):
             b = b.sort_values("id_")
             ids, groups, x = b["id_"].to_numpy(), b["grp_"].to_numpy(), np.stack(b["vec_"]).astype(float)
-            norm = (x * x).sum(axis=1)
-            for at in range(0, len(q), AT_ONCE):
-                src, group, v = q["id_"].to_numpy()[at : at + AT_ONCE], q["grp_"].to_numpy()[at : at + AT_ONCE], np.stack(q["vec_"].iloc[at : at + AT_ONCE]).astype(float)
-                own = (v * v).sum(axis=1)
-                square = own[:, None] + norm[None, :] - 2 * (v @ x.T)
-                banned = np.zeros(square.shape, bool)
-                if exclude_self:
-                    banned |= ids[None, :] == src[:, None]
-                if exclude_group:
-                    banned |= groups[None, :] == group[:, None]
-                square[banned] = np.inf
-                worst = np.partition(square, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                near = (square <= (worst + 1e-9 * (own + norm.max() + 1))[:, None]) & ~banned  # room for the product's rounding
-                i, j = np.nonzero(near)
-                d = np.sqrt(((x[j] - v[i]) ** 2).sum(axis=1))
-                order = np.lexsort((j, d, i))
-                i, j, d = i[order], j[order], d[order]
-                first = np.searchsorted(i, i, side="left")
-                top = np.arange(len(i)) - first < k
-                i, j, d = i[top], j[top], d[top]
-                parts.append(pd.DataFrame({"src": src[i], "dst": ids[j], "weight": 1 / (1 + d), "same_group": groups[j] == group[i]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "weight": [], "same_group": []})
-
-    schema = "src long, dst long, weight double, same_group boolean" + (f", {within} {dict(queries.dtypes)[within]}" if within else "")
-    pairs = left.groupBy(*extra, "i", "j").cogroup(right.groupBy(*extra, "i", "j")).applyInPandas(within_best, schema)
-    return top_edges(pairs, k, within)
+            for part, square, room in _products(q, b, exclude_self, exclude_group):
+                src, group, v = part["id_"].to_numpy(), part["grp_"].to_numpy(), np.stack(part["vec_"]).astype(float)
+                worst = np.minimum(_kth(square, k), part["bound"].to_numpy()) + room
+                i, j = np.nonzero((square <= worst[:, None]) & (square < np.inf))
+                weight = 1 / (1 + np.sqrt(((x[j] - v[i]) ** 2).sum(axis=1)))
+                order = np.lexsort((j, -weight, i))
+                i, j, weight = i[order], j[order], weight[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+                i, j, weight = i[top], j[top], weight[top]
+                parts.append(pd.DataFrame({"src": src[i], "dst": ids[j], "weight": weight, "same_group": groups[j] == group[i]}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"src": [], "dst": [], "weight": [], "same_group": []})
+        return out.assign(**({within: key[0]} if within else {}))
+
+    schema = "src long, dst long, weight double, same_group boolean" + (f", {within} {dict(visits.dtypes)[within]}" if within else "")
+    return _dealt(visits, bank, within).applyInPandas(best, schema)
 
 
 def top_edges(edges: DataFrame, k: int, within: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,34 @@ def test_blocks_give_the_same_neighbours(spark, monkeypatch):
     assert sorted(map(tuple, graph.nearest(v, v, 2).collect())) == whole
 
 
+@pytest.mark.parametrize("exclude_group", [False, True])
+def test_cells_give_the_same_neighbours_as_all_pairs(spark, monkeypatch, exclude_group):
+    """Many cells, copies beyond k, a group of its own far away, two draws, and queries outside the bank."""
+    for name, value in {"BLOCK": 40, "CELL": 8, "SAMPLE": 50, "SAMPLE_BOUND": 20}.items():
+        monkeypatch.setattr(graph, name, value)
+    rng = np.random.default_rng(3)
+    rows = [(d, i, int(i % 4), [float(x) for x in rng.normal(size=3)]) for d in (0, 1) for i in range(150)]
+    rows += [(0, 200 + i, i % 3, [0.5, 0.5, 0.5]) for i in range(30)] + [(1, 300 + i, 9, [50.0 + i, 0.0, 0.0]) for i in range(20)]
+    table = spark.createDataFrame(rows, "draw int, id long, grp int, vec array<double>")
+    queries, bank = table.where("id % 5 <> 1"), table.where("id % 5 <> 2")
+    got = sorted(map(tuple, graph.nearest(queries, bank, 4, exclude_group=exclude_group, within="draw").select("draw", "src", "dst", "weight", "same_group").collect()))
+    want = []
+    for d, i, g, v in (r for r in rows if r[1] % 5 != 1):
+        near = [(-1 / (1 + float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum()))), j, h == g) for e, j, h, w in rows if e == d and j != i and j % 5 != 2 and not (exclude_group and h == g)]
+        want += [(d, i, j, -w, same) for w, j, same in sorted(near)[:4]]
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in sorted(want)] and np.allclose([r[3] for r in got], [r[3] for r in sorted(want)])
+
+
+def test_most_cells_are_not_searched(spark, monkeypatch):
+    """Of 64 cells along a line a query's k nearest rows lie in few."""
+    for name, value in {"BLOCK": 100, "CELL": 100}.items():
+        monkeypatch.setattr(graph, name, value)
+    visits, searched = [], graph._searched
+    monkeypatch.setattr(graph, "_searched", lambda v, *rest: visits.append(v.count()) or searched(v, *rest))
+    v = spark.range(6_400).selectExpr("id", "cast(id % 3 as int) as grp", "array(cast(id as double), 0D) as vec")
+    assert graph.nearest(v, v, 3).count() == 19_200 and visits[0] < 3 * 6_400
+
+
 def test_zscore_of_a_constant_is_zero(spark):
     z = graph.zscored(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"]).collect()
     assert [tuple(r) for r in z] == [(-1.0, 0.0), (1.0, 0.0)]
