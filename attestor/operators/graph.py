@@ -53,8 +53,8 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, exclude_self: bool = Tr
     are excluded by id or group, never by distance.
     """
     n, extra = size or bank.count(), [within] if within else []
-    named = [F.col(c).alias(f"{c}_") for c in ("id", "grp", "vec")]  # new columns, as both sides may come from one table
-    left, right = queries.select(*extra, *named), bank.select(*extra, *named)
+    named = [F.col(c).alias(n) for c, n in [*((c, f"{c}_") for c in ("id", "grp", "vec")), *((c, c) for c in extra)]]  # new columns, as both sides may come from one table
+    left, right = queries.select(*named), bank.select(*named)
     if n <= BLOCK:
         left, right = (d.withColumn("cell", F.lit(0)) for d in (left.withColumn("bound", F.lit(float("inf"))), right))
         return top_edges(_searched(left, right, k, exclude_self, exclude_group, within), k, within)
