@@ -52,8 +52,10 @@ def wrong_answers(spark: SparkSession, folder: str) -> DataFrame:
     several = p.groupBy("p_brand").agg(F.collect_set("s").alias("all_sizes"))
     k = F.col("p_partkey")
     answer = F.when(k % 5 == 0, "I don't know").when(k % 5 == 1, F.format_string("%.0f Ah", F.col("s"))).when(k % 5 == 2, F.format_string("%.0f Ah", F.col("s") * 1000)).when(k % 5 == 3, "77 Ah").otherwise("none given")
-    r = p.join(several, "p_brand").select(answers.wrong_kind(answer, F.array("s"), F.lit("Ah"), F.col("all_sizes")).alias("kind"))
-    return r.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    # equal answers to one question of a brand are judged once
+    same = p.groupBy("p_brand", "s", answer.alias("answer")).agg(F.count(F.lit(1)).alias("n"))
+    r = same.join(several, "p_brand").select(answers.wrong_kind(F.col("answer"), F.array("s"), F.lit("Ah"), F.col("all_sizes")).alias("kind"), "n")
+    return r.groupBy("kind").agg(F.sum("n").alias("n"))
 
 
 def composed_names(spark: SparkSession, folder: str) -> DataFrame:

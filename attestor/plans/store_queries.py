@@ -161,18 +161,26 @@ def nearest_condition_claim(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(best.select("id", "claim_at", "measured_at", "comparable", ((F.col("price") - F.col("p_retailprice")) / F.col("p_retailprice")).alias("gap")))
 
 
+#: Line items in a partition of pairs.
+DEALT = 1_000_000
 _TEXTS = ("Max. value", "min. 5 A", "typical", "over 3")
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Claims of two suppliers on one part, paired by rank: values, conditions and texts."""
-    l = table(spark, folder, "lineitem")
-    one = l.groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("v"), F.max("l_discount").alias("d"), F.max("l_linenumber").cast("double").alias("c"), F.count(F.lit(1)).alias("n"))
+    l = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_linenumber")
+    # partitions of bounded size, so that a task's memory does not grow with the table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-l.count() // DEALT))
+    one = l.repartition(parts, "l_partkey").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("v"), F.max("l_discount").alias("d"), F.max("l_linenumber").cast("double").alias("c"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("l_partkey").orderBy("l_suppkey")
-    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("l_suppkey") % 4 + 1).cast("int"))
-    side = one.select("l_partkey", F.row_number().over(w).alias("r"), F.array("v").alias("value"), F.create_map(F.lit("current"), "c", F.lit("n"), F.col("n").cast("double")).alias("cond"), text.alias("text"))
-    a, b = side.where("r = 1").alias("a"), side.where("r = 2").alias("b")
-    return a.join(b, "l_partkey").select("l_partkey", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("value", "cond", "text")])
+    nxt = {c: F.lead(c).over(w) for c in ("l_suppkey", "v", "c", "n")}
+    first = one.select("*", F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("l_partkey")).alias("of"), *[x.alias(f"next_{c}") for c, x in nxt.items()]).where("r = 1 and of > 1")
+    text = lambda c: F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col(c) % 4 + 1).cast("int"))
+    cond = lambda c, n: F.create_map(F.lit("current"), c, F.lit("n"), F.col(n).cast("double"))
+    return first.select(
+        "l_partkey", F.array("v").alias("a_value"), cond("c", "n").alias("a_cond"), text("l_suppkey").alias("a_text"),
+        F.array("next_v").alias("b_value"), cond("next_c", "next_n").alias("b_cond"), text("next_l_suppkey").alias("b_text"),
+    ).where("l_partkey is not null")
 
 
 def _verdicts(rows: DataFrame, tolerance=0.02) -> DataFrame:
