@@ -151,6 +151,31 @@ def _products(q: pd.DataFrame, b: pd.DataFrame, exclude_self: bool, exclude_grou
         yield part, square, 1e-9 * (own + norm.max(initial=0) + 1)
 
 
+def _candidates(q: pd.DataFrame, b: pd.DataFrame, x: np.ndarray, k: int, exclude_self: bool, exclude_group: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(queries, i, j): the rows of ``b`` (vectors ``x``) that can be among the k nearest, for ``AT_ONCE`` queries at a time.
+
+    Where a query's bound is known, one product and one comparison tell; no order of all distances is needed.
+    """
+    known = np.isfinite(q["bound"].to_numpy())
+    ids, groups, norm = b["id_"].to_numpy(), b["grp_"].to_numpy(), (x * x).sum(axis=1)
+    wide = np.concatenate([2 * x, -norm[:, None]], axis=1).T
+    bounded = q[known]
+    for at in range(0, len(bounded), AT_ONCE):
+        part = bounded.iloc[at : at + AT_ONCE]
+        v = np.stack(part["vec_"]).astype(float)
+        own = (v * v).sum(axis=1)
+        least = own - part["bound"].to_numpy() - 1e-9 * (own + norm.max(initial=0) + 1)
+        i, j = np.nonzero(np.concatenate([v, np.ones((len(v), 1))], axis=1) @ wide >= least[:, None])
+        kept = np.ones(len(i), bool)
+        if exclude_self:
+            kept &= ids[j] != part["id_"].to_numpy()[i]
+        if exclude_group:
+            kept &= groups[j] != part["grp_"].to_numpy()[i]
+        yield part, i[kept], j[kept]
+    for part, square, room in _products(q[~known], b, exclude_self, exclude_group):
+        yield part, *np.nonzero((square <= (_kth(square, k) + room)[:, None]) & (square < np.inf))
+
+
 def _kth(square: np.ndarray, k: int) -> np.ndarray:
     """The k-th smallest of each row, infinite with fewer."""
     return np.partition(square, k - 1, axis=1)[:, k - 1] if square.shape[1] >= k else np.full(len(square), np.inf)
@@ -164,10 +189,8 @@ def _searched(visits: DataFrame, bank: DataFrame, k: int, exclude_self: bool, ex
         if len(q) and len(b):
             b = b.sort_values("id_")
             ids, groups, x = b["id_"].to_numpy(), b["grp_"].to_numpy(), np.stack(b["vec_"]).astype(float)
-            for part, square, room in _products(q, b, exclude_self, exclude_group):
+            for part, i, j in _candidates(q, b, x, k, exclude_self, exclude_group):
                 src, group, v = part["id_"].to_numpy(), part["grp_"].to_numpy(), np.stack(part["vec_"]).astype(float)
-                worst = np.minimum(_kth(square, k), part["bound"].to_numpy()) + room
-                i, j = np.nonzero((square <= worst[:, None]) & (square < np.inf))
                 weight = 1 / (1 + np.sqrt(((x[j] - v[i]) ** 2).sum(axis=1)))
                 order = np.lexsort((j, -weight, i))
                 i, j, weight = i[order], j[order], weight[order]
