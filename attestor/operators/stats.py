@@ -59,24 +59,78 @@ def running_totals(rows: DataFrame, key: str, sums: dict[str, str], descending:
     return summed.withColumns({o: F.col(o) + F.col(f"base__{o}") for o in sums}).drop("part__", *[f"base__{o}" for o in sums])
 
 
-def quantiles(rows: DataFrame, value: str, shares: dict[str, float], group: str | None = None) -> DataFrame:
-    """(group, n, ...): exact linear quantiles, named by ``shares``, from running counts of the distinct values."""
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], group: str | None = None, keep: bool = True) -> DataFrame:
+    """(group, n, ...): exact linear quantiles, named by ``shares``.
+
+    The values are stored first (unless ``keep`` is false, for stored ones), as they are read several times.  Groups of at most ``ONE_TASK`` values go through running counts of their distinct
+    values; of longer ones only the values around each quantile are put in order (see ``_long_ends``).
+    """
     groups = [group] if group else []
-    counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n__")), "counts")
-    ranked = running_totals(counts, value, {"upto__": "n__"}, within=group, keep=False)
-    sizes = counts.groupBy(*groups).agg(F.sum("n__").alias("n"))
-    both = ranked.join(sizes, groups) if groups else ranked.join(F.broadcast(sizes))
-    at = lambda k: F.min(F.when(F.col("upto__") > k, F.col(value)))
+    known = rows.where(F.col(value).isNotNull()).select(*groups, value)
+    known = stored(known, "values") if keep else known
+    sizes = stored(known.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most <= ONE_TASK:
+        ends = _short_ends(known, sizes, value, shares, groups)
+    elif not groups:
+        ends = _long_ends(known, sizes, value, shares, groups, most)
+    else:
+        few = F.broadcast(sizes.where(F.col("n") > ONE_TASK))  # each has many values
+        short = _short_ends(known.join(few, group, "left_anti"), sizes, value, shares, groups)
+        ends = _long_ends(known.join(few, group, "left_semi"), sizes.where(F.col("n") > ONE_TASK), value, shares, groups, most).unionByName(short)
     place = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
-    ends = both.groupBy(*groups, "n").agg(*[c for name, p in place.items() for c in (at(F.floor(p)).alias(f"lo__{name}"), at(F.ceil(p)).alias(f"hi__{name}"))])
     between = lambda name, p: F.col(f"lo__{name}") * (F.ceil(p) - p) + F.col(f"hi__{name}") * (p - F.floor(p))
     return ends.select(*groups, "n", *[F.when(F.floor(p) == F.ceil(p), F.col(f"lo__{name}")).otherwise(between(name, p)).alias(name) for name, p in place.items()])
 
 
+def _short_ends(known: DataFrame, sizes: DataFrame, value: str, shares: dict[str, float], groups: list[str]) -> DataFrame:
+    """(group, n, lo__name, hi__name): the values next to each quantile, from one order of the distinct values of each group."""
+    upto = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counts = known.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n__")).withColumn("upto__", F.sum("n__").over(upto))
+    both = counts.join(sizes, groups) if groups else counts.join(F.broadcast(sizes))
+    at = lambda k: F.min(F.when(F.col("upto__") > k, F.col(value)))
+    place = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
+    return both.groupBy(*groups, "n").agg(*[c for name, p in place.items() for c in (at(F.floor(p)).alias(f"lo__{name}"), at(F.ceil(p)).alias(f"hi__{name}"))])
+
+
+def _long_ends(known: DataFrame, sizes: DataFrame, value: str, shares: dict[str, float], groups: list[str], most: int) -> DataFrame:
+    """``_short_ends`` of few long groups: sketches bound where each quantile lies, and only the values within its bounds are counted one by one.
+
+    Values below the bounds are only counted.  A sketch's error is checked by these counts; where it was too large for some group, wider
+    bounds follow, none at last.  Bounds hold at most ``ONE_TASK`` rows of a group, equal values apart, which are one count.
+    """
+    names, v = list(shares), F.col(value)
+    accuracy = max(1_000, 4 * most // ONE_TASK)
+    place = F.element_at(F.array(*[F.lit(float(q)) for q in shares.values()]), F.col("share__") + 1) * (F.col("n") - 1)
+    with_sizes = lambda d, other: d.join(F.broadcast(other), groups) if groups else d.join(F.broadcast(other))
+    for margin in (2 / accuracy, 32 / accuracy, 2.0):
+        cut = {f"b__{i}": q - margin for i, q in enumerate(shares.values())} | {f"t__{i}": q + margin for i, q in enumerate(shares.values())}
+        asked = {c: x for c, x in cut.items() if 0 < x < 1}
+        sketch = known.groupBy(*groups).agg(F.percentile_approx(v, list(asked.values()) or [0.5], accuracy).alias("a__"))
+        at = {c: F.get("a__", F.lit(n)) for n, c in enumerate(asked)}
+        bounds = stored(sketch.select(*groups, *[at[c].alias(c) if c in at else F.lit(None).cast(dict(known.dtypes)[value]).alias(c) for c in cut]), "bounds")
+        placed = with_sizes(known, bounds)  # no bound where there is none
+        under = [F.coalesce(v < F.col(f"b__{i}"), F.lit(False)) for i in range(len(names))]
+        over = [F.coalesce(v > F.col(f"t__{i}"), F.lit(False)) for i in range(len(names))]
+        below = placed.groupBy(*groups).agg(F.array(*[F.count_if(u) for u in under]).alias("below__"))
+        inside = F.array_compact(F.array(*[F.when(~u & ~o, F.lit(i)) for i, (u, o) in enumerate(zip(under, over, strict=True))]))
+        held = placed.select(*groups, value, inside.alias("shares__")).where("size(shares__) > 0").groupBy(*groups, value, "shares__").agg(F.count(F.lit(1)).alias("n__"))
+        upto = Window.partitionBy(*groups, "share__").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = held.select(*groups, value, "n__", F.explode("shares__").alias("share__")).withColumn("upto__", F.sum("n__").over(upto))
+        ranked = with_sizes(with_sizes(ranked, below), sizes).withColumns({"below__": F.get("below__", "share__"), "p__": place})
+        end = lambda k: F.min(F.when(F.col("below__") + F.col("upto__") > k, v))
+        ends = stored(ranked.groupBy(*groups, "n", "share__").agg(end(F.floor("p__")).alias("lo__"), end(F.ceil("p__")).alias("hi__"), (F.first("below__") <= F.floor(F.first("p__"))).alias("fits__")), "ends")
+        if ends.where("fits__ and hi__ is not null").count() == len(names) * sizes.count():
+            break
+    of = lambda i, c: F.max(F.when(F.col("share__") == i, F.col(c))).alias(f"{c}{names[i]}")
+    return ends.groupBy(*groups, "n").agg(*[of(i, c) for i in range(len(names)) for c in ("lo__", "hi__")])
+
+
 def distribution(rows: DataFrame, value: str, group: str) -> DataFrame:
     """(group, n, median, least, most, q1, q3): size, extremes and linear quartiles of each group; null without values."""
     shares = {"median": 0.5, "least": 0.0, "most": 1.0, "q1": 0.25, "q3": 0.75}
-    return rows.select(group).distinct().join(quantiles(rows, value, shares, group), group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = stored(rows.select(group, value), "measured")
+    return rows.select(group).distinct().join(quantiles(rows, value, shares, group, keep=False), group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:

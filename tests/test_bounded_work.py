@@ -2,8 +2,9 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from attestor.operators import graph
+from attestor.operators import graph, stats
 from attestor.plans import store_queries
 
 
@@ -33,3 +34,32 @@ def test_pairs_of_claims_are_dealt_by_the_size_of_the_table(spark, monkeypatch,
     pairs = store_queries._pairs(spark, str(tmp_path))
     assert pairs.rdd.getNumPartitions() == 10
     assert sorted(r["l_partkey"] for r in pairs.collect()) == list(range(7))
+
+
+def test_quantiles_of_long_groups_order_only_values_near_them(spark, monkeypatch):
+    """A long group with a value that half its rows share, a short one and one without values; no window takes a long group whole."""
+    rng = np.random.default_rng(8)
+    own = {"long": np.where(rng.random(6000) < 0.5, 0.25, rng.normal(size=6000)), "short": rng.normal(size=9)}
+    rows = [(g, float(x)) for g, xs in own.items() for x in xs] + [("long", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    monkeypatch.setattr(stats, "ONE_TASK", 1000)
+    asked, taken = [], stats._short_ends
+    monkeypatch.setattr(stats, "_short_ends", lambda known, *rest: (asked.append(known.count()), taken(known, *rest))[1])
+    got = {r["g"]: r for r in stats.distribution(df, "v", "g").collect()}
+    assert asked == [9]
+    for g, xs in own.items():
+        assert got[g]["n"] == len(xs)
+        assert np.allclose([got[g][c] for c in ("least", "q1", "median", "q3", "most")], np.percentile(xs, [0, 25, 50, 75, 100]), rtol=0, atol=1e-12)
+    assert got["none"]["n"] == 0 and got["none"]["median"] is None
+    whole = stats.quantiles(df, "v", {"lo": 0.005, "hi": 0.995}).first()
+    assert whole["n"] == 6009 and np.allclose([whole["lo"], whole["hi"]], np.percentile(np.concatenate(list(own.values())), [0.5, 99.5]), rtol=0, atol=1e-12)
+
+
+def test_quantiles_beyond_the_bounds_of_a_sketch_are_searched_again(spark, monkeypatch):
+    """A sketch that is off gives wider bounds, not wrong values."""
+    xs = np.random.default_rng(9).permutation(5000).astype(float)
+    monkeypatch.setattr(stats, "ONE_TASK", 1000)
+    right = F.percentile_approx
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda v, at, accuracy: right(v + 20.0, at, accuracy))
+    got = stats.quantiles(spark.createDataFrame([(float(x),) for x in xs], "v double"), "v", {"a": 0.3, "b": 0.9}).first()
+    assert np.allclose([got["a"], got["b"]], np.percentile(xs, [30, 90]), rtol=0, atol=1e-9)
