@@ -107,8 +107,8 @@ def match_views(spark: SparkSession, folder: str) -> DataFrame:
     """Claims of two suppliers on a part matched by flag and then by part alone."""
     l = table(spark, folder, "lineitem")
     w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    rows = l.withColumn("pos", F.col("l_partkey") * 100_000 + F.row_number().over(w)).select("pos", "l_partkey", "l_linestatus", F.col("l_quantity").alias("value"), "l_returnflag", F.array("l_linestatus", F.col("l_linenumber").cast("string")).alias("words"))
-    return matching.match_views(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'R'"), ["l_partkey", "l_linestatus"], ["l_partkey"])
+    rows = l.withColumn("pos", F.col("l_partkey") * 100_000 + F.row_number().over(w)).select("pos", "l_partkey", "l_linestatus", F.col("l_quantity").alias("value"), (F.col("l_returnflag") == "R").cast("int").alias("side"), "l_returnflag", F.array("l_linestatus", F.col("l_linenumber").cast("string")).alias("words"))
+    return matching.matched_views(rows.where("l_returnflag in ('A', 'R')"), ["l_partkey", "l_linestatus"], ["l_partkey"])
 
 
 def claim_similarity(spark: SparkSession, folder: str) -> DataFrame:

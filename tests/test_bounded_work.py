@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from attestor.operators import graph, stats
+from attestor.operators import graph, matching, stats
 from attestor.plans import store_queries
 
 
@@ -63,3 +63,28 @@ def test_quantiles_beyond_the_bounds_of_a_sketch_are_searched_again(spark, monke
     monkeypatch.setattr(stats.F, "percentile_approx", lambda v, at, accuracy: right(v + 20.0, at, accuracy))
     got = stats.quantiles(spark.createDataFrame([(float(x),) for x in xs], "v double"), "v", {"a": 0.3, "b": 0.9}).first()
     assert np.allclose([got["a"], got["b"]], np.percentile(xs, [30, 90]), rtol=0, atol=1e-9)
+
+
+def test_both_views_are_matched_in_one_pass(spark):
+    """The rule by itself, first within part and flag, then by part over what is left; rows without a value or words too."""
+    rng = np.random.default_rng(11)
+    sides = []
+    for first in (0, 1000):
+        value = [None if n % 29 == 0 else float(v) for n, v in enumerate(rng.integers(1, 12, 200))]
+        words = [None if n % 31 == 0 else [str(w) for w in rng.integers(0, 4, 3)] for n in range(200)]
+        sides.append([(first + n, int(k), None if f == 0 else str(f), v, w) for n, (k, f, v, w) in enumerate(zip(rng.integers(0, 9, 200), rng.integers(0, 3, 200), value, words, strict=True))])
+    expected, gone = [], set()
+    for width, view in ((2, "exact"), (1, "naming_only")):
+        for r in sides[0]:
+            own = set(r[4] or ())
+            alike = [
+                (len(own & set(s[4] or ())) / max(1, len(own | set(s[4] or ()))), -s[0]) for s in sides[1]
+                if s[0] not in gone and r[0] not in gone and s[1 : 1 + width] == r[1 : 1 + width] and None not in (r[3], s[3]) and matching.near(r[3], s[3])
+            ]
+            if alike:
+                expected.append((r[0], -max(alike)[1], view))
+                gone |= {r[0], -max(alike)[1]}
+    ref, sec = (spark.createDataFrame(s, "pos long, part int, flag string, value double, words array<string>") for s in sides)
+    got = matching.match_views(ref, sec, ["part", "flag"], ["part"])
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and {v for _, _, v in expected} == {"exact", "naming_only"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
