@@ -50,6 +50,22 @@ def test_causes(spark):
     }
 
 
+def test_causes_compare_equal_claims_once(spark):
+    """A thousand claims of two kinds and three proposals are six comparisons; claims without a unit or value count too."""
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def same(value, p_value):
+        compared.add(1)
+        return value == p_value
+
+    gold = spark.range(1000).selectExpr("id", "'a' as property", "if(id % 2 = 0, array(1d), null) as value", "cast(null as string) as unit", "array(1d) as n")
+    proposed = spark.createDataFrame([(n, "a", [float(n)], "V") for n in (1, 2, 3)], "run int, property string, p_value array<double>, p_unit string")
+    rejected = spark.createDataFrame([], "property string, reason string")
+    got = nearest_claims.missed_causes(gold, proposed, rejected, F.col("n"), same(F.col("value"), F.col("p_value"))).groupBy("cause", "detail").count().collect()
+    assert {tuple(r) for r in got} == {("consensus_dropped", "runs 1", 500), ("wrong_value", "values 1.0,2.0,3.0", 500)} and compared.value == 6
+
+
 def test_recall(spark):
     gold = spark.createDataFrame([("a", "V", 1.0, 0), ("a", "mV", 1000.0, 1), ("b", "A", 3.0, 2)], "property string, unit string, value double, pos long")
     said = spark.createDataFrame([("a", "V", 1.0, 0), ("z", "mA", 3000.0, 1), ("y", "V", 1.01, 2)], "property string, unit string, value double, pos long")
