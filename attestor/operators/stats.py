@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -59,25 +60,37 @@ def running_totals(rows: DataFrame, key: str, sums: dict[str, str], descending:
     return summed.withColumns({o: F.col(o) + F.col(f"base__{o}") for o in sums}).drop("part__", *[f"base__{o}" for o in sums])
 
 
-def quantiles(rows: DataFrame, value: str, shares: dict[str, float], group: str | None = None, keep: bool = True) -> DataFrame:
-    """(group, n, ...): exact linear quantiles, named by ``shares``.
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], group: str | None = None) -> DataFrame:
+    """(group, n, ...): exact linear quantiles, named by ``shares``; rows without a group or value are left out.
 
-    The values are stored first (unless ``keep`` is false, for stored ones), as they are read several times.  Groups of at most ``ONE_TASK`` values go through running counts of their distinct
+    The values are stored first, as they are read several times.  Groups of at most ``ONE_TASK`` values go through running counts of their distinct
     values; of longer ones only the values around each quantile are put in order (see ``_long_ends``).
     """
     groups = [group] if group else []
-    known = rows.where(F.col(value).isNotNull()).select(*groups, value)
-    known = stored(known, "values") if keep else known
-    sizes = stored(known.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")), "sizes")
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    if most <= ONE_TASK:
+    known = stored(rows.where(_known(value, *groups)).select(*groups, value), "values")
+    return _quantiles(known, stored(_sizes(known, value, groups), "sizes"), value, shares, groups)
+
+
+def _known(*columns: str) -> Column:
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+
+
+def _sizes(rows: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    """(group, n, least__, most__) of the known values."""
+    return rows.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("least__"), F.max(value).alias("most__"))
+
+
+def _quantiles(known: DataFrame, sizes: DataFrame, value: str, shares: dict[str, float], groups: list[str]) -> DataFrame:
+    """``quantiles`` of stored values without nulls and of their stored ``_sizes``."""
+    fewest, most = sizes.agg(F.min("n"), F.max("n")).first()
+    if (most or 0) <= ONE_TASK:
         ends = _short_ends(known, sizes, value, shares, groups)
-    elif not groups:
-        ends = _long_ends(known, sizes, value, shares, groups, most)
+    elif fewest > ONE_TASK:
+        ends = _long_ends(known, known, sizes, value, shares, groups, most)
     else:
-        few = F.broadcast(sizes.where(F.col("n") > ONE_TASK))  # each has many values
-        short = _short_ends(known.join(few, group, "left_anti"), sizes, value, shares, groups)
-        ends = _long_ends(known.join(few, group, "left_semi"), sizes.where(F.col("n") > ONE_TASK), value, shares, groups, most).unionByName(short)
+        few = sizes.where(F.col("n") > ONE_TASK)  # each has many values
+        part = lambda how: known.join(F.broadcast(few.select(*groups)), groups, how)
+        ends = _long_ends(known, part("left_semi"), few, value, shares, groups, most).unionByName(_short_ends(part("left_anti"), sizes, value, shares, groups))
     place = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
     between = lambda name, p: F.col(f"lo__{name}") * (F.ceil(p) - p) + F.col(f"hi__{name}") * (p - F.floor(p))
     return ends.select(*groups, "n", *[F.when(F.floor(p) == F.ceil(p), F.col(f"lo__{name}")).otherwise(between(name, p)).alias(name) for name, p in place.items()])
@@ -93,44 +106,55 @@ def _short_ends(known: DataFrame, sizes: DataFrame, value: str, shares: dict[str
     return both.groupBy(*groups, "n").agg(*[c for name, p in place.items() for c in (at(F.floor(p)).alias(f"lo__{name}"), at(F.ceil(p)).alias(f"hi__{name}"))])
 
 
-def _long_ends(known: DataFrame, sizes: DataFrame, value: str, shares: dict[str, float], groups: list[str], most: int) -> DataFrame:
-    """``_short_ends`` of few long groups: sketches bound where each quantile lies, and only the values within its bounds are counted one by one.
+def _long_ends(known: DataFrame, long: DataFrame, sizes: DataFrame, value: str, shares: dict[str, float], groups: list[str], most: int) -> DataFrame:
+    """``_short_ends`` of few long groups (``long`` has their rows alone): sketches bound where each quantile lies, and only the values within its bounds are counted one by one.
 
-    Values below the bounds are only counted.  A sketch's error is checked by these counts; where it was too large for some group, wider
-    bounds follow, none at last.  Bounds hold at most ``ONE_TASK`` rows of a group, equal values apart, which are one count.
+    One pass counts them and the values outside, these by the bounds between which they lie.  A sketch's error is checked by these counts; where it was
+    too large for some group, wider bounds follow, none at last.  Bounds hold at most ``ONE_TASK`` rows of a group, equal values apart, which are one count.
+    Both extremes are known from ``sizes``.
     """
-    names, v = list(shares), F.col(value)
+    names, v = sorted((n for n, q in shares.items() if 0 < q < 1), key=shares.get), F.col(value)
     accuracy = max(1_000, 4 * most // ONE_TASK)
-    place = F.element_at(F.array(*[F.lit(float(q)) for q in shares.values()]), F.col("share__") + 1) * (F.col("n") - 1)
+    place = F.get(F.array(*[F.lit(float(shares[n])) for n in names]), "share__") * (F.col("n") - 1)
     with_sizes = lambda d, other: d.join(F.broadcast(other), groups) if groups else d.join(F.broadcast(other))
-    for margin in (2 / accuracy, 32 / accuracy, 2.0):
-        cut = {f"b__{i}": q - margin for i, q in enumerate(shares.values())} | {f"t__{i}": q + margin for i, q in enumerate(shares.values())}
-        asked = {c: x for c, x in cut.items() if 0 < x < 1}
-        sketch = known.groupBy(*groups).agg(F.percentile_approx(v, list(asked.values()) or [0.5], accuracy).alias("a__"))
-        at = {c: F.get("a__", F.lit(n)) for n, c in enumerate(asked)}
-        bounds = stored(sketch.select(*groups, *[at[c].alias(c) if c in at else F.lit(None).cast(dict(known.dtypes)[value]).alias(c) for c in cut]), "bounds")
-        placed = with_sizes(known, bounds)  # no bound where there is none
-        under = [F.coalesce(v < F.col(f"b__{i}"), F.lit(False)) for i in range(len(names))]
-        over = [F.coalesce(v > F.col(f"t__{i}"), F.lit(False)) for i in range(len(names))]
-        below = placed.groupBy(*groups).agg(F.array(*[F.count_if(u) for u in under]).alias("below__"))
-        inside = F.array_compact(F.array(*[F.when(~u & ~o, F.lit(i)) for i, (u, o) in enumerate(zip(under, over, strict=True))]))
-        held = placed.select(*groups, value, inside.alias("shares__")).where("size(shares__) > 0").groupBy(*groups, value, "shares__").agg(F.count(F.lit(1)).alias("n__"))
+    ends = None
+    for margin in (2 / accuracy, 32 / accuracy, 2.0) if names else ():
+        cuts = [(f"{side}__{i}", shares[n] + off) for i, n in enumerate(names) for side, off in (("from", -margin), ("to", margin))]
+        asked = [(c, q) for c, q in cuts if 0 < q < 1]  # no bound where there is none
+        placed = long
+        if asked:
+            sketch = long.groupBy(*groups).agg(F.percentile_approx(v, [q for _, q in asked], accuracy).alias("a__"))
+            placed = with_sizes(known, stored(sketch.select(*groups, *[F.get("a__", F.lit(k)).alias(c) for k, (c, _) in enumerate(asked)]), "bounds"))
+        met = lambda side, test: sum((test(F.col(f"{side}__{i}")).cast("int") if f"{side}__{i}" in dict(asked) else F.lit(int(side == "from")) for i in range(len(names))), F.lit(0))
+        # bounds ascend with the shares: a value is within those from ``passed__`` on and before ``reached__``
+        placed = placed.select(*groups, value, met("from", lambda b: v >= b).alias("reached__"), met("to", lambda b: v > b).alias("passed__"))
+        near = F.when(F.col("passed__") < F.col("reached__"), v).alias(value)
+        counts = stored(placed.groupBy(*groups, "passed__", "reached__", near).agg(F.count(F.lit(1)).alias("n__")), "counts")
+        below = counts.groupBy(*groups).agg(F.array(*[F.sum(F.when(F.col("reached__") <= i, F.col("n__")).otherwise(0)) for i in range(len(names))]).alias("below__"))
         upto = Window.partitionBy(*groups, "share__").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = held.select(*groups, value, "n__", F.explode("shares__").alias("share__")).withColumn("upto__", F.sum("n__").over(upto))
-        ranked = with_sizes(with_sizes(ranked, below), sizes).withColumns({"below__": F.get("below__", "share__"), "p__": place})
+        within = counts.where("passed__ < reached__").select(*groups, value, "n__", F.explode(F.expr("sequence(passed__, reached__ - 1)")).alias("share__"))
+        ranked = with_sizes(with_sizes(within.withColumn("upto__", F.sum("n__").over(upto)), below), sizes).withColumns({"below__": F.get("below__", "share__"), "p__": place})
         end = lambda k: F.min(F.when(F.col("below__") + F.col("upto__") > k, v))
-        ends = stored(ranked.groupBy(*groups, "n", "share__").agg(end(F.floor("p__")).alias("lo__"), end(F.ceil("p__")).alias("hi__"), (F.first("below__") <= F.floor(F.first("p__"))).alias("fits__")), "ends")
+        ends = stored(ranked.groupBy(*groups, "share__").agg(end(F.floor("p__")).alias("lo__"), end(F.ceil("p__")).alias("hi__"), (F.first("below__") <= F.floor(F.first("p__"))).alias("fits__")), "ends")
         if ends.where("fits__ and hi__ is not null").count() == len(names) * sizes.count():
             break
-    of = lambda i, c: F.max(F.when(F.col("share__") == i, F.col(c))).alias(f"{c}{names[i]}")
-    return ends.groupBy(*groups, "n").agg(*[of(i, c) for i in range(len(names)) for c in ("lo__", "hi__")])
+    of = lambda n, c: F.max(F.when(F.col("share__") == names.index(n), F.col(c))).alias(f"{c}{n}")
+    found = with_sizes(ends.groupBy(*groups).agg(*[of(n, c) for n in names for c in ("lo__", "hi__")]), sizes) if names else sizes
+    extreme = {n: "least__" if q <= 0 else "most__" for n, q in shares.items() if n not in names}
+    return found.select(*groups, "n", *[F.col(extreme.get(n, f"{c}{n}")).alias(f"{c}{n}") for n in shares for c in ("lo__", "hi__")])
 
 
 def distribution(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """(group, n, median, least, most, q1, q3): size, extremes and linear quartiles of each group; null without values."""
+    """(group, n, median, least, most, q1, q3): size, extremes and linear quartiles of each group, also of rows without one; null without values."""
     shares = {"median": 0.5, "least": 0.0, "most": 1.0, "q1": 0.25, "q3": 0.75}
     rows = stored(rows.select(group, value), "measured")
-    return rows.select(group).distinct().join(quantiles(rows, value, shares, group, keep=False), group, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sizes = stored(_sizes(rows, value, [group]), "sizes")
+    unnamed = F.col(group).isNull()
+    found = _quantiles(rows.where(_known(value, group)), sizes.where(~unnamed & (F.col("n") > 0)), value, shares, [group])
+    if not sizes.where(unnamed & (F.col("n") > 0)).isEmpty():
+        found = found.unionByName(quantiles(rows.where(unnamed), value, shares).withColumn(group, F.lit(None).cast(dict(rows.dtypes)[group])))
+    own = found.drop("n").withColumnRenamed(group, "of__")
+    return sizes.select(group, "n").join(own, F.col(group).eqNullSafe(F.col("of__")), "left").drop("of__")
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:

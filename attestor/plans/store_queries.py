@@ -142,7 +142,7 @@ def _prices(spark: SparkSession, folder: str) -> DataFrame:
 
 def measured_distribution(spark: SparkSession, folder: str) -> DataFrame:
     """n, median, extremes and quartiles of the measured prices of each brand."""
-    both = _prices(spark, folder).join(table(spark, folder, "part").select("p_partkey", "p_brand"), "p_partkey")
+    both = _prices(spark, folder).join(table(spark, folder, "part").select("p_partkey", "p_brand").hint("shuffle_hash"), "p_partkey")
     return rounded(stats.distribution(both, "price", "p_brand"))
 
 

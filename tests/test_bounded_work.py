@@ -65,6 +65,45 @@ def test_quantiles_beyond_the_bounds_of_a_sketch_are_searched_again(spark, monke
     assert np.allclose([got["a"], got["b"]], np.percentile(xs, [30, 90]), rtol=0, atol=1e-9)
 
 
+def test_values_of_long_groups_are_read_three_times(spark, monkeypatch):
+    """Once for sizes, once for sketches and once for all counts; the result reads none of them."""
+    rng = np.random.default_rng(12)
+    own = {g: rng.normal(size=3000) for g in "ab"}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in own.items() for x in xs], "g string, v double")
+    monkeypatch.setattr(stats, "ONE_TASK", 1000)
+    reads, keep = [], stats.stored
+    values = lambda d: sum("/measured-" in f for f in d.inputFiles())
+    monkeypatch.setattr(stats, "stored", lambda d, name: (reads.extend([name] * (values(d) > 0)), keep(d, name))[1])
+    got = stats.distribution(df, "v", "g")
+    assert reads == ["sizes", "bounds", "counts"] and values(got) == 0
+    for r in got.collect():
+        assert np.allclose([r[c] for c in ("least", "q1", "median", "q3", "most")], np.percentile(own[r["g"]], [0, 25, 50, 75, 100]), rtol=0, atol=1e-12)
+
+
+def test_quantiles_without_any_bound(spark, monkeypatch):
+    """A sketch that is far off leaves all values to be counted, with a group or none."""
+    xs = np.random.default_rng(13).permutation(3000).astype(float)
+    monkeypatch.setattr(stats, "ONE_TASK", 1000)
+    right = F.percentile_approx
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda v, at, accuracy: right(v + 2000.0, at, accuracy))
+    df = spark.createDataFrame([("a", float(x)) for x in xs], "g string, v double")
+    for group in (None, "g"):
+        got = stats.quantiles(df, "v", {"b": 0.9, "a": 0.3}, group).first()
+        assert got["n"] == 3000 and np.allclose([got["a"], got["b"]], np.percentile(xs, [30, 90]), rtol=0, atol=1e-9)
+
+
+def test_rows_without_a_group_are_one(spark, monkeypatch):
+    """As GROUP BY has it, in short and long groups."""
+    xs = np.random.default_rng(14).normal(size=2001)
+    df = spark.createDataFrame([(g, float(x)) for g in ("a", None) for x in xs] + [("b", None)], "g string, v double")
+    for most in (10_000, 1000):
+        monkeypatch.setattr(stats, "ONE_TASK", most)
+        got = {r["g"]: r for r in stats.distribution(df, "v", "g").collect()}
+        assert {g: r["n"] for g, r in got.items()} == {"a": 2001, None: 2001, "b": 0} and got["b"]["least"] is None
+        for g in ("a", None):
+            assert np.allclose([got[g][c] for c in ("least", "q1", "median", "q3", "most")], np.percentile(xs, [0, 25, 50, 75, 100]), rtol=0, atol=1e-12)
+
+
 def test_both_views_are_matched_in_one_pass(spark):
     """The rule by itself, first within part and flag, then by part over what is left; rows without a value or words too."""
     rng = np.random.default_rng(11)
